@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
-def pieces_of(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+def pieces_of(batch: pa.RecordBatch, text: str, most: int = 1 << 19):
     """Slices of a batch with at most about `most` bytes of text each; one row at least."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -70,17 +71,20 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return begin, end, np.searchsorted(begin, starts)
 
 
+@lru_cache(1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    power = np.full(size + 1, _ODD, np.uint64)
+    back = np.full(size + 1, np.uint64(pow(int(_ODD), -1, 1 << 64)), np.uint64)
+    power[0] = back[0] = 1
+    return np.multiply.accumulate(power), np.multiply.accumulate(back)
+
+
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span; equal spans have equal hashes."""
-    power = np.full(len(data) + 1, _ODD, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-    back = np.full(len(data) + 1, inverse, np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
+    power, back = _powers(1 << max(1, len(data)).bit_length())
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
     return mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64) * _MIX)
 
 

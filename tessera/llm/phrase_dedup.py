@@ -21,7 +21,7 @@ from tessera.llm.common import SPACES, doc_back, flat_text, ids_of, pieces_of, w
 from tessera.llm.repeats import Windows, marked, recurring_spans, with_copies
 
 #: Patterns in one automaton; more are spread over several, each streamed in turn.
-PATTERNS = 20_000
+PATTERNS = 10_000
 
 
 def locate_phrases(segments: list[bytes], times: np.ndarray, length: int) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
@@ -71,7 +71,7 @@ def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, "text", 16 << 20):
+            for part in pieces_of(batch, "text", 2 << 20):
                 rows: dict[str, list] = {"n_words": [], "n_removed": [], "removed": [], "kept": []}
                 copies, lists = ids_of(part, "copies"), part.column(2)
                 data, starts = flat_text(part.column(1))

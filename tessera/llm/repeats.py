@@ -100,8 +100,8 @@ _KEY_BYTES = 5
 
 
 def _postings(how: Windows, buckets: int) -> Callable:
-    """Per batch and bucket: its keys, each once, with the document that holds it; documents of a key that
-    the batch itself repeats are told at once (bucket null)."""
+    """Per batch and bucket: its keys, each once, with a document that holds it. Documents of a key that the
+    batch itself repeats are told at once: `sure` has int64 triples (doc_id, low part, bucket), dealt by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,35 +122,42 @@ def _postings(how: Windows, buckets: int) -> Callable:
             fresh[1:] = key[1:] != key[:-1]
             group = np.cumsum(fresh) - 1
             many = np.bincount(group)[group] > 1
+            out: dict = {"bucket": [], "keys": [], "docs": [], "refs": [], "sure": []}
             if many.any():
-                yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(int(many.sum()), pa.int32()), "doc_id": pa.array(doc[many]), "key": pa.array(key[many].view(np.int64)), "keys": pa.nulls(int(many.sum()), pa.binary()), "docs": pa.nulls(int(many.sum()), pa.list_(pa.int64())), "refs": pa.nulls(int(many.sum()), pa.binary())})
+                low, bucket = _low(key[many], buckets)
+                sure = np.unique(np.stack([doc[many], low.view(np.int64), bucket.view(np.int64)], 1), axis=0)
+                to = sure[:, 0] % buckets
+                for b in np.unique(to).tolist():
+                    for k, v in zip(out, (b, b"", [], b"", sure[to == b].tobytes()), strict=True):
+                        out[k].append(v)
             key, doc = key[fresh], doc[fresh]
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             key, doc, bucket = key[order], doc[order], bucket[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            out: dict = {"bucket": [], "doc_id": [], "key": [], "keys": [], "docs": [], "refs": []}
             for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(key)], strict=True):
                 docs, refs = np.unique(doc[lo:hi], return_inverse=True)
                 low = (key[lo:hi] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
-                for k, v in (("bucket", int(bucket[lo])), ("doc_id", None), ("key", None), ("keys", low.tobytes()), ("docs", docs), ("refs", refs.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes())):
+                for k, v in zip(out, (int(bucket[lo]), low.tobytes(), docs, refs.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), b""), strict=True):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["doc_id"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["keys"], pa.binary()), pa.array(out["docs"], pa.list_(pa.int64())), pa.array(out["refs"], pa.binary())], names=list(out))
+            kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return run
 
 
-_POSTINGS = "bucket int, doc_id long, key long, keys binary, docs array<long>, refs binary"
+_POSTINGS = "bucket int, keys binary, docs array<long>, refs binary, sure binary"
 
 
-def _low(key: np.ndarray, buckets: int) -> np.ndarray:
-    """The part of a key that postings carry, with the bucket."""
+def _low(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a key that postings carry, and its bucket."""
     return (key // np.uint64(buckets)) & np.uint64((1 << (8 * _KEY_BYTES)) - 1), key % np.uint64(buckets)
 
 
 def _recurring(table: pa.Table) -> pa.Table:
-    """Of one bucket: (doc_id, low part of the key, bucket) of each posting whose key came from several batches."""
-    keys, docs = [], []
+    """Of one bucket: (doc_id, low part of the key, bucket of the key) of each posting whose key came from
+    several batches, and of what was sure before."""
+    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for blob, own, refs in zip(table["keys"].to_pylist(), table["docs"].to_pylist(), table["refs"].to_pylist(), strict=True):
         raw = np.frombuffer(blob, np.uint8).reshape(-1, _KEY_BYTES)
         wide = np.zeros((len(raw), 8), np.uint8)
@@ -164,29 +171,18 @@ def _recurring(table: pa.Table) -> pa.Table:
     many = np.zeros(len(key), bool)
     many[1:] |= same
     many[:-1] |= same
-    bucket = table["bucket"][0].as_py()
-    return pa.table({"doc_id": doc[many], "low": key[many].view(np.int64), "bucket": pa.array(np.full(int(many.sum()), bucket, np.int32))})
+    sure = np.frombuffer(b"".join(table["sure"].to_pylist()), np.int64).reshape(-1, 3)
+    bucket = np.full(int(many.sum()), table["bucket"][0].as_py(), np.int64)
+    return pa.table({"doc_id": np.append(doc[many], sure[:, 0]), "low": np.append(key[many].view(np.int64), sure[:, 1]), "bucket": np.append(bucket, sure[:, 2]).astype(np.int32)})
 
 
 def followed_keys(docs: DataFrame, how: Windows, buckets: int) -> DataFrame:
-    """(doc_id, lows array<long>, in_buckets array<int>): the keys of each document that occur elsewhere too.
+    """(doc_id, followed array<struct<low long, bucket int>>): the keys of each document that occur elsewhere too.
 
     A key shared by chance costs work later and never changes a result; a key that recurs is never missed."""
     found = docs.select("doc_id", "text").mapInArrow(_postings(how, buckets), _POSTINGS)
-    across = found.where("bucket is not null").groupBy("bucket").applyInArrow(_recurring, "doc_id long, low long, bucket int")
-    # A key is an unsigned long; bucket and low part are worked out as _low does.
-    within = found.where("bucket is null").mapInArrow(_within(buckets), "doc_id long, low long, bucket int")
-    return across.unionByName(within).groupBy("doc_id").agg(F.collect_set(F.struct("low", "bucket")).alias("followed"))
-
-
-def _within(buckets: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low, bucket = _low(batch.column(2).to_numpy().view(np.uint64), buckets)
-            pair = np.unique(np.stack([batch.column(1).to_numpy(), low.view(np.int64), bucket.view(np.int64)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(pair[:, 2].astype(np.int32))], names=["doc_id", "low", "bucket"])
-
-    return run
+    recurring = found.groupBy("bucket").applyInArrow(_recurring, "doc_id long, low long, bucket int")
+    return recurring.groupBy("doc_id").agg(F.collect_set(F.struct("low", "bucket")).alias("followed"))
 
 
 def _followed(part: pa.RecordBatch, how: Windows, buckets: int) -> tuple[np.ndarray, Cut]:
