@@ -6,23 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import phrase_dedup, suffix_dedup
+from tessera.llm import byte_bpe, hnsw_search, phrase_dedup, quality_model, simhash_dedup, suffix_dedup, syncmer_prints
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_search.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir))))
+
+
+def op3_syncmer_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmer_prints.document_prints(documents(spark, sf_dir))
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_model.scores(docs, quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(documents(spark, sf_dir)))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_groups(documents(spark, sf_dir))
+
+
 def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.digest(phrase_dedup.phrase_dedup(documents(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_suffix_dedup, op7_phrase_dedup)}
+    return {f.__name__: f for f in (op1_hnsw_search, op2_byte_bpe, op3_syncmer_prints, op4_quality_model, op5_suffix_dedup, op6_simhash_dedup, op7_phrase_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
