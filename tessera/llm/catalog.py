@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, hnsw_search, phrase_dedup, quality_model, simhash_dedup, suffix_dedup, syncmer_prints
+from tessera.llm import byte_bpe, hnsw_search, mixture, phrase_dedup, quality_model, shard_store, simhash_dedup, suffix_dedup, syncmer_prints, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +42,22 @@ def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.digest(phrase_dedup.phrase_dedup(documents(spark, sf_dir)))
 
 
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.digest(mixture.mix_sources(documents(spark, sf_dir)))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op10_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_store.sharded(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw_search, op2_byte_bpe, op3_syncmer_prints, op4_quality_model, op5_suffix_dedup, op6_simhash_dedup, op7_phrase_dedup)}
+    return {f.__name__: f for f in (op1_hnsw_search, op2_byte_bpe, op3_syncmer_prints, op4_quality_model, op5_suffix_dedup, op6_simhash_dedup, op7_phrase_dedup, op8_mixture, op9_token_counts, op10_shard_store)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no pre-tokeniser, kernel regression, XXH64 or code for the others; they are tested by brute force."""
+    return {"op10_shard_store": shard_store.ORACLE_SQL}

@@ -100,6 +100,18 @@ def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
     return out.withColumn("doc_id", doc_back())
 
 
+def without_phrases(docs: DataFrame, length: int = 35) -> DataFrame:
+    """The documents with what phrase_dedup keeps as their text, n_chars counted anew; other columns as they came.
+
+    Documents that lose no word keep their text as it is. Of rows with equal doc_id that lose
+    words, all take the least of the texts kept."""
+    own = phrase_dedup(docs, length).where("n_removed > 0").groupBy(F.col("doc_id").alias("_doc")).agg(F.min("kept").alias("kept"))
+    met = docs.join(own, docs["doc_id"].eqNullSafe(own["_doc"]), "left")
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept"))
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return met.select(*(changed[c].alias(c) if c in changed else docs[c] for c in docs.columns))
+
+
 def digest(df: DataFrame) -> DataFrame:
     """The columns of the contract."""
     return df.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
