@@ -6,7 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from tessera.llm import byte_bpe, mixture, phrase_dedup, quality_model, simhash_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier rejects; it learns from the labels of the folder."""
+    return quality_model.keep_good(docs, quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each SimHash group."""
+    return simhash_dedup.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove passages of 35 words and more that recur."""
+    return phrase_dedup.without_phrases(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents by the probabilities that rake sources, languages and topics to their targets."""
+    return mixture.mix_sources(docs).where("mix.kept").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and whether they decode to it."""
+    coded = byte_bpe.decode(byte_bpe.encode(docs))
+    return byte_bpe.digest(coded)
+
+
+#: Name and function of each stage; each takes (spark, docs, folder) and returns a DataFrame.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE encoding and decoding", encode),
+]
 
 #: SQL has no byte-pair encoding and no kernel regression.
 ORACLE_SQL = None
