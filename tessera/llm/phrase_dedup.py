@@ -17,14 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import SPACES, doc_back, flat_text, ids_of, pieces_of, words_of
-from tessera.llm.repeats import Windows, marked, recurring_spans, with_copies
+from tessera.llm.common import SPACES, doc_back, flat_text, ids_of, words_of
+from tessera.llm.repeats import Windows, marked, opened, recurring_spans, with_copies
 
 #: Patterns in one automaton; more are spread over several, each streamed in turn.
 PATTERNS = 10_000
 
 
-def locate_phrases(segments: list[bytes], times: np.ndarray, length: int) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+def locate_phrases(segments: list[bytes], times: np.ndarray, length: int) -> Iterator[tuple[int, bytes]]:
     """For each segment with windows of `length` words that occur twice or more: runs (first word, end word, 0)."""
     number: dict[bytes, int] = {}
     words = [tuple(number.setdefault(w, len(number)) for w in seg.split(b" ")) for seg in segments]
@@ -49,7 +49,7 @@ def locate_phrases(segments: list[bytes], times: np.ndarray, length: int) -> Ite
         if own:
             own.sort()
             cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1] + 1), len(own)]
-            yield s, [(own[a], own[b - 1] + length, 0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield s, np.array([(own[a], own[b - 1] + length, 0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "<i8").tobytes()
 
 
 def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
@@ -71,7 +71,7 @@ def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, "text", 2 << 20):
+            for part in opened(batch, 1 << 20):
                 rows: dict[str, list] = {"n_words": [], "n_removed": [], "removed": [], "kept": []}
                 copies, lists = ids_of(part, "copies"), part.column(2)
                 data, starts = flat_text(part.column(1))
@@ -96,7 +96,7 @@ def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
                 made = [pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *made[:3], made[3].cast(pa.string())], names=["doc_id", *rows])
 
-    out = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "copies").mapInArrow(apply, "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept string")
+    out = texts.join(spans, "doc_id", "left").select("doc_id", "packed", "spans", "copies").mapInArrow(apply, "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept string")
     return out.withColumn("doc_id", doc_back())
 
 

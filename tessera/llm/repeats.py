@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import doc_key, flat_text, ids_of, mix, pieces_of, sliding_min, span_hashes, spread, words_of
@@ -54,38 +55,60 @@ def _again(grams: np.ndarray, least: np.ndarray, at: np.ndarray, size: np.ndarra
     return np.add.reduceat((grams[place] == np.repeat(least, size)).astype(np.int64), first) > 1
 
 
+def _gram_hashes(units: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each `gram` neighbours, from hashes of shorter runs."""
+    grams, have = units, 1
+    while have < gram:
+        step = min(have, gram - have)
+        grams = mix(grams[: len(grams) - step] * np.uint64(0x9E3779B97F4A7C15) + grams[step:])
+        have += step
+    return grams
+
+
+def _byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each `gram` neighbouring bytes (8 to 16: as two overlapping words of eight)."""
+    if not 8 <= gram <= 16:
+        return _gram_hashes(data.astype(np.uint64), gram)
+    words = np.empty(len(data) - 7, np.uint64)
+    for i in range(min(8, len(words))):
+        own = words[i::8]
+        own[:] = data[i : i + 8 * len(own)].view("<u8")
+    last = len(words) - (gram - 8)
+    return mix(words[:last] * np.uint64(0x9E3779B97F4A7C15) + words[gram - 8 :])
+
+
 def cut_segments(data: np.ndarray, starts: np.ndarray, how: Windows) -> Cut:
     """Segments of all rows of flat text. Rows shorter than a window have none."""
     if how.unit == "byte":
         begin, end, first = None, None, starts
         units = len(data)
-        hashes = data.astype(np.uint64)
     else:
         begin, end, first = words_of(data, starts)
         units = len(begin)
-        hashes = span_hashes(data, begin, end)
     none = np.zeros(0, np.int64)
     if units < how.length:
         return Cut(none.astype(np.uint64), none, none, none, none, none, none.astype(bool))
-    grams, have = hashes, 1
-    while have < how.gram:  # hash of `gram` neighbours, from hashes of shorter runs
-        step = min(have, how.gram - have)
-        grams = mix(grams[: len(grams) - step] * np.uint64(0x9E3779B97F4A7C15) + grams[step:])
-        have += step
+    grams = _byte_grams(data, how.gram) if how.unit == "byte" else _gram_hashes(span_hashes(data, begin, end), how.gram)
     least = sliding_min(grams, how.length - how.gram + 1)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    whole = row[: len(least)] == row[how.length - 1 :]
-    fresh = np.ones(len(least), bool)
-    fresh[1:] = (least[1:] != least[:-1]) | ~whole[:-1]
-    fresh &= whole
+    # Windows that begin in the last length - 1 units of a row would leave it.
+    fresh = np.empty(len(least) + 1, bool)
+    fresh[0] = True
+    np.not_equal(least[1:], least[:-1], out=fresh[1:-1])
+    size = np.diff(first)
+    stop = np.maximum(first[1:] - (how.length - 1), first[:-1])
+    edge = np.concatenate([first[:-1], stop])
+    fresh[edge[edge < len(fresh)]] = True
+    fresh[-1] = True
     at = np.flatnonzero(fresh)
-    if not len(at):
-        return Cut(none.astype(np.uint64), none, none, none, none, none, none.astype(bool))
-    count = np.add.reduceat(whole.astype(np.int64), at)
+    count = np.diff(at)
+    at = at[:-1]
+    row = np.searchsorted(first, at, side="right") - 1
+    whole = (at < stop[row]) & (size[row] >= how.length)
+    at, count, row = at[whole], count[whole], row[whole]
     last = at + count + how.length - 1
     spans = (at, last) if begin is None else (begin[at], end[last - 1])
-    again = _again(grams, least[at], at, count + how.length - how.gram) if how.unit == "word" else np.zeros(len(at), bool)
-    return Cut(least[at], row[at], at - first[row[at]], count, *spans, again)
+    again = _again(grams, least[at], at, count + how.length - how.gram) if how.unit == "word" and len(at) else np.zeros(len(at), bool)
+    return Cut(least[at], row, at - first[row], count, *spans, again)
 
 
 def segment_bytes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, unit: str) -> list[bytes]:
@@ -106,7 +129,7 @@ def _postings(how: Windows, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found_key, found_doc = [], []
-            for part in pieces_of(batch, "text"):
+            for part in opened(batch):
                 data, starts = flat_text(part.column(part.schema.get_field_index("text")))
                 cut = cut_segments(data, starts, how)
                 found_key += [cut.key, cut.key[cut.again]]
@@ -180,11 +203,32 @@ def followed_keys(docs: DataFrame, how: Windows, buckets: int) -> DataFrame:
     """(doc_id, followed array<struct<low long, bucket int>>): the keys of each document that occur elsewhere too.
 
     A key shared by chance costs work later and never changes a result; a key that recurs is never missed."""
-    found = docs.select("doc_id", "text").mapInArrow(_postings(how, buckets), _POSTINGS)
+    found = docs.select("doc_id", "packed").mapInArrow(_postings(how, buckets), _POSTINGS)
     recurring = found.groupBy("bucket").applyInArrow(_recurring, "doc_id long, low long, bucket int")
     return recurring.groupBy("doc_id").agg(F.collect_set(F.struct("low", "bucket")).alias("followed"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, packed): the texts compressed, so that dealing them out moves less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(1).compress
+        for batch in batches:
+            for part in pieces_of(batch, "text", 4 << 20):
+                made = pa.array([squeeze(x) for x in part.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], made], names=["doc_id", "digest", "packed"])
+
+    return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, packed binary")
+
+
+def opened(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with `text` (binary) in place of `packed`."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for part in pieces_of(batch, "packed", most):
+        at = part.schema.get_field_index("packed")
+        yield part.set_column(at, "text", pa.array([expand(x) for x in part.column(at).to_pylist()], pa.binary()))
+
+
 def _followed(part: pa.RecordBatch, how: Windows, buckets: int) -> tuple[np.ndarray, Cut]:
     """The bytes of a batch with only those of its segments whose key is followed in their document."""
     data, starts = flat_text(part.column(part.schema.get_field_index("text")))
@@ -202,25 +246,41 @@ def _followed(part: pa.RecordBatch, how: Windows, buckets: int) -> tuple[np.ndar
     return data, Cut(*(x[keep] for x in (cut.key, cut.row, cut.unit, cut.windows, cut.begin, cut.end, cut.again)))
 
 
+_BLOCKS = "bucket int, keys binary, least binary, times binary, sizes binary, segments binary"
+
+
 def _distinct(how: Windows, buckets: int) -> Callable:
-    """Each distinct segment of a batch once: its key, smallest document and number of occurrences."""
+    """Each distinct segment of a batch once: its key, smallest document and number of occurrences, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(1).compress
         for batch in batches:
             have: dict[bytes, list[int]] = {}
-            for part in pieces_of(batch, "text"):
+            for part in opened(batch):
                 data, cut = _followed(part, how, buckets)
                 weight = ids_of(part, "copies")
-                for seg, key, doc, n in zip(segment_bytes(data, cut.begin, cut.end, how.unit), cut.key.view(np.int64).tolist(), ids_of(part)[cut.row].tolist(), weight[cut.row].tolist(), strict=True):
+                for seg, key, doc, n in zip(segment_bytes(data, cut.begin, cut.end, how.unit), cut.key.tolist(), ids_of(part)[cut.row].tolist(), weight[cut.row].tolist(), strict=True):
                     old = have.get(seg)
                     if old is None:
                         have[seg] = [key, doc, n]
                     else:
                         old[1] = min(old[1], doc)
                         old[2] += n
-            if have:
-                rows = list(have.values())
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array(list(have), pa.binary()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64())], names=["key", "segment", "least", "times"])
+            if not have:
+                continue
+            segments = list(have)
+            key = np.array([x[0] for x in have.values()], np.uint64)
+            rest = np.array([x[1:] for x in have.values()], np.int64)
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((key, bucket))
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            rows: list[tuple] = []
+            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+                own = order[lo:hi]
+                texts = [segments[i] for i in own.tolist()]
+                rows.append((int(bucket[own[0]]), key[own].tobytes(), rest[own, 0].tobytes(), rest[own, 1].tobytes(), np.array([len(x) for x in texts], "<u4").tobytes(), squeeze(b"".join(texts))))
+            kinds = (pa.int32(), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
     return run
 
@@ -230,7 +290,7 @@ def _occurrences(how: Windows, buckets: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, "text"):
+            for part in opened(batch):
                 data, cut = _followed(part, how, buckets)
                 if len(cut.key):
                     yield pa.RecordBatch.from_arrays([pa.array(ids_of(part)[cut.row]), pa.array(cut.unit.astype(np.int32)), pa.array(segment_bytes(data, cut.begin, cut.end, how.unit), pa.binary())], names=["doc_id", "at", "segment"])
@@ -238,38 +298,43 @@ def _occurrences(how: Windows, buckets: int) -> Callable:
     return run
 
 
-def _shards(exact: Callable[[list[bytes], np.ndarray, np.ndarray], Iterator[tuple[int, list[tuple[int, int, int]]]]], most: int) -> Callable:
-    """Run `exact` over blocks of whole keys; rows arrive sorted by key."""
-
-    def flush(block: dict[bytes, list[int]]) -> pa.RecordBatch | None:
-        segs = list(block)
-        numbers = np.array(list(block.values()), np.int64)
-        at, spans = [], []
-        for i, found in exact(segs, numbers[:, 0], numbers[:, 1]):
-            at.append(i)
-            spans.append(np.array(found, "<i8").tobytes())
-        if not at:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array([segs[i] for i in at], pa.binary()), pa.array(spans, pa.binary())], names=["segment", "spans"])
+def _shards(exact: Callable, most: int) -> Callable:
+    """Run `exact` over the segments of a bucket, in blocks of whole keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor().decompress
+        groups: dict[int, dict[bytes, list[int]]] = {}
+        for row in table.to_batches():
+            for keys, least, times, sizes, blob in zip(*(row.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                texts, at = expand(blob), 0
+                for key, size, doc, n in zip(np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(sizes, "<u4").tolist(), np.frombuffer(least, np.int64).tolist(), np.frombuffer(times, np.int64).tolist(), strict=True):
+                    seg = texts[at : at + size]
+                    at += size
+                    old = groups.setdefault(key, {}).get(seg)
+                    if old is None:
+                        groups[key][seg] = [doc, n]
+                    else:
+                        old[0], old[1] = min(old[0], doc), old[1] + n
+        out: tuple[list, list] = ([], [])
         block: dict[bytes, list[int]] = {}
-        size, last = 0, None
-        for batch in batches:
-            for key, seg, least, times in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if key != last and size > most:
-                    if (out := flush(block)) is not None:
-                        yield out
-                    block, size = {}, 0
-                last = key
-                old = block.get(seg)
-                if old is None:
-                    block[seg] = [least, times]
-                    size += len(seg)
-                else:
-                    old[0], old[1] = min(old[0], least), old[1] + times
-        if block and (out := flush(block)) is not None:
-            yield out
+        size = 0
+
+        def flush() -> None:
+            segments = list(block)
+            numbers = np.array(list(block.values()), np.int64)
+            for i, spans in exact(segments, numbers[:, 0], numbers[:, 1]):
+                out[0].append(segments[i])
+                out[1].append(spans)
+
+        for own in groups.values():
+            block |= own
+            size += sum(map(len, own))
+            if size > most:
+                flush()
+                block, size = {}, 0
+        if block:
+            flush()
+        return pa.table({"segment": pa.array(out[0], pa.binary()), "spans": pa.array(out[1], pa.binary())})
 
     return run
 
@@ -277,29 +342,28 @@ def _shards(exact: Callable[[list[bytes], np.ndarray, np.ndarray], Iterator[tupl
 def recurring_spans(docs: DataFrame, how: Windows, exact: Callable, block: int = 1 << 20) -> DataFrame:
     """(doc_id, spans array<struct<at int, spans binary>>) of documents with windows that recur.
 
-    docs: doc_id (never null), text, copies (how many documents the row stands for). `exact(segments, least,
-    times)` yields (segment number, [(first unit, end unit, value)]) for the segments in which windows
-    recur. `spans` holds these as little-endian int64 triples, `at` is the segment's first unit in the document.
+    docs: doc_id (never null), packed, copies (how many documents the row stands for). `exact(segments, least,
+    times)` yields (segment number, spans) for the segments in which windows recur; spans are little-endian
+    int64 triples (first unit, end unit, value), `at` is the segment's first unit in the document.
     """
     buckets = spread(docs.sparkSession, 64)
-    texts = docs.select("doc_id", "text", "copies").join(followed_keys(docs, how, buckets), "doc_id")
-    distinct = texts.mapInArrow(_distinct(how, buckets), "key long, segment binary, least long, times long")
-    # Blocks hold whole keys, so the shards are dealt by key and sorted by it.
-    verdicts = distinct.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_shards(exact, block), "segment binary, spans binary").select(F.unhex(F.md5("segment")).alias("digest"), "spans")
+    texts = docs.select("doc_id", "packed", "copies").join(followed_keys(docs, how, buckets), "doc_id")
+    distinct = texts.mapInArrow(_distinct(how, buckets), _BLOCKS)
+    verdicts = distinct.groupBy("bucket").applyInArrow(_shards(exact, block), "segment binary, spans binary").select(F.unhex(F.md5("segment")).alias("digest"), "spans")
     seen = texts.mapInArrow(_occurrences(how, buckets), "doc_id long, at int, segment binary").select("doc_id", "at", F.unhex(F.md5("segment")).alias("digest"))
     return seen.join(verdicts, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("at", "spans")).alias("spans"))
 
 
 def with_copies(docs: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text) with `first`, the smallest doc_id that has the same text, and `copies`, how many rows have it.
+    """Rows of (doc_id, packed) with `first`, the smallest doc_id that has the same text, and `copies`, how many rows have it.
 
     Only digests are dealt by text; the texts themselves are shuffled once, by doc_id."""
-    keyed = docs.select(doc_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    digests = keyed.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    keyed = docs.select(doc_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    digests = keyed.select("doc_id", "digest")
     same = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     own = digests.join(same, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "first", "copies")).alias("own"))
-    mine = F.when(F.size("own") == 1, F.col("own")[0]).otherwise(F.filter("own", lambda x: x["digest"] == F.unhex(F.sha2("text", 256)))[0])
-    return keyed.join(own, "doc_id").withColumn("own", mine).select("doc_id", "text", "own.first", "own.copies")
+    mine = F.filter("own", lambda x: x["digest"] == F.col("digest"))[0]
+    return packed(keyed).join(own, "doc_id").withColumn("own", mine).select("doc_id", "packed", "own.first", "own.copies")
 
 
 def marked(lists: pa.Array, i: int, units: int, under: int | None = None) -> np.ndarray:

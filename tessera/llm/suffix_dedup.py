@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import doc_back, ids_of, pieces_of
-from tessera.llm.repeats import Windows, marked, recurring_spans, with_copies
+from tessera.llm.common import doc_back, ids_of
+from tessera.llm.repeats import Windows, marked, opened, recurring_spans, with_copies
 
 #: Bytes of a symbol code: 9 bits hold 256 byte values and the separator.
 _BITS = 9
@@ -55,64 +55,68 @@ def bounded_prefix_lengths(symbols: np.ndarray, order: np.ndarray, least: int) -
     """
     n = len(symbols)
     before = symbols[order - 1]  # the text is read as a ring
-    by_symbol = np.argsort(before, kind="stable")
-    image = np.empty(n, np.int64)
-    image[by_symbol] = np.arange(n)
-    following = np.full(n, n, np.int64)
+    by_symbol = np.argsort(before, kind="stable").astype(np.int32)
+    image = np.empty(n, np.int32)
+    image[by_symbol] = np.arange(n, dtype=np.int32)
+    following = np.full(n, -1, np.int32)
     same = before[by_symbol[1:]] == before[by_symbol[:-1]]
     following[by_symbol[:-1][same]] = by_symbol[1:][same]
-    lengths = np.full(n, -1, np.int64)
+    lengths = np.full(n, -1, np.int8 if least < 128 else np.int32)
     counts = np.bincount(before)
-    new = np.unique((np.cumsum(counts) - counts)[counts > 0])
+    new = np.unique((np.cumsum(counts) - counts)[counts > 0]).astype(np.int32)
     lengths[new] = 0
-    left = np.zeros(n, np.int64)
-    value = 0
-    while len(new) and value < least - 1:
+    left, turn = np.zeros(n, np.int32), np.empty(n, np.int32)
+    for value in range(1, least):
         left[new] = new
         start = np.maximum.accumulate(left)
         new = new[new > 0]
         low = start[new - 1]
         size = new - low
         edge = np.repeat(new, size)
-        place = np.arange(len(edge)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+        place = np.arange(len(edge), dtype=np.int32) + np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)
         parted = following[place]
-        ok = (parted >= edge) & (parted < n)
-        target = image[place[ok]] + 1
-        new = np.unique(target[lengths[target] < 0])
-        value += 1
+        target = image[place[parted >= edge]] + 1
+        target = target[lengths[target] < 0]
+        turn[target] = np.arange(len(target), dtype=np.int32)
+        new = target[turn[target] == np.arange(len(target), dtype=np.int32)]
+        if not len(new):
+            break
         lengths[new] = value
     return lengths
 
 
-def earliest_owner(segments: list[bytes], least_doc: np.ndarray, times: np.ndarray, length: int) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+def earliest_owner(segments: list[bytes], least_doc: np.ndarray, times: np.ndarray, length: int) -> Iterator[tuple[int, bytes]]:
     """For each segment, runs of windows (first byte, end byte, smallest document that has the window)."""
     sizes = np.array([len(x) for x in segments], np.int64)
-    flat = np.frombuffer(b"".join(segments), np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    symbols = np.zeros(starts[-1], np.uint16)
-    inside = np.ones(len(symbols), bool)
-    inside[starts[1:] - 1] = False
-    symbols[inside] = flat.astype(np.uint16) + 1
+    flat = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
+    symbols = flat.astype(np.uint16) + 1
+    symbols[starts[1:] - 1] = 0
     order = suffix_order(symbols, length)
     bound = bounded_prefix_lengths(symbols, order, length) >= 0
     bound[0] = True
-    owner = np.repeat(np.arange(len(segments)), sizes + 1)
-    room = starts[1:][owner] - 1 - np.arange(len(symbols))
-    doc = np.where(room >= length, least_doc[owner], np.iinfo(np.int64).max)[order]
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), sizes + 1)
+    window = np.arange(len(symbols)) <= (starts[1:] - 1 - length)[owner]
+    doc = np.where(window, least_doc[owner], np.iinfo(np.int64).max)[order]
     edges = np.flatnonzero(bound)
-    group = np.cumsum(bound) - 1
+    group = np.cumsum(bound, dtype=np.int32) - 1
     smallest = np.empty(len(symbols), np.int64)
     smallest[order] = np.minimum.reduceat(doc, edges)[group]
     many = np.empty(len(symbols), bool)
-    many[order] = np.diff(np.append(edges, len(symbols)))[group] > 1
-    alone = ~many & (np.repeat(times, sizes + 1) < 2)
-    for i in range(len(segments)):
-        lo, hi = starts[i], starts[i + 1] - length
-        values = smallest[lo:hi]
-        if alone[lo:hi].all():
-            continue
-        cuts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
-        yield i, [(int(a), int(b) + length - 1, int(values[a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    many[order] = (np.diff(np.append(edges, len(symbols))) > 1)[group]
+    recurs = np.zeros(len(segments), bool)
+    recurs[owner[window & many]] = True
+    recurs |= times > 1
+    # Runs of windows with one owner, for all segments at once.
+    fresh = window.copy()
+    fresh[1:] &= (smallest[1:] != smallest[:-1]) | ~window[:-1]
+    at = np.flatnonzero(fresh)
+    stop = np.append(at[1:], len(symbols))
+    last = np.minimum(stop - 1, (starts[1:] - 1 - length)[owner[at]])
+    runs = np.stack([at - starts[owner[at]], last - starts[owner[at]] + length, smallest[at]], axis=1).astype("<i8")
+    first = np.searchsorted(owner[at], np.arange(len(segments) + 1))
+    for i in np.flatnonzero(recurs).tolist():
+        yield i, runs[first[i] : first[i + 1]].tobytes()
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -134,10 +138,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, "text", 2 << 20):
+            for part in opened(batch, 1 << 20):
                 rows: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "removed": [], "kept": []}
                 ids, lists, firsts = ids_of(part), part.column(2), ids_of(part, "first")
-                for i, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
+                for i, text in enumerate(part.column(1).to_pylist()):
                     data = np.frombuffer(text, np.uint8)
                     if firsts[i] != ids[i] and len(data) >= length:
                         gone = np.ones(len(data), bool)
@@ -151,7 +155,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True))], names=["doc_id", *rows])
 
-    out = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "first").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<array<long>>, kept binary")
+    out = texts.join(spans, "doc_id", "left").select("doc_id", "packed", "spans", "first").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<array<long>>, kept binary")
     return out.withColumn("doc_id", doc_back())
 
 
