@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import lab, panel
+from tessera.plans import lab, panel, research
 
-MODULES = (panel, lab)
+MODULES = (panel, lab, research)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tessera.operators import crosssec, evaluation, features, grid, labels
 from tessera.plans.inputs import EVENT_BARS, event_bars, event_sessions, everyone, rounded
 
-_AT = F.col("decision_time")
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
