@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import lab, panel, research
+from tessera.plans import book, lab, panel, research
 
-MODULES = (panel, lab, research)
+MODULES = (panel, lab, research, book)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
