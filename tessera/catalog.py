@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import book, lab, panel, research
+from tessera.plans import book, lab, panel, research, streams
 
-MODULES = (panel, lab, research, book)
+MODULES = (panel, lab, research, book, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
