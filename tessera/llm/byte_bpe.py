@@ -16,14 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import pieces_of, spread
+from tessera.llm.common import doc_back, doc_key, pieces_of, spread
 
 #: Characters of a chunk, and by how many it reaches into the next.
 CHUNK, OVERLAP = 16_384, 1_024
@@ -132,15 +131,21 @@ def _ends(shared: Broadcast, pattern: str, chunk: int, overlap: int):
 
 
 def _stitched(shared: Broadcast, pattern: str, chunk: int):
-    """Ids of each chunk's pieces from its own stitch to the next chunk's."""
+    """Ids of each chunk's pieces from its own stitch to the next chunk's; of a text that falls apart, the chunk's own characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared, pattern)
         for batch in batches:
             for part in pieces_of(batch, "piece"):
-                start, stop, text = (part.column(part.schema.get_field_index(n)).to_pylist() for n in ("start", "stop", "piece"))
-                ids = [codec.encode(codec.split(t[a:])) if b is None else codec.encode(_until(codec.split(t[a:]), chunk + b - a)) for a, b, t in zip(start, stop, text, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in ("doc_id", "digest", "number")] + [pa.array(ids, pa.binary())], names=["doc_id", "digest", "number", "ids"])
+                apart, start, stop, text = (part.column(part.schema.get_field_index(n)).to_pylist() for n in ("apart", "start", "stop", "piece"))
+                made = []
+                for whole, a, b, t in zip(apart, start, stop, text, strict=True):
+                    if whole:
+                        made.append(t[:chunk].encode())
+                    else:
+                        pieces = codec.split(t[a:])
+                        made.append(codec.encode(pieces if b is None else _until(pieces, chunk + b - a)))
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in ("doc_id", "digest", "number", "apart")] + [pa.array(made, pa.binary())], names=["doc_id", "digest", "number", "apart", "made"])
 
     return run
 
@@ -151,11 +156,20 @@ def _until(pieces: list[str], length: int) -> list[str]:
     return pieces[: int(np.searchsorted(ends, length)) + 1] if length else []
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids = b"".join(x["ids"] for x in sorted(batch.column(2)[i].as_py(), key=lambda x: x["number"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([ids], pa.binary())], names=["doc_id", "rows", "ids"])
+def _joined(shared: Broadcast, pattern: str):
+    """The ids of each long text from what its chunks made, as often as the text came."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(shared, pattern)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts = batch.column(1)[i].as_py()
+                whole = b"".join({x["number"]: x["made"] for x in sorted(parts, key=lambda x: x["number"])}.values())
+                ids = codec.encode(codec.split(whole.decode())) if parts[0]["apart"] else whole
+                for _ in range(sum(x["number"] == 0 for x in parts)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([ids], pa.binary())], names=["doc_id", "ids"])
+
+    return run
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -171,30 +185,26 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         codec = codec_of(shared, pattern)
         return codec.encode(codec.split(text))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(doc_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     short = texts.where(F.length("text") <= chunk).mapInArrow(_per_text(whole, "text", "ids"), "doc_id long, ids binary")
-    # Equal rows are one here; their number brings them back.
-    long = texts.where(F.length("text") > chunk).groupBy("doc_id", "text").agg(F.count("*").alias("rows")).withColumn("digest", F.sha2("text", 256))
+    long = texts.where(F.length("text") > chunk).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
     keys = ["doc_id", "digest", "number"]
-    same = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]  # noqa: E731  doc_id may be null
-    chunks = long.select("doc_id", "digest", "text").mapInArrow(_cut(chunk, overlap), "doc_id long, digest string, number int, last boolean, piece string").repartition(spread(docs.sparkSession), *keys)
-    ends = chunks.mapInArrow(_ends(shared, pattern, chunk, overlap), "doc_id long, digest string, number int, head array<int>, tail array<int>")
+    # The one shuffle of texts: chunks of long ones, spread over all tasks.
+    chunks = long.mapInArrow(_cut(chunk, overlap), "doc_id long, digest binary, number int, last boolean, piece string").repartition(spread(docs.sparkSession), *keys)
+    ends = chunks.mapInArrow(_ends(shared, pattern, chunk, overlap), "doc_id long, digest binary, number int, head array<int>, tail array<int>")
+    # Equal rows have equal chunks; one of each is enough here.
+    one = ends.groupBy(*keys).agg(F.first("head").alias("head"), F.first("tail").alias("tail"))
     sync = docs.sparkSession.sql("""
         SELECT doc_id, digest, number, start, lead(start) OVER w AS stop,
                count_if(start IS NULL) OVER (PARTITION BY doc_id, digest) > 0 AS apart
         FROM (SELECT doc_id, digest, number,
                      CASE WHEN number = 0 THEN 0 ELSE array_min(array_intersect(head, lag(tail) OVER w)) END AS start
-              FROM {ends} WINDOW w AS (PARTITION BY doc_id, digest ORDER BY number))
-        WINDOW w AS (PARTITION BY doc_id, digest ORDER BY number)""", ends=ends)
-    near = sync.where("NOT apart")
-    ready = chunks.join(near, same(chunks, near, keys)).select(*(chunks[k] for k in keys), "piece", "start", "stop")
-    pieces = ready.mapInArrow(_stitched(shared, pattern, chunk), "doc_id long, digest string, number int, ids binary").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("number", "ids")).alias("parts"))
-    counts = long.select("doc_id", "digest", "rows")
-    stitched = pieces.join(counts, same(pieces, counts, keys[:2])).select(pieces["doc_id"], "rows", "parts").mapInArrow(_joined, "doc_id long, rows long, ids binary")
-    apart = sync.where("apart").select("doc_id", "digest").distinct()
-    unstitched = long.join(apart, same(long, apart, keys[:2]), "left_semi").select("doc_id", "rows", "text").mapInArrow(_per_text(whole, "text", "ids"), "doc_id long, rows long, ids binary")
-    again = stitched.unionByName(unstitched).select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select("doc_id", "ids")
-    return short.unionByName(again).select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids")
+              FROM {one} WINDOW w AS (PARTITION BY doc_id, digest ORDER BY number))
+        WINDOW w AS (PARTITION BY doc_id, digest ORDER BY number)""", one=one)
+    ready = chunks.join(sync, keys).select(*keys, "apart", "piece", "start", "stop")
+    made = ready.mapInArrow(_stitched(shared, pattern, chunk), "doc_id long, digest binary, number int, apart boolean, made binary")
+    again = made.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("number", "apart", "made")).alias("parts")).select("doc_id", "parts").mapInArrow(_joined(shared, pattern), "doc_id long, ids binary")
+    return short.unionByName(again).select(doc_back().alias("doc_id"), F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids")
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
