@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from tessera.operators.crosssec import average_rank, centered_rank
 from tessera.operators.evaluation import correlation
@@ -55,7 +56,7 @@ def hac_tstat(stats: DataFrame, horizon: int = 5) -> DataFrame:
     return base.join(extra, "factor_key", "left").select("factor_key", "n", t.alias("t_stat")).withColumn("p_value", erfc_p("t_stat"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided(t: pd.Series) -> pd.Series:
     return t.map(lambda x: None if x is None or math.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
 

@@ -4,24 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_BY = Window.partitionBy("symbol").orderBy("trade_date")
+def _own() -> Window:
+    """A symbol's rows in order of date."""
+    return Window.partitionBy("symbol").orderBy("trade_date")
 
 
 def _held(event: Column) -> Column:
     """1 or 0 events carried on; 0 before the first."""
-    return F.coalesce(F.last(event, ignorenulls=True).over(_BY.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return F.coalesce(F.last(event, ignorenulls=True).over(_own().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
 
 
 def sma_cross(bars: DataFrame, fast: int = 20, slow: int = 60) -> DataFrame:
     """With `target` 1 while the fast mean is above the slow one, and there are rows enough for both."""
-    mean = lambda n: F.avg("close").over(_BY.rowsBetween(1 - n, 0))
-    return bars.withColumn("target", F.when((F.row_number().over(_BY) >= slow) & (mean(fast) > mean(slow)), 1).otherwise(0))
+    mean = lambda n: F.avg("close").over(_own().rowsBetween(1 - n, 0))
+    return bars.withColumn("target", F.when((F.row_number().over(_own()) >= slow) & (mean(fast) > mean(slow)), 1).otherwise(0))
 
 
 def rsi_signal(bars: DataFrame, length: int = 14, lower: float = 30, upper: float = 70) -> DataFrame:
     """With `rsi` (simple means; no losses: 100) and `target`: 1 from rsi <= lower until rsi >= upper."""
-    moved = bars.withColumn("_n", F.row_number().over(_BY)).withColumn("_d", F.col("close") - F.lag("close", 1).over(_BY))
-    own = _BY.rowsBetween(1 - length, 0)
+    moved = bars.withColumn("_n", F.row_number().over(_own())).withColumn("_d", F.col("close") - F.lag("close", 1).over(_own()))
+    own = _own().rowsBetween(1 - length, 0)
     gain, loss = F.avg(F.greatest("_d", F.lit(0.0))).over(own), F.avg(F.greatest(-F.col("_d"), F.lit(0.0))).over(own)
     rsi = F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0))))
     found = moved.withColumn("rsi", F.when(F.col("_n") > length, rsi))
@@ -31,8 +33,8 @@ def rsi_signal(bars: DataFrame, length: int = 14, lower: float = 30, upper: floa
 
 def breakout(bars: DataFrame, entry: int = 20, exit_: int = 10) -> DataFrame:
     """With `target`: 1 from a close above the highest of the `entry` closes before, until one below the lowest of `exit_`."""
-    before = lambda f, n: f("close").over(_BY.rowsBetween(-n, -1))
-    n = F.row_number().over(_BY) - 1
+    before = lambda f, n: f("close").over(_own().rowsBetween(-n, -1))
+    n = F.row_number().over(_own()) - 1
     event = F.when((n >= entry) & (F.col("close") > before(F.max, entry)), 1).when((n >= exit_) & (F.col("close") < before(F.min, exit_)), 0)
     return bars.withColumn("_e", event).withColumn("target", _held(F.col("_e"))).drop("_e")
 
@@ -43,9 +45,9 @@ def round_trips(signals: DataFrame, quantity: int = 1_000, cost_rate: float = 0.
     A change of target trades at the next own row's open; a position that is open at the end closes at the last close
     (end_of_data). A change on the last row trades no more."""
     last = Window.partitionBy("symbol")
-    rows = signals.withColumn("_was", F.coalesce(F.lag("target", 1).over(_BY), F.lit(0))).withColumn("_open", F.lead("open", 1).over(_BY)).withColumn("_day", F.lead("trade_date", 1).over(_BY))
+    rows = signals.withColumn("_was", F.coalesce(F.lag("target", 1).over(_own()), F.lit(0))).withColumn("_open", F.lead("open", 1).over(_own())).withColumn("_day", F.lead("trade_date", 1).over(_own()))
     rows = rows.withColumn("_end", F.max("trade_date").over(last)).withColumn("_close", F.max_by("close", "trade_date").over(last))
-    changes = rows.where("target != _was and _day is not null").withColumn("trade", F.sum(F.col("target")).over(_BY.rowsBetween(Window.unboundedPreceding, 0)))
+    changes = rows.where("target != _was and _day is not null").withColumn("trade", F.sum(F.col("target")).over(_own().rowsBetween(Window.unboundedPreceding, 0)))
     pick = lambda side, c: F.max(F.when(F.col("target") == side, F.col(c)))
     trips = changes.groupBy("symbol", "trade").agg(pick(1, "_day").alias("entry_date"), pick(1, "_open").alias("entry_price"), pick(0, "_day").alias("_x"), pick(0, "_open").alias("_p"), F.max("_end").alias("_end"), F.max("_close").alias("_close"))
     exit_price = F.coalesce("_p", "_close")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.plans.inputs import rounded, table
 from tessera.sources import files
@@ -18,12 +18,13 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(kept.where("event_id % 97 = 7").withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 1 HOUR")))
 
 
-_NOW = F.lit("2024-01-31").cast("timestamp")
+def _now() -> Column:
+    return F.lit("2024-01-31").cast("timestamp")
 
 
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I1."""
-    return health.stream_health(_observations(spark, sf_dir), _NOW, 43_200)
+    return health.stream_health(_observations(spark, sf_dir), _now(), 43_200)
 
 
 def fault_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as components."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("component"), F.col("ts").alias("event_time"))
-    return health.heartbeat(rows, _NOW, 43_200)
+    return health.heartbeat(rows, _now(), 43_200)
 
 
 def starts_within(spark: SparkSession, sf_dir: str) -> DataFrame:
