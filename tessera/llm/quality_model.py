@@ -23,6 +23,9 @@ STATISTICS = ("log_bytes", "log_words", "word_length", "word_length_sd", "upper"
 #: Cosines, penalty, folds, grid cells of the calibration, and the least score that counts as good.
 COSINES, PENALTY, FOLDS, GRID, LEAST = 256, 1.0, 4, 1_000, 0.3
 
+#: Tasks that sum the normal equations; each sends FOLDS matrices.
+SUMMERS = 8
+
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
@@ -104,9 +107,9 @@ def cosines(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray, seed: int) -
 def _statistics_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces_of(batch, "text"):
-            found = statistics(*flat_text(part.column(0)))
+            found = statistics(*flat_text(part.column(1)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), lists], names=["fold", "good", "stats"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "stats"])
 
 
 def _sums(mean: np.ndarray, scale: np.ndarray, seed: int):
@@ -156,15 +159,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1_000_000, seed: int =
     count = marks.count()
     if count > most:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * most / count))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id").select("text", (F.col("rest") - 1).cast("int").alias("fold"), "good")
-    stats = known.mapInArrow(_statistics_of, "fold int, good int, stats array<double>").persist()
+    # Statistics are far smaller than texts, so they are what is joined to the labels.
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_statistics_of, "doc_id long, stats array<double>")
+    stats = known.join(marks, "doc_id").select((F.col("rest") - 1).cast("int").alias("fold"), "good", "stats").persist()
     try:
         moments = {r["pos"]: (r["mean"], r["sd"]) for r in stats.select(F.posexplode("stats").alias("pos", "value")).groupBy("pos").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).collect()}
         if not moments:
             return Model(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), np.zeros(COSINES + 1), np.array([0.0, 1.0]), np.array([0.5, 0.5]), seed)
         mean = np.array([moments[i][0] for i in range(len(STATISTICS))])
         scale = np.array([moments[i][1] if moments[i][1] > 1e-9 else 1.0 for i in range(len(STATISTICS))])
-        sums = stats.coalesce(64).mapInArrow(_sums(mean, scale, seed), "fold int, line int, sums array<double>").groupBy("fold", "line").applyInArrow(_added, "fold int, line int, sums array<double>").collect()
+        sums = stats.coalesce(SUMMERS).mapInArrow(_sums(mean, scale, seed), "fold int, line int, sums array<double>").groupBy("fold", "line").applyInArrow(_added, "fold int, line int, sums array<double>").collect()
         parts = np.zeros((FOLDS, COSINES + 1, COSINES + 2))
         for r in sums:
             parts[r["fold"], r["line"]] = r["sums"]
