@@ -73,8 +73,12 @@ def _byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
     for i in range(min(8, len(words))):
         own = words[i::8]
         own[:] = data[i : i + 8 * len(own)].view("<u8")
-    last = len(words) - (gram - 8)
-    return mix(words[:last] * np.uint64(0x9E3779B97F4A7C15) + words[gram - 8 :])
+    out = words[: len(words) - (gram - 8)] * np.uint64(0x9E3779B97F4A7C15)
+    out += words[gram - 8 :]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def cut_segments(data: np.ndarray, starts: np.ndarray, how: Windows) -> Cut:
@@ -221,7 +225,7 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, packed binary")
 
 
-def opened(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+def opened(batch: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with `text` (binary) in place of `packed`."""
     expand = zstandard.ZstdDecompressor().decompress
     for part in pieces_of(batch, "packed", most):

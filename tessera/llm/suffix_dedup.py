@@ -32,21 +32,35 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(_BITS)) | padded[i : i + n]
     order = np.argsort(key)
     while True:
-        ranked = key[order]
-        fresh = np.ones(n, np.uint64)
-        fresh[1:] = ranked[1:] != ranked[:-1]
-        fresh[0] = 1
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(fresh, dtype=np.uint64)
-        if have >= depth or rank[order[-1]] == n:
+        if have >= depth:
             return order
-        after = np.zeros(n, np.uint64)
-        after[: n - have] = rank[have:]
-        key = (rank << np.uint64(32)) | after
+        ranked = key[order]
+        fresh = np.ones(n, bool)
+        np.not_equal(ranked[1:], ranked[:-1], out=fresh[1:])
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.cumsum(fresh, dtype=np.uint32)
+        key = np.left_shift(rank, np.uint64(32), dtype=np.uint64)
+        key[: n - have] |= rank[have:]
         order = np.argsort(key)
         have *= 2
 
 
+def _starts(left: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Where the interval before each new boundary starts; left: each boundary's own place, else 0.
+
+    Few boundaries look back step by step (late intervals are short); many, or long ones, take a scan."""
+    low = new - 1
+    if len(new) * 16 < len(left):
+        open_ = np.flatnonzero((left[low] != low) & (low > 0))
+        for _ in range(64):
+            if not len(open_):
+                return low
+            low[open_] -= 1
+            at = low[open_]
+            open_ = open_[(left[at] != at) & (at > 0)]
+    return np.maximum.accumulate(left)[new - 1]
+
+
 def bounded_prefix_lengths(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """For each place in the order, the common-prefix length with the place before, if below `least`; else -1.
 
@@ -68,9 +82,8 @@ def bounded_prefix_lengths(symbols: np.ndarray, order: np.ndarray, least: int) -
     left, turn = np.zeros(n, np.int32), np.empty(n, np.int32)
     for value in range(1, least):
         left[new] = new
-        start = np.maximum.accumulate(left)
         new = new[new > 0]
-        low = start[new - 1]
+        low = _starts(left, new)
         size = new - low
         edge = np.repeat(new, size)
         place = np.arange(len(edge), dtype=np.int32) + np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)
