@@ -56,11 +56,11 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_time: s
     return found.select("_l.*", *(F.col(f"_found.{v}").alias(f"asof_{v}") for v in values))
 
 
-def interval_anti_join(left: DataFrame, right: DataFrame, by: list[str], start: str, end: str, most: int = 100_000) -> DataFrame:
+def interval_anti_join(left: DataFrame, right: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """Left rows whose interval meets no interval of the right side with the same keys.
 
     Only whether intervals meet counts, so the right side is first merged into disjoint ones: then the one that
-    starts last before a left interval's end decides, found as of. `most` is unused beyond that: no side is broadcast."""
+    starts last before a left interval's end decides, found as of. No side is broadcast, whatever its size."""
     order = Window.partitionBy(*by).orderBy(start, end)
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     merged = right.select(*by, start, end).distinct().withColumn("_new", F.when(F.col(start) <= F.max(end).over(upto), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "_island").agg(F.min(start).alias("_start"), F.max(end).alias("_end"))

@@ -14,7 +14,8 @@ _POLICY = H.CostPolicy()
 def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as fills: returned ones are sales; twenty portfolios by supplier; fee and tax in whole units."""
     lines = table(spark, sf_dir, "lineitem")
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).cast("decimal(20,4)")
+    # Cut, not rounded, to four places: engines differ in how they round a tie of doubles.
+    price = (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 10_000).cast("decimal(14,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(20,4)")
     rows = lines.select((F.col("l_suppkey") % 20).cast("string").alias("portfolio"), F.col("l_partkey").cast("string").alias("instrument_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("fill_id"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("seq"), F.to_date("l_shipdate").alias("session"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").cast("long").alias("quantity"), price.alias("price"))
     gross = (F.col("price") * F.col("quantity")).cast("decimal(20,8)")
     return rows.withColumn("fee", H.commission(gross, _POLICY)).withColumn("tax", H.transaction_tax(gross, F.col("side"), _POLICY))
@@ -23,7 +24,7 @@ def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILLS = """fills AS (
   SELECT *, CASE WHEN price * quantity = 0 THEN 0 ELSE ceil(greatest(CAST(price * quantity * 0.001425 AS DECIMAL(30,8)), 20)) END AS fee, CASE WHEN side = 'sell' THEN floor(CAST(price * quantity * 0.003 AS DECIMAL(30,8))) ELSE 0 END AS tax
   FROM (SELECT CAST(l_suppkey % 20 AS VARCHAR) AS portfolio, CAST(l_partkey AS VARCHAR) AS instrument_id, l_orderkey || '-' || l_linenumber AS fill_id, l_orderkey AS order_id, l_linenumber AS seq, CAST(l_shipdate AS DATE) AS session,
-          CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_quantity AS BIGINT) AS quantity, CAST(round(l_extendedprice / l_quantity, 4) AS DECIMAL(20,4)) AS price FROM lineitem))"""
+          CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_quantity AS BIGINT) AS quantity, CAST(CAST(CAST(floor(l_extendedprice / l_quantity * 10000) AS BIGINT) AS DECIMAL(14,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(20,4)) AS price FROM lineitem))"""
 
 
 def _d(c: str) -> F.Column:
@@ -107,7 +108,7 @@ def target_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances of each portfolio's accounts (cost of sales apart, which needs J2)."""
-    return portfolio.trial_balance(portfolio.postings(_fills(spark, sf_dir))).select("portfolio", "account", _d("balance"))
+    return rounded(portfolio.trial_balance(portfolio.postings(_fills(spark, sf_dir))).select("portfolio", "account", _d("balance")), 3)
 
 
 def unbalanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +189,7 @@ def notional_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1,000 spread over the brands of each portfolio."""
     brands = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("instrument_id"), "p_brand")
     rows = _fills(spark, sf_dir).join(brands, "instrument_id").select("portfolio", F.col("p_brand").alias("instrument_id"), "price", "quantity", F.lit(1000.0).alias("total"))
-    return rounded(portfolio.notional_allocation(rows), 2)
+    return rounded(portfolio.notional_allocation(rows), 4, allocated=2)
 
 
 def pretrade_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +204,7 @@ def reservation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open lines, a third of them partly filled."""
     lines = _fills(spark, sf_dir).join(table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("fill_id"), (F.col("l_linestatus") == "O").alias("active")), "fill_id")
     rows = lines.withColumn("filled", F.when(F.col("order_id") % 3 == 0, F.floor(F.col("quantity") / 2)).otherwise(0))
-    return rounded(portfolio.reservation_totals(rows), 3)
+    return rounded(portfolio.reservation_totals(rows), 4)
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +251,7 @@ def target_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("instrument_id"), "p_retailprice", "p_size", "p_brand")
     t = parts.select(F.col("p_brand").alias("portfolio"), "instrument_id", F.lit(0.02).alias("weight"), F.lit(1_000_000.0).alias("nav"))
     held = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("instrument_id")).agg(F.sum(F.col("l_quantity").cast("long")).alias("held")).join(parts.select("instrument_id", F.col("p_brand").alias("portfolio")), "instrument_id")
-    return rounded(portfolio.target_drift(t, held, parts.where("p_size > 3").select("instrument_id", F.col("p_retailprice").alias("mark"))), 5)
+    return rounded(portfolio.target_drift(t, held, parts.where("p_size > 3").select("instrument_id", F.col("p_retailprice").alias("mark"))), 9)
 
 
 def fills_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,7 +398,7 @@ ORACLES = {
     "securities": "SELECT p_partkey, CASE WHEN p_size < 10 OR p_partkey % 9 = 0 THEN 'excluded_product' ELSE 'ordinary_share' END AS kind FROM part",
     "fill_capacities": f"{_FF}, v AS (SELECT *, CAST(floor(avg(quantity) OVER (PARTITION BY instrument_id) * 10) AS BIGINT) AS volume FROM fills), r AS (SELECT *, CAST(floor(volume * 0.1::DOUBLE) AS BIGINT) AS room FROM v) SELECT fill_id, room, CASE WHEN seq = 7 THEN 'suspended' WHEN seq = 6 THEN 'price_limit_locked' WHEN volume = 0 THEN 'zero_volume' WHEN room = 0 THEN 'participation_capacity_zero' WHEN room < quantity THEN 'insufficient_volume_for_full_fill' END AS reason FROM r",
     "target_quantities": "SELECT p_partkey, max(k * 10) AS quantity FROM (SELECT p_partkey, CAST(round(p_retailprice, 2) AS DECIMAL(12,2)) AS price FROM part) p, range(0, 60) t(k) WHERE k = 0 OR k * 10 * price + ceil(greatest(CAST(k * 10 * price * 0.001425 AS DECIMAL(30,8)), 20)) <= 50000 GROUP BY 1",
-    "postings": f"{_FF}, g AS (SELECT portfolio, side, sum(price * quantity) AS v, sum(fee) AS fee, sum(tax) AS tax FROM fills GROUP BY 1, 2) SELECT portfolio, account, CAST(sum(a) AS DOUBLE) AS balance FROM (SELECT portfolio, unnest(CASE WHEN side = 'buy' THEN ['inventory', 'payable'] ELSE ['cost_of_sales', 'inventory', 'receivable', 'commission', 'tax', 'proceeds'] END) AS account, unnest(CASE WHEN side = 'buy' THEN [v + fee, -(v + fee)] ELSE [0, 0, v - fee - tax, fee, tax, -v] END) AS a FROM g) GROUP BY 1, 2",
+    "postings": f"{_FF}, g AS (SELECT portfolio, side, CAST(sum(price * quantity) AS DOUBLE) AS v, CAST(sum(fee) AS DOUBLE) AS fee, CAST(sum(tax) AS DOUBLE) AS tax FROM fills GROUP BY 1, 2) SELECT portfolio, account, round(CAST(sum(a) AS DOUBLE), 3) + 0.0 AS balance FROM (SELECT portfolio, unnest(CASE WHEN side = 'buy' THEN ['inventory', 'payable'] ELSE ['cost_of_sales', 'inventory', 'receivable', 'commission', 'tax', 'proceeds'] END) AS account, unnest(CASE WHEN side = 'buy' THEN [v + fee, -(v + fee)] ELSE [0, 0, v - fee - tax, fee, tax, -v] END) AS a FROM g) GROUP BY 1, 2",
     "unbalanced_postings": "SELECT '' AS portfolio, '' AS fill_id, 0.0::DOUBLE AS residual WHERE false",
     "settled_cash": f"{_FF}, d AS (SELECT session, row_number() OVER (ORDER BY session) AS i FROM (SELECT DISTINCT session FROM fills)), c AS (SELECT f.portfolio, f.session, b.session AS due, CASE WHEN side = 'buy' THEN -(price * quantity + fee) ELSE price * quantity - fee - tax END AS cash FROM fills f JOIN d a USING (session) LEFT JOIN d b ON b.i = a.i + 2), e AS (SELECT portfolio, session AS trade_date, 0 AS flow, -least(cash, 0) AS pay, greatest(cash, 0) AS rec FROM c UNION ALL SELECT portfolio, due, cash, least(cash, 0), -greatest(cash, 0) FROM c WHERE due IS NOT NULL), g AS (SELECT portfolio, trade_date, sum(flow) AS flow, sum(pay) AS pay, sum(rec) AS rec FROM e GROUP BY 1, 2) SELECT portfolio, trade_date, CAST(flow AS DOUBLE) AS flow, CAST(sum(flow) OVER w AS DOUBLE) AS settled_cash, CAST(sum(pay) OVER w AS DOUBLE) AS payable, CAST(sum(rec) OVER w AS DOUBLE) AS receivable FROM g WINDOW w AS (PARTITION BY portfolio ORDER BY trade_date)",
     "dividend_entitlements": f"{_BB}, h AS (SELECT instrument_id, trade_date, sum(volume) OVER (PARTITION BY instrument_id ORDER BY trade_date) AS held FROM bars), a AS (SELECT instrument_id, min(trade_date) AS ex_date FROM bars GROUP BY instrument_id, year(trade_date)) SELECT 'p' AS portfolio, a.instrument_id, a.ex_date, CAST(a.ex_date + 30 AS DATE) AS payment_date, CAST(max(held) AS BIGINT) AS quantity, {_R('max(held) * 0.5')} AS amount FROM a JOIN h ON h.instrument_id = a.instrument_id AND h.trade_date < a.ex_date GROUP BY 1, 2, 3, 4",
@@ -406,16 +407,16 @@ ORACLES = {
     "performance": f"{_BB}, m AS (SELECT instrument_id AS run_id, trade_date, close AS nav, open / close AS exposure, high, low, close / lag(close) OVER w - 1 AS r, close / max(close) OVER w - 1 AS d FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)), g AS (SELECT run_id, count(r) AS n_returns, arg_max(nav, trade_date) / arg_min(nav, trade_date) AS x, date_diff('day', min(trade_date), max(trade_date)) AS days, avg(r) AS m, stddev_samp(r) AS sd, sqrt(avg(CASE WHEN r IS NOT NULL THEN pow(least(r, 0), 2) END)) AS dn, min(d) AS md, avg(CASE WHEN r > 0 THEN 1.0 WHEN r IS NOT NULL THEN 0.0 END) AS pr, avg(exposure) AS e, avg(nav) AS an, sum(high) AS nt, sum(low / 1000) AS tc, count(*) AS nf FROM m GROUP BY 1) SELECT run_id, n_returns, {_R('x - 1', 5)} AS total_return, {_R('pow(x, 365.25 / days) - 1', 5)} AS cagr, {_R('m * 252', 5)} AS annual_mean, {_R('sd * sqrt(252)', 5)} AS volatility, {_R('m / sd * sqrt(252)', 5)} AS sharpe, {_R('m / dn * sqrt(252)', 5)} AS sortino, {_R('md', 5)} AS max_drawdown, {_R('(pow(x, 365.25 / days) - 1) / abs(md)', 5)} AS calmar, {_R('pr', 5)} AS positive_ratio, {_R('e', 5)} AS mean_exposure, {_R('tc', 5)} AS total_cost, nf AS n_fills, {_R('nt / an', 5)} AS turnover FROM g",
     "benchmark_stats": f"{_BB}, f AS (SELECT instrument_id FROM bars GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT trade_date) FROM bars)), lv AS (SELECT trade_date, avg(close) AS l FROM bars GROUP BY 1), bm AS (SELECT trade_date, l / lag(l) OVER (ORDER BY trade_date) - 1 AS b FROM lv), r AS (SELECT instrument_id AS run_id, trade_date, close / lag(close) OVER (PARTITION BY instrument_id ORDER BY trade_date) - 1 AS r FROM bars JOIN f USING (instrument_id)), j AS (SELECT run_id, r, b FROM r JOIN bm USING (trade_date) WHERE r IS NOT NULL) SELECT run_id, {_R('avg(r - b) * 252', 4)} AS active_return, {_R('stddev_samp(r - b) * sqrt(252)', 4)} AS tracking_error, {_R('avg(r - b) * 252 / (stddev_samp(r - b) * sqrt(252))', 4)} AS information_ratio, {_R('covar_samp(r, b) / var_samp(b)', 4)} AS beta, {_R('(avg(r) - covar_samp(r, b) / var_samp(b) * avg(b)) * 252', 4)} AS alpha, {_R('product(1 + r) - 1', 4)} AS compounded, {_R('product(1 + b) - 1', 4)} AS benchmark_compounded FROM j GROUP BY 1",
     "attribution": f"{_BB}, m AS (SELECT instrument_id AS portfolio, trade_date, (close - lag(close) OVER w) * 10 AS delta, (close - lag(close) OVER w) * 10 - open / 2 + low / 2 AS pe FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)) SELECT portfolio, trade_date, {_R('delta', 4)} AS delta, {_R('pe', 4)} AS price_effect, 2.0 AS dividends, 1.0 AS fees, 0.25 AS taxes, 0.5 AS slippage, {_R('delta - pe - 2 + 1 + 0.25 + 0.5', 4)} AS residual FROM m WHERE delta IS NOT NULL",
-    "notional_allocation": f"{_FF}, n AS (SELECT portfolio, p_brand AS instrument_id, CAST(sum(price * quantity) AS DOUBLE) AS v FROM fills JOIN part ON p_partkey = CAST(instrument_id AS BIGINT) GROUP BY 1, 2), s AS (SELECT *, floor(100000 * (v / sum(v) OVER (PARTITION BY portfolio))) AS s, row_number() OVER (PARTITION BY portfolio ORDER BY instrument_id DESC) = 1 AS fin FROM n) SELECT portfolio, instrument_id, {_R('v', 2)} AS notional, {_R('CASE WHEN fin THEN 100000 - (sum(s) OVER (PARTITION BY portfolio) - s) ELSE s END / 100', 2)} AS allocated FROM s",
+    "notional_allocation": f"{_FF}, n AS (SELECT portfolio, p_brand AS instrument_id, CAST(sum(price * quantity) AS DOUBLE) AS v FROM fills JOIN part ON p_partkey = CAST(instrument_id AS BIGINT) GROUP BY 1, 2), s AS (SELECT *, floor(100000 * (v / sum(v) OVER (PARTITION BY portfolio))) AS s, row_number() OVER (PARTITION BY portfolio ORDER BY instrument_id DESC) = 1 AS fin FROM n) SELECT portfolio, instrument_id, {_R('v', 4)} AS notional, {_R('CASE WHEN fin THEN 100000 - (sum(s) OVER (PARTITION BY portfolio) - s) ELSE s END / 100', 2)} AS allocated FROM s",
     "pretrade_flags": f"{_FF}, o AS (SELECT portfolio, fill_id AS order_id, instrument_id, side, quantity, CAST(price AS DOUBLE) AS price, CASE WHEN CAST(instrument_id AS INT) % 2 = 0 THEN 40 ELSE 0 END AS held, CASE WHEN portfolio <> '3' THEN 200000.0 END AS nav, CASE WHEN portfolio <> '3' THEN 150000.0 END AS cash, CASE WHEN side = 'sell' THEN 0 ELSE 1 END AS k FROM fills WHERE year(session) = 1996), r AS (SELECT *, sum(CASE WHEN side = 'sell' THEN quantity ELSE 0 END) OVER i AS sold, sum(CASE WHEN side = 'buy' THEN quantity * price ELSE 0 END) OVER (PARTITION BY portfolio ORDER BY k, order_id ROWS UNBOUNDED PRECEDING) AS bought, held + sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER i AS aft FROM o WINDOW i AS (PARTITION BY portfolio, instrument_id ORDER BY k, order_id ROWS UNBOUNDED PRECEDING)) SELECT portfolio, order_id, concat_ws(';', CASE WHEN nav IS NULL THEN 'valuation_missing' END, CASE WHEN sold > held THEN 'short_sale' END, CASE WHEN quantity * price > 60000 THEN 'notional_limit' END, CASE WHEN side = 'buy' AND aft * price > 0.2 * nav THEN 'weight_limit' END, CASE WHEN side = 'buy' AND bought > cash THEN 'insufficient_buying_power' END) AS flags FROM r",
-    "reservation_totals": f"{_FF}, a AS (SELECT f.*, quantity - CASE WHEN order_id % 3 = 0 THEN quantity // 2 ELSE 0 END AS rest FROM fills f JOIN lineitem l ON l.l_orderkey = f.order_id AND l.l_linenumber = f.seq WHERE l_linestatus = 'O') SELECT portfolio, instrument_id, CAST(sum(CASE WHEN side = 'buy' THEN rest * price ELSE 0 END) AS DOUBLE) AS reserved_cash, CAST(sum(CASE WHEN side = 'sell' THEN rest ELSE 0 END) AS BIGINT) AS reserved_shares, CAST(sum(CASE WHEN side = 'buy' THEN rest ELSE -rest END) AS BIGINT) AS projected_delta FROM a GROUP BY 1, 2",
+    "reservation_totals": f"{_FF}, a AS (SELECT f.*, quantity - CASE WHEN order_id % 3 = 0 THEN quantity // 2 ELSE 0 END AS rest FROM fills f JOIN lineitem l ON l.l_orderkey = f.order_id AND l.l_linenumber = f.seq WHERE l_linestatus = 'O') SELECT portfolio, instrument_id, round(CAST(sum(CASE WHEN side = 'buy' THEN rest * price ELSE 0 END) AS DOUBLE), 4) + 0.0 AS reserved_cash, CAST(sum(CASE WHEN side = 'sell' THEN rest ELSE 0 END) AS BIGINT) AS reserved_shares, CAST(sum(CASE WHEN side = 'buy' THEN rest ELSE -rest END) AS BIGINT) AS projected_delta FROM a GROUP BY 1, 2",
     "top_k_targets": f"{_TOP8} SELECT decision_time, instrument_id, CAST(rank AS INTEGER) AS rank, selected, {_R('CAST(weight AS DOUBLE)')} AS weight, CASE WHEN p IS NULL THEN 'missing_prediction' WHEN selected THEN 'selected' ELSE 'not_selected' END AS reason FROM t",
     "quantile_targets": f"{_PRED}, t AS (SELECT *, coalesce(rank <= ceil(round(n * 0.2, 9)), false) AS selected FROM rk), u AS (SELECT *, count(*) FILTER (selected) OVER (PARTITION BY decision_time) AS c FROM t) SELECT decision_time, instrument_id, CAST(rank AS INTEGER) AS rank, selected, {_R('CAST(CASE WHEN selected THEN least(0.95 / c, 0.1) ELSE 0 END AS DOUBLE)')} AS weight, CASE WHEN p IS NULL THEN 'missing_prediction' WHEN selected THEN 'selected' ELSE 'not_selected' END AS reason FROM u",
     "target_limits": f"{_TOP8}, j AS (SELECT coalesce(a.decision_time, b.trade_date) AS decision_time, coalesce(a.weight, 0) AS t, CASE WHEN b.trade_date IS NOT NULL THEN 0.02 ELSE 0 END AS p, a.decision_time IS NULL AS o FROM (SELECT * FROM t WHERE selected) a FULL JOIN (SELECT * FROM bars WHERE volume >= 4) b ON a.decision_time = b.trade_date AND a.instrument_id = b.instrument_id), g AS (SELECT decision_time, sum(t) AS gross, max(t) AS largest, count(*) FILTER (t > 0) AS positions, sum(abs(t - p)) AS turnover, count(*) FILTER (o) AS omitted FROM j GROUP BY 1) SELECT decision_time, {_R('CAST(gross AS DOUBLE)')} AS gross, {_R('CAST(largest AS DOUBLE)')} AS largest, positions, {_R('CAST(turnover AS DOUBLE)')} AS turnover, omitted, concat_ws(';', CASE WHEN turnover > 0.9 + 1e-9 THEN 'turnover_limit' END, CASE WHEN omitted > 0 THEN 'omitted_positions' END) AS reasons FROM g",
     "coverage_targets": f"{_TOP8}, c AS (SELECT *, count(p) OVER (PARTITION BY decision_time) / count(*) OVER (PARTITION BY decision_time) AS cov FROM t) SELECT decision_time, instrument_id, {_R('CAST(CASE WHEN p IS NOT NULL THEN weight ELSE 0 END AS DOUBLE)')} AS weight, p IS NOT NULL AS predicted, {_R('cov')} AS coverage FROM c WHERE cov >= 0.8",
     "weekly_rebalance": f"{_EB} SELECT min(trade_date) AS trade_date FROM days GROUP BY isoyear(trade_date), weekofyear(trade_date)",
     "equal_weights": f"{_EB}, c AS (SELECT trade_date AS session, instrument_id, count(*) OVER (PARTITION BY trade_date) AS n, row_number() OVER (PARTITION BY trade_date ORDER BY instrument_id DESC) AS k FROM bars) SELECT session, instrument_id, {_R('(1000000 // n + CASE WHEN k = 1 THEN 1000000 - (1000000 // n) * n ELSE 0 END) / 1000000')} AS weight FROM c",
-    "target_drift": f"WITH h AS (SELECT l_partkey, sum(CAST(l_quantity AS BIGINT)) AS held FROM lineitem GROUP BY 1), a AS (SELECT p_brand AS portfolio, CAST(p_partkey AS VARCHAR) AS instrument_id, CASE WHEN coalesce(held, 0) = 0 THEN 0.0 WHEN p_size > 3 THEN held * p_retailprice / 1000000 END AS actual FROM part LEFT JOIN h ON l_partkey = p_partkey) SELECT portfolio, instrument_id, 0.02 AS weight, {_R('actual', 5)} AS actual, {_R('actual - 0.02', 5)} AS drift, {_R('sum(abs(actual - 0.02)) OVER (PARTITION BY portfolio)', 5)} AS total_drift FROM a",
+    "target_drift": f"WITH h AS (SELECT l_partkey, sum(CAST(l_quantity AS BIGINT)) AS held FROM lineitem GROUP BY 1), a AS (SELECT p_brand AS portfolio, CAST(p_partkey AS VARCHAR) AS instrument_id, CASE WHEN coalesce(held, 0) = 0 THEN 0.0 WHEN p_size > 3 THEN held * p_retailprice / 1000000 END AS actual FROM part LEFT JOIN h ON l_partkey = p_partkey) SELECT portfolio, instrument_id, 0.02 AS weight, {_R('actual', 9)} AS actual, {_R('actual - 0.02', 9)} AS drift, {_R('sum(abs(actual - 0.02)) OVER (PARTITION BY portfolio)', 9)} AS total_drift FROM a",
     "fills_with_orders": f"{_FF} SELECT order_id, fill_id, side, o_orderstatus FROM fills JOIN orders ON o_orderkey = order_id",
     "pnl_drawdown": f"{_BB} SELECT instrument_id AS portfolio, trade_date, {_R('close - lag(close) OVER w')} AS daily_pnl, {_R('max(close) OVER w')} AS peak_nav, {_R('close / max(close) OVER w - 1')} AS drawdown FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)",
     "daily_report": f"{_FF}, a AS (SELECT CAST(o_orderdate AS DATE) AS session, count(*) AS orders, count(*) FILTER (o_orderstatus = 'P') AS rejected FROM orders GROUP BY 1), b AS (SELECT session, count(*) AS fills, sum(CAST(price * quantity AS DOUBLE)) AS notional, sum(CAST(fee AS DOUBLE)) AS costs FROM fills GROUP BY 1) SELECT session, orders, rejected, fills, {_R('notional', 2)} AS notional, {_R('costs', 2)} AS costs FROM a FULL JOIN b USING (session)",
