@@ -182,7 +182,7 @@ def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = brand_bars(spark, sf_dir)
     nav_ = b.select(F.col("instrument_id").alias("portfolio"), "trade_date", (F.col("close") * 10 + 100).alias("nav"), (F.col("close") * 10).alias("market_value"))
     flows = b.select(F.col("instrument_id").alias("portfolio"), "trade_date", (F.col("open") / 2).alias("bought"), (F.col("low") / 2).alias("sold"), F.lit(0.5).alias("slippage"), F.lit(1.0).alias("fees"), F.lit(0.25).alias("taxes"), F.lit(2.0).alias("dividends"))
-    return rounded(portfolio.attribution(nav_, flows), 4)
+    return rounded(portfolio.attribution(nav_, flows), 8)
 
 
 def notional_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,7 @@ def fills_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pnl_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J20."""
     rows = brand_bars(spark, sf_dir).select(F.col("instrument_id").alias("portfolio"), "trade_date", F.col("close").alias("nav"))
-    return rounded(portfolio.pnl_drawdown(rows))
+    return rounded(portfolio.pnl_drawdown(rows), 9)
 
 
 def daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +285,7 @@ def price_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     week = F.weekofyear("trade_date")
     acts = b.where(week.isin(20, 40)).select("instrument_id", F.when(week == 20, "stock_split").otherwise("cash_dividend").alias("action_type"), F.col("trade_date").alias("ex_date"), F.when(week == 20, 2.0).alias("ratio"), F.when(week == 40, 25.0).alias("cash_amount"), F.lit("s").alias("source"), F.concat_ws("|", "instrument_id", "trade_date").alias("source_event_id"), F.lit(1).alias("revision"))
     out = actions.price_views(b, acts)
-    return rounded(out.select("instrument_id", "trade_date", "split_factor", "cash_factor", "split_close", "total_return_close", "split_volume", "ohlc_ok"), 5)
+    return rounded(out.select("instrument_id", "trade_date", "split_factor", "cash_factor", "split_close", "total_return_close", "split_volume", "ohlc_ok"), 9)
 
 
 def unsupported_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,7 +406,7 @@ ORACLES = {
     "nav_snapshots": f"{_BB}, b AS (SELECT * FROM bars WHERE instrument_id <> 'Brand#11') SELECT 'p' AS portfolio, trade_date, {_R('sum(CASE WHEN weekofyear(trade_date) <> 9 THEN volume * close ELSE 0 END)', 3)} AS market_value, {_R('sum(volume) * 10 + 5 - 3 + 1 + sum(CASE WHEN weekofyear(trade_date) <> 9 THEN volume * close ELSE 0 END)', 3)} AS nav, weekofyear(trade_date) <> 9 AS complete FROM b GROUP BY trade_date",
     "performance": f"{_BB}, m AS (SELECT instrument_id AS run_id, trade_date, close AS nav, open / close AS exposure, high, low, close / lag(close) OVER w - 1 AS r, close / max(close) OVER w - 1 AS d FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)), g AS (SELECT run_id, count(r) AS n_returns, arg_max(nav, trade_date) / arg_min(nav, trade_date) AS x, date_diff('day', min(trade_date), max(trade_date)) AS days, avg(r) AS m, stddev_samp(r) AS sd, sqrt(avg(CASE WHEN r IS NOT NULL THEN pow(least(r, 0), 2) END)) AS dn, min(d) AS md, avg(CASE WHEN r > 0 THEN 1.0 WHEN r IS NOT NULL THEN 0.0 END) AS pr, avg(exposure) AS e, avg(nav) AS an, sum(high) AS nt, sum(low / 1000) AS tc, count(*) AS nf FROM m GROUP BY 1) SELECT run_id, n_returns, {_R('x - 1', 5)} AS total_return, {_R('pow(x, 365.25 / days) - 1', 5)} AS cagr, {_R('m * 252', 5)} AS annual_mean, {_R('sd * sqrt(252)', 5)} AS volatility, {_R('m / sd * sqrt(252)', 5)} AS sharpe, {_R('m / dn * sqrt(252)', 5)} AS sortino, {_R('md', 5)} AS max_drawdown, {_R('(pow(x, 365.25 / days) - 1) / abs(md)', 5)} AS calmar, {_R('pr', 5)} AS positive_ratio, {_R('e', 5)} AS mean_exposure, {_R('tc', 5)} AS total_cost, nf AS n_fills, {_R('nt / an', 5)} AS turnover FROM g",
     "benchmark_stats": f"{_BB}, f AS (SELECT instrument_id FROM bars GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT trade_date) FROM bars)), lv AS (SELECT trade_date, avg(close) AS l FROM bars GROUP BY 1), bm AS (SELECT trade_date, l / lag(l) OVER (ORDER BY trade_date) - 1 AS b FROM lv), r AS (SELECT instrument_id AS run_id, trade_date, close / lag(close) OVER (PARTITION BY instrument_id ORDER BY trade_date) - 1 AS r FROM bars JOIN f USING (instrument_id)), j AS (SELECT run_id, r, b FROM r JOIN bm USING (trade_date) WHERE r IS NOT NULL) SELECT run_id, {_R('avg(r - b) * 252', 4)} AS active_return, {_R('stddev_samp(r - b) * sqrt(252)', 4)} AS tracking_error, {_R('avg(r - b) * 252 / (stddev_samp(r - b) * sqrt(252))', 4)} AS information_ratio, {_R('covar_samp(r, b) / var_samp(b)', 4)} AS beta, {_R('(avg(r) - covar_samp(r, b) / var_samp(b) * avg(b)) * 252', 4)} AS alpha, {_R('product(1 + r) - 1', 4)} AS compounded, {_R('product(1 + b) - 1', 4)} AS benchmark_compounded FROM j GROUP BY 1",
-    "attribution": f"{_BB}, m AS (SELECT instrument_id AS portfolio, trade_date, (close - lag(close) OVER w) * 10 AS delta, (close - lag(close) OVER w) * 10 - open / 2 + low / 2 AS pe FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)) SELECT portfolio, trade_date, {_R('delta', 4)} AS delta, {_R('pe', 4)} AS price_effect, 2.0 AS dividends, 1.0 AS fees, 0.25 AS taxes, 0.5 AS slippage, {_R('delta - pe - 2 + 1 + 0.25 + 0.5', 4)} AS residual FROM m WHERE delta IS NOT NULL",
+    "attribution": f"{_BB}, m AS (SELECT instrument_id AS portfolio, trade_date, (close - lag(close) OVER w) * 10 AS delta, (close - lag(close) OVER w) * 10 - open / 2 + low / 2 AS pe FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)) SELECT portfolio, trade_date, {_R('delta', 8)} AS delta, {_R('pe', 8)} AS price_effect, 2.0 AS dividends, 1.0 AS fees, 0.25 AS taxes, 0.5 AS slippage, {_R('delta - pe - 2 + 1 + 0.25 + 0.5', 8)} AS residual FROM m WHERE delta IS NOT NULL",
     "notional_allocation": f"{_FF}, n AS (SELECT portfolio, p_brand AS instrument_id, CAST(sum(price * quantity) AS DOUBLE) AS v FROM fills JOIN part ON p_partkey = CAST(instrument_id AS BIGINT) GROUP BY 1, 2), s AS (SELECT *, floor(100000 * (v / sum(v) OVER (PARTITION BY portfolio))) AS s, row_number() OVER (PARTITION BY portfolio ORDER BY instrument_id DESC) = 1 AS fin FROM n) SELECT portfolio, instrument_id, {_R('v', 4)} AS notional, {_R('CASE WHEN fin THEN 100000 - (sum(s) OVER (PARTITION BY portfolio) - s) ELSE s END / 100', 2)} AS allocated FROM s",
     "pretrade_flags": f"{_FF}, o AS (SELECT portfolio, fill_id AS order_id, instrument_id, side, quantity, CAST(price AS DOUBLE) AS price, CASE WHEN CAST(instrument_id AS INT) % 2 = 0 THEN 40 ELSE 0 END AS held, CASE WHEN portfolio <> '3' THEN 200000.0 END AS nav, CASE WHEN portfolio <> '3' THEN 150000.0 END AS cash, CASE WHEN side = 'sell' THEN 0 ELSE 1 END AS k FROM fills WHERE year(session) = 1996), r AS (SELECT *, sum(CASE WHEN side = 'sell' THEN quantity ELSE 0 END) OVER i AS sold, sum(CASE WHEN side = 'buy' THEN quantity * price ELSE 0 END) OVER (PARTITION BY portfolio ORDER BY k, order_id ROWS UNBOUNDED PRECEDING) AS bought, held + sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER i AS aft FROM o WINDOW i AS (PARTITION BY portfolio, instrument_id ORDER BY k, order_id ROWS UNBOUNDED PRECEDING)) SELECT portfolio, order_id, concat_ws(';', CASE WHEN nav IS NULL THEN 'valuation_missing' END, CASE WHEN sold > held THEN 'short_sale' END, CASE WHEN quantity * price > 60000 THEN 'notional_limit' END, CASE WHEN side = 'buy' AND aft * price > 0.2 * nav THEN 'weight_limit' END, CASE WHEN side = 'buy' AND bought > cash THEN 'insufficient_buying_power' END) AS flags FROM r",
     "reservation_totals": f"{_FF}, a AS (SELECT f.*, quantity - CASE WHEN order_id % 3 = 0 THEN quantity // 2 ELSE 0 END AS rest FROM fills f JOIN lineitem l ON l.l_orderkey = f.order_id AND l.l_linenumber = f.seq WHERE l_linestatus = 'O') SELECT portfolio, instrument_id, round(CAST(sum(CASE WHEN side = 'buy' THEN rest * price ELSE 0 END) AS DOUBLE), 4) + 0.0 AS reserved_cash, CAST(sum(CASE WHEN side = 'sell' THEN rest ELSE 0 END) AS BIGINT) AS reserved_shares, CAST(sum(CASE WHEN side = 'buy' THEN rest ELSE -rest END) AS BIGINT) AS projected_delta FROM a GROUP BY 1, 2",
@@ -418,10 +418,10 @@ ORACLES = {
     "equal_weights": f"{_EB}, c AS (SELECT trade_date AS session, instrument_id, count(*) OVER (PARTITION BY trade_date) AS n, row_number() OVER (PARTITION BY trade_date ORDER BY instrument_id DESC) AS k FROM bars) SELECT session, instrument_id, {_R('(1000000 // n + CASE WHEN k = 1 THEN 1000000 - (1000000 // n) * n ELSE 0 END) / 1000000')} AS weight FROM c",
     "target_drift": f"WITH h AS (SELECT l_partkey, sum(CAST(l_quantity AS BIGINT)) AS held FROM lineitem GROUP BY 1), a AS (SELECT p_brand AS portfolio, CAST(p_partkey AS VARCHAR) AS instrument_id, CASE WHEN coalesce(held, 0) = 0 THEN 0.0 WHEN p_size > 3 THEN held * p_retailprice / 1000000 END AS actual FROM part LEFT JOIN h ON l_partkey = p_partkey) SELECT portfolio, instrument_id, 0.02 AS weight, {_R('actual', 9)} AS actual, {_R('actual - 0.02', 9)} AS drift, {_R('sum(abs(actual - 0.02)) OVER (PARTITION BY portfolio)', 9)} AS total_drift FROM a",
     "fills_with_orders": f"{_FF} SELECT order_id, fill_id, side, o_orderstatus FROM fills JOIN orders ON o_orderkey = order_id",
-    "pnl_drawdown": f"{_BB} SELECT instrument_id AS portfolio, trade_date, {_R('close - lag(close) OVER w')} AS daily_pnl, {_R('max(close) OVER w')} AS peak_nav, {_R('close / max(close) OVER w - 1')} AS drawdown FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)",
+    "pnl_drawdown": f"{_BB} SELECT instrument_id AS portfolio, trade_date, {_R('close - lag(close) OVER w', 9)} AS daily_pnl, {_R('max(close) OVER w', 9)} AS peak_nav, {_R('close / max(close) OVER w - 1', 9)} AS drawdown FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)",
     "daily_report": f"{_FF}, a AS (SELECT CAST(o_orderdate AS DATE) AS session, count(*) AS orders, count(*) FILTER (o_orderstatus = 'P') AS rejected FROM orders GROUP BY 1), b AS (SELECT session, count(*) AS fills, sum(CAST(price * quantity AS DOUBLE)) AS notional, sum(CAST(fee AS DOUBLE)) AS costs FROM fills GROUP BY 1) SELECT session, orders, rejected, fills, {_R('notional', 2)} AS notional, {_R('costs', 2)} AS costs FROM a FULL JOIN b USING (session)",
     "scenario_costs": f"{_FF}, s AS (SELECT c::DOUBLE AS commission_factor, t::DOUBLE AS tax_factor, b::DOUBLE AS slippage_bps, p::DOUBLE AS participation, l AS lag FROM unnest([0, 0.5, 1, 1.5, 2]) x(c), unnest([0, 0.5, 1, 2]) y(t), unnest([0, 5, 10]) z(b), unnest([0.05, 0.1, 0.2]) q(p), unnest([0, 1, 2]) w(l)), g AS (SELECT count(*) AS n, CAST(sum(price * quantity) AS DOUBLE) AS a, CAST(sum(price * quantity) FILTER (side = 'sell') AS DOUBLE) AS b FROM fills), u AS (SELECT p::DOUBLE AS participation, count(*) FILTER (quantity > floor((order_id % 400) * p::DOUBLE)) AS unfilled FROM fills, unnest([0.05, 0.1, 0.2]) q(p) GROUP BY 1) SELECT commission_factor, tax_factor, slippage_bps, participation, lag, n AS n_fills, {_R('a * 0.001425 * commission_factor + b * 0.003 * tax_factor + a * slippage_bps / 10000', 2)} AS costs, unfilled FROM s JOIN u USING (participation), g",
-    "price_views": f"{_BB}, x AS (SELECT *, weekofyear(trade_date) AS w, lag(close) OVER o AS pc FROM bars WINDOW o AS (PARTITION BY instrument_id ORDER BY trade_date)), f AS (SELECT *, coalesce(product(CASE WHEN w = 20 THEN 0.5 ELSE 1 END) OVER l, 1) AS sf, coalesce(product(CASE WHEN w = 40 AND pc > 0 THEN (pc - 25) / pc ELSE 1 END) OVER l, 1) AS cf FROM x WINDOW l AS (PARTITION BY instrument_id ORDER BY trade_date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT instrument_id, trade_date, {_R('sf', 5)} AS split_factor, {_R('cf', 5)} AS cash_factor, {_R('close * sf', 5)} AS split_close, {_R('close * sf * cf', 5)} AS total_return_close, CAST(round(volume / sf) AS BIGINT) AS split_volume, high >= greatest(open, close, low) AND low <= least(open, close, high) AS ohlc_ok FROM f",
+    "price_views": f"{_BB}, x AS (SELECT *, weekofyear(trade_date) AS w, lag(close) OVER o AS pc FROM bars WINDOW o AS (PARTITION BY instrument_id ORDER BY trade_date)), f AS (SELECT *, coalesce(product(CASE WHEN w = 20 THEN 0.5 ELSE 1 END) OVER l, 1) AS sf, coalesce(product(CASE WHEN w = 40 AND pc > 0 THEN (pc - 25) / pc ELSE 1 END) OVER l, 1) AS cf FROM x WINDOW l AS (PARTITION BY instrument_id ORDER BY trade_date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT instrument_id, trade_date, {_R('sf', 9)} AS split_factor, {_R('cf', 9)} AS cash_factor, {_R('close * sf', 9)} AS split_close, {_R('close * sf * cf', 9)} AS total_return_close, CAST(round(volume / sf) AS BIGINT) AS split_volume, high >= greatest(open, close, low) AND low <= least(open, close, high) AS ohlc_ok FROM f",
     "unsupported_actions": "WITH a AS (SELECT CAST(o_custkey AS VARCHAR) AS instrument_id, CAST(o_orderdate AS DATE) AS ex_date, CASE WHEN o_orderpriority LIKE '1%' THEN 'rights_issue' WHEN o_orderpriority LIKE '2%' THEN 'capital_reduction' ELSE 'cash_dividend' END AS k, CASE WHEN o_orderstatus = 'F' THEN 'loss_offset' END AS s FROM orders) SELECT instrument_id, ex_date, k AS code FROM a WHERE k = 'rights_issue' OR (k = 'capital_reduction' AND s IS NULL) UNION ALL SELECT instrument_id, ex_date, 'several_adjusting_actions' FROM a WHERE k = 'cash_dividend' GROUP BY 1, 2 HAVING count(*) > 1",
     "action_violations": "WITH a AS (SELECT o_orderkey AS e, o_orderkey % 5 AS k, o_orderkey % 7 = 0 AS early, o_orderstatus = 'P' AS noex FROM orders) SELECT 's' AS source, e AS source_event_id, unnest(list_filter([CASE WHEN k = 3 THEN 'missing_ratio' END, CASE WHEN k = 2 THEN 'ratio_not_positive' END, CASE WHEN k = 0 THEN 'missing_cash_amount' END, CASE WHEN k = 1 THEN 'cash_amount_negative' END, CASE WHEN k < 4 AND noex THEN 'missing_ex_date' END, CASE WHEN early THEN 'available_before_announcement' END, CASE WHEN k = 4 THEN 'missing_symbols' END], lambda x : x IS NOT NULL)) AS code FROM a",
     "reconciliation": "WITH r AS (SELECT CASE WHEN o_orderkey % 10 = 4 THEN o_orderkey + 10000000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 10 = 5 THEN 'Z' ELSE o_orderstatus END AS st, CASE WHEN o_orderkey % 10 <> 6 THEN o_custkey END AS cu FROM orders WHERE o_orderkey % 10 <> 3), j AS (SELECT coalesce(o.o_orderkey, r.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'unknown_locally' WHEN r.o_orderkey IS NULL THEN 'missing_remotely' WHEN o_orderstatus IS DISTINCT FROM st OR o_custkey IS DISTINCT FROM cu THEN 'differs:' || concat_ws(',', CASE WHEN o_orderstatus IS DISTINCT FROM st THEN 'o_orderstatus' END, CASE WHEN o_custkey IS DISTINCT FROM cu THEN 'o_custkey' END) END AS detail FROM orders o FULL JOIN r ON o.o_orderkey = r.o_orderkey) SELECT 'orders' AS category, o_orderkey, true AS critical, detail FROM j WHERE detail IS NOT NULL",

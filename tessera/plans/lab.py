@@ -89,7 +89,7 @@ def breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J13, on breakout signals."""
-    return rounded(signals.round_trips(signals.breakout(_bars(spark, sf_dir))), 4)
+    return rounded(signals.round_trips(signals.breakout(_bars(spark, sf_dir))), 7)
 
 
 def trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +179,7 @@ ORACLES = {
     "sma_cross": f"WITH {_B} SELECT symbol, trade_date, CASE WHEN n >= 20 AND avg(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > avg(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) THEN 1 ELSE 0 END AS target FROM based",
     "rsi_signal": f"WITH {_B}, m AS (SELECT *, avg(greatest(close - prev, 0)) OVER w AS g, avg(greatest(prev - close, 0)) OVER w AS l FROM based WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)), r AS (SELECT *, CASE WHEN n > 14 THEN CASE WHEN l = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / l) END END AS rsi FROM m) SELECT symbol, trade_date, {_R('rsi')} AS rsi, coalesce(last_value(CASE WHEN rsi <= 30 THEN 1 WHEN rsi >= 70 THEN 0 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS target FROM r",
     "breakout": f"{_BRK} SELECT symbol, trade_date, target FROM sig",
-    "round_trips": f"{_TRIPS} SELECT symbol, trade, entry_date, {_R('entry_price', 4)} AS entry_price, exit_date, {_R('exit_price', 4)} AS exit_price, {_R('pnl', 4)} AS pnl, {_R('pnl / (entry_price * 1000) * 100', 4)} AS return_pct, {_R('costs', 4)} AS costs, exit_reason FROM trips",
+    "round_trips": f"{_TRIPS} SELECT symbol, trade, entry_date, {_R('entry_price', 7)} AS entry_price, exit_date, {_R('exit_price', 7)} AS exit_price, {_R('pnl', 7)} AS pnl, {_R('pnl / (entry_price * 1000) * 100', 7)} AS return_pct, {_R('costs', 7)} AS costs, exit_reason FROM trips",
     "trade_metrics": f"{_TRIPS} SELECT symbol, count(*) AS trades, {_R('avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END)', 4)} AS win_rate, {_R('CASE WHEN sum(greatest(-pnl, 0)) > 0 THEN least(sum(greatest(pnl, 0)) / sum(greatest(-pnl, 0)), 999.99) WHEN sum(greatest(pnl, 0)) > 0 THEN 999.99 ELSE 0 END', 4)} AS profit_factor FROM trips GROUP BY 1",
     "equity_metrics": f"WITH {_B}, m AS (SELECT *, close / prev - 1 AS r, close / max(close) OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS dd FROM based) SELECT symbol AS run_id, {_R('pow(arg_max(close, trade_date) / arg_min(close, trade_date), 252.0 / count(r)) - 1')} AS annual_return, {_R('stddev_samp(r) * sqrt(252)')} AS volatility, {_R('avg(r) * 252 / (stddev_samp(r) * sqrt(252))')} AS sharpe, {_R('min(dd)')} AS max_drawdown, {_R('arg_max(open, trade_date) / arg_min(open, trade_date) - 1')} AS buy_and_hold FROM m GROUP BY 1",
     "equity_vs_hold": f"WITH {_B} SELECT symbol AS run_id, trade_date, {_R('close / first_value(close) OVER w')} AS equity_multiple, {_R('open / first_value(open) OVER w')} AS hold_multiple FROM based WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)",
