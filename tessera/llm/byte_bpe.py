@@ -22,7 +22,7 @@ import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import doc_back, doc_key, pieces_of, spread
+from tessera.llm.common import doc_back, doc_key, pieces_of, spread, tidied
 
 #: Characters of a chunk, and by how many it reaches into the next.
 CHUNK, OVERLAP = 16_384, 1_024
@@ -31,7 +31,7 @@ CHUNK, OVERLAP = 16_384, 1_024
 UNSURE = 4
 
 #: Pieces whose ids a task remembers; then it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 
 class Codec:
@@ -68,7 +68,7 @@ class Codec:
         return [0, *(ends if last else ends[ends <= len(text) - UNSURE]).tolist()]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _made(ranks: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
@@ -186,12 +186,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         return codec.encode(codec.split(text))
 
     texts = docs.select(doc_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    short = texts.where(F.length("text") <= chunk).mapInArrow(_per_text(whole, "text", "ids"), "doc_id long, ids binary")
+    short = texts.where(F.length("text") <= chunk).mapInArrow(tidied(_per_text(whole, "text", "ids")), "doc_id long, ids binary")
     long = texts.where(F.length("text") > chunk).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
     keys = ["doc_id", "digest", "number"]
     # The one shuffle of texts: chunks of long ones, spread over all tasks.
-    chunks = long.mapInArrow(_cut(chunk, overlap), "doc_id long, digest binary, number int, last boolean, piece string").repartition(spread(docs.sparkSession), *keys)
-    ends = chunks.mapInArrow(_ends(shared, pattern, chunk, overlap), "doc_id long, digest binary, number int, head array<int>, tail array<int>")
+    chunks = long.mapInArrow(tidied(_cut(chunk, overlap)), "doc_id long, digest binary, number int, last boolean, piece string").repartition(spread(docs.sparkSession), *keys)
+    ends = chunks.mapInArrow(tidied(_ends(shared, pattern, chunk, overlap)), "doc_id long, digest binary, number int, head array<int>, tail array<int>")
     # Equal rows have equal chunks; one of each is enough here.
     one = ends.groupBy(*keys).agg(F.first("head").alias("head"), F.first("tail").alias("tail"))
     sync = docs.sparkSession.sql("""
@@ -202,8 +202,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
               FROM {one} WINDOW w AS (PARTITION BY doc_id, digest ORDER BY number))
         WINDOW w AS (PARTITION BY doc_id, digest ORDER BY number)""", one=one)
     ready = chunks.join(sync, keys).select(*keys, "apart", "piece", "start", "stop")
-    made = ready.mapInArrow(_stitched(shared, pattern, chunk), "doc_id long, digest binary, number int, apart boolean, made binary")
-    again = made.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("number", "apart", "made")).alias("parts")).select("doc_id", "parts").mapInArrow(_joined(shared, pattern), "doc_id long, ids binary")
+    made = ready.mapInArrow(tidied(_stitched(shared, pattern, chunk)), "doc_id long, digest binary, number int, apart boolean, made binary")
+    again = made.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("number", "apart", "made")).alias("parts")).select("doc_id", "parts").mapInArrow(tidied(_joined(shared, pattern)), "doc_id long, ids binary")
     return short.unionByName(again).select(doc_back().alias("doc_id"), F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids")
 
 
@@ -219,7 +219,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
-    return encoded.mapInArrow(run, f"{fields}, decoded binary")
+    return encoded.mapInArrow(tidied(run), f"{fields}, decoded binary")
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import SPACES, doc_back, flat_text, ids_of, words_of
+from tessera.llm.common import SPACES, doc_back, flat_text, ids_of, tidied, words_of
 from tessera.llm.repeats import Windows, marked, opened, recurring_spans, with_copies
 
 #: Patterns in one automaton; more are spread over several, each streamed in turn.
@@ -96,7 +96,7 @@ def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
                 made = [pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *made[:3], made[3].cast(pa.string())], names=["doc_id", *rows])
 
-    out = texts.join(spans, "doc_id", "left").select("doc_id", "packed", "spans", "copies").mapInArrow(apply, "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept string")
+    out = texts.join(spans, "doc_id", "left").select("doc_id", "packed", "spans", "copies").mapInArrow(tidied(apply), "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept string")
     return out.withColumn("doc_id", doc_back())
 
 

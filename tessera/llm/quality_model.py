@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import IS_SPACE, doc_back, doc_key, flat_text, ids_of, pieces_of, span_hashes, words_of
+from tessera.llm.common import IS_SPACE, doc_back, doc_key, flat_text, ids_of, pieces_of, span_hashes, tidied, tidied_group, words_of
 
 #: Names of the statistics, in order.
 STATISTICS = ("log_bytes", "log_words", "word_length", "word_length_sd", "upper", "digit", "mark", "bang", "bar", "symbol", "line_ends", "high_bytes", "distinct_words", "distinct_lines", "top_capital_words", "long_words", "marked_words", "spaces", "entropy")
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1_000_000, seed: int =
     if count > most:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * most / count))
     # Statistics are far smaller than texts, so they are what is joined to the labels.
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_statistics_of, "doc_id long, stats array<double>")
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(_statistics_of), "doc_id long, stats array<double>")
     stats = known.join(marks, "doc_id").select((F.col("rest") - 1).cast("int").alias("fold"), "good", "stats").persist()
     try:
         moments = {r["pos"]: (r["mean"], r["sd"]) for r in stats.select(F.posexplode("stats").alias("pos", "value")).groupBy("pos").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).collect()}
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1_000_000, seed: int =
             return Model(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), np.zeros(COSINES + 1), np.array([0.0, 1.0]), np.array([0.5, 0.5]), seed)
         mean = np.array([moments[i][0] for i in range(len(STATISTICS))])
         scale = np.array([moments[i][1] if moments[i][1] > 1e-9 else 1.0 for i in range(len(STATISTICS))])
-        sums = stats.coalesce(SUMMERS).mapInArrow(_sums(mean, scale, seed), "fold int, line int, sums array<double>").groupBy("fold", "line").applyInArrow(_added, "fold int, line int, sums array<double>").collect()
+        sums = stats.coalesce(SUMMERS).mapInArrow(tidied(_sums(mean, scale, seed)), "fold int, line int, sums array<double>").groupBy("fold", "line").applyInArrow(tidied_group(_added), "fold int, line int, sums array<double>").collect()
         parts = np.zeros((FOLDS, COSINES + 1, COSINES + 2))
         for r in sums:
             parts[r["fold"], r["line"]] = r["sums"]
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1_000_000, seed: int =
                     cell = np.clip(np.floor((raw + 0.5) / 2 * GRID), 0, GRID - 1).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(1)], names=["cell", "good"])
 
-        cells = sorted(tuple(r) for r in stats.mapInArrow(binned, "cell int, good int").groupBy("cell").agg(F.count("*"), F.sum("good")).collect())
+        cells = sorted(tuple(r) for r in stats.mapInArrow(tidied(binned), "cell int, good int").groupBy("cell").agg(F.count("*"), F.sum("good")).collect())
     finally:
         stats.unpersist()
     at = np.array([c for c, _, _ in cells])
@@ -205,7 +205,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             for part in pieces_of(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(ids_of(part)), pa.array(model.score(statistics(*flat_text(part.column(1)))))], names=["doc_id", "score"])
 
-    found = docs.select(doc_key().alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double").withColumn("doc_id", doc_back())
+    found = docs.select(doc_key().alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, score double").withColumn("doc_id", doc_back())
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= LEAST).cast("int").alias("predicted"))
 
@@ -219,4 +219,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
                 score = model.score(statistics(*flat_text(part.column(part.schema.get_field_index("text")))))
                 yield part.filter(pa.array(score >= LEAST))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

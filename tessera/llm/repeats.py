@@ -20,9 +20,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import doc_key, flat_text, ids_of, mix, pieces_of, sliding_min, span_hashes, spread, words_of
+from tessera.llm.common import doc_key, flat_text, ids_of, mix, pieces_of, sliding_min, span_hashes, spread, tidied, tidied_group, words_of
 
 
 @dataclass(frozen=True)
@@ -207,8 +207,8 @@ def followed_keys(docs: DataFrame, how: Windows, buckets: int) -> DataFrame:
     """(doc_id, followed array<struct<low long, bucket int>>): the keys of each document that occur elsewhere too.
 
     A key shared by chance costs work later and never changes a result; a key that recurs is never missed."""
-    found = docs.select("doc_id", "packed").mapInArrow(_postings(how, buckets), _POSTINGS)
-    recurring = found.groupBy("bucket").applyInArrow(_recurring, "doc_id long, low long, bucket int")
+    found = docs.select("doc_id", "packed").mapInArrow(tidied(_postings(how, buckets)), _POSTINGS)
+    recurring = found.groupBy("bucket").applyInArrow(tidied_group(_recurring), "doc_id long, low long, bucket int")
     return recurring.groupBy("doc_id").agg(F.collect_set(F.struct("low", "bucket")).alias("followed"))
 
 
@@ -222,7 +222,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 made = pa.array([squeeze(x) for x in part.column(2).cast(pa.binary()).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], made], names=["doc_id", "digest", "packed"])
 
-    return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, packed binary")
+    return docs.select("doc_id", "digest", "text").mapInArrow(tidied(run), "doc_id long, digest binary, packed binary")
 
 
 def opened(batch: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -343,6 +343,11 @@ def _shards(exact: Callable, most: int) -> Callable:
     return run
 
 
+def _digest() -> Column:
+    """96 bits of a segment's MD5: verdicts and occurrences meet on it, and two of 10**12 segments share one by chance in 10**-5 of all cases."""
+    return F.substring(F.unhex(F.md5("segment")), 1, 12)
+
+
 def recurring_spans(docs: DataFrame, how: Windows, exact: Callable, block: int = 1 << 20) -> DataFrame:
     """(doc_id, spans array<struct<at int, spans binary>>) of documents with windows that recur.
 
@@ -352,9 +357,9 @@ def recurring_spans(docs: DataFrame, how: Windows, exact: Callable, block: int =
     """
     buckets = spread(docs.sparkSession, 64)
     texts = docs.select("doc_id", "packed", "copies").join(followed_keys(docs, how, buckets), "doc_id")
-    distinct = texts.mapInArrow(_distinct(how, buckets), _BLOCKS)
-    verdicts = distinct.groupBy("bucket").applyInArrow(_shards(exact, block), "segment binary, spans binary").select(F.unhex(F.md5("segment")).alias("digest"), "spans")
-    seen = texts.mapInArrow(_occurrences(how, buckets), "doc_id long, at int, segment binary").select("doc_id", "at", F.unhex(F.md5("segment")).alias("digest"))
+    distinct = texts.mapInArrow(tidied(_distinct(how, buckets)), _BLOCKS)
+    verdicts = distinct.groupBy("bucket").applyInArrow(tidied_group(_shards(exact, block)), "segment binary, spans binary").select(_digest().alias("digest"), "spans")
+    seen = texts.mapInArrow(tidied(_occurrences(how, buckets)), "doc_id long, at int, segment binary").select("doc_id", "at", _digest().alias("digest"))
     return seen.join(verdicts, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("at", "spans")).alias("spans"))
 
 

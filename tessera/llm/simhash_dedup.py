@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import SPACES, checkpointed, doc_back, doc_key, flat_text, ids_of, pieces_of, spread, stored, words_of
+from tessera.llm.common import SPACES, checkpointed, doc_back, doc_key, flat_text, ids_of, pieces_of, spread, stored, tidied, words_of
 
 #: Most differing bits of two linked fingerprints; the four segments of the ring are made for this bound.
 BITS = 3
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 found = fingerprint_rows(*flat_text(part.column(1)), shingle)
                 yield pa.RecordBatch.from_arrays([pa.array(ids_of(part)), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(doc_key().alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(doc_key().alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def _rotated(values: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -132,8 +132,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): links of distinct fingerprints (`fp`) that connect all within reach of one another."""
     ways = spread(nodes.sparkSession)
-    keyed = nodes.select("fp").mapInArrow(_keys, "key long, fp long")
-    return keyed.repartition(ways, "key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long").where("a != b").distinct()
+    keyed = nodes.select("fp").mapInArrow(tidied(_keys), "key long, fp long")
+    return keyed.repartition(ways, "key").sortWithinPartitions("key").mapInArrow(tidied(_links), "a long, b long").where("a != b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

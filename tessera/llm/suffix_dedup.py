@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import doc_back, ids_of
+from tessera.llm.common import doc_back, ids_of, tidied
 from tessera.llm.repeats import Windows, marked, opened, recurring_spans, with_copies
 
 #: Bytes of a symbol code: 9 bits hold 256 byte values and the separator.
@@ -168,7 +168,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True))], names=["doc_id", *rows])
 
-    out = texts.join(spans, "doc_id", "left").select("doc_id", "packed", "spans", "first").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<array<long>>, kept binary")
+    out = texts.join(spans, "doc_id", "left").select("doc_id", "packed", "spans", "first").mapInArrow(tidied(apply), "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<array<long>>, kept binary")
     return out.withColumn("doc_id", doc_back())
 
 

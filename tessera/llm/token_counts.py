@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm.byte_bpe import codec_of, shared_ranks
-from tessera.llm.common import doc_back, doc_key, ids_of, pieces_of, stored
+from tessera.llm.common import doc_back, doc_key, ids_of, pieces_of, stored, tidied
 
 #: Tokens of a block, and the id after each document: the first that the rank file leaves free.
 BLOCK, SEPARATOR = 1 << 18, 50256
@@ -51,7 +51,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, block: int = BLO
         if stream:
             yield block_row(bytes(stream), ended)
 
-    return stored(docs.select(doc_key().alias("doc_id"), "text").mapInArrow(run, "file int, block int, ids binary, docs array<long>"))
+    return stored(docs.select(doc_key().alias("doc_id"), "text").mapInArrow(tidied(run), "file int, block int, ids binary, docs array<long>"))
 
 
 def _ends(separator: int):
@@ -74,7 +74,7 @@ def count_tokens(files: DataFrame, separator: int = SEPARATOR) -> DataFrame:
 
     files: as write_token_files makes them. Documents may span any number of blocks. place counts the documents
     of a block; tokens after a file's last separator belong to no document."""
-    found = files.select("file", "block", "ids", "docs").mapInArrow(_ends(separator), "file int, block int, length long, ends array<long>, docs array<long>")
+    found = files.select("file", "block", "ids", "docs").mapInArrow(tidied(_ends(separator)), "file int, block int, length long, ends array<long>, docs array<long>")
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     placed = found.withColumn("at", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
