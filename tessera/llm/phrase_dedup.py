@@ -73,7 +73,7 @@ def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
         for batch in batches:
             for part in opened(batch, 1 << 20):
                 rows: dict[str, list] = {"n_words": [], "n_removed": [], "removed": [], "kept": []}
-                copies, lists = ids_of(part, "copies"), part.column(2)
+                copies, places, lists = ids_of(part, "copies"), ids_of(part, "place"), part.column(2)
                 data, starts = flat_text(part.column(1))
                 begin, end, edge = words_of(data, starts)
                 whole = data.tobytes()
@@ -82,7 +82,7 @@ def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
                     if copies[i] > 1 and hi - lo >= length:
                         gone = np.ones(hi - lo, bool)
                     elif lists[i].is_valid:
-                        gone = marked(lists, i, hi - lo)
+                        gone = marked(lists, i, places[i], hi - lo)
                     else:
                         gone = np.zeros(hi - lo, bool)
                     change = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
@@ -96,7 +96,7 @@ def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
                 made = [pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *made[:3], made[3].cast(pa.string())], names=["doc_id", *rows])
 
-    out = texts.join(spans, "doc_id", "left").select("doc_id", "packed", "spans", "copies").mapInArrow(tidied(apply), "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept string")
+    out = texts.join(spans, "node", "left").select("doc_id", "packed", "spans", "copies", "place").mapInArrow(tidied(apply), "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept string")
     return out.withColumn("doc_id", doc_back())
 
 

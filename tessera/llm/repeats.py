@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import doc_key, flat_text, ids_of, mix, pieces_of, sliding_min, span_hashes, spread, tidied, tidied_group, words_of
+from tessera.llm.common import NULL_ID, doc_key, flat_text, ids_of, mix, pieces_of, sliding_min, span_hashes, spread, tidied, tidied_group, words_of
 
 
 @dataclass(frozen=True)
@@ -127,8 +127,8 @@ _KEY_BYTES = 5
 
 
 def _postings(how: Windows, buckets: int) -> Callable:
-    """Per batch and bucket: its keys, each once, with a document that holds it. Documents of a key that the
-    batch itself repeats are told at once: `sure` has int64 triples (doc_id, low part, bucket), dealt by document."""
+    """Per batch and bucket: its keys, each once, with the node of a document that holds it. Documents of a key that the
+    batch itself repeats are told at once: `sure` has int64 triples (node, low part, bucket), dealt by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +137,7 @@ def _postings(how: Windows, buckets: int) -> Callable:
                 data, starts = flat_text(part.column(part.schema.get_field_index("text")))
                 cut = cut_segments(data, starts, how)
                 found_key += [cut.key, cut.key[cut.again]]
-                found_doc += [(own := ids_of(part)[cut.row]), own[cut.again]]
+                found_doc += [(own := ids_of(part, "node")[cut.row]), own[cut.again]]
             if not found_key:
                 continue
             key, doc = np.concatenate(found_key), np.concatenate(found_doc)
@@ -182,7 +182,7 @@ def _low(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _recurring(table: pa.Table) -> pa.Table:
-    """Of one bucket: (doc_id, low part of the key, bucket of the key) of each posting whose key came from
+    """Of one bucket: (node, low part of the key, bucket of the key) of each posting whose key came from
     several batches, and of what was sure before."""
     keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for blob, own, refs in zip(table["keys"].to_pylist(), table["docs"].to_pylist(), table["refs"].to_pylist(), strict=True):
@@ -200,29 +200,29 @@ def _recurring(table: pa.Table) -> pa.Table:
     many[:-1] |= same
     sure = np.frombuffer(b"".join(table["sure"].to_pylist()), np.int64).reshape(-1, 3)
     bucket = np.full(int(many.sum()), table["bucket"][0].as_py(), np.int64)
-    return pa.table({"doc_id": np.append(doc[many], sure[:, 0]), "low": np.append(key[many].view(np.int64), sure[:, 1]), "bucket": np.append(bucket, sure[:, 2]).astype(np.int32)})
+    return pa.table({"node": np.append(doc[many], sure[:, 0]), "low": np.append(key[many].view(np.int64), sure[:, 1]), "bucket": np.append(bucket, sure[:, 2]).astype(np.int32)})
 
 
 def followed_keys(docs: DataFrame, how: Windows, buckets: int) -> DataFrame:
-    """(doc_id, followed array<struct<low long, bucket int>>): the keys of each document that occur elsewhere too.
+    """(node, followed array<struct<low long, bucket int>>): the keys of each node that occur elsewhere too.
 
-    A key shared by chance costs work later and never changes a result; a key that recurs is never missed."""
-    found = docs.select("doc_id", "packed").mapInArrow(tidied(_postings(how, buckets)), _POSTINGS)
-    recurring = found.groupBy("bucket").applyInArrow(tidied_group(_recurring), "doc_id long, low long, bucket int")
-    return recurring.groupBy("doc_id").agg(F.collect_set(F.struct("low", "bucket")).alias("followed"))
+    Rows of one node follow the keys of all of them. A key shared by chance costs work later and never changes a result; a key that recurs is never missed."""
+    found = docs.select("node", "packed").mapInArrow(tidied(_postings(how, buckets)), _POSTINGS)
+    recurring = found.groupBy("bucket").applyInArrow(tidied_group(_recurring), "node long, low long, bucket int")
+    return recurring.groupBy("node").agg(F.collect_set(F.struct("low", "bucket")).alias("followed"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, packed): the texts compressed, so that dealing them out moves less."""
+    """(doc_id, node, digest, packed): the texts compressed, so that dealing them out moves less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(1).compress
         for batch in batches:
             for part in pieces_of(batch, "text", 4 << 20):
-                made = pa.array([squeeze(x) for x in part.column(2).cast(pa.binary()).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], made], names=["doc_id", "digest", "packed"])
+                made = pa.array([squeeze(x) for x in part.column(3).cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], made], names=["doc_id", "node", "digest", "packed"])
 
-    return docs.select("doc_id", "digest", "text").mapInArrow(tidied(run), "doc_id long, digest binary, packed binary")
+    return docs.select("doc_id", "node", "digest", "text").mapInArrow(tidied(run), "doc_id long, node long, digest binary, packed binary")
 
 
 def opened(batch: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -290,14 +290,15 @@ def _distinct(how: Windows, buckets: int) -> Callable:
 
 
 def _occurrences(how: Windows, buckets: int) -> Callable:
-    """Every occurrence of a followed segment: document, first unit, and the segment."""
+    """Every occurrence of a followed segment: node and place of the row, first unit, and the segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in opened(batch):
                 data, cut = _followed(part, how, buckets)
                 if len(cut.key):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids_of(part)[cut.row]), pa.array(cut.unit.astype(np.int32)), pa.array(segment_bytes(data, cut.begin, cut.end, how.unit), pa.binary())], names=["doc_id", "at", "segment"])
+                    own = [pa.array(ids_of(part, "node")[cut.row]), pa.array(ids_of(part, "place")[cut.row].astype(np.int32)), pa.array(cut.unit.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(segment_bytes(data, cut.begin, cut.end, how.unit), pa.binary())], names=["node", "place", "at", "segment"])
 
     return run
 
@@ -349,36 +350,48 @@ def _digest() -> Column:
 
 
 def recurring_spans(docs: DataFrame, how: Windows, exact: Callable, block: int = 1 << 20) -> DataFrame:
-    """(doc_id, spans array<struct<at int, spans binary>>) of documents with windows that recur.
+    """(node, spans array<struct<place int, at int, spans binary>>) of rows with windows that recur.
 
-    docs: doc_id (never null), packed, copies (how many documents the row stands for). `exact(segments, least,
+    docs: doc_id (never null), node, place, packed, copies (how many documents the row stands for); see with_copies. `exact(segments, least,
     times)` yields (segment number, spans) for the segments in which windows recur; spans are little-endian
-    int64 triples (first unit, end unit, value), `at` is the segment's first unit in the document.
+    int64 triples (first unit, end unit, value), `at` is the segment's first unit in the row (node, place).
     """
     buckets = spread(docs.sparkSession, 64)
-    texts = docs.select("doc_id", "packed", "copies").join(followed_keys(docs, how, buckets), "doc_id")
+    texts = docs.select("doc_id", "node", "place", "packed", "copies").join(followed_keys(docs, how, buckets), "node")
     distinct = texts.mapInArrow(tidied(_distinct(how, buckets)), _BLOCKS)
     verdicts = distinct.groupBy("bucket").applyInArrow(tidied_group(_shards(exact, block)), "segment binary, spans binary").select(_digest().alias("digest"), "spans")
-    seen = texts.mapInArrow(tidied(_occurrences(how, buckets)), "doc_id long, at int, segment binary").select("doc_id", "at", _digest().alias("digest"))
-    return seen.join(verdicts, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("at", "spans")).alias("spans"))
+    seen = texts.mapInArrow(tidied(_occurrences(how, buckets)), "node long, place int, at int, segment binary").select("node", "place", "at", _digest().alias("digest"))
+    return seen.join(verdicts, "digest").groupBy("node").agg(F.collect_list(F.struct("place", "at", "spans")).alias("spans"))
 
 
-def with_copies(docs: DataFrame) -> DataFrame:
-    """Rows of (doc_id, packed) with `first`, the smallest doc_id that has the same text, and `copies`, how many rows have it.
+def text_digest() -> Column:
+    """SHA-256 of the text; null is empty."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
 
-    Only digests are dealt by text; the texts themselves are shuffled once, by doc_id."""
-    keyed = docs.select(doc_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    digests = keyed.select("doc_id", "digest")
+def with_copies(docs: DataFrame) -> DataFrame:
+    """Rows of (doc_id, node, place, digest, packed) with `first`, the smallest doc_id that has the same text, and
+    `copies`, how many rows have it.
+
+    (node, place) tells rows with different texts apart, also those that share a doc_id: node is the doc_id, or some
+    bits of the digest where it is null, and place numbers the different (doc_id, text) of a node.
+    Only digests are dealt by text; the texts themselves are shuffled once, by node."""
+    keyed = docs.select(doc_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_digest().alias("digest"))
+    keyed = keyed.withColumn("node", F.when(F.col("doc_id") == NULL_ID, F.xxhash64("digest")).otherwise(F.col("doc_id")))
+    digests = keyed.select("doc_id", "node", "digest")
     same = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    own = digests.join(same, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "first", "copies")).alias("own"))
-    mine = F.filter("own", lambda x: x["digest"] == F.col("digest"))[0]
-    return packed(keyed).join(own, "doc_id").withColumn("own", mine).select("doc_id", "packed", "own.first", "own.copies")
+    own = digests.join(same, "digest").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("doc_id", "digest", "first", "copies"))).alias("own"))
+    place = F.array_position(F.transform("own", lambda x: F.struct(x["doc_id"], x["digest"])), F.struct("doc_id", "digest")).cast("int")
+    met = packed(keyed).join(own, "node").withColumn("place", place).withColumn("own", F.element_at("own", F.col("place")))
+    return met.select("doc_id", "node", "place", "digest", "packed", "own.first", "own.copies")
 
 
-def marked(lists: pa.Array, i: int, units: int, under: int | None = None) -> np.ndarray:
-    """Which of a document's units its spans cover; with `under`, only spans whose value is smaller."""
+def marked(lists: pa.Array, i: int, place: int, units: int, under: int | None = None) -> np.ndarray:
+    """Which units of the row at `place` of its node its spans cover; with `under`, only spans whose value is smaller."""
     change = np.zeros(units + 1, np.int64)
     for found in lists[i].as_py() or ():
+        if found["place"] != place:
+            continue
         rows = np.frombuffer(found["spans"], "<i8").reshape(-1, 3)
         if under is not None:
             rows = rows[rows[:, 2] < under]

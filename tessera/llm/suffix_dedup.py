@@ -153,13 +153,13 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
         for batch in batches:
             for part in opened(batch, 1 << 20):
                 rows: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "removed": [], "kept": []}
-                ids, lists, firsts = ids_of(part), part.column(2), ids_of(part, "first")
+                ids, lists, firsts, places = ids_of(part), part.column(2), ids_of(part, "first"), ids_of(part, "place")
                 for i, text in enumerate(part.column(1).to_pylist()):
                     data = np.frombuffer(text, np.uint8)
                     if firsts[i] != ids[i] and len(data) >= length:
                         gone = np.ones(len(data), bool)
                     elif lists[i].is_valid:
-                        gone = marked(lists, i, len(data), ids[i])
+                        gone = marked(lists, i, places[i], len(data), ids[i])
                     else:
                         gone = np.zeros(len(data), bool)
                     change = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
@@ -168,7 +168,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True))], names=["doc_id", *rows])
 
-    out = texts.join(spans, "doc_id", "left").select("doc_id", "packed", "spans", "first").mapInArrow(tidied(apply), "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<array<long>>, kept binary")
+    out = texts.join(spans, "node", "left").select("doc_id", "packed", "spans", "first", "place").mapInArrow(tidied(apply), "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<array<long>>, kept binary")
     return out.withColumn("doc_id", doc_back())
 
 
