@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import SPACES, doc_back, flat_text, ids_of, tidied, words_of
+from tessera.llm.common import SPACES, doc_back, doc_key, flat_text, ids_of, text_digest, tidied, words_of
 from tessera.llm.repeats import Windows, marked, opened, recurring_spans, with_copies
 
 #: Patterns in one automaton; more are spread over several, each streamed in turn.
@@ -60,6 +60,11 @@ def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
     also start anywhere else, in the same document or another; all copies go. Null texts have no words;
     null and repeated doc_ids count as documents of their own; other columns are ignored.
     """
+    return _judged(docs, length).drop("digest").withColumn("doc_id", doc_back())
+
+
+def _judged(docs: DataFrame, length: int) -> DataFrame:
+    """The columns of phrase_dedup with doc_id as a key that is never null, and the digest of the text."""
     how = Windows("word", length, max(1, length * 8 // 35))
     texts = with_copies(docs)
     first = texts.where(F.col("first") == F.col("doc_id"))
@@ -94,19 +99,19 @@ def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
                         rows[k].append(v)
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
                 made = [pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *made[:3], made[3].cast(pa.string())], names=["doc_id", *rows])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), *made[:3], made[3].cast(pa.string())], names=["doc_id", "digest", *rows])
 
-    out = texts.join(spans, "node", "left").select("doc_id", "packed", "spans", "copies", "place").mapInArrow(tidied(apply), "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept string")
-    return out.withColumn("doc_id", doc_back())
+    met = texts.join(spans, "node", "left").select("doc_id", "packed", "spans", "copies", "place", "digest")
+    return met.mapInArrow(tidied(apply), "doc_id long, digest binary, n_words long, n_removed long, removed array<array<long>>, kept string")
 
 
 def without_phrases(docs: DataFrame, length: int = 35) -> DataFrame:
     """The documents with what phrase_dedup keeps as their text, n_chars counted anew; other columns as they came.
 
-    Documents that lose no word keep their text as it is. Of rows with equal doc_id that lose
-    words, all take the least of the texts kept."""
-    own = phrase_dedup(docs, length).where("n_removed > 0").groupBy(F.col("doc_id").alias("_doc")).agg(F.min("kept").alias("kept"))
-    met = docs.join(own, docs["doc_id"].eqNullSafe(own["_doc"]), "left")
+    Each row takes what its own text keeps, whatever other rows share its doc_id; rows that lose no word keep
+    their text as it is."""
+    own = _judged(docs, length).where("n_removed > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_text")).agg(F.min("kept").alias("kept"))
+    met = docs.join(own, (doc_key() == own["_doc"]) & (text_digest() == own["_text"]), "left")
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept"))
     changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return met.select(*(changed[c].alias(c) if c in changed else docs[c] for c in docs.columns))

@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import NULL_ID, doc_key, flat_text, ids_of, mix, pieces_of, sliding_min, span_hashes, spread, tidied, tidied_group, words_of
+from tessera.llm.common import NULL_ID, doc_key, flat_text, ids_of, mix, pieces_of, sliding_min, span_hashes, spread, text_digest, tidied, tidied_group, words_of
 
 
 @dataclass(frozen=True)
@@ -364,11 +364,6 @@ def recurring_spans(docs: DataFrame, how: Windows, exact: Callable, block: int =
     return seen.join(verdicts, "digest").groupBy("node").agg(F.collect_list(F.struct("place", "at", "spans")).alias("spans"))
 
 
-def text_digest() -> Column:
-    """SHA-256 of the text; null is empty."""
-    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-
-
 def with_copies(docs: DataFrame) -> DataFrame:
     """Rows of (doc_id, node, place, digest, packed) with `first`, the smallest doc_id that has the same text, and
     `copies`, how many rows have it.

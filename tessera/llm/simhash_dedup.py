@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import SPACES, checkpointed, doc_back, doc_key, flat_text, ids_of, pieces_of, spread, stored, tidied, words_of
+from tessera.llm.common import SPACES, checkpointed, doc_back, doc_key, flat_text, ids_of, pieces_of, spread, stored, text_digest, tidied, words_of
 
 #: Most differing bits of two linked fingerprints; the four segments of the ring are made for this bound.
 BITS = 3
@@ -52,16 +52,18 @@ def fingerprint_rows(data: np.ndarray, starts: np.ndarray, shingle: int, seed: i
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) of each row; null texts are empty and have the fingerprint zero."""
+def fingerprints(docs: DataFrame, shingle: int = 3, digest: bool = False) -> DataFrame:
+    """(doc_id, fp long) of each row, and the digest of its text if asked for; null texts are empty and have the fingerprint zero."""
+    more = ["digest"] if digest else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, "text", 2 << 20):
                 found = fingerprint_rows(*flat_text(part.column(1)), shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(ids_of(part)), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids_of(part)), pa.array(found.view(np.int64)), *part.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select(doc_key().alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, fp long")
+    own = docs.select(doc_key().alias("doc_id"), "text", *([text_digest().alias("digest")] if digest else []))
+    return own.mapInArrow(tidied(run), "doc_id long, fp long" + "".join(f", {x} binary" for x in more))
 
 
 def _rotated(values: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -155,6 +157,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _rooted(own: DataFrame) -> DataFrame:
+    """(fp, least, root): each fingerprint with its smallest doc_id and the fingerprint that names its group."""
+    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(nodes))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each document.
 
@@ -163,18 +172,19 @@ def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     and link like any other; a null doc_id sorts first; repeated rows come out as often; other columns are ignored.
     """
     own = stored(fingerprints(docs, shingle))
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(own)
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = rooted.join(groups, "root").select("fp", "component_id")
     return own.join(ids, "fp").select(doc_back().alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), doc_back("component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The documents that are the first of their group; all columns as they came."""
-    first = simhash_groups(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    """One row of each group, of its smallest doc_id and that id's least text digest; all columns as they came."""
+    own = stored(fingerprints(docs, shingle, digest=True))
+    first = own.join(_rooted(own), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_text"))
+    keyed = docs.withColumn("_doc", doc_key()).withColumn("_text", text_digest())
+    # Rows of one id and text share a group, so what remains of it are equal texts.
+    return keyed.join(first, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"]).select(*docs.columns)
 
 
 def brute_force(rows: list[tuple[int, str | None]], shingle: int = 3) -> list[tuple[int, str, int]]:
