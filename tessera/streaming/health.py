@@ -63,18 +63,18 @@ def _walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         last = int(r.sequence)
         status = fault if fault and status == "healthy" else status
         out.append((key[0], r.event_id, r.sequence, fault))
-    state.update((last, ids[-REMEMBERED:], status))
+    state.update((last, ids, status))
     state.setTimeoutDuration(STALE_MS)
     yield pd.DataFrame(out, columns=["stream_id", "event_id", "sequence", "fault"])
 
 
-#: Event ids that a stream's state keeps, and the silence after which a stream is stale.
-REMEMBERED, STALE_MS = 10_000, 600_000
+#: The silence after which a stream is stale.
+STALE_MS = 600_000
 
 
 def stream_faults(observations: DataFrame) -> DataFrame:
-    """with_faults as a streaming job: state by stream is the last sequence and the ids of its last REMEMBERED events; a
-    timer tells of silence (fault stale, no event). Rows of one stream must share a type of event_id (long)."""
+    """with_faults as a streaming job: state by stream is the last sequence and the ids of all its events, so it
+    grows with them and is written anew by each micro-batch; a timer tells of silence (fault stale, no event). Rows of one stream must share a type of event_id (long)."""
     return observations.groupBy("stream_id").applyInPandasWithState(_walk, "stream_id string, event_id long, sequence long, fault string", "last long, ids array<long>, status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
