@@ -52,25 +52,25 @@ def _frame(w: Window, first: int, last: int = 0) -> Window:
 
 
 def _past(n: int) -> Callable[[Window], Column]:
-    return lambda w: F.col("close") / F.lag("close", n).over(w) - 1
+    return lambda w: F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1
 
 
 def _register() -> None:
     close, volume, value = ("close",), ("volume",), ("close", "traded_value")
     add = lambda name, inputs, n, build: REGISTRY.add(FeatureSpec(name, "v1", inputs, n, build))
-    add("reversal_1", close, 2, lambda w: -(F.col("close") / F.lag("close", 1).over(w) - 1))
+    add("reversal_1", close, 2, lambda w: -(F.try_divide(F.col("close"), F.lag("close", 1).over(w)) - 1))
     for n in (5, 20, 60):
         add(f"momentum_{n}", close, n + 1, _past(n))
     add("realized_volatility_20", close, 21, lambda w: F.stddev_samp("_return").over(_frame(w, -19)))
     add("downside_volatility_20", close, 21, lambda w: F.sqrt(F.avg(F.pow(F.least("_return", F.lit(0.0)), 2)).over(_frame(w, -19))))
     add("average_traded_value_20", ("traded_value",), 20, lambda w: F.avg("traded_value").over(_frame(w, -19)))
-    add("volume_activity_proxy_20", volume, 20, lambda w: F.col("volume") / F.avg("volume").over(_frame(w, -19)))
-    add("amihud_illiquidity_20", value, 21, lambda w: F.avg(F.abs("_return") / F.nullif("traded_value", F.lit(0.0))).over(_frame(w, -19)))
-    add("overnight_return", ("open", "close"), 2, lambda w: F.col("open") / F.lag("close", 1).over(w) - 1)
+    add("volume_activity_proxy_20", volume, 20, lambda w: F.try_divide(F.col("volume"), F.avg("volume").over(_frame(w, -19))))
+    add("amihud_illiquidity_20", value, 21, lambda w: F.avg(F.try_divide(F.abs("_return"), F.col("traded_value"))).over(_frame(w, -19)))
+    add("overnight_return", ("open", "close"), 2, lambda w: F.try_divide(F.col("open"), F.lag("close", 1).over(w)) - 1)
     add("intraday_return", ("open", "close"), 1, lambda w: F.col("close") / F.nullif("open", F.lit(0.0)) - 1)
-    add("price_to_moving_average_20", close, 20, lambda w: F.col("close") / F.avg("close").over(_frame(w, -19)) - 1)
-    add("distance_from_rolling_high_20", ("close", "high"), 20, lambda w: F.col("close") / F.max("high").over(_frame(w, -19)) - 1)
-    add("volume_surprise_20", volume, 21, lambda w: F.col("volume") / F.avg("volume").over(_frame(w, -20, -1)) - 1)
+    add("price_to_moving_average_20", close, 20, lambda w: F.try_divide(F.col("close"), F.avg("close").over(_frame(w, -19))) - 1)
+    add("distance_from_rolling_high_20", ("close", "high"), 20, lambda w: F.try_divide(F.col("close"), F.max("high").over(_frame(w, -19))) - 1)
+    add("volume_surprise_20", volume, 21, lambda w: F.try_divide(F.col("volume"), F.avg("volume").over(_frame(w, -20, -1))) - 1)
 
 
 _register()
@@ -134,7 +134,7 @@ def row_factor_specs() -> dict[str, tuple[int, Callable[[Window], Column]]]:
     for n in (5, 10, 20, 60):
         out[f"momentum_{n}"] = (n + 1, _past(n))
     for n in (3, 5, 10):
-        out[f"reversal_{n}"] = (n + 1, lambda w, n=n: -(F.col("close") / F.lag("close", n).over(w) - 1))
+        out[f"reversal_{n}"] = (n + 1, lambda w, n=n: -(F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1))
     for n in (5, 10, 20):
         out[f"volatility_{n}"] = (n + 1, lambda w, n=n: F.stddev_samp("_log").over(_frame(w, 1 - n)) * F.sqrt(F.lit(252.0)))
     for n in (5, 20):

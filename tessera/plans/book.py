@@ -173,7 +173,7 @@ def benchmark_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = b.groupBy("instrument_id").agg(F.count("*").alias("_c")).join(whole, F.col("_n") == F.col("_c")).select("instrument_id")
     levels = b.groupBy("trade_date").agg(F.avg("close").alias("level"))
     w = Window.partitionBy("run_id").orderBy("trade_date")
-    returns = b.join(full, "instrument_id").select(F.col("instrument_id").alias("run_id"), "trade_date", "close").withColumn("ret", F.col("close") / F.lag("close").over(w) - 1).where("ret is not null").drop("close")
+    returns = b.join(full, "instrument_id").select(F.col("instrument_id").alias("run_id"), "trade_date", "close").withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).where("ret is not null").drop("close")
     return rounded(portfolio.benchmark_stats(portfolio.align_benchmark(returns, levels)), 4)
 
 
@@ -208,7 +208,7 @@ def reservation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_bars(spark, sf_dir).select(F.col("trade_date").alias("decision_time"), "instrument_id", F.when(F.col("volume") % 5 != 0, F.round(F.col("close") / F.col("open") - 1, 9)).alias("prediction"))
+    return event_bars(spark, sf_dir).select(F.col("trade_date").alias("decision_time"), "instrument_id", F.when(F.col("volume") % 5 != 0, F.round(F.try_divide("close", "open") - 1, 9)).alias("prediction"))
 
 
 def top_k_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +375,7 @@ _BB = f"WITH {BRAND_BARS}"
 _EB = f"WITH {EVENT_BARS}"
 _FF = f"WITH {_FILLS}"
 _CUM = "CASE WHEN {c} = 0 THEN 0 ELSE ceil(greatest(CAST({c} * 0.001425 AS DECIMAL(30,8)), 20)) END"
-_PRED = f"{_EB}, pred AS (SELECT trade_date AS decision_time, instrument_id, CASE WHEN volume % 5 <> 0 THEN round(close / open - 1, 9) END AS p FROM bars), rk AS (SELECT *, CASE WHEN p IS NOT NULL THEN row_number() OVER (PARTITION BY decision_time ORDER BY p IS NULL, p DESC, instrument_id) END AS rank, count(p) OVER (PARTITION BY decision_time) AS n FROM pred)"
+_PRED = f"{_EB}, pred AS (SELECT trade_date AS decision_time, instrument_id, CASE WHEN volume % 5 <> 0 THEN round(close / nullif(open, 0) - 1, 9) END AS p FROM bars), rk AS (SELECT *, CASE WHEN p IS NOT NULL THEN row_number() OVER (PARTITION BY decision_time ORDER BY p IS NULL, p DESC, instrument_id) END AS rank, count(p) OVER (PARTITION BY decision_time) AS n FROM pred)"
 _TOP8 = _PRED + ", t AS (SELECT *, coalesce(rank <= 8, false) AS selected, CASE WHEN rank <= 8 THEN least(0.95 / least(8, n), 0.2) ELSE 0 END AS weight FROM rk)"
 
 

@@ -45,10 +45,17 @@ _FEATURE_SQL = {
 }
 
 
+#: The inputs of each feature that must be above zero; volume and traded value have reasons of their own.
+_FEATURE_PRICES = {"overnight_return": ("open", "close"), "intraday_return": ("open", "close"), "distance_from_rolling_high_20": ("close", "high"), "average_traded_value_20": (), "volume_activity_proxy_20": (), "volume_surprise_20": ()}
+
+
 def _feature_sql(name: str) -> str:
     value, n = _FEATURE_SQL[name]
     own = f"(PARTITION BY instrument_id ORDER BY session_idx ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return f"""SELECT instrument_id, trade_date AS decision_date, '{name}' AS feature_name, {value} AS raw, session_idx, count(close) OVER {own} AS have, {n} AS need
+    prices = _FEATURE_PRICES.get(name, ("close",))
+    low = f"coalesce(min(least({', '.join(prices)})) OVER {own} <= 0, false)" if prices else "false"
+    poor = f"coalesce(min(traded_value) OVER {own} <= 0, false)" if "traded_value" in value else "false"
+    return f"""SELECT instrument_id, trade_date AS decision_date, '{name}' AS feature_name, {value} AS raw, session_idx, count(close) OVER {own} AS have, {n} AS need, {low} AS low_price, {poor} AS low_value
     FROM moved WINDOW w AS (PARTITION BY instrument_id ORDER BY session_idx), w20 AS (PARTITION BY instrument_id ORDER BY session_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""
 
 
@@ -58,7 +65,8 @@ _MOVED = EVENT_BARS + ", moved AS (SELECT *, close / lag(close, 1) OVER (PARTITI
 def _features_sql(names: tuple[str, ...]) -> str:
     return f"""WITH {_MOVED}, found AS ({' UNION ALL '.join(map(_feature_sql, names))}),
 features AS (SELECT instrument_id, decision_date, feature_name,
-       CASE WHEN session_idx < need THEN 'insufficient_lookback' WHEN have < need THEN 'provider_missing_or_suspended_session' END AS invalid_reason, raw
+       CASE WHEN session_idx < need THEN 'insufficient_lookback' WHEN have < need THEN 'provider_missing_or_suspended_session'
+            WHEN low_price THEN 'non_positive_price_input' WHEN low_value THEN 'non_positive_traded_value' END AS invalid_reason, raw
   FROM found)"""
 
 
@@ -86,7 +94,8 @@ def _labels_sql(ahead: int, exit_price: str, relative: bool) -> str:
     return f"""{EVENT_BARS}, market AS (SELECT trade_date, avg(open) AS open, avg(close) AS close FROM bars GROUP BY 1),
 labels AS (
   SELECT g.instrument_id, g.trade_date AS decision_date, de.trade_date AS entry_date, dx.trade_date AS exit_date,
-         CASE WHEN dx.trade_date IS NULL THEN 'insufficient_future_sessions' WHEN e.open IS NULL OR x.px IS NULL THEN 'missing_or_suspended_observation' END AS invalid_reason,
+         CASE WHEN dx.trade_date IS NULL THEN 'insufficient_future_sessions' WHEN e.open IS NULL OR x.px IS NULL THEN 'missing_or_suspended_observation'
+              WHEN e.open <= 0 THEN 'unexecutable_entry_observation' WHEN x.px <= 0 THEN 'unexecutable_exit_observation' END AS invalid_reason,
          {off} AS raw_label, x.px / e.open - 1 AS raw_return, mx.px / me.open - 1 AS benchmark_return
   FROM grid g
   LEFT JOIN days de ON de.session_idx = g.session_idx + 1 LEFT JOIN days dx ON dx.session_idx = g.session_idx + 1 + {ahead}

@@ -249,7 +249,7 @@ findings AS (
   UNION ALL SELECT 'warning', 'MISSING_LISTING_DATE', instrument_id, NULL FROM (SELECT DISTINCT instrument_id FROM bars) WHERE CAST(instrument_id AS INT) % 4 = 1
   UNION ALL SELECT 'warning', 'MISSING_TRADING_DAY', instrument_id, trade_date FROM grid WHERE close IS NULL)"""
 _SUP = f"""WITH {_MOVED}, f AS ({' UNION ALL '.join(map(_feature_sql, _NAMES))}),
-wide AS (SELECT instrument_id, decision_date, {', '.join(f"max(raw) FILTER (feature_name = '{n}' AND session_idx >= need AND have >= need) AS f{i}" for i, n in enumerate(_NAMES))} FROM f GROUP BY 1, 2),
+wide AS (SELECT instrument_id, decision_date, {', '.join(f"max(raw) FILTER (feature_name = '{n}' AND session_idx >= need AND have >= need AND NOT low_price) AS f{i}" for i, n in enumerate(_NAMES))} FROM f GROUP BY 1, 2),
 {_labels_sql(2, 'open', False).split(EVENT_BARS)[1].lstrip(', ')},
 sup AS (SELECT l.instrument_id, l.decision_date, l.entry_date, l.exit_date, f0, f1, f2, CASE WHEN l.invalid_reason IS NULL THEN raw_label END AS label_value,
   concat_ws(';', 'invalid_label:' || l.invalid_reason, {', '.join(f"CASE WHEN f{i} IS NULL THEN 'missing_or_invalid_feature:{n}' END" for i, n in enumerate(_NAMES))}) AS reason FROM labels l JOIN wide USING (instrument_id, decision_date)),
