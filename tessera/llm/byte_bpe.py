@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,7 @@ class Codec:
 
     def __init__(self, ranks: bytes, pattern: str) -> None:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+        self.pattern = pattern
         self.split = regex.compile(pattern).findall
         self.piece = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})._encode_single_piece
         self.tokens = [b""] * (max(table.values()) + 1)
@@ -68,13 +68,11 @@ class Codec:
         return [0, *(ends if last else ends[ends <= len(text) - UNSURE]).tolist()]
 
 
-@lru_cache(1)
-def _made(ranks: bytes, pattern: str) -> Codec:
-    return Codec(ranks, pattern)
-
-
 def codec_of(shared: Broadcast, pattern: str) -> Codec:
-    return _made(shared.value, pattern)
+    """The codec of a broadcast rank file; it is kept beside the broadcast, which a worker keeps from task to task."""
+    if getattr(shared, "codec", None) is None or shared.codec.pattern != pattern:
+        shared.codec = Codec(shared.value, pattern)
+    return shared.codec
 
 
 def shared_ranks(df: DataFrame, path: str) -> Broadcast:

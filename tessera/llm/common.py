@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,13 +75,24 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return begin, end, np.searchsorted(begin, starts)
 
 
-@lru_cache(1)
+class Kept(dict):
+    """What a worker remembers between batches. It travels empty, and as a plain value: executors need no copy of the package."""
+
+    def __reduce__(self) -> tuple:
+        return Kept, ()
+
+
+_POWERS = Kept()
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    power = np.full(size + 1, _ODD, np.uint64)
-    back = np.full(size + 1, np.uint64(pow(int(_ODD), -1, 1 << 64)), np.uint64)
-    power[0] = back[0] = 1
-    return np.multiply.accumulate(power), np.multiply.accumulate(back)
+    """Powers of an odd number and of its inverse, modulo 2**64; at least `size` of each."""
+    if len(_POWERS.get("power", ())) <= size:
+        power = np.full(size + 1, _ODD, np.uint64)
+        back = np.full(size + 1, np.uint64(pow(int(_ODD), -1, 1 << 64)), np.uint64)
+        power[0] = back[0] = 1
+        _POWERS["power"], _POWERS["back"] = np.multiply.accumulate(power), np.multiply.accumulate(back)
+    return _POWERS["power"], _POWERS["back"]
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -146,25 +158,34 @@ def text_digest() -> Column:
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A session in one process may do without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (root or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")).rstrip("/")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path below the shared folder."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the shared folder and read back from there."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints")
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write the rows once as Parquet in the shared folder and read them from there."""
-    path = shared_folder(df.sparkSession)
+    """Write the rows once as Parquet in the shared folder and read them from there. The files go when the application ends."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(spark: SparkSession, least: int = 16) -> int:

@@ -1,9 +1,10 @@
 """Operator 7: remove passages that recur anywhere, located by phrase automata.
 
-Passages that may recur (see repeats.py) meet in the shard of their key. There the
-windows seen at least twice are confirmed, compiled into an Aho-Corasick automaton
-over word numbers, and all segments of the shard are streamed through it, which
-finds every occurrence.
+Segments that may recur (see repeats.py) meet in the bucket of their key, where the
+windows that occur twice or more confirm the passages: maximal runs of such windows.
+The passages go to the teams of documents that hold some of their keys; each team
+compiles its own into Aho-Corasick automata, and all its documents are streamed
+through them, which finds every occurrence.
 """
 
 from __future__ import annotations
@@ -16,40 +17,100 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from tessera.llm.common import SPACES, doc_back, doc_key, flat_text, ids_of, text_digest, tidied, words_of
-from tessera.llm.repeats import Windows, marked, opened, recurring_spans, with_copies
+from tessera.llm.common import SPACES, doc_back
+from tessera.llm.repeats import Verdicts, Windows, judged, opened
 
-#: Patterns in one automaton; more are spread over several, each streamed in turn.
+#: Passages in one automaton; more are spread over several, each streamed in turn.
 PATTERNS = 10_000
 
+#: Words to an automaton are two letters of this many; 0 stands for words that no passage has.
+LETTERS = 1 << 9
 
-def locate_phrases(segments: list[bytes], times: np.ndarray, length: int) -> Iterator[tuple[int, bytes]]:
-    """For each segment with windows of `length` words that occur twice or more: runs (first word, end word, 0)."""
-    number: dict[bytes, int] = {}
-    words = [tuple(number.setdefault(w, len(number)) for w in seg.split(b" ")) for seg in segments]
+
+def confirmed_passages(segments: list[bytes], times: np.ndarray, length: int) -> Iterator[tuple[int, bytes]]:
+    """For each segment with windows of `length` words that occur twice or more: its passages, one per line."""
     seen: Counter = Counter()
-    for own, n in zip(words, times.tolist(), strict=True):
-        for i in range(len(own) - length + 1):
-            seen[hash(own[i : i + length])] += n
-    # A hash that comes twice is a candidate; the automaton's own count confirms it below.
-    patterns = list(dict.fromkeys(own[i : i + length] for own in words for i in range(len(own) - length + 1) if seen[hash(own[i : i + length])] > 1))
-    starts: list[list[int]] = [[] for _ in segments]
-    for at in range(0, len(patterns), PATTERNS):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for k, pattern in enumerate(patterns[at : at + PATTERNS]):
-            automaton.add_word(pattern, k)
-        automaton.make_automaton()
-        hits = [(s, end - length + 1, k) for s, own in enumerate(words) for end, k in automaton.iter(own)]
-        total = np.bincount([k for _, _, k in hits], [times[s] for s, _, _ in hits], minlength=1)
-        for s, start, k in hits:
-            if total[k] > 1:
-                starts[s].append(start)
-    for s, own in enumerate(starts):
-        if own:
-            own.sort()
-            cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1] + 1), len(own)]
-            yield s, np.array([(own[a], own[b - 1] + length, 0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "<i8").tobytes()
+    edges = []
+    for own, n in zip(segments, times.tolist(), strict=True):
+        gaps = np.flatnonzero(np.frombuffer(own, np.uint8) == 32)
+        edges.append((np.concatenate([[0], gaps + 1]).tolist(), [*gaps.tolist(), len(own)]))
+        for a, b in zip(edges[-1][0], edges[-1][1][length - 1 :], strict=False):
+            seen[own[a:b]] += n
+    for i, (own, (first, last)) in enumerate(zip(segments, edges, strict=True)):
+        twice = np.array([seen[own[a:b]] > 1 for a, b in zip(first, last[length - 1 :], strict=False)], np.int8)
+        if twice.any():
+            runs = np.flatnonzero(np.diff(twice, prepend=0, append=0)).reshape(-1, 2).tolist()
+            yield i, b"\n".join(own[first[a] : last[b + length - 2]] for a, b in runs)
+
+
+class Automata:
+    """Passages compiled for streaming. A word is two letters from separate alphabets, so nodes have few children and
+    matches begin at words only."""
+
+    def __init__(self, passages: list[bytes]) -> None:
+        self.code: dict[bytes, str] = {}
+        self.made = []
+        for at in range(0, len(passages), PATTERNS):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for passage in passages[at : at + PATTERNS]:
+                words = passage.split(b" ")
+                for w in words:
+                    if w not in self.code:
+                        n = len(self.code)
+                        self.code[w] = chr(1 + n // LETTERS) + chr(0x20000 + n % LETTERS)
+                automaton.add_word("".join([self.code[w] for w in words]), len(words))
+            automaton.make_automaton()
+            self.made.append(automaton)
+
+    def covered(self, words: list[bytes]) -> np.ndarray:
+        """Which of the words lie in an occurrence of a passage."""
+        code = self.code
+        stream = "".join([code.get(w, "\0\0") for w in words])
+        hits = [(end, size) for automaton in self.made for end, size in automaton.iter(stream)]
+        if not hits:
+            return np.zeros(len(words), bool)
+        end, size = np.array(hits, np.int64).T
+        end = (end + 1) // 2
+        change = np.bincount(end - size, minlength=len(words) + 1) - np.bincount(end, minlength=len(words) + 1)
+        return np.cumsum(change)[: len(words)] > 0
+
+
+def _judged(docs: DataFrame, length: int, carry: list[str]) -> DataFrame:
+    """doc_id (a key that is never null), n_words, n_removed, removed, kept, and rest with the columns of `carry`."""
+    how = Windows("word", length, max(1, length * 8 // 35))
+
+    def exact(segments, least, times):
+        return confirmed_passages(segments, times, length)
+
+    def apply(team: pa.Table, copies: dict, told: Verdicts, buckets: int) -> pa.Table:
+        passages = sorted({p for made in told.made.values() for p in made.split(b"\n")})
+        automata = Automata(passages)
+        rows: dict[str, list] = {"n_words": [], "n_removed": [], "removed": [], "kept": []}
+        for part in opened(team, 1 << 20):
+            for digest, text in zip(part.column(2).to_pylist(), part.column(part.schema.get_field_index("text")).to_pylist(), strict=True):
+                words = text.split()
+                if copies.get(digest, (0, 1))[1] > 1 and len(words) >= length:
+                    gone = np.ones(len(words), bool)
+                elif passages and len(words) >= length:
+                    gone = automata.covered(words)
+                else:
+                    gone = np.zeros(0, bool)
+                if gone.any():
+                    change = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
+                    left = [w for a, b in zip([0, *(x[1] for x in change)], [*(x[0] for x in change), len(words)], strict=True) for w in words[a:b]]
+                else:
+                    change, left = [], words
+                for k, v in (("n_words", len(words)), ("n_removed", len(words) - len(left)), ("removed", change), ("kept", b" ".join(left))):
+                    rows[k].append(v)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
+        made = [pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]
+        return pa.table([team["doc_id"], *made[:3], made[3].cast(pa.string()), team["rest"]], names=["doc_id", *rows, "rest"])
+
+    rest = docs.select(F.struct(F.lit(0).alias("_"), *(docs[c] for c in carry)).alias("rest")).schema["rest"]
+    schema = StructType().add("doc_id", LongType()).add("n_words", LongType()).add("n_removed", LongType()).add("removed", ArrayType(ArrayType(LongType()))).add("kept", StringType()).add(rest)
+    return judged(docs, how, exact, apply, schema, carry)
 
 
 def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
@@ -60,61 +121,18 @@ def phrase_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
     also start anywhere else, in the same document or another; all copies go. Null texts have no words;
     null and repeated doc_ids count as documents of their own; other columns are ignored.
     """
-    return _judged(docs, length).drop("digest").withColumn("doc_id", doc_back())
-
-
-def _judged(docs: DataFrame, length: int) -> DataFrame:
-    """The columns of phrase_dedup with doc_id as a key that is never null, and the digest of the text."""
-    how = Windows("word", length, max(1, length * 8 // 35))
-    texts = with_copies(docs)
-    first = texts.where(F.col("first") == F.col("doc_id"))
-
-    def exact(segments, least, times):
-        return locate_phrases(segments, times, length)
-
-    spans = recurring_spans(first, how, exact)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in opened(batch, 1 << 20):
-                rows: dict[str, list] = {"n_words": [], "n_removed": [], "removed": [], "kept": []}
-                copies, places, lists = ids_of(part, "copies"), ids_of(part, "place"), part.column(2)
-                data, starts = flat_text(part.column(1))
-                begin, end, edge = words_of(data, starts)
-                whole = data.tobytes()
-                for i in range(part.num_rows):
-                    lo, hi = edge[i], edge[i + 1]
-                    if copies[i] > 1 and hi - lo >= length:
-                        gone = np.ones(hi - lo, bool)
-                    elif lists[i].is_valid:
-                        gone = marked(lists, i, places[i], hi - lo)
-                    else:
-                        gone = np.zeros(hi - lo, bool)
-                    change = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                    if len(change):
-                        kept = b" ".join(whole[b:e] for b, e in zip(begin[lo:hi][~gone].tolist(), end[lo:hi][~gone].tolist(), strict=True))
-                    else:
-                        kept = b" ".join(whole[starts[i] : starts[i + 1]].split())
-                    for k, v in (("n_words", int(hi - lo)), ("n_removed", int(gone.sum())), ("removed", change.tolist()), ("kept", kept)):
-                        rows[k].append(v)
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
-                made = [pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), *made[:3], made[3].cast(pa.string())], names=["doc_id", "digest", *rows])
-
-    met = texts.join(spans, "node", "left").select("doc_id", "packed", "spans", "copies", "place", "digest")
-    return met.mapInArrow(tidied(apply), "doc_id long, digest binary, n_words long, n_removed long, removed array<array<long>>, kept string")
+    return _judged(docs, length, []).drop("rest").withColumn("doc_id", doc_back())
 
 
 def without_phrases(docs: DataFrame, length: int = 35) -> DataFrame:
     """The documents with what phrase_dedup keeps as their text, n_chars counted anew; other columns as they came.
 
     Each row takes what its own text keeps, whatever other rows share its doc_id; rows that lose no word keep
-    their text as it is."""
-    own = _judged(docs, length).where("n_removed > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_text")).agg(F.min("kept").alias("kept"))
-    met = docs.join(own, (doc_key() == own["_doc"]) & (text_digest() == own["_text"]), "left")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept"))
-    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return met.select(*(changed[c].alias(c) if c in changed else docs[c] for c in docs.columns))
+    their text as it is, null included."""
+    own = _judged(docs, length, docs.columns)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("rest.text"))
+    changed = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))} if "n_chars" in docs.columns else {})
+    return own.select(*((changed[c] if c in changed else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
 def digest(df: DataFrame) -> DataFrame:

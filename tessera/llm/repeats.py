@@ -3,26 +3,40 @@
 Each window (50 bytes, or 35 words) is represented by the least hash among the
 shorter grams inside it, so equal windows always share that key. A run of
 neighbouring windows with one key is a segment. Only keys seen more than once
-are followed up: their segments go to the shard of the key, an exact method
-decides there which windows recur, and the verdicts return to every occurrence.
-
-Rows are dealt by document, by key or by segment, never by source or group of
-copies. A batch sends each key once, and each distinct segment once, so a passage
-that a third of all documents hold arrives once per batch and not once per
-document.
+are followed up: their segments go to the bucket of their key, an exact method
+decides there which windows recur, and the verdicts return.
+
+Documents are dealt into teams of a few megabytes. Teams tell buckets what they
+hold (digests of whole texts, keys, segments), each thing once, and buckets answer
+the teams that told it. So a text or passage that a third of all documents hold is
+one entry per team, never a row per document, and nothing is looked up row by row.
+Segments of a key that occurs very often are cut into single windows, each with a
+key of its own, so no bucket has to hold all the contexts of a common gram.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
+
+from tessera.llm.common import doc_key, flat_text, ids_of, mix, pieces_of, sliding_min, span_hashes, spread, tidied, words_of
+
+#: Bytes of text of a team, and of the texts whose keys fill a bucket (segments of the same texts take about as much).
+TEAM, BUCKET = 8 << 20, 8 << 20
 
-from tessera.llm.common import NULL_ID, doc_key, flat_text, ids_of, mix, pieces_of, sliding_min, span_hashes, spread, text_digest, tidied, tidied_group, words_of
+#: Occurrences from which the windows of a key are dealt one by one.
+HOT = 4_096
+
+#: What teams and buckets send one another.
+MESSAGE = "team int, bucket int, kind int, parts array<binary>"
+COPIES, FOLLOWED, VERDICTS = range(3)
 
 
 @dataclass(frozen=True)
@@ -36,17 +50,20 @@ class Windows:
 
 @dataclass
 class Cut:
-    """The segments of a batch: key, row, first unit within the row, windows, the byte span, and whether the
+    """The segments of flat text: key, row, first unit (counted over all rows), windows, the byte span, and whether the
     gram of the key comes again within the segment (told for words only; bytes have no use for it)."""
 
     key: np.ndarray
     row: np.ndarray
-    unit: np.ndarray
+    at: np.ndarray
     windows: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     again: np.ndarray
 
+    def where(self, keep: np.ndarray) -> Cut:
+        return Cut(*(x[keep] for x in (self.key, self.row, self.at, self.windows, self.begin, self.end, self.again)))
+
 
 def _again(grams: np.ndarray, least: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the grams from `at` on, `size` of them, hold the value `least` twice or more."""
@@ -81,13 +98,13 @@ def _byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
     return out
 
 
-def cut_segments(data: np.ndarray, starts: np.ndarray, how: Windows) -> Cut:
-    """Segments of all rows of flat text. Rows shorter than a window have none."""
+def cut_segments(data: np.ndarray, starts: np.ndarray, how: Windows, words: tuple | None = None) -> Cut:
+    """Segments of all rows of flat text. Rows shorter than a window have none. words: what words_of returns, if known."""
     if how.unit == "byte":
         begin, end, first = None, None, starts
         units = len(data)
     else:
-        begin, end, first = words_of(data, starts)
+        begin, end, first = words or words_of(data, starts)
         units = len(begin)
     none = np.zeros(0, np.int64)
     if units < how.length:
@@ -112,7 +129,16 @@ def cut_segments(data: np.ndarray, starts: np.ndarray, how: Windows) -> Cut:
     last = at + count + how.length - 1
     spans = (at, last) if begin is None else (begin[at], end[last - 1])
     again = _again(grams, least[at], at, count + how.length - how.gram) if how.unit == "word" and len(at) else np.zeros(len(at), bool)
-    return Cut(least[at], row, at - first[row], count, *spans, again)
+    return Cut(least[at], row, at, count, *spans, again)
+
+
+def single_windows(cut: Cut, data: np.ndarray, how: Windows, words: tuple | None) -> Cut:
+    """Each window as a segment of its own, whose key is the hash of the whole window."""
+    row = np.repeat(cut.row, cut.windows)
+    at = np.arange(len(row)) + np.repeat(cut.at - (np.cumsum(cut.windows) - cut.windows), cut.windows)
+    begin, end = (at, at + how.length) if how.unit == "byte" else (words[0][at], words[1][at + how.length - 1])
+    key = _gram_hashes(data.astype(np.uint64), how.length)[at] if how.unit == "byte" else _gram_hashes(span_hashes(data, *words[:2]), how.length)[at]
+    return Cut(key, row, at, np.ones(len(row), np.int64), begin, end, np.zeros(len(row), bool))
 
 
 def segment_bytes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, unit: str) -> list[bytes]:
@@ -123,273 +149,328 @@ def segment_bytes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, unit: st
     return [b" ".join(whole[b:e].split()) for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
-_KEY_BYTES = 5
+def _low(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of a key, and the 32 bits by which it is known there: chance pairs cost work and change no result."""
+    return (key % np.uint64(buckets)).astype(np.int64), (key // np.uint64(buckets)).astype(np.uint32)
 
 
-def _postings(how: Windows, buckets: int) -> Callable:
-    """Per batch and bucket: its keys, each once, with the node of a document that holds it. Documents of a key that the
-    batch itself repeats are told at once: `sure` has int64 triples (node, low part, bucket), dealt by node."""
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, stop) of each run of equal values."""
+    edges = np.flatnonzero(np.concatenate([[len(values) > 0], values[1:] != values[:-1]]))
+    return zip(values[edges].tolist(), edges.tolist(), np.append(edges, len(values))[1:].tolist(), strict=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found_key, found_doc = [], []
-            for part in opened(batch):
-                data, starts = flat_text(part.column(part.schema.get_field_index("text")))
-                cut = cut_segments(data, starts, how)
-                found_key += [cut.key, cut.key[cut.again]]
-                found_doc += [(own := ids_of(part, "node")[cut.row]), own[cut.again]]
-            if not found_key:
-                continue
-            key, doc = np.concatenate(found_key), np.concatenate(found_doc)
-            if not len(key):
-                continue
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = key[1:] != key[:-1]
-            group = np.cumsum(fresh) - 1
-            many = np.bincount(group)[group] > 1
-            out: dict = {"bucket": [], "keys": [], "docs": [], "refs": [], "sure": []}
-            if many.any():
-                low, bucket = _low(key[many], buckets)
-                sure = np.unique(np.stack([doc[many], low.view(np.int64), bucket.view(np.int64)], 1), axis=0)
-                to = sure[:, 0] % buckets
-                for b in np.unique(to).tolist():
-                    for k, v in zip(out, (b, b"", [], b"", sure[to == b].tobytes()), strict=True):
-                        out[k].append(v)
-            key, doc = key[fresh], doc[fresh]
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            key, doc, bucket = key[order], doc[order], bucket[order]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(key)], strict=True):
-                docs, refs = np.unique(doc[lo:hi], return_inverse=True)
-                low = (key[lo:hi] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
-                for k, v in zip(out, (int(bucket[lo]), low.tobytes(), docs, refs.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), b""), strict=True):
-                    out[k].append(v)
-            kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return run
+def messages(rows: list[tuple[int, int, int, list[bytes]]]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.binary()))
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["team", "bucket", "kind", "parts"])
 
 
-_POSTINGS = "bucket int, keys binary, docs array<long>, refs binary, sure binary"
+def _each(table: pa.Table, kind: int | None = None) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(team, bucket, parts) of the messages of a kind."""
+    for team, bucket, own, parts in zip(*(table[c].to_pylist() for c in ("team", "bucket", "kind", "parts")), strict=True):
+        if kind is None or own == kind:
+            yield team, bucket, parts
 
 
-def _low(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The part of a key that postings carry, and its bucket."""
-    return (key // np.uint64(buckets)) & np.uint64((1 << (8 * _KEY_BYTES)) - 1), key % np.uint64(buckets)
-
-
-def _recurring(table: pa.Table) -> pa.Table:
-    """Of one bucket: (node, low part of the key, bucket of the key) of each posting whose key came from
-    several batches, and of what was sure before."""
-    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for blob, own, refs in zip(table["keys"].to_pylist(), table["docs"].to_pylist(), table["refs"].to_pylist(), strict=True):
-        raw = np.frombuffer(blob, np.uint8).reshape(-1, _KEY_BYTES)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :_KEY_BYTES] = raw
-        keys.append(wide.view("<u8")[:, 0])
-        docs.append(np.array(own, np.int64)[np.frombuffer(refs, np.uint16 if len(own) < 65536 else np.uint32)])
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    order = np.argsort(key)
-    key, doc = key[order], doc[order]
-    same = key[1:] == key[:-1]
-    many = np.zeros(len(key), bool)
-    many[1:] |= same
-    many[:-1] |= same
-    sure = np.frombuffer(b"".join(table["sure"].to_pylist()), np.int64).reshape(-1, 3)
-    bucket = np.full(int(many.sum()), table["bucket"][0].as_py(), np.int64)
-    return pa.table({"node": np.append(doc[many], sure[:, 0]), "low": np.append(key[many].view(np.int64), sure[:, 1]), "bucket": np.append(bucket, sure[:, 2]).astype(np.int32)})
-
-
-def followed_keys(docs: DataFrame, how: Windows, buckets: int) -> DataFrame:
-    """(node, followed array<struct<low long, bucket int>>): the keys of each node that occur elsewhere too.
-
-    Rows of one node follow the keys of all of them. A key shared by chance costs work later and never changes a result; a key that recurs is never missed."""
-    found = docs.select("node", "packed").mapInArrow(tidied(_postings(how, buckets)), _POSTINGS)
-    recurring = found.groupBy("bucket").applyInArrow(tidied_group(_recurring), "node long, low long, bucket int")
-    return recurring.groupBy("node").agg(F.collect_set(F.struct("low", "bucket")).alias("followed"))
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, digest, packed): the texts compressed, so that dealing them out moves less."""
+# --- teams -----------------------------------------------------------------------------------------------------------
+
+
+def in_teams(docs: DataFrame, teams: int, carry: list[str]) -> DataFrame:
+    """(team, doc_id, digest, packed, rest): the texts compressed, so that dealing them out moves less.
+
+    `rest` has the columns of `carry`. A team is told by doc_id and text; repeats of a row within a batch go to
+    the next teams, so that no row can fill one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(1).compress
         for batch in batches:
+            seen: dict[tuple[int, bytes], int] = {}
             for part in pieces_of(batch, "text", 4 << 20):
-                made = pa.array([squeeze(x) for x in part.column(3).cast(pa.binary()).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], made], names=["doc_id", "node", "digest", "packed"])
-
-    return docs.select("doc_id", "node", "digest", "text").mapInArrow(tidied(run), "doc_id long, node long, digest binary, packed binary")
-
-
-def opened(batch: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with `text` (binary) in place of `packed`."""
+                texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
+                digests = [hashlib.sha256(x).digest() for x in texts]
+                ids, team = ids_of(part), []
+                for doc, own in zip(ids.tolist(), digests, strict=True):
+                    n = seen[doc, own] = seen.get((doc, own), -1) + 1
+                    team.append((int.from_bytes(own[:6], "little") * 31 + (doc & 0xFFFFFFFFFFFF) * 0x9E3779B1 + n * 0x85EBCA6B >> 7) % teams)
+                made = [pa.array(team, pa.int32()), part.column(0), pa.array(digests, pa.binary()), pa.array(list(map(squeeze, texts)), pa.binary()), part.column(2)]
+                yield pa.RecordBatch.from_arrays(made, names=["team", "doc_id", "digest", "packed", "rest"])
+
+    own = docs.select(doc_key().alias("doc_id"), "text", F.struct(F.lit(0).alias("_"), *(docs[c] for c in carry)).alias("rest"))
+    schema = StructType().add("team", IntegerType()).add("doc_id", LongType()).add("digest", BinaryType()).add("packed", BinaryType()).add(own.schema["rest"])
+    return own.mapInArrow(tidied(run), schema)
+
+
+def opened(table: pa.Table, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices of a team with `text` (binary) in place of `packed`."""
     expand = zstandard.ZstdDecompressor().decompress
-    for part in pieces_of(batch, "packed", most):
-        at = part.schema.get_field_index("packed")
-        yield part.set_column(at, "text", pa.array([expand(x) for x in part.column(at).to_pylist()], pa.binary()))
-
-
-def _followed(part: pa.RecordBatch, how: Windows, buckets: int) -> tuple[np.ndarray, Cut]:
-    """The bytes of a batch with only those of its segments whose key is followed in their document."""
-    data, starts = flat_text(part.column(part.schema.get_field_index("text")))
-    cut = cut_segments(data, starts, how)
-    lists = part.column(part.schema.get_field_index("followed"))
-    pairs = lists.flatten()
-    counts = np.diff(lists.offsets.to_numpy())
-    if not len(cut.key) or not len(pairs):
-        keep = np.zeros(len(cut.key), bool)
-    else:
-        row = np.repeat(np.arange(len(counts)), counts).astype(np.uint64)
-        wanted = mix(pairs.field(0).to_numpy().view(np.uint64) * np.uint64(buckets) + pairs.field(1).to_numpy().astype(np.uint64)) + mix(row + np.uint64(7))
-        low, bucket = _low(cut.key, buckets)
-        keep = np.isin(mix(low * np.uint64(buckets) + bucket) + mix(cut.row.astype(np.uint64) + np.uint64(7)), wanted)
-    return data, Cut(*(x[keep] for x in (cut.key, cut.row, cut.unit, cut.windows, cut.begin, cut.end, cut.again)))
-
+    for batch in table.to_batches():
+        for part in pieces_of(batch, "packed", most):
+            at = part.schema.get_field_index("packed")
+            yield part.set_column(at, "text", pa.array([expand(x) for x in part.column(at).to_pylist()], pa.binary()))
+
+
+def _tell_digests(buckets: int) -> Callable:
+    """The texts of a team, each once: digest, smallest doc_id, rows."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        team = docs["team"][0].as_py()
+        found: dict[bytes, list[int]] = {}
+        for digest, doc in zip(docs["digest"].to_pylist(), docs["doc_id"].to_pylist(), strict=True):
+            own = found.setdefault(digest, [doc, 0])
+            own[0], own[1] = min(own[0], doc), own[1] + 1
+        names = sorted(found, key=lambda x: (int.from_bytes(x[:6], "little") % buckets, x))
+        bucket = np.array([int.from_bytes(x[:6], "little") % buckets for x in names])
+        numbers = np.array([found[x] for x in names], np.int64)
+        return messages([(team, b, COPIES, [b"".join(names[lo:hi]), numbers[lo:hi].tobytes()]) for b, lo, hi in _runs(bucket)])
 
-_BLOCKS = "bucket int, keys binary, least binary, times binary, sizes binary, segments binary"
+    return run
 
 
-def _distinct(how: Windows, buckets: int) -> Callable:
-    """Each distinct segment of a batch once: its key, smallest document and number of occurrences, packed by bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(1).compress
-        for batch in batches:
-            have: dict[bytes, list[int]] = {}
-            for part in opened(batch):
-                data, cut = _followed(part, how, buckets)
-                weight = ids_of(part, "copies")
-                for seg, key, doc, n in zip(segment_bytes(data, cut.begin, cut.end, how.unit), cut.key.tolist(), ids_of(part)[cut.row].tolist(), weight[cut.row].tolist(), strict=True):
-                    old = have.get(seg)
-                    if old is None:
-                        have[seg] = [key, doc, n]
-                    else:
-                        old[1] = min(old[1], doc)
-                        old[2] += n
-            if not have:
-                continue
-            segments = list(have)
-            key = np.array([x[0] for x in have.values()], np.uint64)
-            rest = np.array([x[1:] for x in have.values()], np.int64)
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((key, bucket))
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            rows: list[tuple] = []
-            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
-                own = order[lo:hi]
-                texts = [segments[i] for i in own.tolist()]
-                rows.append((int(bucket[own[0]]), key[own].tobytes(), rest[own, 0].tobytes(), rest[own, 1].tobytes(), np.array([len(x) for x in texts], "<u4").tobytes(), squeeze(b"".join(texts))))
-            kinds = (pa.int32(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
+def _answer_digests(table: pa.Table) -> pa.Table:
+    """For each text with copies, to the teams that hold it: digest, smallest doc_id of all, rows of all."""
+    total: dict[bytes, list[int]] = {}
+    held: dict[int, list[bytes]] = {}
+    for team, _, (names, numbers) in _each(table):
+        for i, (doc, n) in enumerate(np.frombuffer(numbers, np.int64).reshape(-1, 2).tolist()):
+            digest = names[32 * i : 32 * i + 32]
+            own = total.setdefault(digest, [doc, 0])
+            own[0], own[1] = min(own[0], doc), own[1] + n
+            held.setdefault(team, []).append(digest)
+    bucket = table["bucket"][0].as_py()
+    rows = []
+    for team, names in held.items():
+        if many := [x for x in names if total[x][1] > 1]:
+            rows.append((team, bucket, COPIES, [b"".join(many), np.array([total[x] for x in many], np.int64).tobytes()]))
+    return messages(rows)
+
+
+def copies_of(answers: pa.Table) -> dict[bytes, list[int]]:
+    """digest -> (smallest doc_id, rows) of the texts that have copies."""
+    found = {}
+    for _, _, (names, numbers) in _each(answers, COPIES):
+        for i, own in enumerate(np.frombuffer(numbers, np.int64).reshape(-1, 2).tolist()):
+            found[names[32 * i : 32 * i + 32]] = own
+    return found
+
+
+def _standing(docs: pa.Table, copies: dict[bytes, list[int]]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """One row of the team for each text whose smallest doc_id it has; that doc_id, and the rows that the text counts for."""
+    seen, keep, doc, times = set(), [], [], []
+    for i, (digest, own) in enumerate(zip(docs["digest"].to_pylist(), docs["doc_id"].to_pylist(), strict=True)):
+        first, n = copies.get(digest, (own, 1))
+        if own == first and digest not in seen:
+            if n > 1:
+                seen.add(digest)
+            keep.append(i)
+            doc.append(first)
+            times.append(n)
+    return docs.select(["packed"]).take(pa.array(keep, pa.int64())), np.array(doc, np.int64), np.array(times, np.int64)
+
+
+def _tell_keys(how: Windows, buckets: int) -> Callable:
+    """The keys of a team, each once, and about how often it has them: 1 for once, n for less than 2**n times."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return messages([])
+        found = [np.zeros(0, np.uint64)]
+        for part in opened(_standing(docs, copies_of(answers))[0]):
+            cut = cut_segments(*flat_text(part.column(0)), how)
+            found += [cut.key, cut.key[cut.again]]
+        key, count = np.unique(np.concatenate(found), return_counts=True)
+        bucket, low = _low(key, buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, low, size = bucket[order], low[order], (np.floor(np.log2(count[order])) + 1).astype(np.uint8)
+        team = docs["team"][0].as_py()
+        return messages([(team, b, FOLLOWED, [low[lo:hi].tobytes(), size[lo:hi].tobytes()]) for b, lo, hi in _runs(bucket)])
 
     return run
 
 
-def _occurrences(how: Windows, buckets: int) -> Callable:
-    """Every occurrence of a followed segment: node and place of the row, first unit, and the segment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in opened(batch):
-                data, cut = _followed(part, how, buckets)
-                if len(cut.key):
-                    own = [pa.array(ids_of(part, "node")[cut.row]), pa.array(ids_of(part, "place")[cut.row].astype(np.int32)), pa.array(cut.unit.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(segment_bytes(data, cut.begin, cut.end, how.unit), pa.binary())], names=["node", "place", "at", "segment"])
+def _answer_keys(table: pa.Table) -> pa.Table:
+    """To each team those of its keys that occur more than once, and which of them are hot."""
+    teams, lows, sizes = [], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
+    for team, _, (low, size) in _each(table):
+        lows.append(np.frombuffer(low, np.uint32))
+        sizes.append(np.frombuffer(size, np.uint8))
+        teams.append(np.full(len(sizes[-1]), team))
+    low, size, team = np.concatenate(lows), np.concatenate(sizes), np.concatenate([np.zeros(0, np.int64), *teams])
+    order = np.argsort(low, kind="stable")
+    low, size, team = low[order], size[order], team[order]
+    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+    total = np.add.reduceat(np.left_shift(np.int64(1), size.astype(np.int64) - 1), first) if len(low) else np.zeros(0, np.int64)
+    total = np.repeat(total, np.diff(np.append(first, len(low))))
+    keep = total > 1
+    low, team, hot = low[keep], team[keep], total[keep] >= HOT
+    order = np.argsort(team, kind="stable")
+    low, team, hot = low[order], team[order], hot[order]
+    bucket = table["bucket"][0].as_py()
+    return messages([(t, bucket, FOLLOWED, [low[lo:hi].tobytes(), hot[lo:hi].tobytes()]) for t, lo, hi in _runs(team)])
+
+
+def _codes(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys a team follows as bucket * 2**32 + low, sorted, and which are hot."""
+    code, hot = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for _, bucket, (low, warm) in _each(answers, FOLLOWED):
+        code.append(np.frombuffer(low, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+        hot.append(np.frombuffer(warm, bool))
+    code, hot = np.concatenate(code), np.concatenate(hot)
+    order = np.argsort(code)
+    return code[order], hot[order]
+
+
+def _member(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in a sorted array, and where."""
+    if not len(of):
+        return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+    at = np.minimum(np.searchsorted(of, key), len(of) - 1)
+    return of[at] == key, at
+
+
+def followed_segments(data: np.ndarray, starts: np.ndarray, how: Windows, buckets: int, codes: np.ndarray, hot: np.ndarray) -> tuple[Cut, np.ndarray]:
+    """The segments whose key is among the codes, those of hot keys window by window, and the codes of the hot ones met."""
+    words = words_of(data, starts) if how.unit == "word" else None
+    cut = cut_segments(data, starts, how, words)
+    bucket, low = _low(cut.key, buckets)
+    own = low.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(32))
+    found, at = _member(own, codes)
+    warm = found & hot[at] if len(hot) else np.zeros(len(found), bool)
+    if not warm.any():
+        return cut.where(found), codes[:0]
+    parts = cut.where(found & ~warm), single_windows(cut.where(warm), data, how, words)
+    return Cut(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("key", "row", "at", "windows", "begin", "end", "again"))), np.unique(own[warm])
+
+
+def _tell_segments(how: Windows, buckets: int) -> Callable:
+    """The segments of followed keys of a team, each once: key, smallest doc_id, occurrences, text."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return messages([])
+        codes, hot = _codes(answers)
+        rows, docs_of, times_of = _standing(docs, copies_of(answers))
+        have: dict[bytes, list[int]] = {}
+        met, at = [np.zeros(0, np.uint64)], 0
+        for part in opened(rows):
+            data, starts = flat_text(part.column(0))
+            cut, warm = followed_segments(data, starts, how, buckets, codes, hot)
+            met.append(warm)
+            for seg, key, doc, n in zip(segment_bytes(data, cut.begin, cut.end, how.unit), cut.key.tolist(), docs_of[at + cut.row].tolist(), times_of[at + cut.row].tolist(), strict=True):
+                old = have.get(seg)
+                if old is None:
+                    have[seg] = [key, doc, n]
+                else:
+                    old[1] = min(old[1], doc)
+                    old[2] += n
+            at += part.num_rows
+        if not have:
+            return messages([])
+        segments = list(have)
+        key = np.array([x[0] for x in have.values()], np.uint64)
+        rest = np.array([x[1:] for x in have.values()], np.int64)
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((key, bucket))
+        warm, team = np.unique(np.concatenate(met)), docs["team"][0].as_py()
+        squeeze = zstandard.ZstdCompressor(1).compress
+        out = []
+        for b, lo, hi in _runs(bucket[order]):
+            own = order[lo:hi]
+            texts = [segments[i] for i in own.tolist()]
+            out.append((team, b, VERDICTS, [key[own].tobytes(), rest[own].tobytes(), np.array([len(x) for x in texts], "<u4").tobytes(), squeeze(b"".join(texts)), b"" if out else warm.tobytes()]))
+        return messages(out)
 
     return run
 
 
-def _shards(exact: Callable, most: int) -> Callable:
-    """Run `exact` over the segments of a bucket, in blocks of whole keys."""
+def _answer_segments(exact: Callable, block: int) -> Callable:
+    """Run `exact` over the segments of a bucket in blocks of whole keys, and tell each team what became of its segments."""
 
     def run(table: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor().decompress
-        groups: dict[int, dict[bytes, list[int]]] = {}
-        for row in table.to_batches():
-            for keys, least, times, sizes, blob in zip(*(row.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                texts, at = expand(blob), 0
-                for key, size, doc, n in zip(np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(sizes, "<u4").tolist(), np.frombuffer(least, np.int64).tolist(), np.frombuffer(times, np.int64).tolist(), strict=True):
-                    seg = texts[at : at + size]
-                    at += size
-                    old = groups.setdefault(key, {}).get(seg)
-                    if old is None:
-                        groups[key][seg] = [doc, n]
-                    else:
-                        old[0], old[1] = min(old[0], doc), old[1] + n
-        out: tuple[list, list] = ([], [])
-        block: dict[bytes, list[int]] = {}
-        size = 0
-
-        def flush() -> None:
-            segments = list(block)
-            numbers = np.array(list(block.values()), np.int64)
-            for i, spans in exact(segments, numbers[:, 0], numbers[:, 1]):
-                out[0].append(segments[i])
-                out[1].append(spans)
-
-        for own in groups.values():
-            block |= own
-            size += sum(map(len, own))
-            if size > most:
-                flush()
-                block, size = {}, 0
-        if block:
-            flush()
-        return pa.table({"segment": pa.array(out[0], pa.binary()), "spans": pa.array(out[1], pa.binary())})
+        number: dict[bytes, int] = {}
+        keys, least, times, held = [], [], [], []
+        for team, _, (own_keys, rest, sizes, blob, warm) in _each(table):
+            texts, at, mine = expand(blob), 0, []
+            for key, (doc, n), size in zip(np.frombuffer(own_keys, np.uint64).tolist(), np.frombuffer(rest, np.int64).reshape(-1, 2).tolist(), np.frombuffer(sizes, "<u4").tolist(), strict=True):
+                seg = texts[at : at + size]
+                at += size
+                i = number.setdefault(seg, len(number))
+                if i == len(keys):
+                    keys.append(key)
+                    least.append(doc)
+                    times.append(n)
+                else:
+                    least[i], times[i] = min(least[i], doc), times[i] + n
+                mine.append(i)
+            held.append((team, mine, warm))
+        segments, key, doc, count = list(number), np.array(keys, np.uint64), np.array(least, np.int64), np.array(times, np.int64)
+        order = np.argsort(key, kind="stable")
+        verdict: list[bytes | None] = [None] * len(segments)
+        start, size = 0, 0
+        for _, lo, hi in _runs(key[order].view(np.int64)):
+            size += sum(len(segments[i]) for i in order[lo:hi].tolist())
+            if size > block or hi == len(order):
+                own = order[start:hi]
+                for i, made in exact([segments[i] for i in own.tolist()], doc[own], count[own]):
+                    verdict[own[i]] = made
+                start, size = hi, 0
+        bucket, out = table["bucket"][0].as_py(), []
+        squeeze = zstandard.ZstdCompressor(1).compress
+        digest = [hashlib.md5(s, usedforsecurity=False).digest() if v is not None else b"" for s, v in zip(segments, verdict, strict=True)]
+        for team, mine, warm in held:
+            told = [i for i in mine if verdict[i] is not None]
+            if told or warm:
+                made = [verdict[i] for i in told]
+                out.append((team, bucket, VERDICTS, [key[told].tobytes(), b"".join(digest[i] for i in told), np.array([len(x) for x in made], "<u4").tobytes(), squeeze(b"".join(made)), warm]))
+        return messages(out)
 
     return run
 
 
-def _digest() -> Column:
-    """96 bits of a segment's MD5: verdicts and occurrences meet on it, and two of 10**12 segments share one by chance in 10**-5 of all cases."""
-    return F.substring(F.unhex(F.md5("segment")), 1, 12)
+@dataclass
+class Verdicts:
+    """What a team was told: the keys of its segments with a verdict (sorted), each segment's verdict by digest, and hot codes."""
 
+    keys: np.ndarray
+    made: dict[bytes, bytes]
+    hot: np.ndarray
 
-def recurring_spans(docs: DataFrame, how: Windows, exact: Callable, block: int = 1 << 20) -> DataFrame:
-    """(node, spans array<struct<place int, at int, spans binary>>) of rows with windows that recur.
 
-    docs: doc_id (never null), node, place, packed, copies (how many documents the row stands for); see with_copies. `exact(segments, least,
-    times)` yields (segment number, spans) for the segments in which windows recur; spans are little-endian
-    int64 triples (first unit, end unit, value), `at` is the segment's first unit in the row (node, place).
+def verdicts_of(answers: pa.Table) -> Verdicts:
+    expand = zstandard.ZstdDecompressor().decompress
+    keys, made, hot = [np.zeros(0, np.uint64)], {}, [np.zeros(0, np.uint64)]
+    for _, _, (key, digests, sizes, blob, warm) in _each(answers, VERDICTS):
+        keys.append(np.frombuffer(key, np.uint64))
+        hot.append(np.frombuffer(warm, np.uint64))
+        whole, at = expand(blob), 0
+        for i, size in enumerate(np.frombuffer(sizes, "<u4").tolist()):
+            made[digests[16 * i : 16 * i + 16]] = whole[at : at + size]
+            at += size
+    return Verdicts(np.unique(np.concatenate(keys)), made, np.unique(np.concatenate(hot)))
+
+
+def judged(docs: DataFrame, how: Windows, exact: Callable, apply: Callable, schema: StructType | str, carry: list[str] = (), block: int = 1 << 17) -> DataFrame:
+    """What `apply` returns for the documents of each team, given what `exact` found of their segments.
+
+    docs: doc_id, text, and the columns of `carry`. exact(segments, least doc_ids, occurrences) yields (segment number, verdict as bytes) of
+    the segments with windows that recur. apply(team, copies, verdicts, buckets) gets a table of (team, doc_id, digest, packed,
+    rest) and returns a table of `schema`.
     """
-    buckets = spread(docs.sparkSession, 64)
-    texts = docs.select("doc_id", "node", "place", "packed", "copies").join(followed_keys(docs, how, buckets), "node")
-    distinct = texts.mapInArrow(tidied(_distinct(how, buckets)), _BLOCKS)
-    verdicts = distinct.groupBy("bucket").applyInArrow(tidied_group(_shards(exact, block)), "segment binary, spans binary").select(_digest().alias("digest"), "spans")
-    seen = texts.mapInArrow(tidied(_occurrences(how, buckets)), "node long, place int, at int, segment binary").select("node", "place", "at", _digest().alias("digest"))
-    return seen.join(verdicts, "digest").groupBy("node").agg(F.collect_list(F.struct("place", "at", "spans")).alias("spans"))
-
-
-def with_copies(docs: DataFrame) -> DataFrame:
-    """Rows of (doc_id, node, place, digest, packed) with `first`, the smallest doc_id that has the same text, and
-    `copies`, how many rows have it.
-
-    (node, place) tells rows with different texts apart, also those that share a doc_id: node is the doc_id, or some
-    bits of the digest where it is null, and place numbers the different (doc_id, text) of a node.
-    Only digests are dealt by text; the texts themselves are shuffled once, by node."""
-    keyed = docs.select(doc_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_digest().alias("digest"))
-    keyed = keyed.withColumn("node", F.when(F.col("doc_id") == NULL_ID, F.xxhash64("digest")).otherwise(F.col("doc_id")))
-    digests = keyed.select("doc_id", "node", "digest")
-    same = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    own = digests.join(same, "digest").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("doc_id", "digest", "first", "copies"))).alias("own"))
-    place = F.array_position(F.transform("own", lambda x: F.struct(x["doc_id"], x["digest"])), F.struct("doc_id", "digest")).cast("int")
-    met = packed(keyed).join(own, "node").withColumn("place", place).withColumn("own", F.element_at("own", F.col("place")))
-    return met.select("doc_id", "node", "place", "digest", "packed", "own.first", "own.copies")
-
-
-def marked(lists: pa.Array, i: int, place: int, units: int, under: int | None = None) -> np.ndarray:
-    """Which units of the row at `place` of its node its spans cover; with `under`, only spans whose value is smaller."""
-    change = np.zeros(units + 1, np.int64)
-    for found in lists[i].as_py() or ():
-        if found["place"] != place:
-            continue
-        rows = np.frombuffer(found["spans"], "<i8").reshape(-1, 3)
-        if under is not None:
-            rows = rows[rows[:, 2] < under]
-        np.add.at(change, rows[:, 0] + found["at"], 1)
-        np.add.at(change, rows[:, 1] + found["at"], -1)
-    return np.cumsum(change[:-1]) > 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ways = spread(docs.sparkSession)
+    teams, buckets = max(ways, -(-size // TEAM)), max(ways, -(-size // BUCKET))
+    dealt = in_teams(docs, teams, list(carry))
+    to_team = dealt.groupBy("team")
+
+    def told(answers: DataFrame | None, tell: Callable, answer: Callable) -> DataFrame:
+        asked = to_team.applyInArrow(tell, MESSAGE) if answers is None else to_team.cogroup(answers.groupBy("team")).applyInArrow(tell, MESSAGE)
+        return asked.groupBy("bucket").applyInArrow(answer, MESSAGE)
+
+    copies = told(None, _tell_digests(buckets), _answer_digests)
+    followed = told(copies, _tell_keys(how, buckets), _answer_keys)
+    verdicts = told(copies.unionByName(followed), _tell_segments(how, buckets), _answer_segments(exact, block))
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        return apply(own, copies_of(answers), verdicts_of(answers), buckets)
+
+    return to_team.cogroup(copies.unionByName(verdicts).groupBy("team")).applyInArrow(run, schema)

@@ -1,8 +1,8 @@
 """Operator 5: remove bytes that repeat an earlier document, by suffix-array intervals.
 
-Segments that may recur (see repeats.py) are sorted per shard into a suffix order
-and its Burrows-Wheeler transform. Breadth-first backward extension then derives
-the common-prefix values by increasing value and stops at the minimum length:
+Segments that may recur (see repeats.py) are sorted, in blocks of whole keys, into a
+suffix order and its Burrows-Wheeler transform. Breadth-first backward extension then
+derives the common-prefix values by increasing value and stops at the minimum length:
 positions without a value by then share at least that many bytes.
 """
 
@@ -15,34 +15,51 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import doc_back, ids_of, tidied
-from tessera.llm.repeats import Windows, marked, opened, recurring_spans, with_copies
+from tessera.llm.common import doc_back, flat_text
+from tessera.llm.repeats import Cut, Verdicts, Windows, _low, _member, cut_segments, judged, opened, segment_bytes, single_windows
 
-#: Bytes of a symbol code: 9 bits hold 256 byte values and the separator.
-_BITS = 9
+#: Values that are read off the sorted order before backward extension takes over; its first intervals are the longest.
+SEEDED = 6
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by their next `depth` symbols (0..256), at least; ties in any order."""
+    """Positions sorted by their next `depth` symbols, at least; ties in any order.
+
+    Sort keys carry their position in the low bits, so that values are sorted and not indices."""
     n = len(symbols)
-    have = 63 // _BITS
-    padded = np.concatenate([symbols.astype(np.uint64), np.zeros(have, np.uint64)])
+    wide = max(1, n.bit_length())
+    code = np.cumsum(np.bincount(symbols) > 0) - 1
+    bits = max(1, int(code[-1]).bit_length())
+    have = max(1, min(depth, (64 - wide) // bits))
+    dense = np.concatenate([code[symbols].astype(np.uint64), np.zeros(have, np.uint64)])
     key = np.zeros(n, np.uint64)
     for i in range(have):
-        key = (key << np.uint64(_BITS)) | padded[i : i + n]
-    order = np.argsort(key)
+        key = (key << np.uint64(bits)) | dense[i : i + n]
+    own, mask = np.arange(n, dtype=np.uint64), np.uint64((1 << wide) - 1)
+    packs = wide + have * bits <= 64
     while True:
+        if packs:
+            key = (key << np.uint64(wide)) | own
+            key.sort()
+            order = (key & mask).astype(np.int64)
+            key >>= np.uint64(wide)
+        else:  # over two million symbols: only if a single key has so many
+            order = np.argsort(key)
+            key = key[order]
         if have >= depth:
             return order
-        ranked = key[order]
         fresh = np.ones(n, bool)
-        np.not_equal(ranked[1:], ranked[:-1], out=fresh[1:])
-        rank = np.empty(n, np.uint32)
-        rank[order] = np.cumsum(fresh, dtype=np.uint32)
-        key = np.left_shift(rank, np.uint64(32), dtype=np.uint64)
-        key[: n - have] |= rank[have:]
-        order = np.argsort(key)
-        have *= 2
+        np.not_equal(key[1:], key[:-1], out=fresh[1:])
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(fresh)
+        packs = 3 * wide <= 64
+        many = (64 - wide) // wide if packs else 2
+        key = rank.copy()
+        for j in range(1, many):
+            key <<= np.uint64(wide)
+            if j * have < n:
+                key[: n - j * have] |= rank[j * have :]
+        have *= many
 
 
 def _starts(left: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -64,8 +81,8 @@ def _starts(left: np.ndarray, new: np.ndarray) -> np.ndarray:
 def bounded_prefix_lengths(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """For each place in the order, the common-prefix length with the place before, if below `least`; else -1.
 
-    Values come from the transform alone, by increasing value: where two neighbours in the occurrence list
-    of one symbol are first parted by a boundary of value v, their images are parted by value v + 1.
+    Beyond the first few, values come from the transform alone, by increasing value: where two neighbours in the
+    occurrence list of one symbol are first parted by a boundary of value v, their images are parted by value v + 1.
     """
     n = len(symbols)
     before = symbols[order - 1]  # the text is read as a ring
@@ -76,11 +93,19 @@ def bounded_prefix_lengths(symbols: np.ndarray, order: np.ndarray, least: int) -
     same = before[by_symbol[1:]] == before[by_symbol[:-1]]
     following[by_symbol[:-1][same]] = by_symbol[1:][same]
     lengths = np.full(n, -1, np.int8 if least < 128 else np.int32)
-    counts = np.bincount(before)
-    new = np.unique((np.cumsum(counts) - counts)[counts > 0]).astype(np.int32)
-    lengths[new] = 0
+    seeded = min(SEEDED, least)
+    ring = np.concatenate([symbols, np.resize(symbols, seeded)])
+    lengths[0], alike = 0, np.ones(n - 1, bool)
+    for value in range(seeded):
+        now = ring[order + value]
+        parted = alike & (now[1:] != now[:-1])
+        lengths[1:][parted] = value
+        alike &= ~parted
+    new = np.flatnonzero(lengths == seeded - 1).astype(np.int32)
     left, turn = np.zeros(n, np.int32), np.empty(n, np.int32)
-    for value in range(1, least):
+    known = np.flatnonzero(lengths >= 0).astype(np.int32)
+    left[known] = known
+    for value in range(seeded, least):
         left[new] = new
         new = new[new > 0]
         low = _starts(left, new)
@@ -99,7 +124,7 @@ def bounded_prefix_lengths(symbols: np.ndarray, order: np.ndarray, least: int) -
 
 
 def earliest_owner(segments: list[bytes], least_doc: np.ndarray, times: np.ndarray, length: int) -> Iterator[tuple[int, bytes]]:
-    """For each segment, runs of windows (first byte, end byte, smallest document that has the window)."""
+    """For each segment with a window that recurs, its runs of windows as int64 pairs (first byte + end byte * 2**32, smallest document that has the window)."""
     sizes = np.array([len(x) for x in segments], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
     flat = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
@@ -126,10 +151,33 @@ def earliest_owner(segments: list[bytes], least_doc: np.ndarray, times: np.ndarr
     at = np.flatnonzero(fresh)
     stop = np.append(at[1:], len(symbols))
     last = np.minimum(stop - 1, (starts[1:] - 1 - length)[owner[at]])
-    runs = np.stack([at - starts[owner[at]], last - starts[owner[at]] + length, smallest[at]], axis=1).astype("<i8")
-    first = np.searchsorted(owner[at], np.arange(len(segments) + 1))
+    runs = np.stack([at - starts[owner[at]] + ((last - starts[owner[at]] + length) << 32), smallest[at]], axis=1).astype("<i8").tobytes()
+    first = (np.searchsorted(owner[at], np.arange(len(segments) + 1)) * 16).tolist()
     for i in np.flatnonzero(recurs).tolist():
-        yield i, runs[first[i] : first[i + 1]].tobytes()
+        yield i, runs[first[i] : first[i + 1]]
+
+
+def _with_verdict(data: np.ndarray, starts: np.ndarray, how: Windows, buckets: int, told: Verdicts) -> tuple[np.ndarray, list[bytes]]:
+    """Where the segments that have a verdict begin, and the verdicts."""
+    cut = cut_segments(data, starts, how)
+    cold = _member(cut.key, told.keys)[0]
+    parts: list[Cut] = []
+    if len(told.hot):
+        bucket, low = _low(cut.key, buckets)
+        warm = _member(low.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(32)), told.hot)[0]
+        single = single_windows(cut.where(warm), data, how, None)
+        parts, cold = [single.where(_member(single.key, told.keys)[0])], cold & ~warm
+    begin, found = [], []
+    for part in [cut.where(cold), *parts]:
+        for at, seg in zip(part.begin.tolist(), segment_bytes(data, part.begin, part.end, how.unit), strict=True):
+            verdict = told.made.get(hashlib.md5(seg, usedforsecurity=False).digest())
+            if verdict is not None:
+                begin.append(at)
+                found.append(verdict)
+    return np.array(begin, np.int64), found
+
+
+_FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<array<long>>, kept binary"
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -141,35 +189,47 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     empty; a null doc_id sorts first; texts shorter than `length` are kept; other columns are ignored.
     """
     how = Windows("byte", length, max(1, length * 16 // 50))
-    texts = with_copies(docs)
-    first = texts.where(F.col("first") == F.col("doc_id"))
 
     def exact(segments, least, times):
         return earliest_owner(segments, least, times, length)
 
-    spans = recurring_spans(first, how, exact)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in opened(batch, 1 << 20):
-                rows: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "removed": [], "kept": []}
-                ids, lists, firsts, places = ids_of(part), part.column(2), ids_of(part, "first"), ids_of(part, "place")
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    data = np.frombuffer(text, np.uint8)
-                    if firsts[i] != ids[i] and len(data) >= length:
-                        gone = np.ones(len(data), bool)
-                    elif lists[i].is_valid:
-                        gone = marked(lists, i, places[i], len(data), ids[i])
-                    else:
-                        gone = np.zeros(len(data), bool)
-                    change = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                    for k, v in (("n_bytes", len(data)), ("n_removed", int(gone.sum())), ("n_spans", len(change) // 2), ("removed", change.reshape(-1, 2).tolist()), ("kept", data[~gone].tobytes())):
-                        rows[k].append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True))], names=["doc_id", *rows])
-
-    out = texts.join(spans, "node", "left").select("doc_id", "packed", "spans", "first", "place").mapInArrow(tidied(apply), "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<array<long>>, kept binary")
-    return out.withColumn("doc_id", doc_back())
+    def apply(team: pa.Table, copies: dict, told: Verdicts, buckets: int) -> pa.Table:
+        out = []
+        for part in opened(team, 1 << 19):
+            data, starts = flat_text(part.column(part.schema.get_field_index("text")))
+            ids, size = part.column(1).to_numpy(), np.diff(starts)
+            first = np.array([copies.get(d, (i,))[0] for d, i in zip(part.column(2).to_pylist(), ids.tolist(), strict=True)], np.int64)
+            begin, found = _with_verdict(data, starts, how, buckets, told)
+            whole = (first != ids) & (size >= length)
+            runs = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+            at = np.repeat(begin, [len(x) // 16 for x in found]) if found else begin
+            row = np.searchsorted(starts, at, side="right") - 1
+            less = runs[:, 1] < ids[row]
+            edge = at[less]
+            lo, hi = edge + (runs[less, 0] & 0xFFFFFFFF), edge + (runs[less, 0] >> 32)
+            change = np.bincount(np.concatenate([lo, starts[:-1][whole]]), minlength=len(data) + 1) - np.bincount(np.concatenate([hi, starts[1:][whole]]), minlength=len(data) + 1)
+            gone = np.cumsum(change)[: len(data)] > 0
+            # Runs of removed bytes, cut where a row ends.
+            fresh, last = gone.copy(), gone.copy()
+            fresh[1:] &= ~gone[:-1]
+            last[:-1] &= ~gone[1:]
+            inner = starts[1:-1][(starts[1:-1] > 0) & (starts[1:-1] < len(data))]
+            fresh[inner] = gone[inner]
+            last[inner - 1] = gone[inner - 1]
+            a, b = np.flatnonzero(fresh), np.flatnonzero(last) + 1
+            own = np.searchsorted(starts, a, side="right") - 1
+            spans = np.bincount(own, minlength=len(ids)).astype(np.int64)
+            total = np.concatenate([[0], np.cumsum(gone)])
+            removed = total[starts[1:]] - total[starts[:-1]]
+            pairs = np.stack([a - starts[own], b - starts[own]], axis=1).ravel()
+            inner_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * 2), pa.array(pairs, pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(spans)]).astype(np.int32)), inner_lists)
+            rest = np.concatenate([[0], np.cumsum(size - removed)]).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(rest.tobytes()), pa.py_buffer(data[~gone].tobytes())])
+            out.append(pa.table([part.column(1), pa.array(size), pa.array(removed.astype(np.int64)), pa.array(spans), lists, kept], names=["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
+
+    return judged(docs, how, exact, apply, _FIELDS).withColumn("doc_id", doc_back())
 
 
 def digest(df: DataFrame) -> DataFrame:
