@@ -29,8 +29,8 @@ CHUNK, OVERLAP = 16_384, 1_024
 #: A match that ends this close to a chunk's end might go on or differ in the whole text.
 UNSURE = 4
 
-#: Pieces whose ids a task remembers; then it starts anew.
-REMEMBERED = 50_000
+#: Pieces whose ids a worker remembers, and their longest; then it starts anew.
+REMEMBERED, LONGEST = 50_000, 64
 
 
 class Codec:
@@ -40,12 +40,20 @@ class Codec:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
         self.pattern = pattern
         self.split = regex.compile(pattern).findall
-        self.piece = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})._encode_single_piece
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.piece = self.library._encode_single_piece
         self.tokens = [b""] * (max(table.values()) + 1)
         for token, i in table.items():
             self.tokens[i] = token
         self.known: dict[str, bytes] = {}
 
+    def ids(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers. The library splits short texts itself; its
+        matcher isn't made for very long ones."""
+        if len(text) > 4 * CHUNK:
+            return self.encode(self.split(text))
+        return np.array(self.library.encode_ordinary(text), "<u4").tobytes()
+
     def encode(self, pieces: list[str]) -> bytes:
         """Ids of the pieces as little-endian unsigned 32-bit integers."""
         known = self.known
@@ -55,9 +63,9 @@ class Codec:
             if len(known) > REMEMBERED:
                 known.clear()
             for x in pieces:
-                if x not in known:
+                if x not in known and len(x) <= LONGEST:
                     known[x] = np.array(self.piece(x), "<u4").tobytes()
-            return b"".join([known[x] for x in pieces])
+            return b"".join([known[x] if x in known else np.array(self.piece(x), "<u4").tobytes() for x in pieces])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -133,6 +141,8 @@ def _stitched(shared: Broadcast, pattern: str, chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared, pattern)
+        # The public pattern looks ahead in white space alone: before a boundary after another character, what follows is of no account.
+        simple = pattern == public_tokenizers.PATTERN
         for batch in batches:
             for part in pieces_of(batch, "piece"):
                 apart, start, stop, text = (part.column(part.schema.get_field_index(n)).to_pylist() for n in ("apart", "start", "stop", "piece"))
@@ -140,9 +150,10 @@ def _stitched(shared: Broadcast, pattern: str, chunk: int):
                 for whole, a, b, t in zip(apart, start, stop, text, strict=True):
                     if whole:
                         made.append(t[:chunk].encode())
+                    elif b is None or (simple and chunk + b > a and not t[chunk + b - 1].isspace()):
+                        made.append(codec.ids(t[a : None if b is None else chunk + b]))
                     else:
-                        pieces = codec.split(t[a:])
-                        made.append(codec.encode(pieces if b is None else _until(pieces, chunk + b - a)))
+                        made.append(codec.encode(_until(codec.split(t[a:]), chunk + b - a)))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in ("doc_id", "digest", "number", "apart")] + [pa.array(made, pa.binary())], names=["doc_id", "digest", "number", "apart", "made"])
 
     return run
@@ -163,7 +174,7 @@ def _joined(shared: Broadcast, pattern: str):
             for i in range(batch.num_rows):
                 parts = batch.column(1)[i].as_py()
                 whole = b"".join({x["number"]: x["made"] for x in sorted(parts, key=lambda x: x["number"])}.values())
-                ids = codec.encode(codec.split(whole.decode())) if parts[0]["apart"] else whole
+                ids = codec.ids(whole.decode()) if parts[0]["apart"] else whole
                 for _ in range(sum(x["number"] == 0 for x in parts)):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([ids], pa.binary())], names=["doc_id", "ids"])
 
@@ -180,8 +191,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     shared = shared_ranks(docs, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
     def whole(text: str) -> bytes:
-        codec = codec_of(shared, pattern)
-        return codec.encode(codec.split(text))
+        return codec_of(shared, pattern).ids(text)
 
     texts = docs.select(doc_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     short = texts.where(F.length("text") <= chunk).mapInArrow(tidied(_per_text(whole, "text", "ids")), "doc_id long, ids binary")

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import SPACES, checkpointed, doc_back, doc_key, flat_text, ids_of, pieces_of, spread, stored, text_digest, tidied, words_of
+from tessera.llm.common import SPACES, checkpointed, doc_back, doc_key, flat_text, ids_of, mix, pieces_of, span_hashes, spread, stored, text_digest, tidied, words_of
 
 #: Most differing bits of two linked fingerprints; the four segments of the ring are made for this bound.
 BITS = 3
@@ -187,6 +187,120 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return keyed.join(first, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"]).select(*docs.columns)
 
 
+#: Sampled fingerprints of a text, and the shingles that each samples.
+SAMPLED, DRAWN = 16, 6
+
+
+def shingle_sets(data: np.ndarray, starts: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """The distinct hashes of each row's word shingles, sorted; fewer words are one shingle, none have none."""
+    data = _LOWER[data]
+    begin, end, first = words_of(data, starts)
+    grams = span_hashes(data, begin, end)
+    whole = grams.copy()
+    for i in range(1, shingle):
+        whole[: len(whole) - i] = mix(whole[: len(whole) - i] * np.uint64(31) + grams[i:])
+    out = []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if hi - lo < shingle:  # hashed on its own, as its last words have no full run
+            own = np.array([hash_of(grams[lo:hi])], np.uint64) if hi > lo else grams[:0]
+        else:
+            own = np.unique(whole[lo : hi - shingle + 1])
+        out.append(own)
+    return out
+
+
+def hash_of(words: np.ndarray) -> int:
+    """A hash of a few word hashes in order."""
+    total = np.array([len(words)], np.uint64)
+    for w in words:
+        total = mix(total * np.uint64(31) + w)
+    return int(total[0])
+
+
+def sampled_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SAMPLED fingerprints, each of the DRAWN shingles that come first in an order of its own."""
+    salts = mix(np.arange(1, SAMPLED + 1, dtype=np.uint64))
+    placed = mix(hashes[None, :] ^ salts[:, None])
+    if placed.shape[1] > DRAWN:
+        placed = np.partition(placed, DRAWN - 1, axis=1)[:, :DRAWN]
+    bits = np.unpackbits(placed[:, :, None].view(np.uint8), axis=2, bitorder="little")
+    half = bits.sum(axis=1, dtype=np.int64) * 2 > placed.shape[1]
+    return np.packbits(half, axis=1, bitorder="little").view("<u8")[:, 0] ^ salts
+
+
+def _sampled(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, "text", 2 << 20):
+                sets = shingle_sets(*flat_text(part.column(1)), shingle)
+                keys = [sampled_fingerprints(x) if len(x) else x for x in sets]
+                node = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(node)], names=["key", "node"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, "text", 2 << 20):
+                sets = [np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in shingle_sets(*flat_text(part.column(1)), shingle)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return run
+
+
+def _alike(similarity: float):
+    """The pairs whose shingle sets have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                small, large = sorted((len(x), len(y)))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if small >= similarity * large else 0
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+
+    return run
+
+
+def near_links(nodes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): pairs of nodes whose sets of word shingles have at least that Jaccard similarity.
+
+    nodes: node (long, one for each text), text. Texts that share a sampled fingerprint are candidates: each is held against
+    the least and the greatest node of the fingerprint, so a group of any size has two candidates a member and
+    fingerprint and no more. The sets themselves decide. Two texts of similarity 0.8 share none of the sampled fingerprints in
+    about 1 % of cases."""
+    keyed = nodes.select("node", "text").mapInArrow(tidied(_sampled(shingle)), "key long, node long").distinct()
+    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = keyed.join(ends, "key")
+    pairs = met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
+    pairs = stored(pairs)
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    sets = stored(nodes.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(tidied(_sets(shingle)), "node long, set binary"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(tidied(_alike(similarity)), "a long, b long")
+
+
+def keep_distinct(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near copies; all columns as they came.
+
+    First keep_one() leaves one text of those whose fingerprints link; then near_links() finds the pairs among the
+    rest whose word shingles have at least that Jaccard similarity, and of what they connect the row of the smallest
+    doc_id stays. Null texts are empty; a null doc_id sorts first; texts without words are copies of one another."""
+    rest = stored(keep_one(docs, shingle))
+    nodes = rest.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), doc_key().alias("_doc"), "text")
+    found = components(near_links(nodes, shingle, similarity))
+    whole = found.unionByName(found.select("root").distinct().select(F.col("root").alias("node"), "root")).distinct()
+    grouped = whole.join(nodes.select("node", "_doc"), "node")
+    first = grouped.groupBy("root").agg(F.min(F.struct("_doc", "node")).alias("first"))
+    gone = grouped.join(first, "root").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("_node"))
+    return rest.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, "_node", "left_anti").select(*docs.columns)
+
+
 def brute_force(rows: list[tuple[int, str | None]], shingle: int = 3) -> list[tuple[int, str, int]]:
     """The same by comparing all pairs; for tests."""
     prints = []

@@ -41,7 +41,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, block: int = BLO
         for batch in batches:
             for part in pieces_of(batch, "text"):
                 for doc, text in zip(ids_of(part).tolist(), part.column(1).to_pylist(), strict=True):
-                    stream += np.frombuffer(codec.encode(codec.split(text or "")), "<u4").astype("<u2").tobytes()
+                    stream += np.frombuffer(codec.ids(text or ""), "<u4").astype("<u2").tobytes()
                     while len(stream) >= size:  # the document goes on in the next block
                         yield block_row(bytes(stream[:size]), ended)
                         number, ended = number + 1, []
