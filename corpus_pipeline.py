@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each SimHash group."""
-    return simhash_dedup.keep_one(docs)
+    """Keep one document of each group of near copies: five-word shingles, similarity 0.8 and more."""
+    return simhash_dedup.keep_distinct(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
