@@ -77,8 +77,10 @@ class Automata:
         return np.cumsum(change)[: len(words)] > 0
 
 
-def _judged(docs: DataFrame, length: int, carry: list[str]) -> DataFrame:
-    """doc_id (a key that is never null), n_words, n_removed, removed, kept, and rest with the columns of `carry`."""
+def _judged(docs: DataFrame, length: int, carry: list[str], as_it_is: bool = False) -> DataFrame:
+    """doc_id (a key that is never null), n_words, n_removed, removed, kept, and rest with the columns of `carry`.
+
+    as_it_is: a text that loses no word is kept as it is, white space included."""
     how = Windows("word", length, max(1, length * 8 // 35))
 
     def exact(segments, least, times):
@@ -102,7 +104,8 @@ def _judged(docs: DataFrame, length: int, carry: list[str]) -> DataFrame:
                     left = [w for a, b in zip([0, *(x[1] for x in change)], [*(x[0] for x in change), len(words)], strict=True) for w in words[a:b]]
                 else:
                     change, left = [], words
-                for k, v in (("n_words", len(words)), ("n_removed", len(words) - len(left)), ("removed", change), ("kept", b" ".join(left))):
+                kept = text if as_it_is and not change else b" ".join(left)
+                for k, v in (("n_words", len(words)), ("n_removed", len(words) - len(left)), ("removed", change), ("kept", kept)):
                     rows[k].append(v)
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
         made = [pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]
@@ -129,9 +132,12 @@ def without_phrases(docs: DataFrame, length: int = 35) -> DataFrame:
 
     Each row takes what its own text keeps, whatever other rows share its doc_id; rows that lose no word keep
     their text as it is, null included."""
-    own = _judged(docs, length, docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("rest.text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))} if "n_chars" in docs.columns else {})
+    others = [c for c in docs.columns if c != "text"]
+    none = next(f"_none{i}" for i in range(len(others) + 1) if f"_none{i}" not in others)
+    own = _judged(docs.withColumn(none, F.col("text").isNull()), length, [*others, none], as_it_is=True)
+    changed = {"text": F.when(~F.col(f"rest.{none}"), F.col("kept"))}
+    if "n_chars" in others:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))
     return own.select(*((changed[c] if c in changed else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 

@@ -121,13 +121,6 @@ def test_token_counts(docs, pairs, block):
     same(token_counts.token_counts(docs, block=block), [(d, len(whole.encode_ordinary(t or ""))) for d, t in pairs])
 
 
-def _xx(values):
-    import xxhash
-
-    raw = b"".join(int(v).to_bytes(8, "little", signed=True) for v in values)
-    return raw, xxhash
-
-
 def test_syncmer_prints(docs, pairs):
     out = syncmer_prints.document_prints(docs).collect()
     rows = sorted(((-(1 << 63) if d is None else d), t or "") for d, t in pairs)

@@ -2,6 +2,7 @@
 
 import os
 import sys
+import zlib
 
 import pytest
 
@@ -58,10 +59,22 @@ def test_pipeline(spark, tmp_path):
         if i < 4:
             assert docs.columns == columns
         if i == 0:
-            assert all(labels.get(d, 1) for d in {r.doc_id for r in docs.collect()})
+            kept = {r.doc_id for r in docs.collect()}
+            taught = {d: q for d, q in labels.items() if zlib.crc32(str(d).encode()) % 5}
+            assert all(taught.get(d, 1) for d in kept) and sum(d in kept for d, q in taught.items() if q) >= 0.95 * sum(taught.values())
         if i == 1:
             first = {}
             for d, t in sorted((r.doc_id, r.text) for r in docs.collect()):
                 assert t not in first
                 first[t] = d
     assert docs.count() > 0
+
+
+def test_quality_stage_drops_held_out_bad_documents(spark):
+    """Of the documents that are labelled bad and were not learned from, a tenth at most stays."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, catalog.documents(spark, sf), sf).select("doc_id").collect()}
+    bad = [r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality == 0 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert bad and sum(d in kept for d in bad) <= 0.1 * len(bad)
