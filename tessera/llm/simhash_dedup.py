@@ -187,6 +187,9 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return keyed.join(first, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"]).select(*docs.columns)
 
 
+#: Node numbers (8 bytes each) up to which a table of them is broadcast, so that texts stay where they are; beyond, it is joined by shuffle.
+SMALL_NODES = 1_000_000
+
 #: Sampled fingerprints of a text, and the shingles that each samples.
 SAMPLED, DRAWN = 16, 6
 
@@ -267,6 +270,12 @@ def _alike(similarity: float):
     return run
 
 
+def _small(nodes: DataFrame) -> DataFrame:
+    """The table, stored; to be broadcast if it has been counted to be small."""
+    kept = stored(nodes)
+    return F.broadcast(kept) if kept.count() <= SMALL_NODES else kept
+
+
 def near_links(nodes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): pairs of nodes whose sets of word shingles have at least that Jaccard similarity.
 
@@ -279,7 +288,7 @@ def near_links(nodes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     met = keyed.join(ends, "key")
     pairs = met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     pairs = stored(pairs)
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    wanted = _small(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
     sets = stored(nodes.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(tidied(_sets(shingle)), "node long, set binary"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(tidied(_alike(similarity)), "a long, b long")
@@ -297,7 +306,7 @@ def keep_distinct(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     whole = found.unionByName(found.select("root").distinct().select(F.col("root").alias("node"), "root")).distinct()
     grouped = whole.join(nodes.select("node", "_doc"), "node")
     first = grouped.groupBy("root").agg(F.min(F.struct("_doc", "node")).alias("first"))
-    gone = grouped.join(first, "root").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("_node"))
+    gone = _small(grouped.join(first, "root").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("_node")))
     return rest.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, "_node", "left_anti").select(*docs.columns)
 
 
