@@ -66,9 +66,10 @@ def walk_forward(samples: DataFrame, sessions: DataFrame, config: FoldConfig) ->
     i = F.col("session_idx")
     role = F.when(i.between(F.col("a"), F.col("b")), "train").when(i.between(F.col("v"), F.col("w")), "validation").when(i.between(F.col("t"), F.col("u")), "test")
     rows = placed.join(F.broadcast(folds), role.isNotNull()).withColumn("role", role)
-    start = F.min(F.when(F.col("role") != "train", F.col("label_interval_start"))).over(Window.partitionBy("fold_id"))
-    purged = (F.col("role") == "train") & F.coalesce(F.col("label_interval_end") >= start, F.lit(False))
-    out = rows.withColumn("purged", purged).drop("a", "b", "v", "w", "t", "u")
+    # Where the evaluation of each fold begins: a map-side aggregate of a row a fold, so no fold is gathered in one task.
+    begins = rows.where(F.col("role") != "train").groupBy("fold_id").agg(F.min("label_interval_start").alias("_start"))
+    purged = (F.col("role") == "train") & F.coalesce(F.col("label_interval_end") >= F.col("_start"), F.lit(False))
+    out = rows.join(F.broadcast(begins), "fold_id", "left").withColumn("purged", purged).select(*(c for c in rows.columns if c not in ("a", "b", "v", "w", "t", "u")), "purged")
     if not config.holdout:
         return out
     final = placed.join(held, i > F.col("_last") - config.holdout).drop("_last").withColumn("fold_id", F.lit(0)).withColumn("role", F.lit("final_holdout")).withColumn("purged", F.lit(False))

@@ -150,6 +150,6 @@ ORACLES = {
     "risk_breaches": f"WITH m AS (SELECT user_id || '/' || CAST(ts AS DATE) AS scope, event_type AS metric, round(sum(value), 4) AS value FROM events GROUP BY 1, 2), l AS (SELECT event_type AS metric, round(max(value), 2) AS bound FROM events GROUP BY 1) SELECT scope, metric, {_R('value', 3)} AS value, {_R('bound', 3)} AS bound, CASE WHEN metric < 'm' THEN 'critical' ELSE 'warning' END AS severity FROM m JOIN l USING (metric) WHERE value > bound",
     "latest_metric": f"SELECT event_type AS metric, {_R('last(value ORDER BY ts, event_id)')} AS value, max(ts) AS at FROM events GROUP BY 1",
     "windowed_counts": f"SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, {_R('sum(value)', 3)} AS total FROM events GROUP BY 1, 2",
-    "decoded_quotes": f"SELECT CAST(p_partkey AS VARCHAR) AS symbol, {_R('CASE WHEN p_partkey % 3 = 2 OR p_partkey % 2 = 0 THEN p_retailprice ELSE p_retailprice + 1 END', 2)} AS price, {_R('p_retailprice + 1', 2)} AS previous_close, 5 AS levels, 15 AS bid_volume, CASE WHEN p_partkey % 3 = 2 THEN 'ok' ELSE 'reference' END AS status FROM part UNION ALL SELECT CAST(p_partkey + 1000000 AS VARCHAR), NULL, NULL, 0, 0, 'not_found' FROM part",
+    "decoded_quotes": f"SELECT CAST(p_partkey AS VARCHAR) AS symbol, {_R('CASE WHEN p_partkey % 3 = 2 OR p_partkey % 2 = 0 THEN p_retailprice ELSE p_retailprice + 1 END', 2)} AS price, {_R('p_retailprice + 1', 2)} AS previous_close, 5 AS levels, 15 AS bid_volume, CASE WHEN p_partkey % 3 = 0 THEN 'reference' ELSE 'ok' END AS status FROM part UNION ALL SELECT CAST(p_partkey + 1000000 AS VARCHAR), NULL, NULL, 0, 0, 'not_found' FROM part",
     "exchange_rows": f"SELECT o_orderkey, CAST(o_orderdate AS DATE) AS trade_date, o_custkey * 1000 AS volume, {_R('o_totalprice', 2)} AS close FROM orders WHERE o_orderkey % 4 <> 0",
 }

@@ -76,10 +76,10 @@ def _depth(prices: Column, volumes: Column) -> Column:
 def decode_quotes(df: DataFrame, watchlist: DataFrame) -> DataFrame:
     """(symbol, price, previous_close, bids, asks, status) of every symbol asked for.
 
-    price: the first of z, pz and y that is a number above zero; status ok (a trade), reference (an older price), or
-    not_found (not returned). df: symbol, z, pz, y, a, f, b, g as text."""
-    num = lambda c: F.nullif(parse_number(F.col(c)), F.lit(0.0))
-    price = F.coalesce(num("z"), num("pz"), num("y"))
+    price: the first of z, pz and y that is a number other than zero; status ok (z is a number, zero included), reference
+    (an older price), or not_found (not returned). df: symbol, z, pz, y, a, f, b, g as text."""
+    num = lambda c: parse_number(F.col(c))
+    price = F.coalesce(*(F.nullif(num(c), F.lit(0.0)) for c in ("z", "pz", "y")))
     decoded = df.select("symbol", price.alias("price"), num("y").alias("previous_close"), _depth(F.col("b"), F.col("g")).alias("bids"), _depth(F.col("a"), F.col("f")).alias("asks"), F.when(num("z").isNotNull(), "ok").otherwise("reference").alias("status"))
     return watchlist.select("symbol").distinct().join(decoded, "symbol", "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
 
@@ -146,8 +146,10 @@ def write_report(path: str, most: int = 10_000, **parts: DataFrame) -> dict:
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; refuses one that is no summary (over `most` rows)."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of over {most} rows is no summary")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " - |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
 
