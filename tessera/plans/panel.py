@@ -240,9 +240,9 @@ def common_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asof_previous_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last close strictly before each purchase event's day."""
+    """The last close strictly before each event's day."""
     bars = event_bars(spark, sf_dir)
-    asked = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("instrument_id"), "event_id", F.to_date("ts").alias("day"))
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("instrument_id"), "event_id", F.to_date("ts").alias("day"))
     return rounded(grid.asof_backward(asked, bars, ["instrument_id"], "day", "trade_date", ["close"]))
 
 
@@ -284,6 +284,6 @@ ORACLES = {
     "classify_observations": f"WITH {EVENT_BARS}, span AS (SELECT instrument_id, min(trade_date) AS a, CAST(max(trade_date) - 1 AS DATE) AS b FROM bars GROUP BY 1) SELECT g.instrument_id, g.trade_date, CASE WHEN day(g.trade_date) = 13 THEN 'market_closed' WHEN g.trade_date < a THEN 'not_yet_listed' WHEN g.trade_date > b THEN 'delisted' WHEN close IS NOT NULL AND dayofweek(g.trade_date) = 1 AND day(g.trade_date) > 20 THEN 'suspended' WHEN close IS NULL THEN 'provider_missing' WHEN volume = 0 THEN 'zero_volume' ELSE 'observed' END AS status FROM grid g JOIN span USING (instrument_id)",
     "missing_sessions": f"WITH {EVENT_BARS} SELECT instrument_id, trade_date FROM grid WHERE close IS NULL",
     "common_sessions": f"WITH {EVENT_BARS}, few AS (SELECT * FROM bars WHERE CAST(instrument_id AS INTEGER) < 20) SELECT trade_date FROM few GROUP BY 1 HAVING count(DISTINCT instrument_id) = (SELECT count(DISTINCT instrument_id) FROM few)",
-    "asof_previous_close": f"WITH {EVENT_BARS}, asked AS (SELECT CAST(user_id AS VARCHAR) AS instrument_id, event_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase') SELECT a.instrument_id, a.event_id, a.day, {_R('arg_max(b.close, b.trade_date)')} AS asof_close FROM asked a LEFT JOIN bars b ON b.instrument_id = a.instrument_id AND b.trade_date < a.day GROUP BY 1, 2, 3",
+    "asof_previous_close": f"WITH {EVENT_BARS}, asked AS (SELECT CAST(user_id AS VARCHAR) AS instrument_id, event_id, CAST(ts AS DATE) AS day FROM events) SELECT a.instrument_id, a.event_id, a.day, {_R('arg_max(b.close, b.trade_date)')} AS asof_close FROM asked a LEFT JOIN bars b ON b.instrument_id = a.instrument_id AND b.trade_date < a.day GROUP BY 1, 2, 3",
     "interval_purge": f"WITH {_labels_sql(3, 'open', False)}, good AS (SELECT * FROM labels WHERE invalid_reason IS NULL) SELECT a.instrument_id, a.decision_date FROM good a WHERE day(a.decision_date) <= 20 AND NOT EXISTS (SELECT 1 FROM good t WHERE day(t.decision_date) > 20 AND t.instrument_id = a.instrument_id AND a.entry_date <= t.exit_date AND t.entry_date <= a.exit_date)",
 }
