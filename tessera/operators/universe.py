@@ -49,13 +49,15 @@ def decision_snapshot(df: DataFrame, findings: DataFrame, decision_time: Column)
     return filter_available(df, decision_time)
 
 
-def filter_panel(df: DataFrame, start: str | None = None, end: str | None = None, symbols: list[str] | None = None) -> DataFrame:
-    """Rows of a range of dates and some instruments; plain predicates, so the scan gets them."""
+def filter_panel(df: DataFrame, start: str | None = None, end: str | None = None, symbols: list[str] | DataFrame | None = None) -> DataFrame:
+    """Rows of a range of dates and some instruments: plain predicates, which reach the scan, or a frame with `instrument_id`, which is semi-joined."""
     out = df
     if start:
         out = out.where(F.col("trade_date") >= F.lit(start).cast("date"))
     if end:
         out = out.where(F.col("trade_date") <= F.lit(end).cast("date"))
+    if isinstance(symbols, DataFrame):
+        return out.join(symbols, "instrument_id", "left_semi")
     return out.where(F.col("instrument_id").isin(symbols)) if symbols else out
 
 

@@ -150,7 +150,7 @@ def stale_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nav_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """brands' weekly quantity at the close, with a tenth of the value as cash."""
-    b = brand_bars(spark, sf_dir).where("instrument_id != 'Brand#11'")
+    b = brand_bars(spark, sf_dir)
     positions = b.select(F.lit("p").alias("portfolio"), "trade_date", F.col("volume").alias("held"), F.when(F.weekofyear("trade_date") != 9, F.col("close")).alias("mark"))
     cash = b.groupBy("trade_date").agg((F.sum(F.col("volume").cast("double")) * 10).alias("settled_cash")).select(F.lit("p").alias("portfolio"), "trade_date", "settled_cash", F.lit(5.0).alias("receivable"), F.lit(3.0).alias("payable"), F.lit(1.0).alias("dividends_receivable"))
     return rounded(portfolio.nav(positions, cash), 3)
@@ -193,8 +193,8 @@ def notional_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pretrade_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of 1996 against holdings of 40 shares in every other part."""
-    orders = _fills(spark, sf_dir).where("year(session) = 1996").select("portfolio", F.col("fill_id").alias("order_id"), "instrument_id", "side", "quantity", F.col("price").cast("double").alias("price"))
+    """All lines against holdings of 40 shares in every other part."""
+    orders = _fills(spark, sf_dir).select("portfolio", F.col("fill_id").alias("order_id"), "instrument_id", "side", "quantity", F.col("price").cast("double").alias("price"))
     held = orders.where("cast(instrument_id as int) % 2 = 0").select("portfolio", "instrument_id").distinct().withColumn("held", F.lit(40))
     accounts = orders.select("portfolio").distinct().where("portfolio != '3'").withColumn("nav", F.lit(200_000.0)).withColumn("cash", F.lit(150_000.0))
     return portfolio.pretrade_flags(orders, held, accounts, 0.2, 60_000).withColumn("flags", F.concat_ws(";", "flags"))
@@ -403,12 +403,12 @@ ORACLES = {
     "settled_cash": f"{_FF}, d AS (SELECT session, row_number() OVER (ORDER BY session) AS i FROM (SELECT DISTINCT session FROM fills)), c AS (SELECT f.portfolio, f.session, b.session AS due, CASE WHEN side = 'buy' THEN -(price * quantity + fee) ELSE price * quantity - fee - tax END AS cash FROM fills f JOIN d a USING (session) LEFT JOIN d b ON b.i = a.i + 2), e AS (SELECT portfolio, session AS trade_date, 0 AS flow, -least(cash, 0) AS pay, greatest(cash, 0) AS rec FROM c UNION ALL SELECT portfolio, due, cash, least(cash, 0), -greatest(cash, 0) FROM c WHERE due IS NOT NULL), g AS (SELECT portfolio, trade_date, sum(flow) AS flow, sum(pay) AS pay, sum(rec) AS rec FROM e GROUP BY 1, 2) SELECT portfolio, trade_date, CAST(flow AS DOUBLE) AS flow, CAST(sum(flow) OVER w AS DOUBLE) AS settled_cash, CAST(sum(pay) OVER w AS DOUBLE) AS payable, CAST(sum(rec) OVER w AS DOUBLE) AS receivable FROM g WINDOW w AS (PARTITION BY portfolio ORDER BY trade_date)",
     "dividend_entitlements": f"{_BB}, h AS (SELECT instrument_id, trade_date, sum(volume) OVER (PARTITION BY instrument_id ORDER BY trade_date) AS held FROM bars), a AS (SELECT instrument_id, min(trade_date) AS ex_date FROM bars GROUP BY instrument_id, year(trade_date)) SELECT 'p' AS portfolio, a.instrument_id, a.ex_date, CAST(a.ex_date + 30 AS DATE) AS payment_date, CAST(max(held) AS BIGINT) AS quantity, {_R('max(held) * 0.5')} AS amount FROM a JOIN h ON h.instrument_id = a.instrument_id AND h.trade_date < a.ex_date GROUP BY 1, 2, 3, 4",
     "stale_marks": f"{_EB}, m AS (SELECT instrument_id, session_idx, last_value(close IGNORE NULLS) OVER w AS mark, session_idx - last_value(CASE WHEN close IS NOT NULL THEN session_idx END IGNORE NULLS) OVER w AS age FROM grid WINDOW w AS (PARTITION BY instrument_id ORDER BY session_idx ROWS UNBOUNDED PRECEDING)) SELECT instrument_id, CAST(session_idx AS INTEGER) AS session_idx, {_R('mark')} AS mark, CAST(age AS INTEGER) AS age, coalesce(age > 1, true) AS stale FROM m",
-    "nav_snapshots": f"{_BB}, b AS (SELECT * FROM bars WHERE instrument_id <> 'Brand#11') SELECT 'p' AS portfolio, trade_date, {_R('sum(CASE WHEN weekofyear(trade_date) <> 9 THEN volume * close ELSE 0 END)', 3)} AS market_value, {_R('sum(volume) * 10 + 5 - 3 + 1 + sum(CASE WHEN weekofyear(trade_date) <> 9 THEN volume * close ELSE 0 END)', 3)} AS nav, weekofyear(trade_date) <> 9 AS complete FROM b GROUP BY trade_date",
+    "nav_snapshots": f"{_BB} SELECT 'p' AS portfolio, trade_date, {_R('sum(CASE WHEN weekofyear(trade_date) <> 9 THEN volume * close ELSE 0 END)', 3)} AS market_value, {_R('sum(volume) * 10 + 5 - 3 + 1 + sum(CASE WHEN weekofyear(trade_date) <> 9 THEN volume * close ELSE 0 END)', 3)} AS nav, weekofyear(trade_date) <> 9 AS complete FROM bars GROUP BY trade_date",
     "performance": f"{_BB}, m AS (SELECT instrument_id AS run_id, trade_date, close AS nav, open / close AS exposure, high, low, close / lag(close) OVER w - 1 AS r, close / max(close) OVER w - 1 AS d FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)), g AS (SELECT run_id, count(r) AS n_returns, arg_max(nav, trade_date) / arg_min(nav, trade_date) AS x, date_diff('day', min(trade_date), max(trade_date)) AS days, avg(r) AS m, stddev_samp(r) AS sd, sqrt(avg(CASE WHEN r IS NOT NULL THEN pow(least(r, 0), 2) END)) AS dn, min(d) AS md, avg(CASE WHEN r > 0 THEN 1.0 WHEN r IS NOT NULL THEN 0.0 END) AS pr, avg(exposure) AS e, avg(nav) AS an, sum(high) AS nt, sum(low / 1000) AS tc, count(*) AS nf FROM m GROUP BY 1) SELECT run_id, n_returns, {_R('x - 1', 5)} AS total_return, {_R('pow(x, 365.25 / days) - 1', 5)} AS cagr, {_R('m * 252', 5)} AS annual_mean, {_R('sd * sqrt(252)', 5)} AS volatility, {_R('m / sd * sqrt(252)', 5)} AS sharpe, {_R('m / dn * sqrt(252)', 5)} AS sortino, {_R('md', 5)} AS max_drawdown, {_R('(pow(x, 365.25 / days) - 1) / abs(md)', 5)} AS calmar, {_R('pr', 5)} AS positive_ratio, {_R('e', 5)} AS mean_exposure, {_R('tc', 5)} AS total_cost, nf AS n_fills, {_R('nt / an', 5)} AS turnover FROM g",
     "benchmark_stats": f"{_BB}, f AS (SELECT instrument_id FROM bars GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT trade_date) FROM bars)), lv AS (SELECT trade_date, avg(close) AS l FROM bars GROUP BY 1), bm AS (SELECT trade_date, l / lag(l) OVER (ORDER BY trade_date) - 1 AS b FROM lv), r AS (SELECT instrument_id AS run_id, trade_date, close / lag(close) OVER (PARTITION BY instrument_id ORDER BY trade_date) - 1 AS r FROM bars JOIN f USING (instrument_id)), j AS (SELECT run_id, r, b FROM r JOIN bm USING (trade_date) WHERE r IS NOT NULL) SELECT run_id, {_R('avg(r - b) * 252', 4)} AS active_return, {_R('stddev_samp(r - b) * sqrt(252)', 4)} AS tracking_error, {_R('avg(r - b) * 252 / (stddev_samp(r - b) * sqrt(252))', 4)} AS information_ratio, {_R('covar_samp(r, b) / var_samp(b)', 4)} AS beta, {_R('(avg(r) - covar_samp(r, b) / var_samp(b) * avg(b)) * 252', 4)} AS alpha, {_R('product(1 + r) - 1', 4)} AS compounded, {_R('product(1 + b) - 1', 4)} AS benchmark_compounded FROM j GROUP BY 1",
     "attribution": f"{_BB}, m AS (SELECT instrument_id AS portfolio, trade_date, (close - lag(close) OVER w) * 10 AS delta, (close - lag(close) OVER w) * 10 - open / 2 + low / 2 AS pe FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)) SELECT portfolio, trade_date, {_R('delta', 8)} AS delta, {_R('pe', 8)} AS price_effect, 2.0 AS dividends, 1.0 AS fees, 0.25 AS taxes, 0.5 AS slippage, {_R('delta - pe - 2 + 1 + 0.25 + 0.5', 8)} AS residual FROM m WHERE delta IS NOT NULL",
     "notional_allocation": f"{_FF}, n AS (SELECT portfolio, p_brand AS instrument_id, CAST(sum(price * quantity) AS DOUBLE) AS v FROM fills JOIN part ON p_partkey = CAST(instrument_id AS BIGINT) GROUP BY 1, 2), s AS (SELECT *, floor(100000 * (v / sum(v) OVER (PARTITION BY portfolio))) AS s, row_number() OVER (PARTITION BY portfolio ORDER BY instrument_id DESC) = 1 AS fin FROM n) SELECT portfolio, instrument_id, {_R('v', 4)} AS notional, {_R('CASE WHEN fin THEN 100000 - (sum(s) OVER (PARTITION BY portfolio) - s) ELSE s END / 100', 2)} AS allocated FROM s",
-    "pretrade_flags": f"{_FF}, o AS (SELECT portfolio, fill_id AS order_id, instrument_id, side, quantity, CAST(price AS DOUBLE) AS price, CASE WHEN CAST(instrument_id AS INT) % 2 = 0 THEN 40 ELSE 0 END AS held, CASE WHEN portfolio <> '3' THEN 200000.0 END AS nav, CASE WHEN portfolio <> '3' THEN 150000.0 END AS cash, CASE WHEN side = 'sell' THEN 0 ELSE 1 END AS k FROM fills WHERE year(session) = 1996), r AS (SELECT *, sum(CASE WHEN side = 'sell' THEN quantity ELSE 0 END) OVER i AS sold, sum(CASE WHEN side = 'buy' THEN quantity * price ELSE 0 END) OVER (PARTITION BY portfolio ORDER BY k, order_id ROWS UNBOUNDED PRECEDING) AS bought, held + sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER i AS aft FROM o WINDOW i AS (PARTITION BY portfolio, instrument_id ORDER BY k, order_id ROWS UNBOUNDED PRECEDING)) SELECT portfolio, order_id, concat_ws(';', CASE WHEN nav IS NULL THEN 'valuation_missing' END, CASE WHEN sold > held THEN 'short_sale' END, CASE WHEN quantity * price > 60000 THEN 'notional_limit' END, CASE WHEN side = 'buy' AND aft * price > 0.2 * nav THEN 'weight_limit' END, CASE WHEN side = 'buy' AND bought > cash THEN 'insufficient_buying_power' END) AS flags FROM r",
+    "pretrade_flags": f"{_FF}, o AS (SELECT portfolio, fill_id AS order_id, instrument_id, side, quantity, CAST(price AS DOUBLE) AS price, CASE WHEN CAST(instrument_id AS INT) % 2 = 0 THEN 40 ELSE 0 END AS held, CASE WHEN portfolio <> '3' THEN 200000.0 END AS nav, CASE WHEN portfolio <> '3' THEN 150000.0 END AS cash, CASE WHEN side = 'sell' THEN 0 ELSE 1 END AS k FROM fills), r AS (SELECT *, sum(CASE WHEN side = 'sell' THEN quantity ELSE 0 END) OVER i AS sold, sum(CASE WHEN side = 'buy' THEN quantity * price ELSE 0 END) OVER (PARTITION BY portfolio ORDER BY k, order_id ROWS UNBOUNDED PRECEDING) AS bought, held + sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER i AS aft FROM o WINDOW i AS (PARTITION BY portfolio, instrument_id ORDER BY k, order_id ROWS UNBOUNDED PRECEDING)) SELECT portfolio, order_id, concat_ws(';', CASE WHEN nav IS NULL THEN 'valuation_missing' END, CASE WHEN sold > held THEN 'short_sale' END, CASE WHEN quantity * price > 60000 THEN 'notional_limit' END, CASE WHEN side = 'buy' AND aft * price > 0.2 * nav THEN 'weight_limit' END, CASE WHEN side = 'buy' AND bought > cash THEN 'insufficient_buying_power' END) AS flags FROM r",
     "reservation_totals": f"{_FF}, a AS (SELECT f.*, quantity - CASE WHEN order_id % 3 = 0 THEN quantity // 2 ELSE 0 END AS rest FROM fills f JOIN lineitem l ON l.l_orderkey = f.order_id AND l.l_linenumber = f.seq WHERE l_linestatus = 'O') SELECT portfolio, instrument_id, round(CAST(sum(CASE WHEN side = 'buy' THEN rest * price ELSE 0 END) AS DOUBLE), 4) + 0.0 AS reserved_cash, CAST(sum(CASE WHEN side = 'sell' THEN rest ELSE 0 END) AS BIGINT) AS reserved_shares, CAST(sum(CASE WHEN side = 'buy' THEN rest ELSE -rest END) AS BIGINT) AS projected_delta FROM a GROUP BY 1, 2",
     "top_k_targets": f"{_TOP8} SELECT decision_time, instrument_id, CAST(rank AS INTEGER) AS rank, selected, {_R('CAST(weight AS DOUBLE)')} AS weight, CASE WHEN p IS NULL THEN 'missing_prediction' WHEN selected THEN 'selected' ELSE 'not_selected' END AS reason FROM t",
     "quantile_targets": f"{_PRED}, t AS (SELECT *, coalesce(rank <= ceil(round(n * 0.2, 9)), false) AS selected FROM rk), u AS (SELECT *, count(*) FILTER (selected) OVER (PARTITION BY decision_time) AS c FROM t) SELECT decision_time, instrument_id, CAST(rank AS INTEGER) AS rank, selected, {_R('CAST(CASE WHEN selected THEN least(0.95 / c, 0.1) ELSE 0 END AS DOUBLE)')} AS weight, CASE WHEN p IS NULL THEN 'missing_prediction' WHEN selected THEN 'selected' ELSE 'not_selected' END AS reason FROM u",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.operators import crosssec, evaluation, features, grid, labels
-from tessera.plans.inputs import EVENT_BARS, event_bars, event_sessions, everyone, rounded
+from tessera.plans.inputs import BRAND_BARS, EVENT_BARS, brand_bars, event_bars, event_sessions, everyone, rounded
 
 
 
@@ -235,8 +235,8 @@ def missing_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days on which all of the first twenty users have a bar."""
-    return grid.common_sessions(event_bars(spark, sf_dir).where("cast(instrument_id as int) < 20"))
+    """Weeks in which every brand has a bar."""
+    return grid.common_sessions(brand_bars(spark, sf_dir))
 
 
 def asof_previous_close(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +283,7 @@ ORACLES = {
     "feature_inspect": f"{_features_sql(('momentum_5',))} SELECT instrument_id, decision_date, CASE WHEN invalid_reason IS NULL THEN {_R('raw')} END AS value FROM features QUALIFY decision_date = max(decision_date) OVER (PARTITION BY instrument_id)",
     "classify_observations": f"WITH {EVENT_BARS}, span AS (SELECT instrument_id, min(trade_date) AS a, CAST(max(trade_date) - 1 AS DATE) AS b FROM bars GROUP BY 1) SELECT g.instrument_id, g.trade_date, CASE WHEN day(g.trade_date) = 13 THEN 'market_closed' WHEN g.trade_date < a THEN 'not_yet_listed' WHEN g.trade_date > b THEN 'delisted' WHEN close IS NOT NULL AND dayofweek(g.trade_date) = 1 AND day(g.trade_date) > 20 THEN 'suspended' WHEN close IS NULL THEN 'provider_missing' WHEN volume = 0 THEN 'zero_volume' ELSE 'observed' END AS status FROM grid g JOIN span USING (instrument_id)",
     "missing_sessions": f"WITH {EVENT_BARS} SELECT instrument_id, trade_date FROM grid WHERE close IS NULL",
-    "common_sessions": f"WITH {EVENT_BARS}, few AS (SELECT * FROM bars WHERE CAST(instrument_id AS INTEGER) < 20) SELECT trade_date FROM few GROUP BY 1 HAVING count(DISTINCT instrument_id) = (SELECT count(DISTINCT instrument_id) FROM few)",
+    "common_sessions": f"WITH {BRAND_BARS} SELECT trade_date FROM bars GROUP BY 1 HAVING count(DISTINCT instrument_id) = (SELECT count(DISTINCT instrument_id) FROM bars)",
     "asof_previous_close": f"WITH {EVENT_BARS}, asked AS (SELECT CAST(user_id AS VARCHAR) AS instrument_id, event_id, CAST(ts AS DATE) AS day FROM events) SELECT a.instrument_id, a.event_id, a.day, {_R('arg_max(b.close, b.trade_date)')} AS asof_close FROM asked a LEFT JOIN bars b ON b.instrument_id = a.instrument_id AND b.trade_date < a.day GROUP BY 1, 2, 3",
     "interval_purge": f"WITH {_labels_sql(3, 'open', False)}, good AS (SELECT * FROM labels WHERE invalid_reason IS NULL) SELECT a.instrument_id, a.decision_date FROM good a WHERE day(a.decision_date) <= 20 AND NOT EXISTS (SELECT 1 FROM good t WHERE day(t.decision_date) > 20 AND t.instrument_id = a.instrument_id AND a.entry_date <= t.exit_date AND t.entry_date <= a.exit_date)",
 }

@@ -90,8 +90,10 @@ def available_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filtered_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B7."""
-    return rounded(universe.filter_panel(event_bars(spark, sf_dir), "2024-01-05", "2024-01-15", [str(i) for i in range(10)]).select("instrument_id", "trade_date", "close"))
+    """The bars of a span of days, of the users with two events or more in one of all days."""
+    bars = event_bars(spark, sf_dir)
+    busy = bars.where("volume > 1").select("instrument_id").distinct()
+    return rounded(universe.filter_panel(bars, "2024-01-05", "2024-01-15", busy).select("instrument_id", "trade_date", "close"))
 
 
 def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +273,7 @@ ORACLES = {
     "issue_counts": f"WITH {_DIRTY} SELECT severity, code, count(*) AS n FROM findings GROUP BY 1, 2",
     "search_issues": f"WITH {_DIRTY} SELECT * FROM findings WHERE instrument_id LIKE '%1%' ORDER BY CASE WHEN severity = 'error' THEN 0 ELSE 1 END, trade_date NULLS FIRST, instrument_id, code LIMIT 20 OFFSET 20",
     "available_orders": "SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1997-12-31'",
-    "filtered_panel": f"WITH {EVENT_BARS} SELECT instrument_id, trade_date, {_R('close')} AS close FROM bars WHERE trade_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-15' AND CAST(instrument_id AS INT) < 10",
+    "filtered_panel": f"WITH {EVENT_BARS} SELECT instrument_id, trade_date, {_R('close')} AS close FROM bars WHERE trade_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-15' AND instrument_id IN (SELECT instrument_id FROM bars WHERE volume > 1)",
     "latest_revision": f"SELECT o_custkey, o_orderkey, {_R('o_totalprice')} AS o_totalprice FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1",
     "merged_orders": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 6 = 0 THEN 'copy' END AS note FROM orders",
     "discovered_symbols": "SELECT stock_id FROM (SELECT CAST(p_partkey AS VARCHAR) AS stock_id FROM part UNION SELECT CAST(l_partkey AS VARCHAR) FROM lineitem) WHERE regexp_full_match(stock_id, '[0-9]{4}')",
