@@ -188,6 +188,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_keyed(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the one row of `table` of each key; `copies` of table tells how many of the `total` rows have the key.
+
+    Keys of over a thousandth of the rows are under a thousand in number, so they are broadcast and their rows stay
+    where they are; the others are joined by shuffle, and none of them makes a large task."""
+    hot = F.col("copies") * 1000 > total
+    common = F.broadcast(table.where(hot).drop("copies"))
+    others = rows.join(common.select(key), key, "left_anti").join(table.where(~hot).drop("copies"), key)
+    return rows.join(common, key).unionByName(others)
+
+
 def spread(spark: SparkSession, least: int = 16) -> int:
     """How many ways to deal rows out: the session's shuffle partitions, `least` at least."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

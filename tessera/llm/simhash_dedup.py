@@ -5,7 +5,9 @@ fingerprints differ in at most three bits, some chain of consecutive segments
 starts where the differences of its first l segments stay within l * 3 / 4: none
 in the first, one in the first two, two in the first three. The first two
 segments make the key of a candidate (the later side also tries each one-bit
-change of the second); the third prunes before the full Hamming check.
+change of the second); the third prunes before the full Hamming check. Keys of many
+fingerprints are dealt again by the first three segments, with each change of the third
+that the chain allows, so that no task holds all fingerprints of a common key.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import SPACES, checkpointed, doc_back, doc_key, flat_text, ids_of, mix, pieces_of, span_hashes, spread, stored, text_digest, tidied, words_of
+from tessera.llm.common import SPACES, checkpointed, doc_back, doc_key, flat_text, ids_of, join_keyed, mix, pieces_of, span_hashes, spread, stored, text_digest, tidied, words_of
 
 #: Most differing bits of two linked fingerprints; the four segments of the ring are made for this bound.
 BITS = 3
 
+#: Fingerprints that begin with a key, from which on the key is dealt again by three segments.
+HOT = 2_048
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -93,9 +98,27 @@ def within(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
     return chain
 
 
-def _group_links(fp: np.ndarray, start: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+#: Changes of up to two bits of a segment, with their number of bits.
+_TWO = np.array([0, *(1 << i for i in range(16)), *(1 << i | 1 << j for i in range(16) for j in range(i))], np.uint64)
+
+
+def _longer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the first three segments from keys of two: the third as it is and with all changes that leave two in all."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 20_000):
+            key, fp = (batch.column(i).to_numpy()[at : at + 20_000].view(np.uint64) for i in (0, 1))
+            start = (key >> np.uint64(32)).astype(np.int64)
+            turned = _rotated(fp, start)
+            spent = np.bitwise_count((turned >> np.uint64(32)) ^ (key & np.uint64(0xFFFFFFFF)))
+            row, change = np.nonzero(np.bitwise_count(_TWO)[None, :] + spent[:, None] <= 2)
+            third = (turned[row] >> np.uint64(16) & np.uint64(0xFFFF)) ^ _TWO[change]
+            longer = start[row].astype(np.uint64) << np.uint64(48) | (key[row] & np.uint64(0xFFFFFFFF)) << np.uint64(16) | third
+            yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), pa.array(fp[row].view(np.int64))], names=["key", "fp"])
+
+
+def _group_links(fp: np.ndarray, start: int, key: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what a key's fingerprints connect, at most one for each fingerprint: (member, root)."""
-    exact = np.flatnonzero(_rotated(fp, np.full(len(fp), start)) >> np.uint64(32) == np.uint64(key & 0xFFFFFFFF))
+    exact = np.flatnonzero(_rotated(fp, np.full(len(fp), start)) >> np.uint64(64 - bits) == np.uint64(key & (1 << bits) - 1))
     root = np.arange(len(fp))
     for e in exact.tolist():
         near = np.flatnonzero(within(np.full(len(fp), fp[e]), fp, np.full(len(fp), start)))
@@ -106,36 +129,56 @@ def _group_links(fp: np.ndarray, start: int, key: int) -> tuple[np.ndarray, np.n
     return fp[moved], fp[root[moved]]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among the rows of each key; rows arrive sorted by key, a key may span batches."""
+def _links(bits: int):
+    """Links among the rows of each key of so many bits; rows arrive sorted by key, a key may span batches."""
 
     def linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.diff(key, prepend=-1) != 0) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(edge, len(key)))
         two = edge[size == 2]
-        good = within(fp[two], fp[two + 1], key[two] >> 32)
+        good = within(fp[two], fp[two + 1], key[two] >> bits)
         left, right = [fp[two][good]], [fp[two + 1][good]]
         for at, n in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            a, b = _group_links(fp[at : at + n], int(key[at]) >> 32, int(key[at]))
+            a, b = _group_links(fp[at : at + n], int(key[at]) >> bits, int(key[at]), bits)
             left.append(a)
             right.append(b)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left).view(np.int64)), pa.array(np.concatenate(right).view(np.int64))], names=["a", "b"])
 
-    key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for batch in batches:
-        key = np.concatenate([key, batch.column(0).to_numpy()])
-        fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
-        done = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        yield linked(key[:done], fp[:done])
-        key, fp = key[done:], fp[done:]
-    yield linked(key, fp)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            key = np.concatenate([key, batch.column(0).to_numpy()])
+            fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
+            done = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            yield linked(key[:done], fp[:done])
+            key, fp = key[done:], fp[done:]
+        yield linked(key, fp)
+
+    return run
+
 
+def _first_keys() -> list:
+    """The key of each chain's first two segments, as SQL expressions of fp."""
+    turned = ["fp", "(fp << 16) | shiftrightunsigned(fp, 48)", "(fp << 32) | shiftrightunsigned(fp, 32)", "(fp << 48) | shiftrightunsigned(fp, 16)"]
+    return [F.expr(f"shiftrightunsigned({x}, 32) | ({start}L << 32)") for start, x in enumerate(turned)]
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): links of distinct fingerprints (`fp`) that connect all within reach of one another."""
+
+def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b): links of distinct fingerprints (`fp`) that connect all within reach of one another.
+
+    A key with which `hot` fingerprints begin is dealt again by 48 bits; its links are the same."""
     ways = spread(nodes.sparkSession)
     keyed = nodes.select("fp").mapInArrow(tidied(_keys), "key long, fp long")
-    return keyed.repartition(ways, "key").sortWithinPartitions("key").mapInArrow(tidied(_links), "a long, b long").where("a != b").distinct()
+    common = stored(nodes.select(F.explode(F.array(*_first_keys())).alias("key")).groupBy("key").count().where(F.col("count") >= hot).select("key"))
+
+    def linked(rows: DataFrame, bits: int) -> DataFrame:
+        return rows.repartition(ways, "key").sortWithinPartitions("key").mapInArrow(tidied(_links(bits)), "a long, b long")
+
+    found = linked(keyed, 32)
+    if not common.isEmpty():
+        longer = keyed.join(common, "key", "left_semi").mapInArrow(tidied(_longer_keys), "key long, fp long")
+        found = linked(keyed.join(common, "key", "left_anti"), 32).unionByName(linked(longer, 48))
+    return found.where("a != b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,10 +201,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rooted(own: DataFrame) -> DataFrame:
-    """(fp, least, root): each fingerprint with its smallest doc_id and the fingerprint that names its group."""
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """(fp, least, copies, root): each fingerprint with its first row (all columns but fp), its rows, and the fingerprint that names its group."""
+    nodes = own.groupBy("fp").agg(F.min(F.struct(*[c for c in own.columns if c != "fp"])).alias("least"), F.count("*").alias("copies"))
     roots = components(links(nodes))
-    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -173,15 +216,15 @@ def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     own = stored(fingerprints(docs, shingle))
     rooted = _rooted(own)
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(groups, "root").select("fp", "component_id")
-    return own.join(ids, "fp").select(doc_back().alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), doc_back("component_id").alias("component_id"))
+    groups = rooted.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
+    ids = stored(rooted.join(groups, "root").select("fp", "copies", "component_id"))
+    return join_keyed(own, ids, "fp", own.count()).select(doc_back().alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), doc_back("component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """One row of each group, of its smallest doc_id and that id's least text digest; all columns as they came."""
     own = stored(fingerprints(docs, shingle, digest=True))
-    first = own.join(_rooted(own), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_text"))
+    first = _rooted(own).groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_text"))
     keyed = docs.withColumn("_doc", doc_key()).withColumn("_text", text_digest())
     # Rows of one id and text share a group, so what remains of it are equal texts.
     return keyed.join(first, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"]).select(*docs.columns)

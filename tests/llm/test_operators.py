@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, hnsw_search, mixture, phrase_dedup, quality_model, shard_store, simhash_dedup, suffix_dedup, syncmer_prints, token_counts
+from tessera.llm import byte_bpe, common, hnsw_search, mixture, phrase_dedup, quality_model, shard_store, simhash_dedup, suffix_dedup, syncmer_prints, token_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, first string"
 
@@ -85,12 +85,21 @@ def test_simhash(docs, pairs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, _, c in want}
 
 
-def test_simhash_links_all_within_three_bits(spark):
+def test_join_keyed_finds_all_rows(spark):
+    rows = spark.createDataFrame([(i, 0 if i % 3 == 0 else i) for i in range(3_000)], "doc_id long, fp long")
+    table = rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    got = common.join_keyed(rows, table, "fp", 3_000)
+    assert sorted(got.columns) == ["doc_id", "fp", "least"]
+    assert {(r.doc_id, r.least) for r in got.collect()} == {(i, 0 if i % 3 == 0 else i) for i in range(3_000)} and got.count() == 3_000
+
+
+@pytest.mark.parametrize("hot", [simhash_dedup.HOT, 2])
+def test_simhash_links_all_within_three_bits(spark, hot):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(12)]
     prints = {b ^ sum(1 << x for x in rng.sample(range(64), k)) for b in base for k in (0, 1, 2, 3, 4) for _ in range(6)}
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-    found = {r.node: r.root for r in simhash_dedup.components(simhash_dedup.links(df)).collect()}
+    found = {r.node: r.root for r in simhash_dedup.components(simhash_dedup.links(df, hot)).collect()}
     nodes = sorted(r.fp for r in df.collect())
     parent = {n: n for n in nodes}
 
