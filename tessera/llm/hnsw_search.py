@@ -19,7 +19,7 @@ from tessera.llm.common import stored
 
 #: Vectors of a shard (on average), queries of a block, links of a node (twice as many at the ground),
 #: candidates kept while building, and while searching.
-SHARD, BLOCK, LINKS, BUILD, SEARCH = 4_096, 256, 16, 96, 192
+SHARD, BLOCK, LINKS, BUILD, SEARCH = 16_384, 256, 16, 96, 192
 
 #: Blocks that meet a shard in one task; beyond that the shard is read by several tasks.
 TOGETHER = 32
