@@ -50,8 +50,12 @@ def prediction_rules(allow_validation: bool = False, holdout_audit: str | None =
     ]
 
 
+#: Columns that name what a prediction was made by; a ledger holds one combination of those it has.
+CONTRACT = ("strategy_run", "experiment_id", "model_artifact_version", "feature_artifact_version", "label_version", "target_definition")
+
+
 def prediction_violations(ledger: DataFrame, universe: DataFrame, listings: DataFrame, allow_validation: bool = False, holdout_audit: str | None = None) -> DataFrame:
-    """Row rules, several folds at one decision, two owners of a key, outside the universe or past delisting."""
+    """Row rules, several folds at one decision, two owners of a key, outside the universe or past delisting; one row without keys for several contracts."""
     keys = ["instrument_id", "decision_time"]
     out = violations(ledger, prediction_rules(allow_validation, holdout_audit), keys)
     folds = ledger.groupBy("decision_time").agg(F.count_distinct("fold_id").alias("_n")).where("_n > 1").select(F.lit(None).cast("string").alias("instrument_id"), "decision_time", F.lit("several_folds").alias("code"))
@@ -59,7 +63,13 @@ def prediction_violations(ledger: DataFrame, universe: DataFrame, listings: Data
     dated = ledger.withColumn("trade_date", F.to_date("decision_time"))
     outside = dated.join(universe.where("eligible").select("instrument_id", "trade_date"), ["instrument_id", "trade_date"], "left_anti").select(*keys, F.lit("outside_universe").alias("code"))
     gone = dated.join(listings.select("instrument_id", "delisting_date"), "instrument_id").where("trade_date > delisting_date").select(*keys, F.lit("delisted").alias("code"))
-    return out.unionByName(folds).unionByName(owners).unionByName(outside).unionByName(gone)
+    found = out.unionByName(folds).unionByName(owners).unionByName(outside).unionByName(gone)
+    contract = [c for c in CONTRACT if c in ledger.columns]
+    if not contract:
+        return found
+    made_by = F.struct(*contract)
+    mixed = ledger.agg(F.min(made_by).alias("_a"), F.max(made_by).alias("_b")).where(~F.col("_a").eqNullSafe(F.col("_b")))
+    return found.unionByName(mixed.select(F.lit(None).cast("string").alias("instrument_id"), F.lit(None).cast(ledger.schema["decision_time"].dataType).alias("decision_time"), F.lit("several_contracts").alias("code")))
 
 
 def target_violations(targets: DataFrame, session: str, as_of: str) -> DataFrame:

@@ -184,19 +184,35 @@ def notional_allocation(fills: DataFrame, total: str = "total", places: int = 2)
     return placed.select("portfolio", "instrument_id", F.col("notional").cast("double").alias("notional"), amount.alias("allocated"))
 
 
-def pretrade_flags(orders: DataFrame, positions: DataFrame, accounts: DataFrame, max_weight: float = 0.2, max_notional: float = 1e6) -> DataFrame:
+def pretrade_flags(orders: DataFrame, positions: DataFrame, accounts: DataFrame, max_weight: float = 0.2, max_notional: float = 1e6, max_gross: float = 1.0, policy: CostPolicy = CostPolicy()) -> DataFrame:
     """(portfolio, order_id, flags): orders as they would be reserved in turn, sells first, then by order_id.
 
-    orders: portfolio, order_id, instrument_id, side, quantity, price; positions: portfolio, instrument_id, held; accounts: portfolio, nav, cash."""
-    full = orders.join(positions, ["portfolio", "instrument_id"], "left").join(accounts, "portfolio", "left")
-    notional = F.col("quantity") * F.col("price")
+    orders: portfolio, order_id, instrument_id, side, quantity, price; positions: portfolio, instrument_id, held, value;
+    accounts: portfolio, nav, cash. Gross exposure is the value of other positions, the orders before on other
+    instruments, and this instrument after the order at its price; buys need cash for their fees as well."""
+    worth = positions.groupBy("portfolio").agg(F.sum(F.col("value").cast("decimal(24,4)")).alias("_worth"))
+    full = orders.join(positions, ["portfolio", "instrument_id"], "left").join(accounts, "portfolio", "left").join(worth, "portfolio", "left")
+    notional = (F.col("quantity") * F.col("price")).cast("decimal(20,4)")
     turn = Window.partitionBy("portfolio").orderBy(F.when(F.col("side") == "sell", 0).otherwise(1), "order_id").rowsBetween(Window.unboundedPreceding, 0)
     own = Window.partitionBy("portfolio", "instrument_id").orderBy(F.when(F.col("side") == "sell", 0).otherwise(1), "order_id").rowsBetween(Window.unboundedPreceding, 0)
     held = F.coalesce("held", F.lit(0))
     sold = F.sum(F.when(F.col("side") == "sell", F.col("quantity")).otherwise(0)).over(own)
-    bought = F.sum(F.when(F.col("side") == "buy", notional).otherwise(0)).over(turn)
+    costs = H.commission(notional.cast("decimal(20,8)"), policy) + H.transaction_tax(notional.cast("decimal(20,8)"), F.col("side"), policy)
+    bought = F.sum(F.when(F.col("side") == "buy", notional + costs).otherwise(0)).over(turn)
+    signed = F.when(F.col("side") == "buy", notional).otherwise(-notional)
     after = held + F.sum(F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))).over(own)
-    flags = F.filter(F.array(F.when(F.col("nav").isNull() | F.col("price").isNull(), "valuation_missing"), F.when(sold > held, "short_sale"), F.when(notional > max_notional, "notional_limit"), F.when((F.col("side") == "buy") & (after * F.col("price") > max_weight * F.col("nav")), "weight_limit"), F.when((F.col("side") == "buy") & (bought > F.col("cash")), "insufficient_buying_power")), lambda x: x.isNotNull())
+    own_value = F.greatest(after, F.lit(0)) * F.col("price")
+    others = F.coalesce("_worth", F.lit(0)) - F.coalesce(F.col("value").cast("decimal(24,4)"), F.lit(0)) + F.sum(signed).over(turn) - F.sum(signed).over(own)
+    unvalued = F.col("nav").isNull() | F.col("price").isNull() | (F.col("nav") <= 0) | (F.col("price") <= 0)
+    found = {
+        "valuation_missing": unvalued,
+        "short_sale": (F.col("side") == "sell") & (sold > held),
+        "notional_limit": notional > max_notional,
+        "weight_limit": ~unvalued & (own_value > max_weight * F.col("nav")),
+        "gross_limit": ~unvalued & (others.cast("double") + own_value > max_gross * F.col("nav")),
+        "insufficient_buying_power": (F.col("side") == "buy") & (bought > F.col("cash")),
+    }
+    flags = F.filter(F.array(*(F.when(hit, name) for name, hit in found.items())), lambda x: x.isNotNull())
     return full.select("portfolio", "order_id", flags.alias("flags"))
 
 
@@ -207,13 +223,32 @@ def reservation_totals(orders: DataFrame) -> DataFrame:
     return orders.where("active").groupBy("portfolio", "instrument_id").agg(F.sum((buy * F.col("price")).cast("decimal(24,4)")).cast("double").alias("reserved_cash"), F.sum(sell).alias("reserved_shares"), F.sum(buy - sell).alias("projected_delta"))
 
 
-def target_limits(targets: DataFrame, positions: DataFrame, max_gross: float = 1.0, max_single: float = 0.2, max_positions: int = 50, max_turnover: float = 1.0) -> DataFrame:
-    """(decision_time, gross, largest, positions, turnover, omitted, reasons) of each batch of targets against the weights held."""
-    both = targets.select("decision_time", "instrument_id", F.col("weight").alias("_t")).join(positions.select("decision_time", "instrument_id", F.col("weight").alias("_p")), ["decision_time", "instrument_id"], "full_outer")
+def target_limits(targets: DataFrame, positions: DataFrame, max_gross: float = 1.0, max_single: float = 0.2, max_positions: int = 50, max_turnover: float = 1.0, min_cash: float = 0.0, max_participation: float = 0.1, max_orders: int = 100) -> DataFrame:
+    """(decision_time, gross, largest, positions, turnover, omitted, orders, over_volume, reasons) of each batch of targets against what is held.
+
+    targets: decision_time, instrument_id, weight, price, volume, nav; positions: decision_time, instrument_id, weight, quantity.
+    A target's order is the whole number of shares that its weight buys, less those held; over_volume counts orders
+    beyond their share of the volume, or without a price or volume to tell."""
+    want = targets.select("decision_time", "instrument_id", F.col("weight").alias("_t"), "price", "volume", "nav")
+    have = positions.select("decision_time", "instrument_id", F.col("weight").alias("_p"), "quantity")
+    both = want.join(have, ["decision_time", "instrument_id"], "full_outer")
     t, p = F.coalesce("_t", F.lit(0.0)), F.coalesce("_p", F.lit(0.0))
-    rows = both.groupBy("decision_time").agg(F.sum(t).alias("gross"), F.max(t).alias("largest"), F.count_if(t > 0).alias("positions"), F.sum(F.abs(t - p)).alias("turnover"), F.count_if(F.col("_t").isNull() & (p > 0)).alias("omitted"))
-    reasons = F.filter(F.array(F.when(F.col("gross") > max_gross + 1e-9, "gross_limit"), F.when(F.col("largest") > max_single + 1e-9, "single_limit"), F.when(F.col("positions") > max_positions, "position_count"), F.when(F.col("turnover") > max_turnover + 1e-9, "turnover_limit"), F.when(F.col("omitted") > 0, "omitted_positions")), lambda x: x.isNotNull())
-    return rows.withColumn("reasons", F.concat_ws(";", reasons))
+    desired = F.floor(F.round(F.try_divide(F.col("nav") * F.col("_t"), "price"), 9))
+    change = F.abs(desired - F.coalesce("quantity", F.lit(0)))
+    ordered = F.col("_t").isNotNull() & F.coalesce(change != 0, F.lit(True))
+    over = ordered & F.coalesce((F.col("volume") <= 0) | (change > F.col("volume") * max_participation), F.lit(True))
+    rows = both.groupBy("decision_time").agg(F.sum(t).alias("gross"), F.max(t).alias("largest"), F.count_if(t > 0).alias("positions"), F.sum(F.abs(t - p)).alias("turnover"), F.count_if(F.col("_t").isNull() & (p > 0)).alias("omitted"), F.count_if(ordered).alias("orders"), F.count_if(over).alias("over_volume"))
+    found = {
+        "gross_limit": F.col("gross") > max_gross + 1e-9,
+        "single_limit": F.col("largest") > max_single + 1e-9,
+        "cash_buffer": F.col("gross") > 1 - min_cash + 1e-9,
+        "position_count": F.col("positions") > max_positions,
+        "turnover_limit": F.col("turnover") > max_turnover + 1e-9,
+        "omitted_positions": F.col("omitted") > 0,
+        "volume_participation": F.col("over_volume") > 0,
+        "order_count": F.col("orders") > max_orders,
+    }
+    return rows.withColumn("reasons", F.concat_ws(";", *(F.when(hit, name) for name, hit in found.items())))
 
 
 def target_drift(targets: DataFrame, positions: DataFrame, marks: DataFrame) -> DataFrame:

@@ -195,7 +195,7 @@ def notional_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pretrade_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines against holdings of 40 shares in every other part."""
     orders = _fills(spark, sf_dir).select("portfolio", F.col("fill_id").alias("order_id"), "instrument_id", "side", "quantity", F.col("price").cast("double").alias("price"))
-    held = orders.where("cast(instrument_id as int) % 2 = 0").select("portfolio", "instrument_id").distinct().withColumn("held", F.lit(40))
+    held = orders.where("cast(instrument_id as int) % 2 = 0").select("portfolio", "instrument_id").distinct().withColumn("held", F.lit(40)).withColumn("value", F.lit(4_000.0))
     accounts = orders.select("portfolio").distinct().where("portfolio != '3'").withColumn("nav", F.lit(200_000.0)).withColumn("cash", F.lit(150_000.0))
     return portfolio.pretrade_flags(orders, held, accounts, 0.2, 60_000).withColumn("flags", F.concat_ws(";", "flags"))
 
@@ -223,9 +223,10 @@ def quantile_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def target_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best eight against an equal holding of the best fifth by volume."""
-    t = targets.build_targets(_predictions(spark, sf_dir), targets.TargetPolicy(k=8)).where("selected")
-    p = event_bars(spark, sf_dir).where("volume >= 4").select(F.col("trade_date").alias("decision_time"), "instrument_id", F.lit(0.02).alias("weight"))
-    return rounded(portfolio.target_limits(t, p, max_turnover=0.9))
+    bars = event_bars(spark, sf_dir).withColumnRenamed("trade_date", "decision_time")
+    t = targets.build_targets(_predictions(spark, sf_dir), targets.TargetPolicy(k=8)).where("selected").join(bars.select("decision_time", "instrument_id", F.col("close").alias("price"), "volume"), ["decision_time", "instrument_id"]).withColumn("nav", F.lit(10_000.0))
+    p = bars.where("volume >= 4").select("decision_time", "instrument_id", F.lit(0.02).alias("weight"), F.lit(2).alias("quantity"))
+    return rounded(portfolio.target_limits(t, p, max_turnover=0.9, min_cash=0.06, max_participation=1.0, max_orders=7))
 
 
 def coverage_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,11 +409,11 @@ ORACLES = {
     "benchmark_stats": f"{_BB}, f AS (SELECT instrument_id FROM bars GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT trade_date) FROM bars)), lv AS (SELECT trade_date, avg(close) AS l FROM bars GROUP BY 1), bm AS (SELECT trade_date, l / lag(l) OVER (ORDER BY trade_date) - 1 AS b FROM lv), r AS (SELECT instrument_id AS run_id, trade_date, close / lag(close) OVER (PARTITION BY instrument_id ORDER BY trade_date) - 1 AS r FROM bars JOIN f USING (instrument_id)), j AS (SELECT run_id, r, b FROM r JOIN bm USING (trade_date) WHERE r IS NOT NULL) SELECT run_id, {_R('avg(r - b) * 252', 4)} AS active_return, {_R('stddev_samp(r - b) * sqrt(252)', 4)} AS tracking_error, {_R('avg(r - b) * 252 / (stddev_samp(r - b) * sqrt(252))', 4)} AS information_ratio, {_R('covar_samp(r, b) / var_samp(b)', 4)} AS beta, {_R('(avg(r) - covar_samp(r, b) / var_samp(b) * avg(b)) * 252', 4)} AS alpha, {_R('product(1 + r) - 1', 4)} AS compounded, {_R('product(1 + b) - 1', 4)} AS benchmark_compounded FROM j GROUP BY 1",
     "attribution": f"{_BB}, m AS (SELECT instrument_id AS portfolio, trade_date, (close - lag(close) OVER w) * 10 AS delta, (close - lag(close) OVER w) * 10 - open / 2 + low / 2 AS pe FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)) SELECT portfolio, trade_date, {_R('delta', 8)} AS delta, {_R('pe', 8)} AS price_effect, 2.0 AS dividends, 1.0 AS fees, 0.25 AS taxes, 0.5 AS slippage, {_R('delta - pe - 2 + 1 + 0.25 + 0.5', 8)} AS residual FROM m WHERE delta IS NOT NULL",
     "notional_allocation": f"{_FF}, n AS (SELECT portfolio, p_brand AS instrument_id, CAST(sum(price * quantity) AS DOUBLE) AS v FROM fills JOIN part ON p_partkey = CAST(instrument_id AS BIGINT) GROUP BY 1, 2), s AS (SELECT *, floor(100000 * (v / sum(v) OVER (PARTITION BY portfolio))) AS s, row_number() OVER (PARTITION BY portfolio ORDER BY instrument_id DESC) = 1 AS fin FROM n) SELECT portfolio, instrument_id, {_R('v', 4)} AS notional, {_R('CASE WHEN fin THEN 100000 - (sum(s) OVER (PARTITION BY portfolio) - s) ELSE s END / 100', 2)} AS allocated FROM s",
-    "pretrade_flags": f"{_FF}, o AS (SELECT portfolio, fill_id AS order_id, instrument_id, side, quantity, CAST(price AS DOUBLE) AS price, CASE WHEN CAST(instrument_id AS INT) % 2 = 0 THEN 40 ELSE 0 END AS held, CASE WHEN portfolio <> '3' THEN 200000.0 END AS nav, CASE WHEN portfolio <> '3' THEN 150000.0 END AS cash, CASE WHEN side = 'sell' THEN 0 ELSE 1 END AS k FROM fills), r AS (SELECT *, sum(CASE WHEN side = 'sell' THEN quantity ELSE 0 END) OVER i AS sold, sum(CASE WHEN side = 'buy' THEN quantity * price ELSE 0 END) OVER (PARTITION BY portfolio ORDER BY k, order_id ROWS UNBOUNDED PRECEDING) AS bought, held + sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER i AS aft FROM o WINDOW i AS (PARTITION BY portfolio, instrument_id ORDER BY k, order_id ROWS UNBOUNDED PRECEDING)) SELECT portfolio, order_id, concat_ws(';', CASE WHEN nav IS NULL THEN 'valuation_missing' END, CASE WHEN sold > held THEN 'short_sale' END, CASE WHEN quantity * price > 60000 THEN 'notional_limit' END, CASE WHEN side = 'buy' AND aft * price > 0.2 * nav THEN 'weight_limit' END, CASE WHEN side = 'buy' AND bought > cash THEN 'insufficient_buying_power' END) AS flags FROM r",
+    "pretrade_flags": f"{_FF}, o AS (SELECT portfolio, fill_id AS order_id, instrument_id, side, quantity, CAST(price AS DOUBLE) AS price, CASE WHEN CAST(instrument_id AS INT) % 2 = 0 THEN 40 ELSE 0 END AS held, CAST(quantity * price AS DECIMAL(20,4)) AS v, fee + tax AS cost, CASE WHEN portfolio <> '3' THEN 200000.0 END AS nav, CASE WHEN portfolio <> '3' THEN 150000.0 END AS cash, CASE WHEN side = 'sell' THEN 0 ELSE 1 END AS k FROM fills), r AS (SELECT *, sum(CASE WHEN side = 'sell' THEN quantity ELSE 0 END) OVER i AS sold, sum(CASE WHEN side = 'buy' THEN v + cost ELSE 0 END) OVER q AS bought, coalesce(worth, 0) - CASE WHEN held > 0 THEN 4000 ELSE 0 END + sum(CASE WHEN side = 'buy' THEN v ELSE -v END) OVER q - sum(CASE WHEN side = 'buy' THEN v ELSE -v END) OVER i AS others, held + sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER i AS aft FROM o LEFT JOIN (SELECT portfolio, 4000 * count(DISTINCT instrument_id) AS worth FROM fills WHERE CAST(instrument_id AS INT) % 2 = 0 GROUP BY 1) USING (portfolio) WINDOW i AS (PARTITION BY portfolio, instrument_id ORDER BY k, order_id ROWS UNBOUNDED PRECEDING), q AS (PARTITION BY portfolio ORDER BY k, order_id ROWS UNBOUNDED PRECEDING)) SELECT portfolio, order_id, concat_ws(';', CASE WHEN nav IS NULL OR price <= 0 THEN 'valuation_missing' END, CASE WHEN side = 'sell' AND sold > held THEN 'short_sale' END, CASE WHEN v > 60000 THEN 'notional_limit' END, CASE WHEN price > 0 AND greatest(aft, 0) * price > 0.2 * nav THEN 'weight_limit' END, CASE WHEN price > 0 AND CAST(others AS DOUBLE) + greatest(aft, 0) * price > nav THEN 'gross_limit' END, CASE WHEN side = 'buy' AND bought > cash THEN 'insufficient_buying_power' END) AS flags FROM r",
     "reservation_totals": f"{_FF}, a AS (SELECT f.*, quantity - CASE WHEN order_id % 3 = 0 THEN quantity // 2 ELSE 0 END AS rest FROM fills f JOIN lineitem l ON l.l_orderkey = f.order_id AND l.l_linenumber = f.seq WHERE l_linestatus = 'O') SELECT portfolio, instrument_id, round(CAST(sum(CASE WHEN side = 'buy' THEN rest * price ELSE 0 END) AS DOUBLE), 4) + 0.0 AS reserved_cash, CAST(sum(CASE WHEN side = 'sell' THEN rest ELSE 0 END) AS BIGINT) AS reserved_shares, CAST(sum(CASE WHEN side = 'buy' THEN rest ELSE -rest END) AS BIGINT) AS projected_delta FROM a GROUP BY 1, 2",
     "top_k_targets": f"{_TOP8} SELECT decision_time, instrument_id, CAST(rank AS INTEGER) AS rank, selected, {_R('CAST(weight AS DOUBLE)')} AS weight, CASE WHEN p IS NULL THEN 'missing_prediction' WHEN selected THEN 'selected' ELSE 'not_selected' END AS reason FROM t",
     "quantile_targets": f"{_PRED}, t AS (SELECT *, coalesce(rank <= ceil(round(n * 0.2, 9)), false) AS selected FROM rk), u AS (SELECT *, count(*) FILTER (selected) OVER (PARTITION BY decision_time) AS c FROM t) SELECT decision_time, instrument_id, CAST(rank AS INTEGER) AS rank, selected, {_R('CAST(CASE WHEN selected THEN least(0.95 / c, 0.1) ELSE 0 END AS DOUBLE)')} AS weight, CASE WHEN p IS NULL THEN 'missing_prediction' WHEN selected THEN 'selected' ELSE 'not_selected' END AS reason FROM u",
-    "target_limits": f"{_TOP8}, j AS (SELECT coalesce(a.decision_time, b.trade_date) AS decision_time, coalesce(a.weight, 0) AS t, CASE WHEN b.trade_date IS NOT NULL THEN 0.02 ELSE 0 END AS p, a.decision_time IS NULL AS o FROM (SELECT * FROM t WHERE selected) a FULL JOIN (SELECT * FROM bars WHERE volume >= 4) b ON a.decision_time = b.trade_date AND a.instrument_id = b.instrument_id), g AS (SELECT decision_time, sum(t) AS gross, max(t) AS largest, count(*) FILTER (t > 0) AS positions, sum(abs(t - p)) AS turnover, count(*) FILTER (o) AS omitted FROM j GROUP BY 1) SELECT decision_time, {_R('CAST(gross AS DOUBLE)')} AS gross, {_R('CAST(largest AS DOUBLE)')} AS largest, positions, {_R('CAST(turnover AS DOUBLE)')} AS turnover, omitted, concat_ws(';', CASE WHEN turnover > 0.9 + 1e-9 THEN 'turnover_limit' END, CASE WHEN omitted > 0 THEN 'omitted_positions' END) AS reasons FROM g",
+    "target_limits": f"{_TOP8}, j AS (SELECT coalesce(a.decision_time, b.trade_date) AS decision_time, coalesce(a.weight, 0) AS t, CASE WHEN b.trade_date IS NOT NULL THEN 0.02 ELSE 0 END AS p, a.decision_time IS NULL AS o, a.volume, a.decision_time IS NOT NULL AND coalesce(abs(floor(round(10000 * CAST(a.weight AS DOUBLE) / nullif(a.close, 0), 9)) - CASE WHEN b.trade_date IS NOT NULL THEN 2 ELSE 0 END), -1) <> 0 AS moves, abs(floor(round(10000 * CAST(a.weight AS DOUBLE) / nullif(a.close, 0), 9)) - CASE WHEN b.trade_date IS NOT NULL THEN 2 ELSE 0 END) AS change FROM (SELECT t.*, c.close, c.volume FROM t JOIN bars c ON c.trade_date = t.decision_time AND c.instrument_id = t.instrument_id WHERE selected) a FULL JOIN (SELECT * FROM bars WHERE volume >= 4) b ON a.decision_time = b.trade_date AND a.instrument_id = b.instrument_id), g AS (SELECT decision_time, sum(t) AS gross, max(t) AS largest, count(*) FILTER (t > 0) AS positions, sum(abs(t - p)) AS turnover, count(*) FILTER (o) AS omitted, count(*) FILTER (moves) AS orders, count(*) FILTER (moves AND coalesce(volume <= 0 OR change > volume, true)) AS over_volume FROM j GROUP BY 1) SELECT decision_time, {_R('CAST(gross AS DOUBLE)')} AS gross, {_R('CAST(largest AS DOUBLE)')} AS largest, positions, {_R('CAST(turnover AS DOUBLE)')} AS turnover, omitted, orders, over_volume, concat_ws(';', CASE WHEN gross > 0.94 + 1e-9 THEN 'cash_buffer' END, CASE WHEN turnover > 0.9 + 1e-9 THEN 'turnover_limit' END, CASE WHEN omitted > 0 THEN 'omitted_positions' END, CASE WHEN over_volume > 0 THEN 'volume_participation' END, CASE WHEN orders > 7 THEN 'order_count' END) AS reasons FROM g",
     "coverage_targets": f"{_TOP8}, c AS (SELECT *, count(p) OVER (PARTITION BY decision_time) / count(*) OVER (PARTITION BY decision_time) AS cov FROM t) SELECT decision_time, instrument_id, {_R('CAST(CASE WHEN p IS NOT NULL THEN weight ELSE 0 END AS DOUBLE)')} AS weight, p IS NOT NULL AS predicted, {_R('cov')} AS coverage FROM c WHERE cov >= 0.8",
     "weekly_rebalance": f"{_EB} SELECT min(trade_date) AS trade_date FROM days GROUP BY isoyear(trade_date), weekofyear(trade_date)",
     "equal_weights": f"{_EB}, c AS (SELECT trade_date AS session, instrument_id, count(*) OVER (PARTITION BY trade_date) AS n, row_number() OVER (PARTITION BY trade_date ORDER BY instrument_id DESC) AS k FROM bars) SELECT session, instrument_id, {_R('(1000000 // n + CASE WHEN k = 1 THEN 1000000 - (1000000 // n) * n ELSE 0 END) / 1000000')} AS weight FROM c",

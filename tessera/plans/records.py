@@ -89,6 +89,7 @@ def ledger_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = b.select(
         "instrument_id", at.alias("decision_time"), F.when(k % 11 == 0, "train").when(k % 13 == 0, "final_holdout").otherwise("test").alias("split_role"), F.when(day % 2 == 0, 1).otherwise(F.when(k % 7 == 0, 2).otherwise(1)).alias("fold_id"),
         F.when(k % 17 == 0, at).otherwise(at - F.expr("INTERVAL 1 DAY")).alias("fit_cutoff"), F.when(k % 19 == 0, at + F.expr("INTERVAL 1 HOUR")).otherwise(at).alias("available_at"), F.when(F.col("volume") > 8, F.lit(float("nan"))).otherwise(F.col("close")).alias("prediction"),
+        F.when(k % 29 == 0, "m2").otherwise("m1").alias("model_artifact_version"),
     )
     ledger = ledger.unionByName(ledger.where((F.col("instrument_id").cast("int") % 23 == 0)))
     members = b.select("instrument_id", "trade_date", (k % 5 != 0).alias("eligible"))
@@ -148,7 +149,8 @@ coded AS (
   UNION ALL SELECT 'fit_cutoff_not_before_decision' FROM l WHERE k % 17 = 0 UNION ALL SELECT 'available_after_decision' FROM l WHERE k % 19 = 0 UNION ALL SELECT 'not_finite' FROM l WHERE volume > 8
   UNION ALL SELECT 'several_folds' FROM l GROUP BY trade_date HAVING count(DISTINCT CASE WHEN d % 2 = 1 AND k % 7 = 0 THEN 2 ELSE 1 END) > 1
   UNION ALL SELECT 'several_owners' FROM one WHERE k % 23 = 0 UNION ALL SELECT 'outside_universe' FROM l WHERE k % 5 = 0
-  UNION ALL SELECT 'delisted' FROM l JOIN (SELECT instrument_id, max(trade_date) - 2 AS gone FROM bars GROUP BY 1) g USING (instrument_id) WHERE trade_date > gone)
+  UNION ALL SELECT 'delisted' FROM l JOIN (SELECT instrument_id, max(trade_date) - 2 AS gone FROM bars GROUP BY 1) g USING (instrument_id) WHERE trade_date > gone
+  UNION ALL SELECT 'several_contracts' FROM one HAVING count(DISTINCT k % 29 = 0) > 1)
 SELECT code, count(*) AS n FROM coded GROUP BY 1""",
     "batch_violations": f"""WITH {EVENT_BARS}, one AS (SELECT instrument_id, {_K} AS k, max(trade_date) AS d FROM bars GROUP BY 1), t AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE k % 13 = 0),
 coded AS (

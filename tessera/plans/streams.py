@@ -139,7 +139,7 @@ faults AS (SELECT *, CASE WHEN again > 1 THEN 'duplicate' WHEN sequence < before
 
 ORACLES = {
     "stream_health": f"{_OBS} SELECT stream_id, coalesce(arg_min(fault, (received_at, sequence, event_id)) FILTER (fault IS NOT NULL), CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(max(event_time)) > 43200 THEN 'stale' ELSE 'healthy' END) AS status, count(*) AS events FROM faults GROUP BY 1",
-    "fault_counts": f"{_OBS} SELECT stream_id, count(*) FILTER (fault = 'gap') AS gap, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'out_of_order') AS out_of_order FROM faults GROUP BY 1",
+    "fault_counts": f"{_OBS} SELECT stream_id, count(*) FILTER (fault = 'gap') AS gap, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'out_of_order') AS out_of_order, count(*) FILTER (floor(epoch(received_at)) - floor(epoch(event_time)) > 300) AS stale FROM faults GROUP BY 1",
     "idempotent_ingest": f"{_OBS} SELECT stream_id, event_id, min(received_at) AS received_at FROM obs GROUP BY 1, 2",
     "frozen_after_gap": f"{_OBS}, d AS (SELECT DISTINCT stream_id, sequence FROM obs), g AS (SELECT stream_id, sequence, lag(sequence) OVER (PARTITION BY stream_id ORDER BY sequence) AS b FROM d), c AS (SELECT stream_id, min(sequence) FILTER (sequence > coalesce(b, 0) + 1) AS cut FROM g GROUP BY 1) SELECT stream_id, count(DISTINCT sequence) FILTER (cut IS NULL OR sequence < cut) AS accepted, count(*) AS events FROM obs JOIN c USING (stream_id) GROUP BY 1",
     "threshold_alerts": f"WITH q AS (SELECT user_id, event_id, value AS price, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events), o AS (SELECT *, (price - prev) / nullif(prev, 0) * 100 AS pct FROM q WHERE user_id % 3 <> 0), u AS (SELECT user_id * 10 AS rule_id, user_id, price AS observed, 450.0 + user_id % 5 AS threshold FROM o WHERE price >= 450.0 + user_id % 5 UNION ALL SELECT user_id * 10 + 1, user_id, price, 20.0 + user_id % 5 FROM o WHERE price <= 20.0 + user_id % 5 UNION ALL SELECT user_id * 10 + 2, user_id, pct, 900.0 + user_id % 5 FROM o WHERE pct >= 900.0 + user_id % 5 UNION ALL SELECT user_id * 10 + 3, user_id, pct, -95.0 + user_id % 5 FROM o WHERE pct <= -95.0 + user_id % 5) SELECT rule_id, CAST(user_id AS VARCHAR) AS instrument, {_R('observed', 4)} AS observed, {_R('CAST(threshold AS DOUBLE)', 4)} AS threshold FROM u",

@@ -34,11 +34,12 @@ def stream_health(observations: DataFrame, now: Column, max_age_seconds: int) ->
     return faulty.groupBy("stream_id").agg(F.count("*").alias("events"), F.coalesce(first["fault"], F.when(age > max_age_seconds, "stale").otherwise("healthy")).alias("status")).select("stream_id", "status", "events")
 
 
-def fault_counts(observations: DataFrame, window: str | None = None) -> DataFrame:
-    """Faults of each kind by stream (and window of received_at)."""
+def fault_counts(observations: DataFrame, window: str | None = None, max_age_seconds: int = 300) -> DataFrame:
+    """Faults of each kind by stream (and window of received_at); stale are events older than the age when they arrived."""
     keys = ["stream_id"] + ([F.window("received_at", window).alias("window")] if window else [])
     of = lambda name: F.count_if(F.col("fault") == name).alias(name)
-    return with_faults(observations).groupBy(*keys).agg(of("gap"), of("duplicate"), of("out_of_order"))
+    late = F.unix_timestamp("received_at") - F.unix_timestamp("event_time") > max_age_seconds
+    return with_faults(observations).groupBy(*keys).agg(of("gap"), of("duplicate"), of("out_of_order"), F.count_if(late).alias("stale"))
 
 
 def _walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
