@@ -278,25 +278,32 @@ def daily_report(orders: DataFrame, fills: DataFrame) -> DataFrame:
 
 
 def scenario_grid(spark: SparkSession) -> DataFrame:
-    """540 cost scenarios, each with a checksum as its id: commission, tax, slippage, participation and lag."""
-    rows = list(product((0.0, 0.5, 1.0, 1.5, 2.0), (0.0, 0.5, 1.0, 2.0), (0.0, 5.0, 10.0), (0.05, 0.1, 0.2), (0, 1, 2)))
-    grid = spark.createDataFrame(rows, "commission_factor double, tax_factor double, slippage_bps double, participation double, lag int")
-    return grid.withColumn("scenario_id", H.row_checksum("commission_factor", "tax_factor", "slippage_bps", "participation", "lag"))
+    """540 scenarios, each with a checksum as its id: slippage, participation, commission, rebalancing and breadth."""
+    rows = list(product((0.0, 5.0, 10.0, 25.0, 50.0), (0.01, 0.05, 0.1, 0.25), (0.5, 1.0, 2.0), ("daily", "weekly", "every_third"), (1, 2, 3)))
+    grid = spark.createDataFrame(rows, "slippage_bps double, participation double, commission_factor double, rebalance string, top_k int")
+    return grid.withColumn("scenario_id", H.row_checksum("slippage_bps", "participation", "commission_factor", "rebalance", "top_k"))
 
 
 def scenario_costs(fills: DataFrame, grid: DataFrame, policy: CostPolicy = CostPolicy()) -> DataFrame:
-    """(scenario_id, n_fills, costs, unfilled): the fills' costs under every scenario. fills: side, quantity, price, volume.
+    """(scenario_id, ..., n_fills, unfilled, traded, costs): what the fills cost under every scenario; a scenario without fills has nulls.
 
-    Costs are linear in the scenario's factors, so the fills are summed once, whatever the number of scenarios."""
+    fills: rebalance, top_k (the plan they belong to), side, quantity, price, volume. A fill is executed up to its share of the
+    volume; commission (its minimum and rounding) and tax are charged on each fill. Costs of executed fills are linear in the other
+    factors, so the fills are summed once for each participation and plan, whatever the number of scenarios."""
     shares = [r[0] for r in grid.select("participation").distinct().limit(1001).collect()]
     if len(shares) > 1000:
-        raise ValueError("at most 1,000 scenarios")
-    gross = (F.col("price") * F.col("quantity")).cast("decimal(24,6)")
-    unfilled = F.create_map(*(x for i, p in enumerate(shares) for x in (F.lit(p), F.col(f"_u{i}"))))
-    once = fills.agg(F.count("*").alias("n_fills"), F.sum(gross).cast("double").alias("_g"), F.sum(F.when(F.col("side") == "sell", gross)).cast("double").alias("_s"), *(F.count_if(F.col("quantity") > F.floor(F.col("volume") * F.lit(p))).alias(f"_u{i}") for i, p in enumerate(shares)))
-    rows = grid.join(once)
-    cost = F.col("_g") * float(policy.rate) * F.col("commission_factor") + F.col("_s") * float(policy.tax) * F.col("tax_factor") + F.col("_g") * F.col("slippage_bps") / 1e4
-    return rows.select("scenario_id", *(c for c in grid.columns if c != "scenario_id"), "n_fills", cost.alias("costs"), F.element_at(unfilled, F.col("participation")).alias("unfilled"))
+        raise ValueError("at most 1,000 participations")
+
+    def executed(share: float) -> Column:
+        done = F.least("quantity", H.fill_capacity(F.col("volume"), share))
+        gross = (F.col("price").cast("decimal(20,4)") * done).cast("decimal(20,8)")
+        return F.struct(F.lit(share).alias("participation"), (done < F.col("quantity")).alias("short"), gross.alias("gross"), H.commission(gross, policy).alias("fee"), H.transaction_tax(gross, F.col("side"), policy).alias("tax"))
+
+    each = fills.select("rebalance", "top_k", F.explode(F.array(*map(executed, shares))).alias("x")).select("rebalance", "top_k", "x.*")
+    keys = ["rebalance", "top_k", "participation"]
+    once = each.groupBy(*keys).agg(F.count("*").alias("n_fills"), F.count_if("short").alias("unfilled"), *(F.sum(c).cast("double").alias(f"_{c}") for c in ("gross", "fee", "tax")))
+    cost = F.col("_fee") * F.col("commission_factor") + F.col("_tax") + F.col("_gross") * F.col("slippage_bps") / 1e4
+    return grid.join(once, keys, "left").select(*grid.columns, "n_fills", "unfilled", F.col("_gross").alias("traded"), cost.alias("costs"))
 
 
 def money_columns(*names: str) -> list[Column]:

@@ -275,8 +275,15 @@ def daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenario_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """540 scenarios; ids are checksums, so the factors stand for them here."""
-    rows = _fills(spark, sf_dir).select("side", "quantity", F.col("price").cast("double").alias("price"), (F.col("order_id") % 400).alias("volume"))
+    """Each batch of the best one, two or three is bought at the open and sold at the close, by three calendars."""
+    b = event_bars(spark, sf_dir)
+    best = targets.build_targets(_predictions(spark, sf_dir), targets.TargetPolicy(k=3)).where("selected").select(F.col("decision_time").alias("trade_date"), "instrument_id", "rank")
+    sessions = event_sessions(b)
+    calendars = [targets.rebalance_dates(sessions, freq, 3).select("trade_date", F.lit(name).alias("rebalance")) for name, freq in (("daily", "daily"), ("weekly", "weekly"), ("every_third", "every_n"))]
+    dates = calendars[0].unionByName(calendars[1]).unionByName(calendars[2])
+    plan = best.join(b, ["trade_date", "instrument_id"]).where("open > 0 AND close > 0").join(dates, "trade_date").withColumn("top_k", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where("rank <= top_k")
+    sides = F.array(F.struct(F.lit("buy").alias("side"), F.col("open").alias("price")), F.struct(F.lit("sell").alias("side"), F.col("close").alias("price")))
+    rows = plan.withColumn("s", F.explode(sides)).select("rebalance", "top_k", "s.side", F.floor(F.round(F.lit(100_000.0) / F.col("top_k") / F.col("open"), 9)).alias("quantity"), F.round("s.price", 2).alias("price"), (F.col("volume") * 1000).alias("volume"))
     return rounded(portfolio.scenario_costs(rows, portfolio.scenario_grid(spark)).drop("scenario_id"), 2)
 
 
@@ -421,7 +428,13 @@ ORACLES = {
     "fills_with_orders": f"{_FF} SELECT order_id, fill_id, side, o_orderstatus FROM fills JOIN orders ON o_orderkey = order_id",
     "pnl_drawdown": f"{_BB} SELECT instrument_id AS portfolio, trade_date, {_R('close - lag(close) OVER w', 9)} AS daily_pnl, {_R('max(close) OVER w', 9)} AS peak_nav, {_R('close / max(close) OVER w - 1', 9)} AS drawdown FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)",
     "daily_report": f"{_FF}, a AS (SELECT CAST(o_orderdate AS DATE) AS session, count(*) AS orders, count(*) FILTER (o_orderstatus = 'P') AS rejected FROM orders GROUP BY 1), b AS (SELECT session, count(*) AS fills, sum(CAST(price * quantity AS DOUBLE)) AS notional, sum(CAST(fee AS DOUBLE)) AS costs FROM fills GROUP BY 1) SELECT session, orders, rejected, fills, {_R('notional', 2)} AS notional, {_R('costs', 2)} AS costs FROM a FULL JOIN b USING (session)",
-    "scenario_costs": f"{_FF}, s AS (SELECT c::DOUBLE AS commission_factor, t::DOUBLE AS tax_factor, b::DOUBLE AS slippage_bps, p::DOUBLE AS participation, l AS lag FROM unnest([0, 0.5, 1, 1.5, 2]) x(c), unnest([0, 0.5, 1, 2]) y(t), unnest([0, 5, 10]) z(b), unnest([0.05, 0.1, 0.2]) q(p), unnest([0, 1, 2]) w(l)), g AS (SELECT count(*) AS n, CAST(sum(price * quantity) AS DOUBLE) AS a, CAST(sum(price * quantity) FILTER (side = 'sell') AS DOUBLE) AS b FROM fills), u AS (SELECT p::DOUBLE AS participation, count(*) FILTER (quantity > floor((order_id % 400) * p::DOUBLE)) AS unfilled FROM fills, unnest([0.05, 0.1, 0.2]) q(p) GROUP BY 1) SELECT commission_factor, tax_factor, slippage_bps, participation, lag, n AS n_fills, {_R('a * 0.001425 * commission_factor + b * 0.003 * tax_factor + a * slippage_bps / 10000', 2)} AS costs, unfilled FROM s JOIN u USING (participation), g",
+    "scenario_costs": f"""{_PRED}, dates AS (SELECT trade_date, 'daily' AS rebalance FROM days UNION ALL SELECT min(trade_date), 'weekly' FROM days GROUP BY isoyear(trade_date), weekofyear(trade_date) UNION ALL SELECT trade_date, 'every_third' FROM days WHERE (session_idx - 1) % 3 = 0),
+fills AS (SELECT rebalance, k AS top_k, side, CAST(floor(round(100000.0::DOUBLE / k / open, 9)) AS BIGINT) AS quantity, CAST(round(CASE side WHEN 'buy' THEN open ELSE close END, 2) AS DECIMAL(20,4)) AS price, volume * 1000 AS volume
+  FROM rk JOIN bars b ON b.trade_date = rk.decision_time AND b.instrument_id = rk.instrument_id JOIN dates d ON d.trade_date = b.trade_date, unnest([1, 2, 3]) t(k), unnest(['buy', 'sell']) u(side) WHERE rank <= k AND open > 0 AND close > 0),
+e AS (SELECT *, least(quantity, CAST(floor(volume * p::DOUBLE) AS BIGINT)) AS done, CAST(price * least(quantity, CAST(floor(volume * p::DOUBLE) AS BIGINT)) AS DECIMAL(20,8)) AS g FROM fills, unnest([0.01, 0.05, 0.1, 0.25]) q(p)),
+o AS (SELECT rebalance, top_k, p::DOUBLE AS participation, count(*) AS n_fills, count(*) FILTER (done < quantity) AS unfilled, CAST(sum(g) AS DOUBLE) AS gross, CAST(sum(CASE WHEN g = 0 THEN 0 ELSE ceil(greatest(CAST(g * 0.001425 AS DECIMAL(30,8)), 20)) END) AS DOUBLE) AS fee, CAST(sum(CASE WHEN side = 'sell' THEN floor(CAST(g * 0.003 AS DECIMAL(30,8))) ELSE 0 END) AS DOUBLE) AS tax FROM e GROUP BY ALL),
+s AS (SELECT b::DOUBLE AS slippage_bps, p::DOUBLE AS participation, c::DOUBLE AS commission_factor, r AS rebalance, k AS top_k FROM unnest([0, 5, 10, 25, 50]) z(b), unnest([0.01, 0.05, 0.1, 0.25]) q(p), unnest([0.5, 1, 2]) x(c), unnest(['daily', 'weekly', 'every_third']) y(r), unnest([1, 2, 3]) t(k))
+SELECT slippage_bps, participation, commission_factor, rebalance, top_k, n_fills, unfilled, {_R('gross', 2)} AS traded, {_R('fee * commission_factor + tax + gross * slippage_bps / 10000', 2)} AS costs FROM s LEFT JOIN o USING (participation, rebalance, top_k)""",
     "price_views": f"{_BB}, x AS (SELECT *, weekofyear(trade_date) AS w, lag(close) OVER o AS pc FROM bars WINDOW o AS (PARTITION BY instrument_id ORDER BY trade_date)), f AS (SELECT *, coalesce(product(CASE WHEN w = 20 THEN 0.5 ELSE 1 END) OVER l, 1) AS sf, coalesce(product(CASE WHEN w = 40 AND pc > 0 THEN (pc - 25) / pc ELSE 1 END) OVER l, 1) AS cf FROM x WINDOW l AS (PARTITION BY instrument_id ORDER BY trade_date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT instrument_id, trade_date, {_R('sf', 9)} AS split_factor, {_R('cf', 9)} AS cash_factor, {_R('close * sf', 9)} AS split_close, {_R('close * sf * cf', 9)} AS total_return_close, CAST(round(volume / sf) AS BIGINT) AS split_volume, high >= greatest(open, close, low) AND low <= least(open, close, high) AS ohlc_ok FROM f",
     "unsupported_actions": "WITH a AS (SELECT CAST(o_custkey AS VARCHAR) AS instrument_id, CAST(o_orderdate AS DATE) AS ex_date, CASE WHEN o_orderpriority LIKE '1%' THEN 'rights_issue' WHEN o_orderpriority LIKE '2%' THEN 'capital_reduction' ELSE 'cash_dividend' END AS k, CASE WHEN o_orderstatus = 'F' THEN 'loss_offset' END AS s FROM orders) SELECT instrument_id, ex_date, k AS code FROM a WHERE k = 'rights_issue' OR (k = 'capital_reduction' AND s IS NULL) UNION ALL SELECT instrument_id, ex_date, 'several_adjusting_actions' FROM a WHERE k = 'cash_dividend' GROUP BY 1, 2 HAVING count(*) > 1",
     "action_violations": "WITH a AS (SELECT o_orderkey AS e, o_orderkey % 5 AS k, o_orderkey % 7 = 0 AS early, o_orderstatus = 'P' AS noex FROM orders) SELECT 's' AS source, e AS source_event_id, unnest(list_filter([CASE WHEN k = 3 THEN 'missing_ratio' END, CASE WHEN k = 2 THEN 'ratio_not_positive' END, CASE WHEN k = 0 THEN 'missing_cash_amount' END, CASE WHEN k = 1 THEN 'cash_amount_negative' END, CASE WHEN k < 4 AND noex THEN 'missing_ex_date' END, CASE WHEN early THEN 'available_before_announcement' END, CASE WHEN k = 4 THEN 'missing_symbols' END], lambda x : x IS NOT NULL)) AS code FROM a",

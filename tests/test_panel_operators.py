@@ -189,6 +189,39 @@ def test_prediction_and_target_rules(spark):
     t = spark.createDataFrame([("a", 0.7, 1.0, dt.date(2024, 1, 4), now, now, True), ("b", 0.7, 0.0, dt.date(2024, 1, 5), now, now, False)], "instrument_id string, weight double, price double, session date, decision_time timestamp, available_at timestamp, eligible boolean")
     got = {(r.instrument_id, r.code) for r in audit.target_violations(t, "2024-01-04", "2024-01-04").collect()}
     assert got == {("b", "price_not_positive"), ("b", "wrong_session"), ("b", "not_eligible"), (None, "weights_above_one")}
+    mixed = ledger.withColumn("experiment_id", F.col("instrument_id"))
+    assert (None, "several_contracts") in {(r.instrument_id, r.code) for r in audit.prediction_violations(mixed, uni, gone).collect()}
+    one = ledger.withColumn("experiment_id", F.lit(None).cast("string"))
+    assert {(r.instrument_id, r.code) for r in audit.prediction_violations(one, uni, gone).collect()} == codes
+
+
+def test_pretrade_rules(spark):
+    orders = spark.createDataFrame([("p", "1", "a", "sell", 10, 100.0), ("p", "2", "b", "buy", 5, 100.0), ("p", "3", "c", "buy", 1, 100.0), ("p", "4", "a", "sell", 5, 100.0), ("q", "5", "a", "buy", 1, 1.0)], "portfolio string, order_id string, instrument_id string, side string, quantity long, price double")
+    held = spark.createDataFrame([("p", "a", 14, 1400.0), ("p", "d", 4, 400.0)], "portfolio string, instrument_id string, held long, value double")
+    accounts = spark.createDataFrame([("p", 1000.0, 530.0)], "portfolio string, nav double, cash double")
+    flags = {r.order_id: r.flags for r in portfolio.pretrade_flags(orders, held, accounts, 0.35, 900.0, 0.9).collect()}
+    # After order 1: 400 in a, 400 in d. Order 4 sells one share too many. Order 2: 500 and a fee of 20; order 3: 100 and 20 more.
+    assert flags == {"1": ["notional_limit", "weight_limit"], "4": ["short_sale"], "2": ["weight_limit"], "3": ["insufficient_buying_power"], "5": ["valuation_missing"]}
+    over = {r.order_id for r in portfolio.pretrade_flags(orders, held, accounts, 0.35, 900.0, 0.7).collect() if "gross_limit" in r.flags}
+    # Gross after each order: 800, 300, 800 and 900 of 1,000.
+    assert over == {"1", "2", "3"}
+
+
+def test_target_limit_rules(spark):
+    t = spark.createDataFrame([(1, "a", 0.5, 10.0, 100, 1000.0), (1, "b", 0.3, 10.0, 10, 1000.0), (2, "a", 0.1, 0.0, 100, 1000.0), (3, "a", 0.1, 10.0, None, 1000.0)], "decision_time int, instrument_id string, weight double, price double, volume long, nav double")
+    p = spark.createDataFrame([(1, "a", 0.5, 50), (3, "a", 0.1, 10)], "decision_time int, instrument_id string, weight double, quantity int")
+    got = {r.decision_time: (r.orders, r.over_volume, r.reasons) for r in portfolio.target_limits(t, p, max_single=0.6, min_cash=0.25, max_participation=0.5, max_orders=0).collect()}
+    assert got == {1: (1, 1, "cash_buffer;volume_participation;order_count"), 2: (1, 1, "volume_participation;order_count"), 3: (0, 0, "")}
+
+
+def test_scenarios_charge_each_fill(spark):
+    fills = spark.createDataFrame([("daily", 1, "buy", 100, 10.0, 1000), ("daily", 1, "sell", 1000, 100.0, 1000)], "rebalance string, top_k int, side string, quantity long, price double, volume long")
+    rows = {(r.slippage_bps, r.participation, r.commission_factor, r.rebalance, r.top_k): r for r in portfolio.scenario_costs(fills, portfolio.scenario_grid(spark)).collect()}
+    assert len(rows) == len({r.scenario_id for r in rows.values()}) == 540
+    # A tenth of the volume: 1,000 bought whole, 10,000 of 100,000 sold; two commissions of 20, tax of 30.
+    r = rows[10.0, 0.1, 2.0, "daily", 1]
+    assert (r.n_fills, r.unfilled, r.traded, r.costs) == (2, 1, 11_000.0, 2 * 40 + 30 + 11.0)
+    assert rows[10.0, 0.1, 2.0, "weekly", 1].costs is None
 
 
 def test_conformance_and_snapshot(spark):
