@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, hnsw_search, mixture, phrase_dedup, quality_model, shard_store, simhash_dedup, suffix_dedup, syncmer_prints, token_counts
+from tessera.llm import byte_bpe, hnsw_search, language_id, lexical_search, mixture, periodic_runs, phrase_dedup, quality_model, shard_store, simhash_dedup, suffix_dedup, syncmer_prints, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +54,22 @@ def op10_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_store.sharded(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(documents(spark, sf_dir))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(documents(spark, sf_dir), edit=periodic_runs.looped_tail))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw_search, op2_byte_bpe, op3_syncmer_prints, op4_quality_model, op5_suffix_dedup, op6_simhash_dedup, op7_phrase_dedup, op8_mixture, op9_token_counts, op10_shard_store)}
+    return {f.__name__: f for f in (op1_hnsw_search, op2_byte_bpe, op3_syncmer_prints, op4_quality_model, op5_suffix_dedup, op6_simhash_dedup, op7_phrase_dedup, op8_mixture, op9_token_counts, op10_shard_store, op11_lexical_search, op12_language_id, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL has no pre-tokeniser, kernel regression, XXH64 or code for the others; they are tested by brute force."""
-    return {"op10_shard_store": shard_store.ORACLE_SQL}
+    return {"op10_shard_store": shard_store.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL}
