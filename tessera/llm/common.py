@@ -153,9 +153,14 @@ def doc_back(column: str = "doc_id") -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column))
 
 
-def text_digest() -> Column:
+def text_digest(column: str = "text") -> Column:
     """SHA-256 of the text; null is empty."""
-    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return F.unhex(F.sha2(F.coalesce(column, F.lit("")), 256))
+
+
+def carried(docs: DataFrame, **more: Column) -> DataFrame:
+    """The rows in a struct `row` beside own columns, so that no column of the documents can clash with them."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(c.alias(name) for name, c in more.items()))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -166,9 +171,25 @@ def shared_root(spark: SparkSession) -> str:
     return (root or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")).rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
+def _deleted_at_the_end(spark: SparkSession, path: str) -> None:
+    """Delete an existing folder when the application's JVM ends in order (not when it is killed)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+    """A new path below the application's own part of the shared folder, which goes when the application ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        path = f"{shared_root(spark)}/{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+        _deleted_at_the_end(spark, path)
+        _OWN[application] = path
+    return f"{_OWN[application]}/{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -176,6 +197,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_root(df.sparkSession))
+    _deleted_at_the_end(df.sparkSession, context._jsc.sc().getCheckpointDir().get())  # Spark's folder of this application
     return df.checkpoint()
 
 
@@ -183,8 +205,6 @@ def stored(df: DataFrame) -> DataFrame:
     """Write the rows once as Parquet in the shared folder and read them from there. The files go when the application ends."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

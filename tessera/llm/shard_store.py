@@ -103,13 +103,14 @@ def compact(spark: SparkSession, root: str, like: DataFrame, target: int = TARGE
     version = versions(spark, root)[-1] + 1
     now = manifest(spark, root)
     steps = plan(now, target, neighbours)
-    moved = steps.where("merged").select("folder", "shard", "into")
+    to = next(name for i in range(len(like.columns) + 1) if (name := f"into_{i}") not in like.columns)
+    moved = steps.where("merged").select("folder", "shard", F.col("into").alias(to))
     folder = f"{root}/data/{uuid.uuid4().hex}"
     count = moved.count()
     small = F.broadcast(moved) if count <= BROADCAST_SHARDS else moved
     for source in [r["folder"] for r in now.select("folder").distinct().collect()]:  # one for each step so far
         rows = _read(spark, source, like).join(small.where(F.col("folder") == source).drop("folder"), "shard")
-        dealt = rows.drop("shard").withColumnRenamed("into", "shard").repartition("shard")
+        dealt = rows.drop("shard").withColumnRenamed(to, "shard").repartition("shard")
         dealt.write.mode("append").partitionBy("shard").option("compression", "zstd").parquet(folder)
     kept = now.join(steps.where("not merged").select("folder", "shard"), ["folder", "shard"], "left_semi").select("shard", "folder", "version", "docs", "bytes")
     if count:

@@ -58,6 +58,23 @@ def test_one_of_each_group_stays(spark):
     assert len(set(kept)) == len(kept)
 
 
+def test_pairs_that_share_a_boilerplate(spark):
+    """Texts that are all alike to 0.7; each has one partner at 0.8 and more, which must be found."""
+    rng = random.Random(3)
+    common = words(rng, 330)
+    rows = []
+    for g in range(100):
+        shared = words(rng, 34)
+        for _ in range(2):
+            rows.append((len(rows), " ".join(common + shared + words(rng, 40))))
+    sets = [shingles(t) for _, t in rows]
+    want = {(i, i + 1) for i in range(0, 200, 2)}
+    assert all(near(sets[i], sets[j]) for i, j in want) and not near(sets[0], sets[2])
+    df = spark.createDataFrame(rows, "node long, text string").repartition(3)
+    got = {(r.a, r.b) for r in simhash_dedup.near_links(df).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_dedup.keep_distinct(df).count() == 0
