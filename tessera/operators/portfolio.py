@@ -301,9 +301,10 @@ def scenario_costs(fills: DataFrame, grid: DataFrame, policy: CostPolicy = CostP
 
     each = fills.select("rebalance", "top_k", F.explode(F.array(*map(executed, shares))).alias("x")).select("rebalance", "top_k", "x.*")
     keys = ["rebalance", "top_k", "participation"]
-    once = each.groupBy(*keys).agg(F.count("*").alias("n_fills"), F.count_if("short").alias("unfilled"), *(F.sum(c).cast("double").alias(f"_{c}") for c in ("gross", "fee", "tax")))
-    cost = F.col("_fee") * F.col("commission_factor") + F.col("_tax") + F.col("_gross") * F.col("slippage_bps") / 1e4
-    return grid.join(once, keys, "left").select(*grid.columns, "n_fills", "unfilled", F.col("_gross").alias("traded"), cost.alias("costs"))
+    once = each.groupBy(*keys).agg(F.count("*").alias("n_fills"), F.count_if("short").alias("unfilled"), *(F.sum(c).cast("decimal(22,4)").alias(f"_{c}") for c in ("gross", "fee", "tax")))
+    # In decimals, so that no sum of doubles stands on the edge of a cent.
+    cost = F.col("_fee") * F.col("commission_factor").cast("decimal(8,4)") + F.col("_tax") + F.col("_gross") * (F.col("slippage_bps") / 10_000).cast("decimal(12,8)")
+    return grid.join(once, keys, "left").select(*grid.columns, "n_fills", "unfilled", F.col("_gross").cast("double").alias("traded"), cost.cast("double").alias("costs"))
 
 
 def money_columns(*names: str) -> list[Column]:

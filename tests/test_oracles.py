@@ -1,5 +1,7 @@
 """Every registered query against its SQL in DuckDB, on the smallest tables."""
 
+import re
+
 import pytest
 from oracle import duck, same
 
@@ -19,6 +21,16 @@ def test_query_equals_sql(spark, con, name):
     assert same(QUERIES[name](spark, SF), con, SQL[name]) == ""
 
 
+#: Queries whose doubles are rounded to fewer than six places, so a tie could part the engines; on larger tables as well.
+COARSE = [name for name in sorted(SQL) if re.search(r"round\([^()]*(\([^()]*\)[^()]*)*, *[0-5]\)", SQL[name])] + ["provider_prices", "daily_report"]
+
+
+@pytest.mark.parametrize("name", COARSE)
+def test_rounded_query_equals_sql_on_larger_tables(spark, name):
+    larger = "/root/testdata/sf0.01"
+    assert same(QUERIES[name](spark, larger), duck(larger), SQL[name]) == ""
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SF).limit(1).count() == 1
