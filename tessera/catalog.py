@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import book, lab, panel, records, research, streams
+from tessera.plans import book, knowledge, lab, panel, records, research, streams
 
-MODULES = (panel, lab, research, book, streams, records)
+MODULES = (panel, lab, research, book, streams, records, knowledge)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
