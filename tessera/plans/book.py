@@ -373,7 +373,7 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without a column named like a token, and with absolute paths replaced in the url."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("see /var/data/"), F.col("page_id").cast("string"), F.lit(" now")).alias("note"), F.lit("x").alias("api_token"))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.concat(F.lit("see /var/data/"), F.col("page_id").cast("string"), F.lit(" now")).alias("note"), F.lit("x").alias("api_token"))
     return audit.redact(p)
 
 
@@ -446,5 +446,5 @@ SELECT slippage_bps, participation, commission_factor, rebalance, top_k, n_fills
     "journal_audit": "WITH t AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)), n AS (SELECT user_id AS run_id, event_id, event_id % 5 AS cor, event_type, CAST(row_number() OVER w AS INTEGER) AS sequence, lag(event_id) OVER w AS bef FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), e AS (SELECT n.*, coalesce(CASE k WHEN 1 THEN 'fill' WHEN 2 THEN 'intent' WHEN 3 THEN 'reserve' WHEN 4 THEN 'risk' WHEN 5 THEN 'run_completed' END, 'other') AS kind, CASE WHEN event_id % 3 = 0 THEN bef END AS cause FROM n JOIN t USING (event_type) WHERE event_id % 211 <> 0), g AS (SELECT run_id, sequence, lag(sequence) OVER (PARTITION BY run_id ORDER BY sequence) AS b FROM e), s AS (SELECT *, list_position(['intent', 'risk', 'reserve', 'fill'], kind) AS p FROM e WHERE kind IN ('intent', 'risk', 'reserve', 'fill')), m AS (SELECT *, max(p) OVER (PARTITION BY run_id, cor ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mp FROM s) SELECT run_id, sequence, 'sequence_gap' AS code FROM g WHERE sequence <> coalesce(b, 0) + 1 UNION ALL SELECT a.run_id, a.sequence, 'broken_causation' FROM e a LEFT JOIN e c ON c.run_id = a.run_id AND c.event_id = a.cause WHERE a.cause IS NOT NULL AND (c.sequence IS NULL OR c.sequence >= a.sequence) UNION ALL SELECT run_id, sequence, 'step_out_of_order' FROM m WHERE p < mp UNION ALL SELECT run_id, max(sequence), 'missing_terminal_event' FROM e GROUP BY 1 HAVING arg_max(kind, sequence) <> 'run_completed' UNION ALL SELECT run_id, max(sequence), 'reservation_active' FROM e GROUP BY run_id, cor HAVING count(*) FILTER (kind = 'reserve') > count(*) FILTER (kind = 'fill')",
     "order_activity": f"{_FF} SELECT 'order' AS kind, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderdate AS DATE) AS occurred_at, o_orderstatus AS detail FROM orders UNION ALL SELECT 'fill', fill_id, session, side FROM fills UNION ALL SELECT 'risk', CAST(o_orderkey AS VARCHAR), CAST(o_orderdate AS DATE), 'accepted' FROM orders WHERE o_orderkey % 2 = 0",
     "bar_violations": f"{_BB}, b AS (SELECT instrument_id, trade_date, open, low, close, CASE WHEN weekofyear(trade_date) = 5 THEN high / 2 ELSE high END AS high FROM bars) SELECT instrument_id, trade_date, unnest(list_filter([CASE WHEN high < greatest(open, close, low) THEN 'high_below' END, CASE WHEN low > least(open, close, high) THEN 'low_above' END], lambda x : x IS NOT NULL)) AS code FROM b",
-    "redacted": "SELECT page_id, 'see <path> now' AS note FROM pages",
+    "redacted": r"SELECT page_id, regexp_replace(url, '(^|[^\w/:])/(?:[\w.\-]+/)+[\w.\-]*', '\1<path>', 'g') AS url, regexp_replace(html, '(^|[^\w/:])/(?:[\w.\-]+/)+[\w.\-]*', '\1<path>', 'g') AS html, 'see <path> now' AS note FROM pages",
 }

@@ -1,10 +1,10 @@
-"""Queries of joins on two clocks, over brand bars and orders."""
+"""Queries of joins on two clocks and of running sums, over brand bars, orders and lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.operators import bitemporal
+from tessera.operators import bitemporal, scan
 from tessera.plans.inputs import BRAND_BARS, brand_bars, rounded, table
 
 
@@ -37,7 +37,14 @@ def revisions_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitemporal.revisions_as_of(decisions, orders, ["o_custkey"], ["o_orderkey"], revision="o_orderkey").drop("decision_time")
 
 
-QUERIES = [price_views_as_of, revisions_as_of]
+def running_notional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every line adds to the notional of its side, as all lines follow one another; two keys hold all rows, dealt by month."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("day"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_extendedprice").cast("decimal(18,2)").alias("notional"))
+    made = scan.running_sums(lines, ["side"], ["day", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "notional"], F.trunc("day", "month"), {"running": "notional"})
+    return made.select("l_orderkey", "l_linenumber", "side", F.col("running").cast("double").alias("running"))
+
+
+QUERIES = [price_views_as_of, revisions_as_of, running_notional]
 
 _R = lambda c, n=9: f"round({c}, {n}) + 0.0"
 
@@ -59,6 +66,7 @@ factors AS (
   FROM seen WHERE ex_date > trade_date GROUP BY ALL)
 SELECT instrument_id, trade_date, days, {_R('coalesce(sf, 1)')} AS split_factor, {_R('coalesce(cf, 1)')} AS cash_factor, {_R('close * coalesce(sf, 1)')} AS split_close, {_R('close * coalesce(sf, 1) * coalesce(cf, 1)')} AS total_return_close
 FROM decisions LEFT JOIN factors USING (instrument_id, trade_date, days)""",
+    "running_notional": "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) OVER (PARTITION BY CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END ORDER BY CAST(l_shipdate AS DATE), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running FROM lineitem",
     "revisions_as_of": """WITH d AS (SELECT o_custkey, o_orderkey AS asked_by, o_orderdate, unnest([0, 30]) AS days FROM orders)
 SELECT d.o_custkey, asked_by, days, max(o.o_orderkey) AS known_o_orderkey FROM d LEFT JOIN orders o ON o.o_custkey = d.o_custkey AND o.o_orderdate <= d.o_orderdate - to_days(CAST(days AS INTEGER)) GROUP BY ALL""",
 }

@@ -60,11 +60,11 @@ def typed_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases, then high values, appended to one log; alerts of each kind and user."""
+    """Purchases, then all other events, appended to one log; alerts of each kind and user."""
     e = table(spark, sf_dir, "events")
     path = scratch_folder(spark)
-    for kind, rows in (("purchase", e.where("event_type = 'purchase'")), ("high", e.where("value > 100"))):
-        files.alert_sink(rows.select(F.lit(kind).alias("kind"), "user_id", "event_id"), path)
+    for which in ("event_type = 'purchase'", "event_type <> 'purchase'"):
+        files.alert_sink(e.where(which).select(F.col("event_type").alias("kind"), "user_id", "event_id"), path)
     return spark.read.schema("kind string, user_id long, event_id long").json(path).groupBy("kind", "user_id").agg(F.count("*").alias("n"))
 
 
@@ -141,7 +141,7 @@ ORACLES = {
     "panel_files": f"WITH {EVENT_BARS} SELECT instrument_id, trade_date, {_R('open')} AS open, {_R('close')} AS close, volume FROM bars",
     "json_lines": "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders",
     "typed_violations": f"WITH {EVENT_BARS} SELECT instrument_id, trade_date, 'price_not_positive' AS code FROM bars WHERE least(open, high, CASE WHEN day(trade_date) = 11 THEN -low ELSE low END, close) <= 0 UNION ALL SELECT instrument_id, trade_date, 'volume_negative' FROM bars WHERE day(trade_date) = 12",
-    "alert_log": "SELECT 'purchase' AS kind, user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 2 UNION ALL SELECT 'high', user_id, count(*) FROM events WHERE value > 100 GROUP BY 2",
+    "alert_log": "SELECT event_type AS kind, user_id, count(*) AS n FROM events GROUP BY ALL",
     "exact_versions": "SELECT o_orderkey, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS pinned FROM orders",
     "calendars": "SELECT DISTINCT CAST(ts AS DATE) AS trade_date, 'tw' AS market, 'trading_day' AS status, 'Asia/Taipei' AS timezone FROM events",
     "ledger_violations": f"""WITH {EVENT_BARS}, one AS (SELECT *, {_K} AS k, day(trade_date) AS d FROM bars), l AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE k % 23 = 0),

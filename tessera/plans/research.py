@@ -124,9 +124,9 @@ def volume_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with a purchase asked for, and one that never came."""
-    asked = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("instrument_id")).distinct().union(spark.sql("SELECT 'none' AS instrument_id"))
-    return universe.panel_coverage(event_bars(spark, sf_dir).where("dayofmonth(trade_date) < 20"), asked)
+    """All users asked for, and one that never came."""
+    asked = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("instrument_id")).distinct().union(spark.sql("SELECT 'none' AS instrument_id"))
+    return universe.panel_coverage(event_bars(spark, sf_dir), asked)
 
 
 def provider_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +278,7 @@ ORACLES = {
     "merged_orders": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 6 = 0 THEN 'copy' END AS note FROM orders",
     "discovered_symbols": "SELECT stock_id FROM (SELECT CAST(p_partkey AS VARCHAR) AS stock_id FROM part UNION SELECT CAST(l_partkey AS VARCHAR) FROM lineitem) WHERE regexp_full_match(stock_id, '[0-9]{4}')",
     "volume_gaps": f"WITH {EVENT_BARS}, v AS (SELECT instrument_id, trade_date, volume * 1499 AS a, CAST(round(round(volume * 1499 / 1000) * 1000) AS BIGINT) AS b FROM bars) SELECT instrument_id, trade_date, abs(a - b) AS absolute_difference, {_R('abs(a - b) / greatest(a, b, 1)')} AS relative_difference FROM v",
-    "panel_coverage": f"WITH {EVENT_BARS}, s AS (SELECT * FROM bars WHERE day(trade_date) < 20), q AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events WHERE event_type = 'purchase' UNION SELECT 'none') SELECT count(DISTINCT trade_date) AS sessions, count(DISTINCT instrument_id) AS instruments, (SELECT count(*) FROM q) AS requested, (SELECT count(*) FROM q WHERE id NOT IN (SELECT instrument_id FROM s)) AS missing, 'missing_instruments' AS blockers FROM s",
+    "panel_coverage": f"WITH {EVENT_BARS}, s AS (SELECT * FROM bars), q AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events UNION SELECT 'none') SELECT count(DISTINCT trade_date) AS sessions, count(DISTINCT instrument_id) AS instruments, (SELECT count(*) FROM q) AS requested, (SELECT count(*) FROM q WHERE id NOT IN (SELECT instrument_id FROM s)) AS missing, 'missing_instruments' AS blockers FROM s",
     "provider_agreement": "SELECT l_orderkey AS record_key, count(DISTINCT l_suppkey) AS providers, count(DISTINCT year(l_shipdate)) = 1 AS agrees FROM lineitem GROUP BY 1",
     "supervised_panel": f"{_SUP} SELECT instrument_id, decision_date, {', '.join(f'{_R(c)} AS {c}' for c in ('f0', 'f1', 'f2', 'label_value'))}, reason = '' AS sample_valid, nullif(reason, '') AS sample_reason FROM sup",
     "walk_forward": f"{_SUP} SELECT fold_id, role, instrument_id, decision_date, purged FROM folds",

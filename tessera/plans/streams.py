@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.plans.inputs import rounded, table
 from tessera.sources import files
-from tessera.streaming import health
+from tessera.streaming import health, stateful
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,12 @@ def frozen_after_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.frozen_after_gap(_observations(spark, sf_dir), "stream_id").groupBy("stream_id").agg(F.count_if("accepted").alias("accepted"), F.count("*").alias("events"))
 
 
+def contiguous_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as orders; events are released in sequence, and one that would exceed the order freezes it. The twin of the streaming job."""
+    rows = _observations(spark, sf_dir).select(F.col("stream_id").alias("order_id"), "sequence", "event_id", F.col("received_at").alias("event_time"), (F.col("event_id") % 7 + 1).alias("quantity"), (F.col("stream_id").cast("long") % 50 + 20).alias("ordered"))
+    return stateful.contiguous_fills(rows)
+
+
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule for every user and condition, with a threshold by the user's number."""
     users = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("instrument"), "user_id").distinct()
@@ -76,8 +82,8 @@ def heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def starts_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Carts as starts, at most two in a day."""
-    rows = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("component"), "event_id", F.col("ts").alias("event_time"))
+    """Events as starts of their user, at most two in a day."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("component"), "event_id", F.col("ts").alias("event_time"))
     return health.starts_within(rows, 86_400, 2).select("component", "event_id", "recent", "allowed")
 
 
@@ -129,7 +135,7 @@ def exchange_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(files.decode_exchange_rows(rows, 1000).select("o_orderkey", "trade_date", "volume", "close"), 2)
 
 
-QUERIES = [stream_health, fault_counts, idempotent_ingest, frozen_after_gap, threshold_alerts, alert_decisions, freshness, heartbeat, starts_within, late_orders, risk_breaches, latest_metric, windowed_counts, decoded_quotes, exchange_rows]
+QUERIES = [stream_health, fault_counts, idempotent_ingest, frozen_after_gap, contiguous_fills, threshold_alerts, alert_decisions, freshness, heartbeat, starts_within, late_orders, risk_breaches, latest_metric, windowed_counts, decoded_quotes, exchange_rows]
 
 _R = lambda c, n=6: f"round({c}, {n}) + 0.0"
 _OBS = """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS stream_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, ts AS event_time, ts + CASE WHEN event_id % 97 = 5 THEN INTERVAL 3 DAY ELSE INTERVAL 1 SECOND END AS received_at FROM events),
@@ -145,7 +151,12 @@ ORACLES = {
     "threshold_alerts": f"WITH q AS (SELECT user_id, event_id, value AS price, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events), o AS (SELECT *, (price - prev) / nullif(prev, 0) * 100 AS pct FROM q WHERE user_id % 3 <> 0), u AS (SELECT user_id * 10 AS rule_id, user_id, price AS observed, 450.0 + user_id % 5 AS threshold FROM o WHERE price >= 450.0 + user_id % 5 UNION ALL SELECT user_id * 10 + 1, user_id, price, 20.0 + user_id % 5 FROM o WHERE price <= 20.0 + user_id % 5 UNION ALL SELECT user_id * 10 + 2, user_id, pct, 900.0 + user_id % 5 FROM o WHERE pct >= 900.0 + user_id % 5 UNION ALL SELECT user_id * 10 + 3, user_id, pct, -95.0 + user_id % 5 FROM o WHERE pct <= -95.0 + user_id % 5) SELECT rule_id, CAST(user_id AS VARCHAR) AS instrument, {_R('observed', 4)} AS observed, {_R('CAST(threshold AS DOUBLE)', 4)} AS threshold FROM u",
     "freshness": "SELECT CAST(ts AS DATE) AS session, max(ts) AS last_event, CAST(floor(epoch(TIMESTAMP '2024-01-20 12:00:00')) - floor(epoch(max(ts))) AS BIGINT) AS age_seconds, floor(epoch(TIMESTAMP '2024-01-20 12:00:00')) - floor(epoch(max(ts))) <= 86400 AS fresh FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1",
     "heartbeat": "SELECT user_id AS component, CAST(floor(epoch(TIMESTAMP '2024-01-31')) - floor(epoch(max(ts))) AS BIGINT) AS age_seconds, floor(epoch(TIMESTAMP '2024-01-31')) - floor(epoch(max(ts))) > 43200 AS stale FROM events GROUP BY 1",
-    "starts_within": "WITH p AS (SELECT user_id AS component, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events WHERE event_type = 'purchase'), c AS (SELECT *, count(*) OVER (PARTITION BY component ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS recent FROM p) SELECT component, event_id, recent, recent <= 2 AS allowed FROM c",
+    "contiguous_fills": f"""{_OBS}, o AS (SELECT stream_id AS order_id, sequence, event_id, event_id % 7 + 1 AS quantity, CAST(stream_id AS BIGINT) % 50 + 20 AS ordered, row_number() OVER (PARTITION BY stream_id, sequence ORDER BY received_at, event_id) > 1 AS again FROM obs),
+g AS (SELECT *, sequence <> row_number() OVER w AS gap, sum(quantity) OVER (PARTITION BY order_id, again ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS total FROM o WINDOW w AS (PARTITION BY order_id, again ORDER BY sequence)),
+h AS (SELECT *, min(CASE WHEN gap OR total > ordered THEN sequence END) OVER (PARTITION BY order_id, again) AS stop FROM g)
+SELECT order_id, sequence, event_id, CASE WHEN again THEN 'duplicate' WHEN sequence < coalesce(stop, sequence + 1) THEN 'accepted' WHEN sequence = stop AND NOT gap THEN 'over_fill' ELSE 'frozen' END AS status,
+  CAST(CASE WHEN again THEN NULL WHEN sequence < coalesce(stop, sequence + 1) THEN total WHEN sequence = stop AND NOT gap THEN total - quantity END AS BIGINT) AS filled FROM h""",
+    "starts_within": "WITH p AS (SELECT user_id AS component, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), c AS (SELECT *, count(*) OVER (PARTITION BY component ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS recent FROM p) SELECT component, event_id, recent, recent <= 2 AS allowed FROM c",
     "late_orders": "SELECT l_orderkey, l_linenumber, CAST(CAST(l_shipdate AS DATE) - 60 AS DATE) AS ex_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate > CAST(CAST(l_shipdate AS DATE) - 60 AS TIMESTAMP) + INTERVAL 10 HOUR",
     "risk_breaches": f"WITH m AS (SELECT user_id || '/' || CAST(ts AS DATE) AS scope, event_type AS metric, round(sum(value), 4) AS value FROM events GROUP BY 1, 2), l AS (SELECT event_type AS metric, round(max(value), 2) AS bound FROM events GROUP BY 1) SELECT scope, metric, {_R('value', 3)} AS value, {_R('bound', 3)} AS bound, CASE WHEN metric < 'm' THEN 'critical' ELSE 'warning' END AS severity FROM m JOIN l USING (metric) WHERE value > bound",
     "latest_metric": f"SELECT event_type AS metric, {_R('last(value ORDER BY ts, event_id)')} AS value, max(ts) AS at FROM events GROUP BY 1",
