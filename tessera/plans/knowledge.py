@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.functions import observations
 from tessera.operators import bitemporal, scan
-from tessera.plans.inputs import BRAND_BARS, brand_bars, rounded, table
+from tessera.plans.inputs import BRAND_BARS, EVENT_BARS, brand_bars, event_bars, rounded, table
 
 
 def _revised_actions(bars: DataFrame) -> DataFrame:
@@ -44,7 +45,15 @@ def running_notional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("l_orderkey", "l_linenumber", "side", F.col("running").cast("double").alias("running"))
 
 
-QUERIES = [price_views_as_of, revisions_as_of, running_notional]
+def observations_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bar's close as JSON text, cut short on some days, and read back; corrupt texts stand apart."""
+    bars = event_bars(spark, sf_dir).select("instrument_id", F.col("trade_date").alias("day"), observations.encode_observation(F.col("trade_date"), "close", F.col("close"), F.col("available_at")).alias("text"))
+    broken = bars.withColumn("text", F.when(F.dayofmonth("day") == 13, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text")))
+    rows, rejects = observations.decode_observations(broken, "text")
+    return rows.select("instrument_id", "day", "field", F.unix_timestamp("available_at").alias("known"), "value").unionByName(rejects.select("instrument_id", "day", F.lit("corrupt").alias("field")), allowMissingColumns=True)
+
+
+QUERIES = [price_views_as_of, revisions_as_of, running_notional, observations_json]
 
 _R = lambda c, n=9: f"round({c}, {n}) + 0.0"
 
@@ -66,6 +75,7 @@ factors AS (
   FROM seen WHERE ex_date > trade_date GROUP BY ALL)
 SELECT instrument_id, trade_date, days, {_R('coalesce(sf, 1)')} AS split_factor, {_R('coalesce(cf, 1)')} AS cash_factor, {_R('close * coalesce(sf, 1)')} AS split_close, {_R('close * coalesce(sf, 1) * coalesce(cf, 1)')} AS total_return_close
 FROM decisions LEFT JOIN factors USING (instrument_id, trade_date, days)""",
+    "observations_json": f"WITH {EVENT_BARS} SELECT instrument_id, trade_date AS day, CASE WHEN day(trade_date) = 13 THEN 'corrupt' ELSE 'close' END AS field, CASE WHEN day(trade_date) <> 13 THEN CAST(epoch(trade_date) AS BIGINT) + 36000 END AS known, CASE WHEN day(trade_date) <> 13 THEN close END AS value FROM bars",
     "running_notional": "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) OVER (PARTITION BY CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END ORDER BY CAST(l_shipdate AS DATE), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running FROM lineitem",
     "revisions_as_of": """WITH d AS (SELECT o_custkey, o_orderkey AS asked_by, o_orderdate, unnest([0, 30]) AS days FROM orders)
 SELECT d.o_custkey, asked_by, days, max(o.o_orderkey) AS known_o_orderkey FROM d LEFT JOIN orders o ON o.o_custkey = d.o_custkey AND o.o_orderdate <= d.o_orderdate - to_days(CAST(days AS INTEGER)) GROUP BY ALL""",
