@@ -120,10 +120,11 @@ def decoded_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     text = F.format_string("%.2f", "p_retailprice")
-    quotes = p.select(k.cast("string").alias("symbol"), F.when(k % 3 == 0, "-").when(k % 3 == 1, "0").otherwise(text).alias("z"), F.when(k % 2 == 0, text).otherwise("-").alias("pz"), F.format_string("%.2f", F.col("p_retailprice") + 1).alias("y"), F.concat(text, F.lit("_1_2_3_4_5_")).alias("b"), F.lit("7_8_").alias("g"), F.lit("9_").alias("a"), F.lit("1_").alias("f"))
+    quotes = p.select(k.cast("string").alias("symbol"), F.when(k % 3 == 0, "-").when(k % 3 == 1, "0").otherwise(text).alias("z"), F.when(k % 2 == 0, text).otherwise("-").alias("pz"), F.format_string("%.2f", F.col("p_retailprice") + 1).alias("y"), F.concat(text, F.lit("_1_2_3_4_5_")).alias("b"), F.lit("7_8_").alias("g"), F.lit("9_").alias("a"), F.lit("1_").alias("f"),
+        F.when(k % 5 > 0, F.col("p_name")).alias("n"), F.when(k % 7 > 0, "20240105").alias("d"), F.format_string("09:00:%02d", k % 60).alias("t"), text.alias("o"), F.format_string("%.2f", F.col("p_retailprice") + 2).alias("h"), F.lit("-").alias("l"), (k * 10).cast("string").alias("v"))
     asked = p.select(k.cast("string").alias("symbol")).union(p.select((k + 1_000_000).cast("string").alias("symbol")))
     out = files.decode_quotes(quotes, asked)
-    return rounded(out.select("symbol", "price", "previous_close", F.size(F.coalesce("bids", F.array())).alias("levels"), F.aggregate(F.coalesce("bids", F.array()), F.lit(0).cast("long"), lambda s, x: s + x["volume"]).alias("bid_volume"), "status"), 2)
+    return rounded(out.select("symbol", "name", F.unix_timestamp("event_time").alias("at"), "price", "previous_close", "open", "high", "low", "volume", F.size(F.coalesce("bids", F.array())).alias("levels"), F.aggregate(F.coalesce("bids", F.array()), F.lit(0).cast("long"), lambda s, x: s + x["volume"]).alias("bid_volume"), "status"), 2)
 
 
 def exchange_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +162,6 @@ SELECT order_id, sequence, event_id, CASE WHEN again THEN 'duplicate' WHEN seque
     "risk_breaches": f"WITH m AS (SELECT user_id || '/' || CAST(ts AS DATE) AS scope, event_type AS metric, round(sum(value), 4) AS value FROM events GROUP BY 1, 2), l AS (SELECT event_type AS metric, round(max(value), 2) AS bound FROM events GROUP BY 1) SELECT scope, metric, {_R('value', 3)} AS value, {_R('bound', 3)} AS bound, CASE WHEN metric < 'm' THEN 'critical' ELSE 'warning' END AS severity FROM m JOIN l USING (metric) WHERE value > bound",
     "latest_metric": f"SELECT event_type AS metric, {_R('last(value ORDER BY ts, event_id)')} AS value, max(ts) AS at FROM events GROUP BY 1",
     "windowed_counts": f"SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, {_R('sum(value)', 3)} AS total FROM events GROUP BY 1, 2",
-    "decoded_quotes": f"SELECT CAST(p_partkey AS VARCHAR) AS symbol, {_R('CASE WHEN p_partkey % 3 = 2 OR p_partkey % 2 = 0 THEN p_retailprice ELSE p_retailprice + 1 END', 2)} AS price, {_R('p_retailprice + 1', 2)} AS previous_close, 5 AS levels, 15 AS bid_volume, CASE WHEN p_partkey % 3 = 0 THEN 'reference' ELSE 'ok' END AS status FROM part UNION ALL SELECT CAST(p_partkey + 1000000 AS VARCHAR), NULL, NULL, 0, 0, 'not_found' FROM part",
+    "decoded_quotes": f"SELECT CAST(p_partkey AS VARCHAR) AS symbol, CASE WHEN p_partkey % 5 > 0 THEN p_name ELSE CAST(p_partkey AS VARCHAR) END AS name, CASE WHEN p_partkey % 7 > 0 THEN 1704416400 + p_partkey % 60 END AS at, {_R('p_retailprice', 2)} AS open, {_R('p_retailprice + 2', 2)} AS high, CAST(NULL AS DOUBLE) AS low, p_partkey * 10 AS volume, {_R('CASE WHEN p_partkey % 3 = 2 OR p_partkey % 2 = 0 THEN p_retailprice ELSE p_retailprice + 1 END', 2)} AS price, {_R('p_retailprice + 1', 2)} AS previous_close, 5 AS levels, 15 AS bid_volume, CASE WHEN p_partkey % 3 = 0 THEN 'reference' ELSE 'ok' END AS status FROM part UNION ALL SELECT CAST(p_partkey + 1000000 AS VARCHAR), CAST(p_partkey + 1000000 AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, 'not_found' FROM part",
     "exchange_rows": f"SELECT o_orderkey, CAST(o_orderdate AS DATE) AS trade_date, o_custkey * 1000 AS volume, {_R('o_totalprice', 2)} AS close FROM orders WHERE o_orderkey % 4 <> 0",
 }

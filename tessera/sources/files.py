@@ -74,14 +74,21 @@ def _depth(prices: Column, volumes: Column) -> Column:
 
 
 def decode_quotes(df: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """(symbol, price, previous_close, bids, asks, status) of every symbol asked for.
+    """(symbol, name, event_time, price, previous_close, open, high, low, volume, bids, asks, status) of every symbol asked for.
 
     price: the first of z, pz and y that is a number other than zero; status ok (z is a number, zero included), reference
-    (an older price), or not_found (not returned). df: symbol, z, pz, y, a, f, b, g as text."""
-    num = lambda c: parse_number(F.col(c))
+    (an older price), or not_found (not returned; all but symbol and name are null). df: symbol, z, pz, y, a, f, b, g as text, and where
+    the snapshot has them n (name; the symbol, if not), d and t (day yyyymmdd and time in Taipei; both or no event_time), o, h, l
+    and v (whole number)."""
+    have = set(df.columns)
+    text = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
+    num = lambda c: parse_number(text(c))
     price = F.coalesce(*(F.nullif(num(c), F.lit(0.0)) for c in ("z", "pz", "y")))
-    decoded = df.select("symbol", price.alias("price"), num("y").alias("previous_close"), _depth(F.col("b"), F.col("g")).alias("bids"), _depth(F.col("a"), F.col("f")).alias("asks"), F.when(num("z").isNotNull(), "ok").otherwise("reference").alias("status"))
-    return watchlist.select("symbol").distinct().join(decoded, "symbol", "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
+    at = F.when(F.length(text("d")) == 8, F.try_to_timestamp(F.concat(text("d"), F.lit(" "), text("t"), F.lit(" +08:00")), F.lit("yyyyMMdd HH:mm:ss XXX")))
+    traded = {"open": num("o"), "high": num("h"), "low": num("l"), "volume": num("v").cast("long")}
+    decoded = df.select("symbol", text("n").alias("name"), at.alias("event_time"), price.alias("price"), num("y").alias("previous_close"), *(c.alias(n) for n, c in traded.items()), _depth(F.col("b"), F.col("g")).alias("bids"), _depth(F.col("a"), F.col("f")).alias("asks"), F.when(num("z").isNotNull(), "ok").otherwise("reference").alias("status"))
+    met = watchlist.select("symbol").distinct().join(decoded, "symbol", "left")
+    return met.withColumns({"status": F.coalesce("status", F.lit("not_found")), "name": F.coalesce("name", "symbol")})
 
 
 def write_panel(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:

@@ -95,11 +95,11 @@ def frozen_after_gap(events: DataFrame, key: str, seq: str = "sequence") -> Data
 
 
 def threshold_alerts(quotes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule_id, instrument, observed, threshold) of quotes that meet an enabled rule. Rules are a small table kept by
-    people; they are broadcast, also against a stream of quotes. Conditions: above, below, change_pct_above, change_pct_below."""
+    """(rule_id, instrument, observed, threshold) of quotes that meet an enabled rule. Rules may be few or one for
+    every instrument; Spark broadcasts them if they are small, also against a stream of quotes. Conditions: above, below, change_pct_above, change_pct_below."""
     pct = (F.col("price") - F.col("previous_close")) / F.nullif("previous_close", F.lit(0.0)) * 100
     on = rules.where("enabled").select("rule_id", F.col("instrument").alias("_i"), "condition", "threshold")
-    met = quotes.join(F.broadcast(on), quotes["instrument"] == F.col("_i"))
+    met = quotes.join(on, quotes["instrument"] == F.col("_i"))
     observed = F.when(F.col("condition").isin("above", "below"), F.col("price")).otherwise(pct)
     up = F.col("condition").isin("above", "change_pct_above")
     keep = [c for c in ("event_time",) if c in quotes.columns]
@@ -163,8 +163,8 @@ def starts_within(starts: DataFrame, window_seconds: int, maximum: int, by: str
 
 
 def risk_breaches(metrics: DataFrame, limits: DataFrame) -> DataFrame:
-    """(scope, metric, value, bound, severity) of metrics over their limit. limits: metric, bound, severity, a row a metric: broadcast."""
-    return metrics.join(F.broadcast(limits), "metric").where("value > bound or value is null").select("scope", "metric", "value", "bound", "severity")
+    """(scope, metric, value, bound, severity) of metrics over their limit. limits: metric, bound, severity, a row a metric."""
+    return metrics.join(limits, "metric").where("value > bound or value is null").select("scope", "metric", "value", "bound", "severity")
 
 
 def latest_metric(metrics: DataFrame) -> DataFrame:
