@@ -96,9 +96,10 @@ def train_test_eval(stats: DataFrame, train_ratio: float = 0.7, horizon: int = 5
 def factor_correlations(ranks: DataFrame, cutoff: str | None = None) -> DataFrame:
     """(k1, k2, rho, n) of each pair of factors over the dates before the cutoff. ranks: factor_key, trade_date, symbol, centered."""
     rows = ranks.where(F.col("trade_date") < F.lit(cutoff)) if cutoff else ranks
-    a = rows.select("trade_date", "symbol", F.col("factor_key").alias("k1"), F.col("centered").alias("x"))
-    b = rows.select("trade_date", "symbol", F.col("factor_key").alias("k2"), F.col("centered").alias("y"))
-    return a.join(b, ["trade_date", "symbol"]).where("k1 < k2").groupBy("k1", "k2").agg(correlation("x", "y").alias("rho"), F.count("*").alias("n"))
+    cell = rows.groupBy("trade_date", "symbol").agg(F.array_sort(F.collect_list(F.struct(F.col("factor_key").alias("k"), F.col("centered").alias("x")))).alias("f"))
+    # A cell's factors meet inside its own row, so ranks are shuffled once and the sums are combined map-side.
+    pairs = F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda b: F.struct(a["k"].alias("k1"), b["k"].alias("k2"), a["x"].alias("x"), b["x"].alias("y")))))
+    return cell.select(F.explode(pairs).alias("p")).select("p.*").where("k1 < k2").groupBy("k1", "k2").agg(correlation("x", "y").alias("rho"), F.count("*").alias("n"))
 
 
 def pick_uncorrelated(scored: DataFrame, correlations: DataFrame, top_k: int = 6, threshold: float = 0.85) -> list[str]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.evaluation import daily_ic
 from tessera.operators.features import FORBIDDEN
+from tessera.operators.selection import exact_quantiles, stored
 
 
 def build_supervised(features: DataFrame, labels: DataFrame, universe: DataFrame, names: list[str], policy: str = "invalid") -> DataFrame:
@@ -84,9 +85,9 @@ def fold_counts(folds: DataFrame) -> DataFrame:
 
 def fit_robust(df: DataFrame, start: str, end: str, value: str = "value", by: str = "feature_name") -> DataFrame:
     """(by, median, mad) over a window of dates; only features whose MAD is above zero."""
-    rows = df.where(F.col("decision_date").between(start, end) & F.col(value).isNotNull())
-    middle = rows.groupBy(by).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    spread = rows.join(middle, by).groupBy(by).agg(F.max("median").alias("median"), F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    rows = stored(df.where(F.col("decision_date").between(start, end) & F.col(value).isNotNull()).select(by, value))
+    middle = stored(exact_quantiles(rows, [by], value, {"median": 0.5}, written=True))
+    spread = exact_quantiles(rows.join(middle, by).select(by, F.abs(F.col(value) - F.col("median")).alias("_d")), [by], "_d", {"mad": 0.5}).join(middle, by).select(by, "median", "mad")
     return spread.where("mad > 0")
 
 
@@ -98,10 +99,10 @@ def fit_fold_preprocessor(train: DataFrame, lower: float = 0.01, upper: float =
     """(fold_id, pos, median, lo, hi, mean, sd) of each element of feature_vector over training rows.
 
     Nulls take the median, then values are clipped at linear quantiles, then mean and sample deviation (0 counts as 1)."""
-    long = train.select("fold_id", F.posexplode("feature_vector").alias("pos", "x"))
-    middle = long.groupBy("fold_id", "pos").agg(F.percentile("x", F.lit(0.5)).alias("median"))
+    long = stored(train.select("fold_id", F.posexplode("feature_vector").alias("pos", "x")))
+    middle = stored(exact_quantiles(long, ["fold_id", "pos"], "x", {"median": 0.5}, written=True))
     filled = long.join(middle, ["fold_id", "pos"]).withColumn("x", F.coalesce("x", "median"))
-    bounds = filled.groupBy("fold_id", "pos").agg(F.percentile("x", F.lit(lower)).alias("lo"), F.percentile("x", F.lit(upper)).alias("hi"))
+    bounds = exact_quantiles(filled, ["fold_id", "pos"], "x", {"lo": lower, "hi": upper})
     clipped = filled.join(bounds, ["fold_id", "pos"]).withColumn("x", F.least(F.greatest("x", "lo"), "hi"))
     sd = F.stddev_samp("x")
     return clipped.groupBy("fold_id", "pos").agg(F.max("median").alias("median"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.avg("x").alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("sd"))
