@@ -6,59 +6,64 @@ portfolio at a time on the driver.
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_EVEN, Decimal
 from itertools import product
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions import columns as H
 from tessera.functions.columns import CostPolicy
 from tessera.operators.grid import asof_backward
-
-cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
-
-_UNIT = Decimal("0.00000001")
-_BASIS = "portfolio string, instrument_id string, fill_id string, session date, side string, quantity long, held long, book_cost decimal(20,8), cost_of_sales decimal(20,8), realised decimal(20,8), code string"
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One position through its fills and splits in order."""
-    held, book = 0, Decimal(0)
-    rows = []
-    for r in pdf.sort_values(["session", "seq", "fill_id"]).itertuples():
-        cost, realised, code = Decimal(0), Decimal(0), None
-        if r.side == "split":
-            now = Decimal(held) * r.price
-            if now == now.to_integral_value():
-                held = int(now)
-            else:
-                code = "split_not_integral"
-        elif r.side == "buy":
-            held += r.quantity
-            book += (r.price * r.quantity + r.fee).quantize(_UNIT)
-        elif r.quantity > held:
-            code = "short_sale"
-        else:
-            cost = book if r.quantity == held else (book * r.quantity / held).quantize(_UNIT, ROUND_HALF_EVEN)
-            held, book = held - r.quantity, book - cost
-            realised = (r.price * r.quantity - r.fee - r.tax - cost).quantize(_UNIT)
-        rows.append((r.portfolio, r.instrument_id, r.fill_id, r.session, r.side, r.quantity, held, book, cost, realised, code))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _BASIS.split(", ")])
+from tessera.operators.scan import fold_in_blocks
+
+#: Fills of a position that are folded together; a block's rows are appended to the result at once.
+_BLOCK = 512
+_WHOLE = "decimal(38,0)"
+
+
+def _share(book: Column, quantity: Column, held: Column) -> Column:
+    """book * quantity / held in whole units, ties to even; exact, as remainder and quotient are taken apart."""
+    product = (book * quantity).cast(_WHOLE)
+    left = product % held.cast(_WHOLE)
+    down = F.try_divide(product - left, held).cast(_WHOLE)
+    twice = left * 2
+    return (down + F.when((twice > held) | ((twice == held) & (down % 2 == 1)), 1).otherwise(0)).cast(_WHOLE)
+
+
+def _step(s: Column, r: Column) -> Column:
+    """The position after one fill or split; book, cost and realised in units of 0.00000001."""
+    zero = F.lit(0).cast(_WHOLE)
+    kind, n, held, book = r["side"], r["quantity"], s["held"], s["book"]
+    units = lambda c: F.floor(c * F.lit(100_000_000).cast("decimal(9,0)")).cast(_WHOLE)
+    gross = (units(r["price"]) * n).cast(_WHOLE)
+    split_to = held.cast("decimal(19,0)") * r["price"].cast("decimal(18,8)")
+    splits, buys = kind == "split", kind == "buy"
+    whole = split_to == F.floor(split_to)
+    short = ~splits & ~buys & (n > held)
+    sells = ~splits & ~buys & ~short
+    cost = F.when(sells, F.when(n == held, book).otherwise(_share(book, n, held))).otherwise(zero).cast(_WHOLE)
+    after = F.when(splits & whole, split_to.cast("long")).when(buys, held + n).when(sells, held - n).otherwise(held)
+    realised = F.when(sells, gross - units(r["fee"]) - units(r["tax"]) - cost).otherwise(zero).cast(_WHOLE)
+    code = F.when(splits & ~whole, "split_not_integral").when(short, "short_sale")
+    return F.struct(after.cast("long").alias("held"), F.when(buys, book + gross + units(r["fee"])).otherwise(book - cost).cast(_WHOLE).alias("book"), cost.alias("cost"), realised.alias("realised"), code.alias("code"))
 
 
 def cost_basis(fills: DataFrame, splits: DataFrame | None = None) -> DataFrame:
     """Each fill with the position after it: held, book cost, cost of sales and realised gain; average cost, no short sales.
 
     fills: portfolio, instrument_id, fill_id, session, side, quantity, price, fee, tax; splits: portfolio, instrument_id,
-    session, ratio, applied before that day's fills. The fold depends on order, so a position is one group; positions run in parallel."""
+    session, ratio, applied before that day's fills. The fold depends on order, so a position is one sorted array, folded in
+    the JVM block by block; positions run in parallel."""
     money = lambda c: F.col(c).cast("decimal(20,8)").alias(c)
     rows = fills.select("portfolio", "instrument_id", F.col("fill_id").cast("string").alias("fill_id"), "session", F.lit(1).alias("seq"), "side", F.col("quantity").cast("long").alias("quantity"), money("price"), money("fee"), money("tax"))
     if splits is not None:
         zero = F.lit(0).cast("decimal(20,8)")
         rows = rows.unionByName(splits.select("portfolio", "instrument_id", F.lit("split").alias("fill_id"), "session", F.lit(0).alias("seq"), F.lit("split").alias("side"), F.lit(0).cast("long").alias("quantity"), F.col("ratio").cast("decimal(20,8)").alias("price"), zero.alias("fee"), zero.alias("tax")))
-    return rows.groupBy("portfolio", "instrument_id").applyInPandas(_fold, _BASIS)
+    start = F.struct(F.lit(0).cast("long").alias("held"), *(F.lit(0).cast(_WHOLE).alias(c) for c in ("book", "cost", "realised")), F.lit(None).cast("string").alias("code"))
+    sorted_rows = rows.groupBy("portfolio", "instrument_id").agg(F.array_sort(F.collect_list(F.struct("session", "seq", "fill_id", "side", "quantity", "price", "fee", "tax"))).alias("r"))
+    folded = sorted_rows.select("portfolio", "instrument_id", fold_in_blocks("r", start, _step, _BLOCK).alias("o"))
+    out = folded.select("portfolio", "instrument_id", F.explode("o").alias("o"))
+    amount = lambda c: (F.col(f"o.s.{c}").cast("decimal(28,0)") * F.lit("0.00000001").cast("decimal(8,8)")).cast("decimal(20,8)")
+    return out.select("portfolio", "instrument_id", "o.r.fill_id", "o.r.session", "o.r.side", "o.r.quantity", "o.s.held", amount("book").alias("book_cost"), amount("cost").alias("cost_of_sales"), amount("realised").alias("realised"), "o.s.code")
 
 
 def postings(fills: DataFrame, basis: DataFrame | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Running sums of keys of any size, by a prefix scan on two levels."""
+"""Running sums of keys of any size, by a prefix scan on two levels, and ordered folds of arrays with every state kept."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -22,3 +24,23 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], block: Column,
     joined = own.join(carried, met)
     whole = {n: F.when(F.col(n).isNull() & F.col(f"_{n}").isNull(), None).otherwise(F.coalesce(n, F.lit(0)) + F.coalesce(f"_{n}", F.lit(0))) for n in sums}
     return joined.select(*df.columns, *(c.alias(n) for n, c in whole.items()))
+
+
+def fold_in_blocks(rows: str, start: Column, step: Callable[[Column, Column], Column], block: int = 512) -> Column:
+    """An array of (r, s): each element of the array `rows` with the state after it; step(state, element) gives the next state.
+
+    For folds whose next state needs the whole of the last one. Appending copies the array so far, so a block collects its own states
+    first and the blocks are joined at the end: n * block copies in place of n * n."""
+    size = F.size(rows)
+    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+    kept = lambda outs, one: F.concat(outs, F.array(one))
+
+    def inner(s: Column, part: Column) -> Column:
+        none = F.transform(F.slice(part, 1, 0), lambda r: F.struct(r.alias("r"), s.alias("s")))
+        moved = lambda a, r: step(a["s"], r)
+        return F.aggregate(part, F.struct(s.alias("s"), none.alias("o")), lambda a, r: F.transform(F.array(moved(a, r)), lambda n: F.struct(n.alias("s"), kept(a["o"], F.struct(r.alias("r"), n.alias("s"))).alias("o")))[0])
+
+    first = F.transform(F.slice(rows, 1, 0), lambda r: F.struct(r.alias("r"), start.alias("s")))
+    nothing = F.slice(F.array(first), 1, 0)
+    blocks = F.aggregate(starts, F.struct(start.alias("s"), nothing.alias("o")), lambda a, i: F.transform(F.array(inner(a["s"], F.slice(rows, i + 1, block))), lambda b: F.struct(b["s"].alias("s"), kept(a["o"], b["o"]).alias("o")))[0])
+    return F.flatten(blocks["o"])

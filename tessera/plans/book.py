@@ -118,7 +118,7 @@ def unbalanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered fold, checked by brute force in the tests."""
+    """An ordered fold in the JVM; the SQL walks the fills by recursion, in whole units of 0.00000001."""
     out = portfolio.cost_basis(_fills(spark, sf_dir))
     return out.select("portfolio", "instrument_id", "fill_id", "held", _d("book_cost"), _d("cost_of_sales"), _d("realised"), "code")
 
@@ -395,7 +395,18 @@ def _tick_sql(side: str) -> str:
     return f"(SELECT {step('c')} FROM (SELECT {step('b')} AS c FROM (SELECT {step('p')} AS b)))"
 
 
+_BASIS = f"""WITH RECURSIVE {_FILLS},
+q AS (SELECT portfolio, instrument_id, fill_id, side, CAST(quantity AS HUGEINT) AS n, CAST(CAST(price * 10000 AS BIGINT) AS HUGEINT) * 10000 AS p, CAST(fee AS HUGEINT) * 100000000 AS f, CAST(tax AS HUGEINT) * 100000000 AS t, row_number() OVER (PARTITION BY portfolio, instrument_id ORDER BY session, fill_id) AS k FROM fills),
+w AS (
+  SELECT DISTINCT portfolio, instrument_id, '' AS fill_id, CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS held, CAST(0 AS HUGEINT) AS book, CAST(0 AS HUGEINT) AS cost, CAST(0 AS HUGEINT) AS realised, CAST(NULL AS VARCHAR) AS code FROM q
+  UNION ALL
+  SELECT portfolio, instrument_id, fill_id, k, CASE WHEN side = 'buy' THEN held + n WHEN short THEN held ELSE held - n END,
+         CASE WHEN side = 'buy' THEN book + p * n + f ELSE book - cost END, cost, CASE WHEN side = 'buy' OR short THEN 0 ELSE p * n - f - t - cost END, CASE WHEN short THEN 'short_sale' END
+  FROM (SELECT *, CASE WHEN side = 'buy' OR short THEN 0 WHEN n = held THEN book ELSE (book * n) // held + CASE WHEN 2 * ((book * n) % held) > held OR (2 * ((book * n) % held) = held AND ((book * n) // held) % 2 = 1) THEN 1 ELSE 0 END END AS cost
+        FROM (SELECT q.*, w.held, w.book, q.side <> 'buy' AND q.n > w.held AS short FROM w JOIN q ON q.portfolio = w.portfolio AND q.instrument_id = w.instrument_id AND q.k = w.k + 1)))"""
+
 ORACLES = {
+    "cost_basis": f"{_BASIS} SELECT portfolio, instrument_id, fill_id, CAST(held AS BIGINT) AS held, CAST(book AS DOUBLE) / 1e8 AS book_cost, CAST(cost AS DOUBLE) / 1e8 AS cost_of_sales, CAST(realised AS DOUBLE) / 1e8 AS realised, code FROM w WHERE k > 0",
     "fill_costs": f"{_FF} SELECT fill_id, CAST(fee AS DOUBLE) AS fee, CAST(tax AS DOUBLE) AS tax FROM fills",
     "order_commissions": f"{_FF}, c AS (SELECT fill_id, instrument_id, price * quantity AS g, sum(price * quantity) OVER (PARTITION BY order_id ORDER BY seq, instrument_id, quantity, price ROWS UNBOUNDED PRECEDING) AS c FROM fills) SELECT fill_id, instrument_id, CAST({_CUM.format(c='c')} - {_CUM.format(c='(c - g)')} AS DOUBLE) AS fee FROM c",
     "tick_prices": f"SELECT p_partkey, CAST({_tick_sql('buy')} AS DOUBLE) AS buy, CAST({_tick_sql('sell')} AS DOUBLE) AS sell FROM (SELECT p_partkey, round(p_retailprice / 10, 3) AS p FROM part)",

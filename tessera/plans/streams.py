@@ -64,7 +64,7 @@ def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as alerts by user; purchases acknowledge. An ordered fold, checked in the tests."""
+    """Events as alerts by user; purchases acknowledge. An ordered fold in the JVM; the SQL walks the alerts by recursion."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("fingerprint"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").alias("acknowledge"))
     return health.dedup_alerts(rows)
 
@@ -145,6 +145,14 @@ f AS (SELECT *, row_number() OVER (PARTITION BY stream_id, event_id ORDER BY rec
 faults AS (SELECT *, CASE WHEN again > 1 THEN 'duplicate' WHEN sequence < before THEN 'out_of_order' WHEN sequence > before + 1 THEN 'gap' END AS fault FROM f)"""
 
 ORACLES = {
+    "alert_decisions": """
+WITH RECURSIVE q AS (SELECT CAST(user_id AS VARCHAR) AS fingerprint, ts AS t, event_type = 'purchase' AS ack, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'purchase') AS k FROM events),
+w AS (
+  SELECT DISTINCT fingerprint, CAST(0 AS BIGINT) AS k, CAST(NULL AS TIMESTAMP) AS t, false AS opened, CAST(NULL AS TIMESTAMP) AS l, CAST(0 AS BIGINT) AS level, '' AS decision FROM q
+  UNION ALL
+  SELECT fingerprint, k, t, NOT ack, CASE WHEN decision = 'raised' THEN t ELSE l END, CASE WHEN decision <> 'raised' THEN level WHEN opened THEN level + 1 ELSE 1 END, decision
+  FROM (SELECT q.fingerprint, q.k, q.t, q.ack, w.opened, w.l, w.level, CASE WHEN q.ack THEN 'acknowledged' WHEN w.opened AND q.t - w.l < INTERVAL 1 HOUR THEN 'suppressed' ELSE 'raised' END AS decision FROM w JOIN q ON q.fingerprint = w.fingerprint AND q.k = w.k + 1))
+SELECT fingerprint, t AS "at", decision, level AS escalation FROM w WHERE k > 0""",
     "stream_health": f"{_OBS} SELECT stream_id, coalesce(arg_min(fault, (received_at, sequence, event_id)) FILTER (fault IS NOT NULL), CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(max(event_time)) > 43200 THEN 'stale' ELSE 'healthy' END) AS status, count(*) AS events FROM faults GROUP BY 1",
     "fault_counts": f"{_OBS} SELECT stream_id, count(*) FILTER (fault = 'gap') AS gap, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'out_of_order') AS out_of_order, count(*) FILTER (floor(epoch(received_at)) - floor(epoch(event_time)) > 300) AS stale FROM faults GROUP BY 1",
     "idempotent_ingest": f"{_OBS} SELECT stream_id, event_id, min(received_at) AS received_at FROM obs GROUP BY 1, 2",

@@ -12,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.scan import fold_in_blocks
+
 cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
 
 
@@ -112,7 +114,7 @@ _ALERT = "fingerprint string, at timestamp, decision string, escalation long"
 def _dedup(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     opened, last, level = state.get if state.exists else (False, None, 0)
     out = []
-    for r in pd.concat(list(frames)).sort_values("at").itertuples():
+    for r in pd.concat(list(frames)).sort_values(["at", "acknowledge"]).itertuples():
         at = r.at.timestamp()
         if r.acknowledge:
             opened, decision = False, "acknowledged"
@@ -132,17 +134,28 @@ COOLDOWN_S = 3600
 def dedup_alerts(alerts: DataFrame) -> DataFrame:
     """(fingerprint, at, decision, escalation): raised, suppressed (open and within the cooldown) or acknowledged.
 
-    alerts: fingerprint, at, acknowledge. State by fingerprint is three numbers; runs on streams and tables alike."""
+    alerts: fingerprint, at, acknowledge. Alerts of one time are taken with acknowledgements last, and a null
+    acknowledgement is none. State by fingerprint is three numbers; runs on streams and tables alike."""
     if alerts.isStreaming:
         return alerts.groupBy("fingerprint").applyInPandasWithState(_dedup, _ALERT, "opened boolean, last double, level long", "append", GroupStateTimeout.NoTimeout)
 
-    class Fresh:
-        exists = False
+    return _dedup_table(alerts)
+
+
+def _dedup_table(alerts: DataFrame) -> DataFrame:
+    """The same over a table: the alerts of a fingerprint as one sorted array, folded in the JVM."""
+    at = lambda c: F.unix_micros(c)
 
-        def update(self, _: tuple) -> None:
-            pass
+    def step(s: Column, r: Column) -> Column:
+        held = s["opened"] & (at(r["at"]) - s["last"] < COOLDOWN_S * 1_000_000)
+        decision = F.when(r["acknowledge"], "acknowledged").when(held, "suppressed").otherwise("raised")
+        raised = ~r["acknowledge"] & ~held
+        level = F.when(raised, F.when(s["opened"], s["level"] + 1).otherwise(1)).otherwise(s["level"]).cast("long")
+        return F.struct((~r["acknowledge"]).alias("opened"), F.when(raised, at(r["at"])).otherwise(s["last"]).alias("last"), level.alias("level"), decision.alias("decision"))
 
-    return alerts.groupBy("fingerprint").applyInPandas(lambda k, pdf: next(_dedup(k, iter([pdf]), Fresh())), _ALERT)
+    start = F.struct(F.lit(False).alias("opened"), F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("level"), F.lit("").alias("decision"))
+    rows = alerts.groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("timestamp").alias("at"), F.coalesce("acknowledge", F.lit(False)).alias("acknowledge")))).alias("r"))
+    return rows.select("fingerprint", F.explode(fold_in_blocks("r", start, step)).alias("o")).select("fingerprint", "o.r.at", "o.s.decision", F.col("o.s.level").alias("escalation"))
 
 
 def freshness(events: DataFrame, as_of: Column, limit_seconds: int, by: str = "session") -> DataFrame:

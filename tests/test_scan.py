@@ -31,3 +31,25 @@ def test_a_hot_key_is_spread_over_its_blocks(spark):
 
 def test_empty(spark):
     assert running_sums(spark.createDataFrame([], "k string, i long, v long"), ["k"], ["i"], F.col("i"), {"t": "v"}).columns == ["k", "i", "v", "t"]
+
+
+def test_fold_keeps_every_state_at_any_block(spark):
+    from tessera.operators.scan import fold_in_blocks
+
+    df = spark.createDataFrame([(i, list(range(i))) for i in (0, 1, 2, 3, 7, 20)], "k int, r array<int>")
+    for block in (1, 3, 512):
+        out = df.select("k", F.transform(fold_in_blocks("r", F.lit(0), lambda s, r: s * 2 + r, block), lambda o: F.struct(o["r"], o["s"])).alias("o"))
+        for row in out.collect():
+            s, want = 0, []
+            for r in range(row.k):
+                s = s * 2 + r
+                want.append((r, s))
+            assert [tuple(o) for o in row.o] == want
+
+
+def test_folds_stay_in_the_jvm(spark):
+    from tessera import catalog
+
+    for name in ("cost_basis", "alert_decisions"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        assert "Python" not in plan and "InPandas" not in plan
