@@ -135,10 +135,10 @@ def version_ok(column: Column) -> Column:
 def fingerprint(df: DataFrame) -> DataFrame:
     """(rows, fingerprint) of a table's rows in any order; repeated rows count.
 
-    Row hashes are gathered by their first two hex digits, sorted and hashed, then once more over at most 256 groups.
-    Within a group, hashes are first combined by their next two digits, so no list holds more than 1/65,536 of the rows."""
-    rows = df.select(row_checksum(*df.columns).alias("h"))
-    fine = rows.groupBy(F.substring("h", 1, 4).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    Equal rows are counted first, so a row that repeats is one hash with its count. Hashes are gathered by their first four hex
+    digits, sorted and hashed, then by two, then over at most 256 groups: no list holds more than about 1/65,536 of the distinct rows."""
+    rows = df.select(row_checksum(*df.columns).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    fine = rows.groupBy(F.substring("h", 1, 4).alias("p")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", F.col("n").cast("string")))), ","), 256).alias("h"))
     mid = fine.groupBy(F.substring("p", 1, 2).alias("p")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
     return mid.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions import columns as H
-from tessera.operators import actions, audit, grid, portfolio, targets
+from tessera.operators import actions, audit, grid, hashtree, portfolio, targets
 from tessera.plans.inputs import BRAND_BARS, EVENT_BARS, brand_bars, event_bars, event_sessions, rounded, table
+from tessera.sources.scratch import scratch_folder
 
 _POLICY = H.CostPolicy()
 
@@ -371,13 +372,33 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the documents' hash tree."""
+    docs = table(spark, sf_dir, "documents")
+    return hashtree.tree(hashtree.leaves(docs, ["doc_id"], 2), 2)
+
+
+def changed_by_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a copy in which some came, went and changed, found by their trees in tables with a folder a range."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    key = F.col("o_orderkey")
+    copy = orders.where(key % 997 != 1).withColumn("o_orderstatus", F.when(key % 1009 == 2, "?").otherwise(F.col("o_orderstatus"))).unionByName(orders.where(key % 991 == 3).withColumn("o_orderkey", -key))
+    sides = []
+    for df in (orders, copy):
+        path = scratch_folder(spark)
+        hashtree.write_ranges(df, ["o_orderkey"], path, 2)
+        sides.append(spark.read.schema(orders.schema.add("range", "string")).parquet(path))
+    trees = [hashtree.tree(hashtree.leaves(d.drop("range"), ["o_orderkey"], 2), 2) for d in sides]
+    return hashtree.changed_rows(*sides, hashtree.unequal_ranges(*trees, 2), ["o_orderkey"])
+
+
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without a column named like a token, and with absolute paths replaced in the url."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.concat(F.lit("see /var/data/"), F.col("page_id").cast("string"), F.lit(" now")).alias("note"), F.lit("x").alias("api_token"))
     return audit.redact(p)
 
 
-QUERIES = [fill_costs, order_commissions, tick_prices, settlement_dates, slippage, price_changes, parsed_keys, roc_dates, securities, fill_capacities, target_quantities, postings, unbalanced_postings, cost_basis, settled_cash, dividend_entitlements, stale_marks, nav_snapshots, performance, benchmark_stats, attribution, notional_allocation, pretrade_flags, reservation_totals, top_k_targets, quantile_targets, target_limits, coverage_targets, weekly_rebalance, equal_weights, target_drift, fills_with_orders, pnl_drawdown, daily_report, scenario_costs, price_views, unsupported_actions, action_violations, reconciliation, table_diff, order_audit, order_states, journal_audit, order_activity, bar_violations, table_fingerprint, redacted]
+QUERIES = [fill_costs, order_commissions, tick_prices, settlement_dates, slippage, price_changes, parsed_keys, roc_dates, securities, fill_capacities, target_quantities, postings, unbalanced_postings, cost_basis, settled_cash, dividend_entitlements, stale_marks, nav_snapshots, performance, benchmark_stats, attribution, notional_allocation, pretrade_flags, reservation_totals, top_k_targets, quantile_targets, target_limits, coverage_targets, weekly_rebalance, equal_weights, target_drift, fills_with_orders, pnl_drawdown, daily_report, scenario_costs, price_views, unsupported_actions, action_violations, reconciliation, table_diff, order_audit, order_states, journal_audit, order_activity, bar_violations, table_fingerprint, hash_tree, changed_by_tree, redacted]
 
 _R = lambda c, n=6: f"round({c}, {n}) + 0.0"
 _BB = f"WITH {BRAND_BARS}"
@@ -405,7 +426,16 @@ w AS (
   FROM (SELECT *, CASE WHEN side = 'buy' OR short THEN 0 WHEN n = held THEN book ELSE (book * n) // held + CASE WHEN 2 * ((book * n) % held) > held OR (2 * ((book * n) % held) = held AND ((book * n) // held) % 2 = 1) THEN 1 ELSE 0 END END AS cost
         FROM (SELECT q.*, w.held, w.book, q.side <> 'buy' AND q.n > w.held AS short FROM w JOIN q ON q.portfolio = w.portfolio AND q.instrument_id = w.instrument_id AND q.k = w.k + 1)))"""
 
+_FIELDS = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in sorted(["doc_id", "lang", "n_chars", "source", "text"]))
+_HASHES = f"SELECT substr(sha256(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR)), 1, 2) AS range, sha256({_FIELDS}) AS h FROM documents"
+_SUMS = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS w{i}" for i in range(4))
+_UP = "SELECT substr(range, 1, {d}) AS range, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(range || ':' || digest, ',' ORDER BY range)) AS digest FROM {t} GROUP BY 1"
+
 ORACLES = {
+    "hash_tree": f"""WITH h AS ({_HASHES}), s AS (SELECT range, count(*) AS rows, {_SUMS} FROM h GROUP BY 1),
+n2 AS (SELECT range, rows, sha256(concat_ws('|', rows, w0, w1, w2, w3)) AS digest FROM s), n1 AS ({_UP.format(d=1, t="n2")}), n0 AS ({_UP.format(d=0, t="n1")})
+SELECT 2 AS depth, * FROM n2 UNION ALL SELECT 1, * FROM n1 UNION ALL SELECT 0, * FROM n0""",
+    "changed_by_tree": "SELECT o_orderkey, 'removed' AS change FROM orders WHERE o_orderkey % 997 = 1 UNION ALL SELECT o_orderkey, 'changed' FROM orders WHERE o_orderkey % 997 <> 1 AND o_orderkey % 1009 = 2 AND o_orderstatus <> '?' UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 991 = 3",
     "cost_basis": f"{_BASIS} SELECT portfolio, instrument_id, fill_id, CAST(held AS BIGINT) AS held, CAST(book AS DOUBLE) / 1e8 AS book_cost, CAST(cost AS DOUBLE) / 1e8 AS cost_of_sales, CAST(realised AS DOUBLE) / 1e8 AS realised, code FROM w WHERE k > 0",
     "fill_costs": f"{_FF} SELECT fill_id, CAST(fee AS DOUBLE) AS fee, CAST(tax AS DOUBLE) AS tax FROM fills",
     "order_commissions": f"{_FF}, c AS (SELECT fill_id, instrument_id, price * quantity AS g, sum(price * quantity) OVER (PARTITION BY order_id ORDER BY seq, instrument_id, quantity, price ROWS UNBOUNDED PRECEDING) AS c FROM fills) SELECT fill_id, instrument_id, CAST({_CUM.format(c='c')} - {_CUM.format(c='(c - g)')} AS DOUBLE) AS fee FROM c",
