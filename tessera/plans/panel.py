@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.operators import crosssec, evaluation, features, grid, labels
+from tessera.operators import bucketed, crosssec, evaluation, features, grid, labels
 from tessera.plans.inputs import BRAND_BARS, EVENT_BARS, brand_bars, event_bars, event_sessions, everyone, rounded
-
+from tessera.sources.scratch import scratch_folder
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -255,7 +255,17 @@ def interval_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("instrument_id", "decision_date")
 
 
-QUERIES = [baseline_features, labels_o2c, labels_o2o_benchmark, joined_feature_label, daily_ic, ic_summary, value_summary, quantile_returns, top_minus_bottom, membership_turnover, ic_breakdown, ic_decay, universe_counts, ic_bootstrap, cross_sectional_rank, cross_sectional_zscore, winsorize, label_rank, feature_inspect, classify_observations, missing_sessions, common_sessions, asof_previous_close, interval_purge]
+def bucketed_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars stored in buckets of their instrument, read again for the return of each day and the mean of its instrument so far."""
+    bars = event_bars(spark, sf_dir).select("instrument_id", "trade_date", "close")
+    stored = spark.table(bucketed.write_bucketed(bars, scratch_folder(spark), buckets=8))
+    own = Window.partitionBy("instrument_id").orderBy("trade_date")
+    back = F.lag("close").over(own)
+    so_far = F.avg("close").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return rounded(stored.select("instrument_id", "trade_date", (F.col("close") / F.nullif(back, F.lit(0.0)) - 1).alias("day_return"), so_far.alias("mean_close")))
+
+
+QUERIES = [bucketed_returns, baseline_features, labels_o2c, labels_o2o_benchmark, joined_feature_label, daily_ic, ic_summary, value_summary, quantile_returns, top_minus_bottom, membership_turnover, ic_breakdown, ic_decay, universe_counts, ic_bootstrap, cross_sectional_rank, cross_sectional_zscore, winsorize, label_rank, feature_inspect, classify_observations, missing_sessions, common_sessions, asof_previous_close, interval_purge]
 
 _R = lambda c: f"round({c}, 6) + 0.0"
 _LABEL_SQL = "SELECT instrument_id, decision_date, entry_date, exit_date, CASE WHEN invalid_reason IS NULL THEN {v} END AS label_value, invalid_reason IS NULL AS valid, invalid_reason"
@@ -263,6 +273,7 @@ _QUANTILES = "quant AS (SELECT *, least(5, CAST(floor((row_number() OVER (PARTIT
 _DECAY = ", ".join(f"l{h} AS (WITH {_labels_sql(h, 'open', False)} SELECT {h} AS horizon_sessions, instrument_id, decision_date, raw_label FROM labels WHERE invalid_reason IS NULL)" for h in (1, 3, 5))
 
 ORACLES = {
+    "bucketed_returns": f"WITH {EVENT_BARS} SELECT instrument_id, trade_date, round(close / nullif(lag(close) OVER (PARTITION BY instrument_id ORDER BY trade_date), 0) - 1, 6) + 0.0 AS day_return, round(avg(close) OVER (PARTITION BY instrument_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS mean_close FROM bars",
     "baseline_features": f"{_features_sql(tuple(_FEATURE_SQL))} SELECT instrument_id, decision_date, feature_name, CASE WHEN invalid_reason IS NULL THEN {_R('raw')} END AS value, invalid_reason IS NULL AS valid, invalid_reason FROM features",
     "labels_o2c": f"WITH {_labels_sql(0, 'close', False)} {_LABEL_SQL.format(v=_R('raw_label'))} FROM labels",
     "labels_o2o_benchmark": f"WITH {_labels_sql(5, 'open', True)} {_LABEL_SQL.format(v=_R('raw_label'))}, CASE WHEN invalid_reason IS NULL THEN {_R('raw_return')} END AS raw_return, CASE WHEN invalid_reason IS NULL THEN {_R('benchmark_return')} END AS benchmark_return FROM labels",
