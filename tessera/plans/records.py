@@ -26,6 +26,34 @@ def provider_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.select("instrument_id", "trade_date", "open", "high", "low", "close", "volume", "traded_value", "turnover", F.col("available_at").isNotNull().alias("known"))
 
 
+def cached_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brand bars as a cache with a file a year and symbol, of which the symbols' own are read, in a range of dates."""
+    bars = brand_bars(spark, sf_dir).withColumn("symbol", F.regexp_replace("instrument_id", "#", ""))
+    row = F.struct(F.col("trade_date").cast("string").alias("date"), F.col("symbol").alias("stock_id"), F.col("volume").alias("Trading_Volume"), F.col("traded_value").cast("long").alias("Trading_money"), "open", F.col("high").alias("max"), F.col("low").alias("min"), "close", F.lit(1).cast("long").alias("Trading_turnover"))
+    # A symbol's bars of a year are one document.
+    whole = bars.select("symbol", F.year("trade_date").alias("year"), row.alias("row")).groupBy("symbol", "year").agg(F.collect_list("row").alias("data"))
+    path = scratch_folder(spark)
+    whole.select(F.concat(F.lit("bars_"), "year", F.lit("__"), "symbol", F.lit(".json")).alias("file"), F.to_json(F.struct(F.lit(200).alias("status"), F.lit("success").alias("msg"), "data")).alias("value")).write.partitionBy("file").text(path)
+    # The reader takes a list of symbols; here all brands, a few dozen.
+    symbols = [r[0] for r in table(spark, sf_dir, "part").select(F.regexp_replace("p_brand", "#", "")).distinct().collect()]
+    found = files.read_cached_bars(spark, path, sorted(symbols), "1993-01-01", "1997-12-31")
+    return found.select("instrument_id", "trade_date", *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")), "volume")
+
+
+def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as listing notices of users, some of the emerging market; some purchases as delistings, also of ids that have no notice."""
+    events = table(spark, sf_dir, "events").withColumn("date", F.to_date("ts"))
+    stock = F.col("user_id").cast("string").alias("stock_id")
+    name = F.concat(F.lit("N"), F.col("event_id") % 7).alias("stock_name")
+    early = (F.col("user_id") % 5 == 0) & (F.dayofmonth("date") <= 10) & (F.col("event_id") % 2 == 0)
+    kind = F.when(early, "emerging").when(F.col("user_id") % 3 == 0, "twse").when(F.col("user_id") % 3 == 2, "tpex").when(F.col("event_id") % 2 == 0, "twse").otherwise("tpex")
+    info = events.select(stock, name, kind.alias("type"), F.col("event_type").alias("industry_category"), "date")
+    gone = events.where("event_type = 'purchase' and event_id % 10 = 0").select(F.when(F.col("event_id") % 20 == 0, -F.col("user_id")).otherwise(F.col("user_id")).cast("string").alias("stock_id"), name, "date")
+    gone = gone.groupBy("stock_id").agg(F.max("stock_name").alias("stock_name"), F.max("date").alias("date"))
+    made = universe.normalize_instruments(info, gone, event_bars(spark, sf_dir))
+    return made.select("instrument_id", "name", "market", F.concat_ws(",", "categories").alias("categories"), "listing_date", "delisting_date", "quality")
+
+
 def csv_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: orders of a day as a bar, in a file with headers in the other language and thousands commas; bars that were read."""
     days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.count("*").alias("n"))
@@ -130,12 +158,22 @@ def accepted_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.coverage_ok(report, 0.2, 60).select("instrument_id", "accepted")
 
 
-QUERIES = [provider_prices, csv_bars, panel_files, json_lines, typed_violations, alert_log, exact_versions, calendars, ledger_violations, batch_violations, conformance_codes, accepted_coverage]
+QUERIES = [provider_prices, cached_bars, instruments, csv_bars, panel_files, json_lines, typed_violations, alert_log, exact_versions, calendars, ledger_violations, batch_violations, conformance_codes, accepted_coverage]
 
 _R = lambda c, n=6: f"round({c}, {n}) + 0.0"
 _K = "CAST(instrument_id AS INTEGER)"
 
 ORACLES = {
+    "cached_bars": f"WITH {BRAND_BARS} SELECT 'TWSE:' || replace(instrument_id, '#', '') AS instrument_id, trade_date, {', '.join(f'CAST(CAST({c} AS DECIMAL(20,8)) AS DOUBLE) AS {c}' for c in ('open', 'high', 'low', 'close'))}, volume FROM bars WHERE trade_date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'",
+    "instruments": f"""WITH {EVENT_BARS},
+e AS (SELECT user_id, event_id, event_type, CAST(ts AS DATE) AS d, 'N' || event_id % 7 AS name FROM events),
+i AS (SELECT CAST(user_id AS VARCHAR) AS s, name, event_type, d, CASE WHEN user_id % 5 = 0 AND day(d) <= 10 AND event_id % 2 = 0 THEN 'emerging' WHEN user_id % 3 = 0 THEN 'twse' WHEN user_id % 3 = 2 THEN 'tpex' WHEN event_id % 2 = 0 THEN 'twse' ELSE 'tpex' END AS type FROM e),
+n AS (SELECT s, max(name) AS name, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS categories, max(CASE WHEN type = 'emerging' THEN d END) AS em, CASE WHEN count(DISTINCT CASE WHEN type <> 'emerging' THEN type END) = 1 THEN max(CASE WHEN type <> 'emerging' THEN type END) ELSE 'unknown' END AS market FROM i GROUP BY 1),
+g AS (SELECT CAST(CASE WHEN event_id % 20 = 0 THEN -user_id ELSE user_id END AS VARCHAR) AS s, max(name) AS name, max(d) AS gone FROM e WHERE event_type = 'purchase' AND event_id % 10 = 0 GROUP BY 1),
+b AS (SELECT s, n.name, n.categories, n.em, n.market, g.name AS gname, g.gone FROM n FULL OUTER JOIN g USING (s))
+SELECT b.s AS instrument_id, coalesce(b.name, b.gname) AS name, coalesce(b.market, 'unknown') AS market, coalesce(b.categories, '') AS categories,
+       min(CASE WHEN b.em IS NULL OR p.trade_date > b.em THEN p.trade_date END) AS listing_date, b.gone AS delisting_date, 'provisional' AS quality
+FROM b LEFT JOIN bars p ON p.instrument_id = b.s GROUP BY b.s, b.name, b.gname, b.market, b.categories, b.gone""",
     "provider_prices": f"WITH {BRAND_BARS} SELECT instrument_id, trade_date, open, high, low, close, volume, CAST(trunc(traded_value) AS DOUBLE) AS traded_value, CAST(1 AS BIGINT) AS turnover, true AS known FROM bars",
     "csv_bars": "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS trade_date, min(o_totalprice) AS low, max(o_totalprice) AS high, count(*) AS n FROM orders GROUP BY 1) SELECT trade_date, round(low, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(high, 2) AS close, n * 1000 AS volume FROM d WHERE day(trade_date) <> 13",
     "panel_files": f"WITH {EVENT_BARS} SELECT instrument_id, trade_date, {_R('open')} AS open, {_R('close')} AS close, volume FROM bars",
