@@ -432,6 +432,10 @@ _SUMS = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS
 _UP = "SELECT substr(range, 1, {d}) AS range, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(range || ':' || digest, ',' ORDER BY range)) AS digest FROM {t} GROUP BY 1"
 
 ORACLES = {
+    "table_fingerprint": """WITH h AS (SELECT sha256(CAST(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text}) AS VARCHAR)) AS h FROM documents),
+c AS (SELECT h, count(*) AS n FROM h GROUP BY 1), f AS (SELECT substr(h, 1, 4) AS p, sum(n) AS n, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS h FROM c GROUP BY 1),
+m AS (SELECT substr(p, 1, 2) AS p, sum(n) AS n, sha256(string_agg(h, '' ORDER BY p)) AS h FROM f GROUP BY 1)
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, sha256(coalesce(string_agg(h, '' ORDER BY p), '')) AS fingerprint FROM m""",
     "hash_tree": f"""WITH h AS ({_HASHES}), s AS (SELECT range, count(*) AS rows, {_SUMS} FROM h GROUP BY 1),
 n2 AS (SELECT range, rows, sha256(concat_ws('|', rows, w0, w1, w2, w3)) AS digest FROM s), n1 AS ({_UP.format(d=1, t="n2")}), n0 AS ({_UP.format(d=0, t="n1")})
 SELECT 2 AS depth, * FROM n2 UNION ALL SELECT 1, * FROM n1 UNION ALL SELECT 0, * FROM n0""",
