@@ -368,7 +368,7 @@ def bar_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the documents; the hash is over Spark's JSON, so SQL has no twin."""
+    """Of the documents; the hash is over the rows as JSON, which DuckDB writes alike for these columns."""
     return audit.fingerprint(table(spark, sf_dir, "documents"))
 
 
