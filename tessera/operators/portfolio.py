@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions import columns as H
 from tessera.functions.columns import CostPolicy
+from tessera.operators import scan
 from tessera.operators.grid import asof_backward
 from tessera.operators.scan import fold_in_blocks
 
@@ -189,25 +190,30 @@ def notional_allocation(fills: DataFrame, total: str = "total", places: int = 2)
     return placed.select("portfolio", "instrument_id", F.col("notional").cast("double").alias("notional"), amount.alias("allocated"))
 
 
-def pretrade_flags(orders: DataFrame, positions: DataFrame, accounts: DataFrame, max_weight: float = 0.2, max_notional: float = 1e6, max_gross: float = 1.0, policy: CostPolicy = CostPolicy()) -> DataFrame:
+def pretrade_flags(orders: DataFrame, positions: DataFrame, accounts: DataFrame, max_weight: float = 0.2, max_notional: float = 1e6, max_gross: float = 1.0, policy: CostPolicy = CostPolicy(), blocks: int = 64) -> DataFrame:
     """(portfolio, order_id, flags): orders as they would be reserved in turn, sells first, then by order_id.
 
     orders: portfolio, order_id, instrument_id, side, quantity, price; positions: portfolio, instrument_id, held, value;
     accounts: portfolio, nav, cash. Gross exposure is the value of other positions, the orders before on other
-    instruments, and this instrument after the order at its price; buys need cash for their fees as well."""
+    instruments, and this instrument after the order at its price; buys need cash for their fees as well. The sums before
+    each order are a scan on two levels over `blocks` ranges of order ids, so a portfolio with all orders is spread over them."""
     worth = positions.groupBy("portfolio").agg(F.sum(F.col("value").cast("decimal(24,4)")).alias("_worth"))
     full = orders.join(positions, ["portfolio", "instrument_id"], "left").join(accounts, "portfolio", "left").join(worth, "portfolio", "left")
     notional = (F.col("quantity") * F.col("price")).cast("decimal(20,4)")
-    turn = Window.partitionBy("portfolio").orderBy(F.when(F.col("side") == "sell", 0).otherwise(1), "order_id").rowsBetween(Window.unboundedPreceding, 0)
-    own = Window.partitionBy("portfolio", "instrument_id").orderBy(F.when(F.col("side") == "sell", 0).otherwise(1), "order_id").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.coalesce("held", F.lit(0))
-    sold = F.sum(F.when(F.col("side") == "sell", F.col("quantity")).otherwise(0)).over(own)
     costs = H.commission(notional.cast("decimal(20,8)"), policy) + H.transaction_tax(notional.cast("decimal(20,8)"), F.col("side"), policy)
-    bought = F.sum(F.when(F.col("side") == "buy", notional + costs).otherwise(0)).over(turn)
-    signed = F.when(F.col("side") == "buy", notional).otherwise(-notional)
-    after = held + F.sum(F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))).over(own)
+    buys = F.col("side") == "buy"
+    ready = full.select(
+        "*", F.when(F.col("side") == "sell", 0).otherwise(1).alias("_turn"), F.when(F.col("side") == "sell", F.col("quantity")).otherwise(0).alias("_sells"), F.when(buys, notional + costs).otherwise(0).alias("_pays"),
+        F.when(buys, notional).otherwise(-notional).alias("_signed"), F.when(buys, F.col("quantity")).otherwise(-F.col("quantity")).alias("_moves"),
+    )
+    block = F.col("_turn") * (2 * blocks) + F.coalesce(scan.range_blocks(orders, "order_id", blocks), F.lit(-1))
+    order = ["_turn", "order_id"]
+    once = scan.running_sums(ready, ["portfolio"], order, block, {"_bought": "_pays", "_all": "_signed"})
+    full = scan.running_sums(once, ["portfolio", "instrument_id"], order, block, {"_sold": "_sells", "_moved": "_moves", "_same": "_signed"})
+    held = F.coalesce("held", F.lit(0))
+    sold, bought, after = F.col("_sold"), F.col("_bought"), held + F.col("_moved")
     own_value = F.greatest(after, F.lit(0)) * F.col("price")
-    others = F.coalesce("_worth", F.lit(0)) - F.coalesce(F.col("value").cast("decimal(24,4)"), F.lit(0)) + F.sum(signed).over(turn) - F.sum(signed).over(own)
+    others = F.coalesce("_worth", F.lit(0)) - F.coalesce(F.col("value").cast("decimal(24,4)"), F.lit(0)) + F.col("_all") - F.col("_same")
     unvalued = F.col("nav").isNull() | F.col("price").isNull() | (F.col("nav") <= 0) | (F.col("price") <= 0)
     found = {
         "valuation_missing": unvalued,

@@ -26,6 +26,24 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], block: Column,
     return joined.select(*df.columns, *(c.alias(n) for n, c in whole.items()))
 
 
+def range_blocks(df: DataFrame, column: str, blocks: int = 64) -> Column:
+    """A number from 0 to blocks - 1 that never falls as the column rises, null for null; a block for running_sums().
+
+    Splitters are drawn from the 16 * blocks values of least hash, which alone come to the driver. They set how even the blocks
+    are, never a result. The column may have any type that sorts; values between splitters are found by halving."""
+    drawn = df.select(column).where(F.col(column).isNotNull()).orderBy(F.xxhash64(column)).limit(16 * blocks)
+    seen = sorted({r[0] for r in drawn.collect()})
+    at = sorted({seen[len(seen) * i // blocks] for i in range(1, blocks)}) if seen else []
+
+    def halved(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(column) < F.lit(at[mid]), halved(lo, mid)).otherwise(halved(mid + 1, hi))
+
+    return F.when(F.col(column).isNotNull(), halved(0, len(at)))
+
+
 def fold_in_blocks(rows: str, start: Column, step: Callable[[Column, Column], Column], block: int = 512) -> Column:
     """An array of (r, s): each element of the array `rows` with the state after it; step(state, element) gives the next state.
 

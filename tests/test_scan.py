@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import Window, functions as F
 
-from tessera.operators.scan import running_sums
+from tessera.operators.scan import range_blocks, running_sums
 
 
 def test_blocks_give_the_sums_of_one_window(spark):
@@ -53,3 +53,47 @@ def test_folds_stay_in_the_jvm(spark):
     for name in ("cost_basis", "alert_decisions"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "Python" not in plan and "InPandas" not in plan
+
+
+def test_ranges_never_fall_and_are_even(spark):
+    df = spark.createDataFrame([(f"o{i:05d}",) for i in range(3_000)] + [(None,), ("\u00e9",), ("\U0001f600",)], "i string").repartition(4)
+    rows = df.select("i", range_blocks(df, "i", 8).alias("b")).collect()
+    known = sorted(((r.i, r.b) for r in rows if r.i is not None))
+    assert [b for _, b in known] == sorted(b for _, b in known) and {r.b for r in rows if r.i is None} == {None}
+    sizes = [sum(b == k for _, b in known) for k in range(8)]
+    assert min(sizes) > 100 and max(sizes) < 900
+    none = spark.createDataFrame([], "i string")
+    assert none.select(range_blocks(none, "i").alias("b")).collect() == []
+
+
+def test_orders_of_one_portfolio_are_judged_alike_at_any_number_of_blocks(spark):
+    from tessera.operators import portfolio
+
+    rng = random.Random(5)
+    rows = [("p" if rng.random() < 0.9 else "q", f"{i:04d}", rng.choice("abcd"), rng.choice(["buy", "sell"]), rng.randrange(1, 30), None if rng.random() < 0.05 else rng.randrange(10, 99) / 2) for i in range(400)]
+    orders = spark.createDataFrame(rows, "portfolio string, order_id string, instrument_id string, side string, quantity int, price double").repartition(3)
+    held = spark.createDataFrame([("p", "a", 400, 9000.0), ("p", "b", 100, 100.0), ("q", "c", 90, 2000.0)], "portfolio string, instrument_id string, held long, value double")
+    accounts = spark.createDataFrame([("p", 60_000.0, 30_000.0), ("q", 20_000.0, 3_000.0)], "portfolio string, nav double, cash double")
+    runs = [{r.order_id: r.flags for r in portfolio.pretrade_flags(orders, held, accounts, 0.2, 900.0, 0.6, blocks=n).collect()} for n in (1, 3, 50)]
+    assert len(runs[0]) == 400 and runs[0] == runs[1] == runs[2]
+    # One by one: what was sold and paid before each order.
+    stock, sold, paid = {("p", "a"): 400, ("p", "b"): 100, ("q", "c"): 90}, {}, {"p": 0, "q": 0}
+    for p, i, instrument, side, quantity, price in sorted(rows, key=lambda r: (r[3] != "sell", r[1])):
+        key = (p, instrument)
+        if side == "sell":
+            sold[key] = sold.get(key, 0) + quantity
+            assert ("short_sale" in runs[0][i]) == (sold[key] > stock.get(key, 0))
+        elif price is not None:
+            paid[p] += quantity * price
+            assert paid[p] <= {"p": 30_000, "q": 3_000}[p] or "insufficient_buying_power" in runs[0][i]
+
+
+def test_no_window_holds_all_orders_of_a_portfolio(spark):
+    from tessera.operators import portfolio
+
+    orders = spark.range(500).selectExpr("'p' portfolio", "id order_id", "'a' instrument_id", "'buy' side", "1 quantity", "10.0D price")
+    held = spark.createDataFrame([], "portfolio string, instrument_id string, held long, value double")
+    accounts = spark.createDataFrame([("p", 100.0, 50.0)], "portfolio string, nav double, cash double")
+    plan = portfolio.pretrade_flags(orders, held, accounts)._jdf.queryExecution().executedPlan().toString()
+    over = [line for line in plan.splitlines() if "Window [" in line and "order_id" in line]
+    assert len(over) == 2 and all("_block" in line.rsplit("], [", 2)[1] for line in over)
