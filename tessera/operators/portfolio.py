@@ -295,27 +295,71 @@ def scenario_grid(spark: SparkSession) -> DataFrame:
     return grid.withColumn("scenario_id", H.row_checksum("slippage_bps", "participation", "commission_factor", "rebalance", "top_k"))
 
 
-def scenario_costs(fills: DataFrame, grid: DataFrame, policy: CostPolicy = CostPolicy()) -> DataFrame:
-    """(scenario_id, ..., n_fills, unfilled, traded, costs): what the fills cost under every scenario; a scenario without fills has nulls.
-
-    fills: rebalance, top_k (the plan they belong to), side, quantity, price, volume. A fill is executed up to its share of the
-    volume; commission (its minimum and rounding) and tax are charged on each fill. Costs of executed fills are linear in the other
-    factors, so the fills are summed once for each participation and plan, whatever the number of scenarios."""
+def _plan_sums(fills: DataFrame, grid: DataFrame, policy: CostPolicy) -> DataFrame:
+    """Sums of each plan (rebalance, top_k) and participation of the grid, each fill executed up to its share of the volume."""
     shares = [r[0] for r in grid.select("participation").distinct().limit(1001).collect()]
     if len(shares) > 1000:
         raise ValueError("at most 1,000 participations")
 
     def executed(share: float) -> Column:
-        done = F.least("quantity", H.fill_capacity(F.col("volume"), share))
-        gross = (F.col("price").cast("decimal(20,4)") * done).cast("decimal(20,8)")
-        return F.struct(F.lit(share).alias("participation"), (done < F.col("quantity")).alias("short"), gross.alias("gross"), H.commission(gross, policy).alias("fee"), H.transaction_tax(gross, F.col("side"), policy).alias("tax"))
+        room = H.fill_capacity(F.col("volume"), share)
+        done, price = F.least("quantity", room), F.col("price").cast("decimal(20,4)")
+        gross = (price * done).cast("decimal(20,8)")
+        bought = F.when(F.col("side") == "buy", gross).otherwise(-gross)
+        return F.struct(F.lit(share).alias("participation"), (done < F.col("quantity")).alias("short"), gross.alias("gross"), bought.alias("net"), (price * room).cast("decimal(28,4)").alias("room"), H.commission(gross, policy).alias("fee"), H.transaction_tax(gross, F.col("side"), policy).alias("tax"))
 
     each = fills.select("rebalance", "top_k", F.explode(F.array(*map(executed, shares))).alias("x")).select("rebalance", "top_k", "x.*")
-    keys = ["rebalance", "top_k", "participation"]
-    once = each.groupBy(*keys).agg(F.count("*").alias("n_fills"), F.count_if("short").alias("unfilled"), *(F.sum(c).cast("decimal(22,4)").alias(f"_{c}") for c in ("gross", "fee", "tax")))
-    # In decimals, so that no sum of doubles stands on the edge of a cent.
-    cost = F.col("_fee") * F.col("commission_factor").cast("decimal(8,4)") + F.col("_tax") + F.col("_gross") * (F.col("slippage_bps") / 10_000).cast("decimal(12,8)")
-    return grid.join(once, keys, "left").select(*grid.columns, "n_fills", "unfilled", F.col("_gross").cast("double").alias("traded"), cost.cast("double").alias("costs"))
+    sums = [F.sum(c).cast("decimal(22,4)").alias(f"_{c}") for c in ("gross", "net", "fee", "tax")]
+    return each.groupBy("rebalance", "top_k", "participation").agg(F.count("*").alias("n_fills"), F.count_if("short").alias("unfilled"), F.min("room").alias("_room"), *sums)
+
+
+def _slipped() -> Column:
+    return F.col("_gross") * (F.col("slippage_bps") / 10_000).cast("decimal(12,8)")
+
+
+def _plan_cost() -> Column:
+    """In decimals, so that no sum of doubles stands on the edge of a cent."""
+    return F.col("_fee") * F.col("commission_factor").cast("decimal(8,4)") + F.col("_tax") + _slipped()
+
+
+def scenario_costs(fills: DataFrame, grid: DataFrame, policy: CostPolicy = CostPolicy()) -> DataFrame:
+    """(scenario_id, ..., n_fills, unfilled, traded, costs): what the fills cost under every scenario; a scenario without fills has nulls.
+
+    fills: rebalance, top_k (the plan they belong to), side, quantity, price, volume. A fill is executed up to its share of the
+    volume; commission (its minimum and rounding) and tax are charged on each fill. Costs of executed fills are linear in the other
+    factors, so the fills are summed once for each participation and plan, whatever the number of scenarios."""
+    joined = grid.join(_plan_sums(fills, grid, policy), ["rebalance", "top_k", "participation"], "left")
+    return joined.select(*grid.columns, "n_fills", "unfilled", F.col("_gross").cast("double").alias("traded"), _plan_cost().cast("double").alias("costs"))
+
+
+#: Columns that make a scenario.
+SCENARIO = ["slippage_bps", "participation", "commission_factor", "rebalance", "top_k"]
+
+
+def scenario_outcomes(fills: DataFrame, grid: DataFrame, capital: float, policy: CostPolicy = CostPolicy(), maximum: int = 1_000, allow_large: bool = False) -> DataFrame:
+    """(scenario_id, SCENARIO, status, reason, total_return, turnover, slippage_cost, capacity, checksum): a row for every scenario, none chosen.
+
+    Fills as in scenario_costs(), of plans that end flat. The return is what the sales bring over the purchases after all costs, to the
+    capital; turnover is all that is traded, to the capital; capacity is the least notional that any fill of the plan leaves room for.
+    A scenario that cannot be evaluated stays as a row with status failed, nulls and its reason: no_fills, or nothing_executed if no fill has
+    room for a share. Grids that repeat a scenario, and those of more than `maximum` rows unless allow_large, are refused. The
+    checksum covers the scenario and its outcome in decimals, so it does not depend on the order of fills."""
+    if maximum < 1 or capital <= 0:
+        raise ValueError("maximum and capital have to be positive")
+    if not allow_large and len(grid.limit(maximum + 1).select("top_k").collect()) > maximum:
+        raise ValueError(f"the grid has more than {maximum} scenarios")
+    if not grid.groupBy(*SCENARIO).count().where("count > 1").isEmpty():
+        raise ValueError("the grid repeats a scenario")
+    joined = grid.select("scenario_id", *SCENARIO).join(_plan_sums(fills, grid, policy), ["rebalance", "top_k", "participation"], "left")
+    reason = F.when(F.col("n_fills").isNull(), "no_fills").when(F.col("_gross") == 0, "nothing_executed")
+    kept = joined.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "completed").otherwise("failed"))
+    money = {"_gain": -F.col("_net") - _plan_cost(), "_traded": F.col("_gross"), "_slip": _slipped(), "_least": F.col("_room")}
+    exact = kept.select("scenario_id", *SCENARIO, "status", "reason", *(F.when(F.col("reason").isNull(), c).alias(n) for n, c in money.items()))
+    share = lambda c: F.col(c).cast("double") / capital
+    return exact.select(
+        "scenario_id", *SCENARIO, "status", "reason", share("_gain").alias("total_return"), share("_traded").alias("turnover"), F.col("_slip").cast("double").alias("slippage_cost"), F.col("_least").cast("double").alias("capacity"),
+        H.row_checksum("scenario_id", "status", "reason", *money).alias("checksum"),
+    )
 
 
 def money_columns(*names: str) -> list[Column]:

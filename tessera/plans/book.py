@@ -276,8 +276,8 @@ def daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumns({c: F.col(c).cast("double") for c in ("notional", "costs")})
 
 
-def scenario_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each batch of the best one, two or three is bought at the open and sold at the close, by three calendars."""
+def _plan_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch of the best one, two or three is bought at the open and sold at the close, by three calendars."""
     b = event_bars(spark, sf_dir)
     best = targets.build_targets(_predictions(spark, sf_dir), targets.TargetPolicy(k=3)).where("selected").select(F.col("decision_time").alias("trade_date"), "instrument_id", "rank")
     sessions = event_sessions(b)
@@ -285,8 +285,18 @@ def scenario_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = calendars[0].unionByName(calendars[1]).unionByName(calendars[2])
     plan = best.join(b, ["trade_date", "instrument_id"]).where("open > 0 AND close > 0").join(dates, "trade_date").withColumn("top_k", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where("rank <= top_k")
     sides = F.array(F.struct(F.lit("buy").alias("side"), F.col("open").alias("price")), F.struct(F.lit("sell").alias("side"), F.col("close").alias("price")))
-    rows = plan.withColumn("s", F.explode(sides)).select("rebalance", "top_k", "s.side", F.floor(F.round(F.lit(100_000.0) / F.col("top_k") / F.col("open"), 9)).alias("quantity"), F.round("s.price", 2).alias("price"), (F.col("volume") * 1000).alias("volume"))
-    return rounded(portfolio.scenario_costs(rows, portfolio.scenario_grid(spark)).drop("scenario_id"))
+    return plan.withColumn("s", F.explode(sides)).select("rebalance", "top_k", "s.side", F.floor(F.round(F.lit(100_000.0) / F.col("top_k") / F.col("open"), 9)).alias("quantity"), F.round("s.price", 2).alias("price"), (F.col("volume") * 1000).alias("volume"))
+
+
+def scenario_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of the plans under every scenario."""
+    return rounded(portfolio.scenario_costs(_plan_fills(spark, sf_dir), portfolio.scenario_grid(spark)).drop("scenario_id"))
+
+
+def scenario_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, return, turnover, slippage and capacity of the plans under every scenario; weekly plans of two and three are not made, so they fail."""
+    fills = _plan_fills(spark, sf_dir).where("rebalance != 'weekly' OR top_k = 1")
+    return rounded(portfolio.scenario_outcomes(fills, portfolio.scenario_grid(spark), 1_000_000.0).drop("scenario_id", "checksum"), 12)
 
 
 def price_views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +408,7 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.redact(p)
 
 
-QUERIES = [fill_costs, order_commissions, tick_prices, settlement_dates, slippage, price_changes, parsed_keys, roc_dates, securities, fill_capacities, target_quantities, postings, unbalanced_postings, cost_basis, settled_cash, dividend_entitlements, stale_marks, nav_snapshots, performance, benchmark_stats, attribution, notional_allocation, pretrade_flags, reservation_totals, top_k_targets, quantile_targets, target_limits, coverage_targets, weekly_rebalance, equal_weights, target_drift, fills_with_orders, pnl_drawdown, daily_report, scenario_costs, price_views, unsupported_actions, action_violations, reconciliation, table_diff, order_audit, order_states, journal_audit, order_activity, bar_violations, table_fingerprint, hash_tree, changed_by_tree, redacted]
+QUERIES = [fill_costs, order_commissions, tick_prices, settlement_dates, slippage, price_changes, parsed_keys, roc_dates, securities, fill_capacities, target_quantities, postings, unbalanced_postings, cost_basis, settled_cash, dividend_entitlements, stale_marks, nav_snapshots, performance, benchmark_stats, attribution, notional_allocation, pretrade_flags, reservation_totals, top_k_targets, quantile_targets, target_limits, coverage_targets, weekly_rebalance, equal_weights, target_drift, fills_with_orders, pnl_drawdown, daily_report, scenario_costs, scenario_outcomes, price_views, unsupported_actions, action_violations, reconciliation, table_diff, order_audit, order_states, journal_audit, order_activity, bar_violations, table_fingerprint, hash_tree, changed_by_tree, redacted]
 
 _R = lambda c, n=6: f"round({c}, {n}) + 0.0"
 _BB = f"WITH {BRAND_BARS}"
@@ -431,6 +441,13 @@ _HASHES = f"SELECT substr(sha256(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(
 _SUMS = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS w{i}" for i in range(4))
 _UP = "SELECT substr(range, 1, {d}) AS range, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(range || ':' || digest, ',' ORDER BY range)) AS digest FROM {t} GROUP BY 1"
 
+#: Fills of the plans, executed up to each participation, and the grid of scenarios.
+_PLANS = f"""{_PRED}, dates AS (SELECT trade_date, 'daily' AS rebalance FROM days UNION ALL SELECT min(trade_date), 'weekly' FROM days GROUP BY isoyear(trade_date), weekofyear(trade_date) UNION ALL SELECT trade_date, 'every_third' FROM days WHERE (session_idx - 1) % 3 = 0),
+fills AS (SELECT rebalance, k AS top_k, side, CAST(floor(round(100000.0::DOUBLE / k / open, 9)) AS BIGINT) AS quantity, CAST(round(CASE side WHEN 'buy' THEN open ELSE close END, 2) AS DECIMAL(20,4)) AS price, volume * 1000 AS volume
+  FROM rk JOIN bars b ON b.trade_date = rk.decision_time AND b.instrument_id = rk.instrument_id JOIN dates d ON d.trade_date = b.trade_date, unnest([1, 2, 3]) t(k), unnest(['buy', 'sell']) u(side) WHERE rank <= k AND open > 0 AND close > 0),
+e AS (SELECT *, least(quantity, CAST(floor(volume * p::DOUBLE) AS BIGINT)) AS done, CAST(price * least(quantity, CAST(floor(volume * p::DOUBLE) AS BIGINT)) AS DECIMAL(20,8)) AS g FROM fills, unnest([0.01, 0.05, 0.1, 0.25]) q(p))"""
+_GRID = """s AS (SELECT b::DOUBLE AS slippage_bps, p::DOUBLE AS participation, c::DOUBLE AS commission_factor, r AS rebalance, k AS top_k FROM unnest([0, 5, 10, 25, 50]) z(b), unnest([0.01, 0.05, 0.1, 0.25]) q(p), unnest([0.5, 1, 2]) x(c), unnest(['daily', 'weekly', 'every_third']) y(r), unnest([1, 2, 3]) t(k))"""
+
 ORACLES = {
     "table_fingerprint": """WITH h AS (SELECT sha256(CAST(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text}) AS VARCHAR)) AS h FROM documents),
 c AS (SELECT h, count(*) AS n FROM h GROUP BY 1), f AS (SELECT substr(h, 1, 4) AS p, sum(n) AS n, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS h FROM c GROUP BY 1),
@@ -474,13 +491,16 @@ SELECT 2 AS depth, * FROM n2 UNION ALL SELECT 1, * FROM n1 UNION ALL SELECT 0, *
     "fills_with_orders": f"{_FF} SELECT order_id, fill_id, side, o_orderstatus FROM fills JOIN orders ON o_orderkey = order_id",
     "pnl_drawdown": f"{_BB} SELECT instrument_id AS portfolio, trade_date, {_R('close - lag(close) OVER w', 9)} AS daily_pnl, {_R('max(close) OVER w', 9)} AS peak_nav, {_R('close / max(close) OVER w - 1', 9)} AS drawdown FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)",
     "daily_report": f"{_FF}, a AS (SELECT CAST(o_orderdate AS DATE) AS session, count(*) AS orders, count(*) FILTER (o_orderstatus = 'P') AS rejected FROM orders GROUP BY 1), b AS (SELECT session, count(*) AS fills, CAST(sum(CAST(price * quantity AS DECIMAL(22,4))) AS DOUBLE) AS notional, CAST(sum(CAST(fee AS DECIMAL(22,4))) AS DOUBLE) AS costs FROM fills GROUP BY 1) SELECT session, orders, rejected, fills, notional, costs FROM a FULL JOIN b USING (session)",
-    "scenario_costs": f"""{_PRED}, dates AS (SELECT trade_date, 'daily' AS rebalance FROM days UNION ALL SELECT min(trade_date), 'weekly' FROM days GROUP BY isoyear(trade_date), weekofyear(trade_date) UNION ALL SELECT trade_date, 'every_third' FROM days WHERE (session_idx - 1) % 3 = 0),
-fills AS (SELECT rebalance, k AS top_k, side, CAST(floor(round(100000.0::DOUBLE / k / open, 9)) AS BIGINT) AS quantity, CAST(round(CASE side WHEN 'buy' THEN open ELSE close END, 2) AS DECIMAL(20,4)) AS price, volume * 1000 AS volume
-  FROM rk JOIN bars b ON b.trade_date = rk.decision_time AND b.instrument_id = rk.instrument_id JOIN dates d ON d.trade_date = b.trade_date, unnest([1, 2, 3]) t(k), unnest(['buy', 'sell']) u(side) WHERE rank <= k AND open > 0 AND close > 0),
-e AS (SELECT *, least(quantity, CAST(floor(volume * p::DOUBLE) AS BIGINT)) AS done, CAST(price * least(quantity, CAST(floor(volume * p::DOUBLE) AS BIGINT)) AS DECIMAL(20,8)) AS g FROM fills, unnest([0.01, 0.05, 0.1, 0.25]) q(p)),
+    "scenario_costs": f"""{_PLANS},
 o AS (SELECT rebalance, top_k, p::DOUBLE AS participation, count(*) AS n_fills, count(*) FILTER (done < quantity) AS unfilled, CAST(sum(g) AS DECIMAL(22,4)) AS gross, CAST(sum(CASE WHEN g = 0 THEN 0 ELSE ceil(greatest(CAST(g * 0.001425 AS DECIMAL(30,8)), 20)) END) AS DECIMAL(22,4)) AS fee, CAST(sum(CASE WHEN side = 'sell' THEN floor(CAST(g * 0.003 AS DECIMAL(30,8))) ELSE 0 END) AS DECIMAL(22,4)) AS tax FROM e GROUP BY ALL),
-s AS (SELECT b::DOUBLE AS slippage_bps, p::DOUBLE AS participation, c::DOUBLE AS commission_factor, r AS rebalance, k AS top_k FROM unnest([0, 5, 10, 25, 50]) z(b), unnest([0.01, 0.05, 0.1, 0.25]) q(p), unnest([0.5, 1, 2]) x(c), unnest(['daily', 'weekly', 'every_third']) y(r), unnest([1, 2, 3]) t(k))
+{_GRID}
 SELECT slippage_bps, participation, commission_factor, rebalance, top_k, n_fills, unfilled, {_R('CAST(gross AS DOUBLE)')} AS traded, {_R('CAST(fee * CAST(commission_factor AS DECIMAL(8,4)) + tax + gross * CAST(slippage_bps / 10000 AS DECIMAL(12,8)) AS DOUBLE)')} AS costs FROM s LEFT JOIN o USING (participation, rebalance, top_k)""",
+    "scenario_outcomes": f"""{_PLANS},
+o AS (SELECT rebalance, top_k, p::DOUBLE AS participation, count(*) AS n_fills, count(*) FILTER (done < quantity) AS unfilled, CAST(sum(g) AS DECIMAL(22,4)) AS gross, CAST(sum(CASE side WHEN 'buy' THEN g ELSE -g END) AS DECIMAL(22,4)) AS net, min(CAST(price * CAST(floor(volume * p::DOUBLE) AS BIGINT) AS DECIMAL(28,4))) AS room, CAST(sum(CASE WHEN g = 0 THEN 0 ELSE ceil(greatest(CAST(g * 0.001425 AS DECIMAL(30,8)), 20)) END) AS DECIMAL(22,4)) AS fee, CAST(sum(CASE WHEN side = 'sell' THEN floor(CAST(g * 0.003 AS DECIMAL(30,8))) ELSE 0 END) AS DECIMAL(22,4)) AS tax FROM e WHERE rebalance <> 'weekly' OR top_k = 1 GROUP BY ALL),
+{_GRID},
+v AS (SELECT *, CASE WHEN n_fills IS NULL THEN 'no_fills' WHEN gross = 0 THEN 'nothing_executed' END AS reason, gross * CAST(slippage_bps / 10000 AS DECIMAL(12,8)) AS slip FROM s LEFT JOIN o USING (participation, rebalance, top_k))
+SELECT slippage_bps, participation, commission_factor, rebalance, top_k, CASE WHEN reason IS NULL THEN 'completed' ELSE 'failed' END AS status, reason, {_R('CASE WHEN reason IS NULL THEN CAST(-net - (fee * CAST(commission_factor AS DECIMAL(8,4)) + tax + slip) AS DOUBLE) / 1000000 END', 12)} AS total_return,
+  {_R('CASE WHEN reason IS NULL THEN CAST(gross AS DOUBLE) / 1000000 END', 12)} AS turnover, {_R('CASE WHEN reason IS NULL THEN CAST(slip AS DOUBLE) END', 12)} AS slippage_cost, {_R('CASE WHEN reason IS NULL THEN CAST(room AS DOUBLE) END', 12)} AS capacity FROM v""",
     "price_views": f"{_BB}, x AS (SELECT *, weekofyear(trade_date) AS w, lag(close) OVER o AS pc FROM bars WINDOW o AS (PARTITION BY instrument_id ORDER BY trade_date)), f AS (SELECT *, coalesce(product(CASE WHEN w = 20 THEN 0.5 ELSE 1 END) OVER l, 1) AS sf, coalesce(product(CASE WHEN w = 40 AND pc > 0 THEN (pc - 25) / pc ELSE 1 END) OVER l, 1) AS cf FROM x WINDOW l AS (PARTITION BY instrument_id ORDER BY trade_date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT instrument_id, trade_date, {_R('sf', 9)} AS split_factor, {_R('cf', 9)} AS cash_factor, {_R('close * sf', 9)} AS split_close, {_R('close * sf * cf', 9)} AS total_return_close, CAST(round(volume / sf) AS BIGINT) AS split_volume, high >= greatest(open, close, low) AND low <= least(open, close, high) AS ohlc_ok FROM f",
     "unsupported_actions": "WITH a AS (SELECT CAST(o_custkey AS VARCHAR) AS instrument_id, CAST(o_orderdate AS DATE) AS ex_date, CASE WHEN o_orderpriority LIKE '1%' THEN 'rights_issue' WHEN o_orderpriority LIKE '2%' THEN 'capital_reduction' ELSE 'cash_dividend' END AS k, CASE WHEN o_orderstatus = 'F' THEN 'loss_offset' END AS s FROM orders) SELECT instrument_id, ex_date, k AS code FROM a WHERE k = 'rights_issue' OR (k = 'capital_reduction' AND s IS NULL) UNION ALL SELECT instrument_id, ex_date, 'several_adjusting_actions' FROM a WHERE k = 'cash_dividend' GROUP BY 1, 2 HAVING count(*) > 1",
     "action_violations": "WITH a AS (SELECT o_orderkey AS e, o_orderkey % 5 AS k, o_orderkey % 7 = 0 AS early, o_orderstatus = 'P' AS noex FROM orders) SELECT 's' AS source, e AS source_event_id, unnest(list_filter([CASE WHEN k = 3 THEN 'missing_ratio' END, CASE WHEN k = 2 THEN 'ratio_not_positive' END, CASE WHEN k = 0 THEN 'missing_cash_amount' END, CASE WHEN k = 1 THEN 'cash_amount_negative' END, CASE WHEN k < 4 AND noex THEN 'missing_ex_date' END, CASE WHEN early THEN 'available_before_announcement' END, CASE WHEN k = 4 THEN 'missing_symbols' END], lambda x : x IS NOT NULL)) AS code FROM a",

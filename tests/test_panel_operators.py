@@ -335,3 +335,26 @@ def test_empty_tables(spark):
     assert features.compute_row_factors(none.withColumnRenamed("instrument_id", "symbol")).count() == 0
     assert universe.validate_daily_prices(none).count() == 0
     assert audit.violations(none, audit.bar_rules(), ["instrument_id"]).count() == 0
+
+
+def test_scenario_outcomes_keep_failures_and_refuse_bad_grids(spark):
+    # Bought at 10 and sold at 11, all of 100 shares at half of the volume, 50 at a quarter; plan 2 has no volume, plan 3 no fills.
+    fills = spark.createDataFrame([("daily", 1, "buy", 100, 10.0, 200), ("daily", 1, "sell", 100, 11.0, 200), ("daily", 2, "buy", 100, 10.0, 0)], "rebalance string, top_k int, side string, quantity long, price double, volume long")
+    rows = [(b, p, 1.0, "daily", k) for b in (0.0, 100.0) for p in (0.25, 0.5) for k in (1, 2, 3)]
+    grid = spark.createDataFrame(rows, "slippage_bps double, participation double, commission_factor double, rebalance string, top_k int").withColumn("scenario_id", F.concat_ws("/", "slippage_bps", "participation", "top_k"))
+    free = H.CostPolicy(rate="0", minimum="0", tax="0")
+    out = portfolio.scenario_outcomes(fills, grid, 1000.0, free)
+    got = {(r.slippage_bps, r.participation, r.top_k): r for r in out.collect()}
+    assert len(got) == 12 and {(k[2], r.status, r.reason) for k, r in got.items()} == {(1, "completed", None), (2, "failed", "nothing_executed"), (3, "failed", "no_fills")}
+    one = got[0.0, 0.5, 1]
+    assert (one.total_return, one.turnover, one.slippage_cost, one.capacity) == (0.1, 2.1, 0.0, 1000.0)
+    one = got[100.0, 0.25, 1]
+    assert (one.total_return, one.turnover, one.slippage_cost, one.capacity) == pytest.approx((0.0395, 1.05, 10.5, 500.0))
+    assert all(r.total_return is None and r.capacity is None for k, r in got.items() if k[2] > 1)
+    again = portfolio.scenario_outcomes(fills.orderBy(F.desc("price")), grid.orderBy(F.desc("scenario_id")), 1000.0, free)
+    assert {r.scenario_id: r.checksum for r in again.collect()} == {r.scenario_id: r.checksum for r in got.values()} and len({r.checksum for r in got.values()}) == 12
+    with pytest.raises(ValueError, match="repeats"):
+        portfolio.scenario_outcomes(fills, grid.unionByName(grid), 1000.0)
+    with pytest.raises(ValueError, match="more than 11"):
+        portfolio.scenario_outcomes(fills, grid, 1000.0, maximum=11)
+    assert portfolio.scenario_outcomes(fills, grid, 1000.0, maximum=11, allow_large=True).count() == 12
