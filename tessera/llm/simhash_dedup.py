@@ -319,24 +319,61 @@ def _small(nodes: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= SMALL_NODES else kept
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have that similarity."""
+    wanted = _small(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
+    sets = stored(nodes.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(tidied(_sets(shingle)), "node long, set binary"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(tidied(_alike(similarity)), "a long, b long")
+
+
+#: Members of a block of a group whose members are compared with one another.
+BLOCK = 64
+
+
+def _open(members: DataFrame, key: str) -> DataFrame:
+    """(key, n): the keys whose members are in more than one component, and how many members they have."""
+    return members.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select(key, "n")
+
+
+def second_candidates(met: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs of nodes of different components that share two keys.
+
+    met: key, node; roots: node, root (a node without a row is its own). Keys with members of one component are done. A node's other
+    keys, at most SAMPLED, are taken two by two, which parts a group of many texts that are only somewhat alike. Members of what is left
+    meet in cells of a block by a block, so a group of any size is spread over tasks, and none is cut."""
+    own = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    left = own.join(_open(own, "key").select("key"), "key")
+    listed = left.groupBy("node", "root").agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
+    two = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, SAMPLED), lambda m: F.xxhash64(k, m))))
+    members = listed.select("node", "root", F.explode(two).alias("two"))
+    sized = members.join(_open(members, "two"), "two").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    placed = sized.withColumn("at", F.pmod(F.xxhash64("node", "two"), "blocks").cast("int"))
+    others = F.explode(F.expr("sequence(0, blocks - 1)"))
+    rows = placed.select("two", F.col("at").alias("i"), others.alias("j"), F.col("node").alias("a"), F.col("root").alias("ra"))
+    columns = placed.select("two", others.alias("i"), F.col("at").alias("j"), F.col("node").alias("b"), F.col("root").alias("rb"))
+    return rows.join(columns, ["two", "i", "j"]).where("a < b AND ra != rb").select("a", "b").distinct()
+
+
 def near_links(nodes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b): pairs of nodes whose sets of word shingles have at least that Jaccard similarity.
+    """(a, b): pairs of nodes whose sets of word shingles have at least that Jaccard similarity, enough to connect all that share two keys.
 
     nodes: node (long, one for each text), text. Each text has SAMPLED keys: the bit majorities of DRAWN of its shingles, those that come
     first in an order of the key's own (min-wise sampling, so two texts share a key with about the power DRAWN of their similarity).
-    Texts that share a key are candidates: each is held against the least and the greatest node of the key, so a
-    group of any size has two candidates a member and key and no more. The sets themselves decide. A pair is lost if it shares
-    no key (under one in 1,000 at similarity 0.8), or only keys in whose groups neither is an end and both differ from the ends:
-    by measurement 2 in 100 pairs of similarity 0.8 among 600 texts that all share a boilerplate (0.7 to one another), none at 0.85."""
-    keyed = nodes.select("node", "text").mapInArrow(tidied(_sampled(shingle)), "key long, node long").distinct()
+    Each text is first held against the least and the greatest node of each of its keys: two candidates a member and key
+    in a group of any size, which connects groups of copies. Then all pairs that are not connected yet and share two keys
+    are candidates (second_candidates). The sets themselves decide. A pair is lost only if it shares fewer than two
+    of the SAMPLED keys: under one in 1,000 at similarity 0.8."""
+    keyed = stored(nodes.select("node", "text").mapInArrow(tidied(_sampled(shingle)), "key long, node long"))
     ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = keyed.join(ends, "key")
+    met = stored(keyed.join(ends, "key"))
     pairs = met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     pairs = stored(pairs)
-    wanted = _small(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
-    sets = stored(nodes.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(tidied(_sets(shingle)), "node long, set binary"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(tidied(_alike(similarity)), "a long, b long")
+    first = stored(_near(pairs, nodes, shingle, similarity))
+    rest = stored(second_candidates(met.select("key", "node"), _small(components(first))).join(pairs, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return first
+    return first.unionByName(_near(rest, nodes, shingle, similarity))
 
 
 def keep_distinct(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -72,7 +72,37 @@ def test_pairs_that_share_a_boilerplate(spark):
     assert all(near(sets[i], sets[j]) for i, j in want) and not near(sets[0], sets[2])
     df = spark.createDataFrame(rows, "node long, text string").repartition(3)
     got = {(r.a, r.b) for r in simhash_dedup.near_links(df).collect()}
-    assert got <= want and len(got) >= 0.95 * len(want)
+    assert got == want
+
+
+def test_second_candidates_are_all_unconnected_pairs_of_two_keys(spark):
+    """At any block, against all pairs."""
+    rng = random.Random(4)
+    keys = {n: {rng.randrange(12) for _ in range(rng.randrange(1, 7))} for n in range(120)}
+    roots = {n: n % 7 for n in range(120) if n % 3}
+    root = lambda n: roots.get(n, n)
+    want = {(a, b) for a in keys for b in keys if a < b and root(a) != root(b) and len(keys[a] & keys[b]) > 1}
+    met = spark.createDataFrame([(k, n) for n, own in keys.items() for k in own], "key long, node long").repartition(3)
+    rooted = spark.createDataFrame(list(roots.items()), "node long, root long")
+    for block in (2, 5, 1000):
+        assert sorted(map(tuple, simhash_dedup.second_candidates(met, rooted, block).collect())) == sorted(want)
+    assert simhash_dedup.second_candidates(met, spark.createDataFrame([(n, 0) for n in keys], "node long, root long")).count() == 0
+
+
+def test_inner_pairs_of_a_key_are_connected(spark):
+    """A chain whose members are each near only to the next: neither is an end of most keys."""
+    rng = random.Random(6)
+    text = words(rng, 300)
+    rows = []
+    for i in range(40):
+        rows.append((i * 7919 % 1009, " ".join(text)))
+        text = words(rng, 30) + text[:-30]
+    near_ones = [(a, b) for a, x in rows for b, y in rows if a < b and near(shingles(x), shingles(y))]
+    assert len(near_ones) >= 39
+    df = spark.createDataFrame(rows, "node long, text string").repartition(3)
+    got = {(r.a, r.b) for r in simhash_dedup.near_links(df).collect()}
+    assert got <= set(near_ones)
+    assert len({r.root for r in simhash_dedup.components(spark.createDataFrame(sorted(got), "a long, b long")).collect()}) == 1
 
 
 def test_empty(spark):
