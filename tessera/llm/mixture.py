@@ -6,7 +6,7 @@ is then kept with the probability that its cell's weight calls for.
 
 Tokens are counted by a byte-pair vocabulary. Topics are learned: word counts are
 hashed into a vector, weighted by how rare a dimension is, and clustered by k-means
-on a bounded sample; every document takes the topic of its nearest centre.
+over all documents; every document takes the topic of its nearest centre.
 """
 
 from __future__ import annotations
@@ -19,15 +19,15 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
 from tessera.llm.byte_bpe import codec_of, shared_ranks
-from tessera.llm.common import carried, checkpointed, doc_key, flat_text, pieces_of, span_hashes, spread, stored, tidied, words_of
+from tessera.llm.common import carried, checkpointed, doc_key, flat_text, pieces_of, span_hashes, stored, tidied, words_of
 
 AXES = ("source", "lang", "topic")
 
-#: Topics, dimensions of hashed words, documents that the centres are fitted on at most (about), and rounds of k-means.
-TOPICS, WIDTH, SAMPLE, ROUNDS = 8, 256, 20_000, 12
+#: Topics, dimensions of hashed words, and rounds of k-means.
+TOPICS, WIDTH, ROUNDS = 8, 256, 12
 
 #: Cells up to which they are raked as one broadcast-size table on the driver's side of an aggregate; beyond, by joins.
 SMALL_CELLS = 50_000
@@ -61,22 +61,17 @@ def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
 
 
-def fit_topics(docs: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Topics:
-    """Weights and centres from about `sample` documents, chosen by a hash of doc_id and text; with fewer, from all.
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    """The counts in the first column of a batch, a row a document."""
+    return np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4").reshape(-1, WIDTH)
 
-    Each round sums the vectors of each topic in the tasks; only sums (TOPICS x WIDTH numbers) come to the driver."""
-    total = docs.count()
-    chosen = docs.select("text").where(F.pmod(F.xxhash64(doc_key(), F.coalesce("text", F.lit("")), F.lit(seed)), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(1, total))))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces_of(batch, "text"):
-                counts, _ = word_counts(*flat_text(part.column(0)))
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes() for x in counts], pa.binary())], names=["counts"])
+def fit_topics(vectors: DataFrame, seed: int = 5) -> Topics:
+    """Weights and centres from all rows of a written table with `counts` (WIDTH little-endian unsigned 32-bit integers).
 
-    # A row is one kilobyte; the sample is written once and read by each round.
-    vectors = stored(chosen.mapInArrow(tidied(counted), "counts binary").coalesce(spread(docs.sparkSession)))
-    rows = lambda batch: np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4").reshape(-1, WIDTH)
+    Each round sums the vectors of each topic in the tasks; only sums (TOPICS x WIDTH numbers a task) come to the driver. Rounds start
+    from rows that are unlike one another, among those of least hash; weights and every round take all rows."""
+    vectors = vectors.select("counts")
 
     def summed(per_row, width: int) -> np.ndarray:
         """Sums of what per_row makes of counts (topics, values), over all tasks."""
@@ -85,8 +80,8 @@ def fit_topics(docs: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Topics:
             total = np.zeros((TOPICS, width))
             for batch in batches:
                 if batch.num_rows:
-                    topic, values = per_row(rows(batch))
-                    np.add.at(total, topic, values)
+                    topic, values = per_row(_rows(batch))
+                    total += (topic == np.arange(TOPICS)[:, None]).astype(float) @ values
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(TOPICS, dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["topic", "sums"])
 
         out = np.zeros((TOPICS, width))
@@ -120,9 +115,10 @@ def _spread_out(vectors: np.ndarray) -> np.ndarray:
     return centres
 
 
-def annotated(docs: DataFrame, name: str, topics: Topics, path: str | None = None) -> DataFrame:
-    """The rows with a struct column (tokens long, topic int). path: a rank file; tokens are those of its vocabulary."""
+def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows with tokens (long) and counts (binary) for text. path: a rank file; tokens are those of its vocabulary."""
     shared: Broadcast = shared_ranks(docs, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    others = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared, public_tokenizers.PATTERN)
@@ -131,13 +127,27 @@ def annotated(docs: DataFrame, name: str, topics: Topics, path: str | None = Non
                 column = part.column(part.schema.get_field_index("text"))
                 counts, _ = word_counts(*flat_text(column))
                 tokens = [len(codec.ids(x)) // 4 if x else 0 for x in column.to_pylist()]
-                made = pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(topics.of(counts).astype(np.int32))], names=["tokens", "topic"])
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
+                made = [pa.array(tokens, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in counts], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in others), *made], names=[*(f.name for f in others), "tokens", "counts"])
 
-    schema = StructType([*docs.schema.fields]).add(name, StructType().add("tokens", LongType()).add("topic", IntegerType()))
+    schema = StructType([*others]).add("tokens", LongType()).add("counts", BinaryType())
     return docs.mapInArrow(tidied(run), schema)
 
 
+def annotated(vectors: DataFrame, name: str, topics: Topics) -> DataFrame:
+    """Rows of counted() with a struct column (tokens long, topic int) for tokens and counts."""
+    others = [f for f in vectors.schema.fields if f.name not in ("tokens", "counts")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = pa.StructArray.from_arrays([batch.column(1), pa.array(topics.of(_rows(batch)).astype(np.int32))], names=["tokens", "topic"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], made], names=[*(f.name for f in others), name])
+
+    schema = StructType([*others]).add(name, StructType().add("tokens", LongType()).add("topic", IntegerType()))
+    return vectors.select("counts", "tokens", *(f.name for f in others)).mapInArrow(tidied(run), schema)
+
+
 def cell_table(noted: DataFrame, name: str) -> DataFrame:
     """(source, lang, topic, tokens): a null source or language is the empty string."""
     return noted.groupBy(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col(f"{name}.topic").alias("topic")).agg(F.sum(f"{name}.tokens").cast("double").alias("tokens")).where("tokens > 0")
@@ -225,18 +235,20 @@ def drawn(doc_id, seed: int):
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix_sources(docs: DataFrame, powers: dict[str, float] | None = None, keep: float = 0.8, seed: int = 3, targets: dict[str, DataFrame] | None = None, sample: int = SAMPLE, path: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, powers: dict[str, float] | None = None, keep: float = 0.8, seed: int = 3, targets: dict[str, DataFrame] | None = None, path: str | None = None) -> DataFrame:
     """The rows with a struct column `mix`: tokens, topic, probability and kept.
 
     docs: doc_id, text, source, lang and any others. Targets are token shares of each axis: given as tables (axis, share),
-    or tempered from the tokens found by `powers`. Topics are fitted on about `sample` documents (all, if fewer) and given to all.
+    or tempered from the tokens found by `powers`. Topics are fitted on all documents.
     Nulls of source and language are one value of their own (the empty string); empty texts have no tokens and are kept with
     probability 1, as they weigh nothing; rows with equal doc_id share a draw; a column that is already called mix is replaced.
-    Texts are tokenised once: tokens and topics are written to the shared folder, keyed by doc_id and the digest of the text.
+    Texts are tokenised once: tokens and word counts (a kilobyte a text before compression), then topics, are written to the shared
+    folder, keyed by doc_id and the digest of the text.
     """
     kept = docs.drop("mix")
     digest = lambda: F.xxhash64(F.coalesce("text", F.lit("")))
-    noted = stored(annotated(kept.select(doc_key().alias("_doc"), digest().alias("_text"), "source", "lang", "text"), "mix", fit_topics(kept, sample), path).drop("text"))
+    vectors = stored(counted(kept.select(doc_key().alias("_doc"), digest().alias("_text"), "source", "lang", "text"), path))
+    noted = stored(annotated(vectors, "mix", fit_topics(vectors)))
     cells = checkpointed(cell_table(noted, "mix"))
     powers = powers or {"source": 0.7, "lang": 0.7, "topic": 0.5}
     fitted = checkpointed(with_probability(rake(cells, targets or {a: tempered(cells, a, powers[a]) for a in AXES}), keep))

@@ -240,3 +240,17 @@ EMPTY = [suffix_dedup.suffix_dedup, phrase_dedup.phrase_dedup, simhash_dedup.sim
 @pytest.mark.parametrize("operator", EMPTY, ids=lambda f: f.__name__)
 def test_empty_table(docs, operator):
     assert operator(docs.limit(0)).count() == 0
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    """Weights of all 20,100 texts, and centres that one more round over all of them leaves as they are or ROUNDS have moved."""
+    texts = [f"a{i % 97} b{i % 89} c{i % 83} {'rare' if i == 20_050 else 'd'}" for i in range(20_100)]
+    df = spark.createDataFrame([(i, t, "s", "l") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    vectors = common.stored(mixture.counted(df))
+    fitted = mixture.fit_topics(vectors)
+    counts = np.array([np.frombuffer(r.counts, "<u4") for r in vectors.collect()])
+    assert len(counts) == 20_100
+    assert np.allclose(fitted.weights, np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1)
+    out = mixture.annotated(vectors, "mix", fitted)
+    assert out.columns == ["doc_id", "source", "lang", "mix"] and out.count() == 20_100
+    assert {r.doc_id: r.mix.topic for r in out.collect()} == dict(zip([r.doc_id for r in vectors.select("doc_id").collect()], fitted.of(counts).tolist(), strict=True))
