@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import SPACES, carried, checkpointed, doc_back, doc_key, flat_text, ids_of, join_keyed, mix, pieces_of, span_hashes, spread, stored, text_digest, tidied, words_of
+from tessera.llm.common import SPACES, carried, checkpointed, doc_back, doc_key, flat_text, ids_of, join_keyed, mix, pieces_of, span_hashes, spread, stored, text_digest, tidied, tidied_group, words_of
 
 #: Most differing bits of two linked fingerprints; the four segments of the ring are made for this bound.
 BITS = 3
@@ -355,6 +355,63 @@ def second_candidates(met: DataFrame, roots: DataFrame, block: int = BLOCK) -> D
     return rows.join(columns, ["two", "i", "j"]).where("a < b AND ra != rb").select("a", "b").distinct()
 
 
+def second_cells(met: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(cell, side, node, root): the pairs of second_candidates() as cells, without a row a pair.
+
+    A cell is two blocks of one group (side 0 and 1; side 0 alone: a block with itself). A member is in as many cells as its
+    group has blocks, and each pair of members in one cell. Groups of the same nodes are one."""
+    own = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    left = own.join(_open(own, "key").select("key"), "key")
+    listed = left.groupBy("node", "root").agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
+    two = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, SAMPLED), lambda m: F.xxhash64(k, m))))
+    members = listed.select("node", "root", F.explode(two).alias("two"))
+    # Two checksums and the count tell groups of the same nodes, of which one is taken.
+    mark = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
+    groups = members.groupBy("two").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), mark(1).alias("p"), mark(2).alias("q")).where("lo < hi")
+    once = groups.groupBy("n", "p", "q").agg(F.min("two").alias("two")).select("two", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = members.join(once, "two").withColumn("at", F.pmod(F.xxhash64("node", "two"), "blocks").cast("int"))
+    met_by = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return met_by.select(F.struct("two", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")).alias("cell"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), "node", "root")
+
+
+def _cell_links(similarity: float):
+    """Links of one cell that connect what its pairs of that similarity connect, at most one fewer than it has members."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+        sets = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("set")]
+        size = np.array([len(x) for x in sets])
+        values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size)])
+        group = np.unique(root, return_inverse=True)[1]
+        a, b = [], []
+        for x in range(len(node)):
+            fits = (np.minimum(size, size[x]) >= similarity * np.maximum(size, size[x])) & (group != group[x]) & (np.arange(len(node)) > x)
+            if side.any():
+                fits &= side != side[x]
+            if not fits.any():
+                continue
+            seen = np.zeros(len(values), np.int64)
+            seen[flat[starts[x] : starts[x + 1]]] = 1
+            run_of = np.concatenate([[0], np.cumsum(seen[flat])])
+            both = run_of[starts[1:]] - run_of[starts[:-1]]
+            for y in np.flatnonzero(fits & (both >= similarity * (size + size[x] - both))).tolist():
+                if group[y] != group[x]:
+                    a.append(min(node[x], node[y]))
+                    b.append(max(node[x], node[y]))
+                    group[group == group[y]] = group[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _near_in_cells(cells: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links of the cells' pairs of that similarity, enough to connect what they connect."""
+    wanted = _small(cells.select("node").distinct())
+    sets = stored(nodes.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(tidied(_sets(shingle)), "node long, set binary"))
+    return cells.join(sets, "node").groupBy("cell").applyInArrow(tidied_group(_cell_links(similarity)), "a long, b long").distinct()
+
+
 def near_links(nodes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): pairs of nodes whose sets of word shingles have at least that Jaccard similarity, enough to connect all that share two keys.
 
@@ -362,7 +419,7 @@ def near_links(nodes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     first in an order of the key's own (min-wise sampling, so two texts share a key with about the power DRAWN of their similarity).
     Each text is first held against the least and the greatest node of each of its keys: two candidates a member and key
     in a group of any size, which connects groups of copies. Then all pairs that are not connected yet and share two keys
-    are candidates (second_candidates). The sets themselves decide. A pair is lost only if it shares fewer than two
+    are compared inside cells (second_cells), which give links, not pairs. The sets themselves decide. A pair is lost only if it shares fewer than two
     of the SAMPLED keys: under one in 1,000 at similarity 0.8."""
     keyed = stored(nodes.select("node", "text").mapInArrow(tidied(_sampled(shingle)), "key long, node long"))
     ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
@@ -370,10 +427,10 @@ def near_links(nodes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     pairs = met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     pairs = stored(pairs)
     first = stored(_near(pairs, nodes, shingle, similarity))
-    rest = stored(second_candidates(met.select("key", "node"), _small(components(first))).join(pairs, ["a", "b"], "left_anti"))
+    rest = stored(second_cells(met.select("key", "node"), _small(components(first))))
     if rest.isEmpty():
         return first
-    return first.unionByName(_near(rest, nodes, shingle, similarity))
+    return first.unionByName(_near_in_cells(rest, nodes, shingle, similarity))
 
 
 def keep_distinct(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -108,3 +108,25 @@ def test_inner_pairs_of_a_key_are_connected(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_dedup.keep_distinct(df).count() == 0
+
+
+def test_cells_hold_the_second_candidates_once(spark):
+    """At any block the pairs of the cells are those of second_candidates(); rows do not grow with the pairs, and a near group gives a forest."""
+    rng = random.Random(4)
+    keys = {n: {rng.randrange(12) for _ in range(rng.randrange(1, 7))} for n in range(120)}
+    met = spark.createDataFrame([(k, n) for n, own in keys.items() for k in own], "key long, node long").repartition(3)
+    rooted = spark.createDataFrame([(n, n % 7) for n in range(120) if n % 3], "node long, root long")
+    want = {tuple(r) for r in simhash_dedup.second_candidates(met, rooted).collect()}
+    for block in (2, 5, 1000):
+        cells = {}
+        for r in simhash_dedup.second_cells(met, rooted, block).collect():
+            cells.setdefault(r.cell, []).append(r)
+        got = {(a.node, b.node) for own in cells.values() for a in own for b in own if a.node < b.node and a.root != b.root and (a.side != b.side or not any(r.side for r in own))}
+        assert got == want
+    many = spark.createDataFrame([(k, n) for n in range(600) for k in range(8)], "key long, node long")
+    alone = spark.createDataFrame([], "node long, root long")
+    assert simhash_dedup.second_cells(many, alone).count() <= 600 * 10
+    texts = spark.createDataFrame([(n, f"a b c d e f g h i j k l m n o p q r s t u v w x y z {'' if n < 300 else 'one two three four five six seven eight nine ten'}") for n in range(600)], "node long, text string")
+    made = simhash_dedup._near_in_cells(simhash_dedup.second_cells(many, alone), texts, 5, 0.8)
+    roots = {r.node: r.root for r in simhash_dedup.components(made).collect()}
+    assert made.count() < 6000 and {roots.get(n, n) for n in range(600)} == {0, 300}
