@@ -31,21 +31,20 @@ def _share(book: Column, quantity: Column, held: Column) -> Column:
 
 
 def _step(s: Column, r: Column) -> Column:
-    """The position after one fill or split; book, cost and realised in units of 0.00000001."""
+    """The position after one fill or split; all amounts, the ratio of a split (price) as well, in units of 0.00000001."""
     zero = F.lit(0).cast(_WHOLE)
     kind, n, held, book = r["side"], r["quantity"], s["held"], s["book"]
-    units = lambda c: F.floor(c * F.lit(100_000_000).cast("decimal(9,0)")).cast(_WHOLE)
-    gross = (units(r["price"]) * n).cast(_WHOLE)
-    split_to = held.cast("decimal(19,0)") * r["price"].cast("decimal(18,8)")
+    one = F.lit(100_000_000).cast("decimal(9,0)")
+    split_to = held.cast("decimal(19,0)") * r["price"].cast("decimal(18,0)")
     splits, buys = kind == "split", kind == "buy"
-    whole = split_to == F.floor(split_to)
+    whole = split_to % one == 0
     short = ~splits & ~buys & (n > held)
     sells = ~splits & ~buys & ~short
     cost = F.when(sells, F.when(n == held, book).otherwise(_share(book, n, held))).otherwise(zero).cast(_WHOLE)
-    after = F.when(splits & whole, split_to.cast("long")).when(buys, held + n).when(sells, held - n).otherwise(held)
-    realised = F.when(sells, gross - units(r["fee"]) - units(r["tax"]) - cost).otherwise(zero).cast(_WHOLE)
+    after = F.when(splits & whole, F.try_divide(split_to, one).cast("long")).when(buys, held + n).when(sells, held - n).otherwise(held)
+    realised = F.when(sells, -r["due"] - cost).otherwise(zero).cast(_WHOLE)
     code = F.when(splits & ~whole, "split_not_integral").when(short, "short_sale")
-    return F.struct(after.cast("long").alias("held"), F.when(buys, book + gross + units(r["fee"])).otherwise(book - cost).cast(_WHOLE).alias("book"), cost.alias("cost"), realised.alias("realised"), code.alias("code"))
+    return F.struct(after.cast("long").alias("held"), F.when(buys, book + r["paid"]).otherwise(book - cost).cast(_WHOLE).alias("book"), cost.alias("cost"), realised.alias("realised"), code.alias("code"))
 
 
 def cost_basis(fills: DataFrame, splits: DataFrame | None = None) -> DataFrame:
@@ -53,14 +52,19 @@ def cost_basis(fills: DataFrame, splits: DataFrame | None = None) -> DataFrame:
 
     fills: portfolio, instrument_id, fill_id, session, side, quantity, price, fee, tax; splits: portfolio, instrument_id,
     session, ratio, applied before that day's fills. The fold depends on order, so a position is one sorted array, folded in
-    the JVM block by block; positions run in parallel."""
+    the JVM block by block; positions run in parallel. What a fill pays (buys) and what is due on it (fee, tax, less gross) need no
+    position, so they are made before the fold, in its units."""
     money = lambda c: F.col(c).cast("decimal(20,8)").alias(c)
     rows = fills.select("portfolio", "instrument_id", F.col("fill_id").cast("string").alias("fill_id"), "session", F.lit(1).alias("seq"), "side", F.col("quantity").cast("long").alias("quantity"), money("price"), money("fee"), money("tax"))
     if splits is not None:
         zero = F.lit(0).cast("decimal(20,8)")
         rows = rows.unionByName(splits.select("portfolio", "instrument_id", F.lit("split").alias("fill_id"), "session", F.lit(0).alias("seq"), F.lit("split").alias("side"), F.lit(0).cast("long").alias("quantity"), F.col("ratio").cast("decimal(20,8)").alias("price"), zero.alias("fee"), zero.alias("tax")))
     start = F.struct(F.lit(0).cast("long").alias("held"), *(F.lit(0).cast(_WHOLE).alias(c) for c in ("book", "cost", "realised")), F.lit(None).cast("string").alias("code"))
-    sorted_rows = rows.groupBy("portfolio", "instrument_id").agg(F.array_sort(F.collect_list(F.struct("session", "seq", "fill_id", "side", "quantity", "price", "fee", "tax"))).alias("r"))
+    units = lambda c: F.floor(F.col(c) * F.lit(100_000_000).cast("decimal(9,0)")).cast(_WHOLE)
+    gross = (units("price") * F.col("quantity")).cast(_WHOLE)
+    # In the order of price, fee and tax: of one quantity and price, what is paid rises with the fee, and what is due with the tax.
+    ready = rows.select("portfolio", "instrument_id", F.struct("session", "seq", "fill_id", "side", "quantity", units("price").alias("price"), (gross + units("fee")).cast(_WHOLE).alias("paid"), (units("fee") + units("tax") - gross).cast(_WHOLE).alias("due")).alias("r"))
+    sorted_rows = ready.groupBy("portfolio", "instrument_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
     folded = sorted_rows.select("portfolio", "instrument_id", fold_in_blocks("r", start, _step, _BLOCK).alias("o"))
     out = folded.select("portfolio", "instrument_id", F.explode("o").alias("o"))
     amount = lambda c: (F.col(f"o.s.{c}").cast("decimal(28,0)") * F.lit("0.00000001").cast("decimal(8,8)")).cast("decimal(20,8)")

@@ -61,4 +61,5 @@ def fold_in_blocks(rows: str, start: Column, step: Callable[[Column, Column], Co
     first = F.transform(F.slice(rows, 1, 0), lambda r: F.struct(r.alias("r"), start.alias("s")))
     nothing = F.slice(F.array(first), 1, 0)
     blocks = F.aggregate(starts, F.struct(start.alias("s"), nothing.alias("o")), lambda a, i: F.transform(F.array(inner(a["s"], F.slice(rows, i + 1, block))), lambda b: F.struct(b["s"].alias("s"), kept(a["o"], b["o"]).alias("o")))[0])
-    return F.flatten(blocks["o"])
+    # An array of one block, as most are, is folded without the steps that join blocks.
+    return F.when(size <= block, inner(start, F.col(rows))["o"]).otherwise(F.flatten(blocks["o"]))
