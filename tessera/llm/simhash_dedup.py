@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm.common import SPACES, carried, checkpointed, doc_back, doc_key, flat_text, ids_of, join_keyed, mix, pieces_of, span_hashes, spread, stored, text_digest, tidied, tidied_group, words_of
 
@@ -405,11 +405,58 @@ def _cell_links(similarity: float):
     return run
 
 
-def _near_in_cells(cells: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _cells_linked(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links of the cells' pairs of that similarity, enough to connect what they connect."""
+    return cells.join(sets.select("node", "set"), "node").groupBy("cell").applyInArrow(tidied_group(_cell_links(similarity)), "a long, b long").distinct()
+
+
+def _near_in_cells(cells: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """_cells_linked() with the sets of the cells' nodes."""
     wanted = _small(cells.select("node").distinct())
-    sets = stored(nodes.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(tidied(_sets(shingle)), "node long, set binary"))
-    return cells.join(sets, "node").groupBy("cell").applyInArrow(tidied_group(_cell_links(similarity)), "a long, b long").distinct()
+    return _cells_linked(cells, stored(nodes.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(tidied(_sets(shingle)), "node long, set binary")), similarity)
+
+
+def open_nodes(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root): the nodes with two keys or more whose members are in more than one component."""
+    own = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    left = own.join(_open(own, "key").select("key"), "key")
+    return left.groupBy("node", "root").agg(F.count_distinct("key").alias("keys")).where("keys > 1").select("node", "root")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of (node, root, set)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1_000):
+            part = batch.slice(at, 1_000)
+            sets = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column(2)]
+            size = np.array([len(x) for x in sets])
+            node, root = (np.repeat(part.column(i).to_numpy(), size) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).astype(np.int64))], names=["node", "root", "size", "token"])
+
+
+def prefix_cells(sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(cell, side, node, root): cells that hold all pairs of nodes of different components whose sets have that Jaccard similarity.
+
+    sets: node, root, set. Prefix filtering: with the shingles of each set in order of how few sets hold them, two such sets share one
+    among the first size - ceil(similarity * size) + 1 of each, and in the smaller set it is early, among the first
+    size - ceil(2 * similarity / (1 + similarity) * size) + 1. So many texts that are all somewhat alike meet by what few of them
+    hold, not by what all hold. A shingle's early members meet one another and the late ones, blocks by blocks (see second_cells);
+    late ones alone make no cell. Shingles of the same members are one."""
+    rows = sets.select("node", "root", "set").mapInArrow(tidied(_tokens), "node long, root long, size long, token long")
+    shared = rows.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    own = Window.partitionBy("node")
+    ranked = rows.join(shared, "token").withColumn("left", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("holders", "token")))
+    # What no other set holds comes first; `left` is the rest. The small number keeps a whole product whole.
+    first = lambda share: F.col("at") <= F.col("left") - F.ceil(F.col("size") * share - 1e-6) + 1
+    kept = ranked.where(first(similarity)).select("token", "node", "root", first(2 * similarity / (1 + similarity)).alias("early"))
+    mark = lambda seed: F.sum(F.xxhash64("node", "early", F.lit(seed)).cast("decimal(38,0)"))
+    groups = kept.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if("early").alias("n"), F.count("*").alias("m"), mark(1).alias("p"), mark(2).alias("q")).where("lo < hi AND n > 0")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    once = groups.groupBy("n", "m", "p", "q").agg(F.min("token").alias("token")).select("token", blocks(F.col("n")).alias("soon"), blocks(F.col("m") - F.col("n")).alias("later"))
+    drawn = F.pmod(F.xxhash64("node", "token"), F.when(F.col("early"), F.col("soon")).otherwise(F.col("later"))).cast("int")
+    placed = kept.join(once, "token").withColumn("at", drawn + F.when(F.col("early"), 0).otherwise(F.col("soon")))
+    met_by = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("early"), F.col("soon") + F.col("later")).otherwise(F.col("soon")) - 1)))
+    return met_by.select(F.struct("token", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")).alias("cell"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), "node", "root")
 
 
 def near_links(nodes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -418,19 +465,21 @@ def near_links(nodes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     nodes: node (long, one for each text), text. Each text has SAMPLED keys: the bit majorities of DRAWN of its shingles, those that come
     first in an order of the key's own (min-wise sampling, so two texts share a key with about the power DRAWN of their similarity).
     Each text is first held against the least and the greatest node of each of its keys: two candidates a member and key
-    in a group of any size, which connects groups of copies. Then all pairs that are not connected yet and share two keys
-    are compared inside cells (second_cells), which give links, not pairs. The sets themselves decide. A pair is lost only if it shares fewer than two
-    of the SAMPLED keys: under one in 1,000 at similarity 0.8."""
+    in a group of any size, which connects groups of copies. Then all texts with two keys whose members are not connected yet are joined
+    by prefix filtering of the whole sets (prefix_cells), inside cells that give links, not pairs. The sets themselves decide. A pair is
+    lost only if it shares fewer than two of the SAMPLED keys: under one in 1,000 at similarity 0.8."""
     keyed = stored(nodes.select("node", "text").mapInArrow(tidied(_sampled(shingle)), "key long, node long"))
     ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     met = stored(keyed.join(ends, "key"))
     pairs = met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     pairs = stored(pairs)
     first = stored(_near(pairs, nodes, shingle, similarity))
-    rest = stored(second_cells(met.select("key", "node"), _small(components(first))))
-    if rest.isEmpty():
+    rest = _small(open_nodes(met.select("key", "node"), _small(components(first))))
+    sets = stored(nodes.select("node", "text").join(rest.select("node"), "node", "left_semi").mapInArrow(tidied(_sets(shingle)), "node long, set binary").join(rest, "node"))
+    cells = stored(prefix_cells(sets, similarity))
+    if cells.isEmpty():
         return first
-    return first.unionByName(_near_in_cells(rest, nodes, shingle, similarity))
+    return first.unionByName(_cells_linked(cells, sets, similarity))
 
 
 def keep_distinct(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

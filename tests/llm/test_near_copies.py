@@ -130,3 +130,33 @@ def test_cells_hold_the_second_candidates_once(spark):
     made = simhash_dedup._near_in_cells(simhash_dedup.second_cells(many, alone), texts, 5, 0.8)
     roots = {r.node: r.root for r in simhash_dedup.components(made).collect()}
     assert made.count() < 6000 and {roots.get(n, n) for n in range(600)} == {0, 300}
+
+
+def test_prefix_cells_hold_all_near_pairs_and_few_of_a_family(spark):
+    """At any block; a family that is alike to 0.7 makes few cells."""
+    rng = random.Random(11)
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(3)) if t]
+    family = words(rng, 300)
+    for _ in range(400):
+        own = list(family)
+        for at in rng.sample(range(300), 11):
+            own[at] = f"other{rng.randrange(40)}"
+        rows.append((len(rows), " ".join(own)))
+    start = len(rows) - 400
+    df = spark.createDataFrame(rows, "node long, text string").repartition(3)
+    sets = df.mapInArrow(simhash_dedup._sets(5), "node long, set binary").selectExpr("node", "node % 3 as root", "set").localCheckpoint()
+    own = {r.node: set(memoryview(r.set).cast("I")) for r in sets.collect()}
+    some = sorted(own)[: start + 60]
+    want = {(a, b) for a in some for b in some if a < b and a % 3 != b % 3 and near(own[a], own[b])}
+    assert len(want) > 30
+    for block in (2, 64):
+        cells = {}
+        for r in simhash_dedup.prefix_cells(sets.where(f"node < {len(some)}"), 0.8, block).collect():
+            cells.setdefault(r.cell, []).append(r)
+        held = {(a.node, b.node) for own_ in cells.values() for a in own_ for b in own_ if a.node < b.node and a.root != b.root and (a.side != b.side or not any(r.side for r in own_))}
+        assert want <= held
+    # 400 members of the family: a few rows each, where cells by shared keys have rows of the square.
+    family_cells = simhash_dedup.prefix_cells(sets.where(f"node >= {start}"), 0.8).count()
+    keyed = df.where(f"node >= {start}").mapInArrow(simhash_dedup._sampled(5), "key long, node long")
+    by_keys = simhash_dedup.second_cells(keyed, spark.createDataFrame([], "node long, root long")).count()
+    assert family_cells < 2 * 400 and by_keys > 10 * family_cells
