@@ -200,7 +200,8 @@ def pretrade_flags(orders: DataFrame, positions: DataFrame, accounts: DataFrame,
     orders: portfolio, order_id, instrument_id, side, quantity, price; positions: portfolio, instrument_id, held, value;
     accounts: portfolio, nav, cash. Gross exposure is the value of other positions, the orders before on other
     instruments, and this instrument after the order at its price; buys need cash for their fees as well. The sums before
-    each order are a scan on two levels over `blocks` ranges of order ids, so a portfolio with all orders is spread over them."""
+    each order are a scan on two levels over `blocks` ranges of order ids, so a portfolio with all orders is spread over them.
+    Orders of one id and side go by instrument, quantity and price, so the flags depend on the rows alone, not on how they are stored."""
     worth = positions.groupBy("portfolio").agg(F.sum(F.col("value").cast("decimal(24,4)")).alias("_worth"))
     full = orders.join(positions, ["portfolio", "instrument_id"], "left").join(accounts, "portfolio", "left").join(worth, "portfolio", "left")
     notional = (F.col("quantity") * F.col("price")).cast("decimal(20,4)")
@@ -211,7 +212,7 @@ def pretrade_flags(orders: DataFrame, positions: DataFrame, accounts: DataFrame,
         F.when(buys, notional).otherwise(-notional).alias("_signed"), F.when(buys, F.col("quantity")).otherwise(-F.col("quantity")).alias("_moves"),
     )
     block = F.col("_turn") * (2 * blocks) + F.coalesce(scan.range_blocks(orders, "order_id", blocks), F.lit(-1))
-    order = ["_turn", "order_id"]
+    order = ["_turn", "order_id", "instrument_id", "quantity", "price"]
     once = scan.running_sums(ready, ["portfolio"], order, block, {"_bought": "_pays", "_all": "_signed"})
     full = scan.running_sums(once, ["portfolio", "instrument_id"], order, block, {"_sold": "_sells", "_moved": "_moves", "_same": "_signed"})
     held = F.coalesce("held", F.lit(0))

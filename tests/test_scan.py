@@ -97,3 +97,17 @@ def test_no_window_holds_all_orders_of_a_portfolio(spark):
     plan = portfolio.pretrade_flags(orders, held, accounts)._jdf.queryExecution().executedPlan().toString()
     over = [line for line in plan.splitlines() if "Window [" in line and "order_id" in line]
     assert len(over) == 2 and all("_block" in line.rsplit("], [", 2)[1] for line in over)
+
+
+def test_pretrade_flags_of_repeated_ids_do_not_depend_on_storage(spark):
+    """Orders of one id, of which the cash pays the one that comes first: the same in whatever order they are stored."""
+    from tessera.operators import portfolio
+
+    rows = [("p", "7", "b", "buy", 1, 100.0), ("p", "7", "b", "buy", 1, 200.0)]
+    held = spark.createDataFrame([("p", "z", 0, 0.0)], "portfolio string, instrument_id string, held int, value double")
+    accounts = spark.createDataFrame([("p", 1e6, 150.0)], "portfolio string, nav double, cash double")
+    found = []
+    for own in (rows, rows[::-1]):
+        orders = spark.createDataFrame(own, "portfolio string, order_id string, instrument_id string, side string, quantity int, price double").coalesce(1)
+        found.append(sorted(tuple(r.flags) for r in portfolio.pretrade_flags(orders, held, accounts).collect()))
+    assert found[0] == found[1] == [(), ("insufficient_buying_power",)]
