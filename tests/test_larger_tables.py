@@ -31,3 +31,9 @@ def test_quotes_of_parts_beyond_a_million(spark, folder):
     part = spark.read.parquet(f"{SF}/part.parquet")
     sf = folder(part=part.union(part.withColumn("p_partkey", F.col("p_partkey") + 1_000_000)))
     assert same(QUERIES["decoded_quotes"](spark, sf), duck(sf), SQL["decoded_quotes"]) == ""
+
+
+@pytest.mark.parametrize("name", ["price_findings", "issue_counts"])
+def test_findings_do_not_build_the_bars_for_each_kind(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "events.parquet" not in plan
