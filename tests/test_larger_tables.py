@@ -37,3 +37,8 @@ def test_quotes_of_parts_beyond_a_million(spark, folder):
 def test_findings_do_not_build_the_bars_for_each_kind(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "events.parquet" not in plan
+
+
+@pytest.mark.parametrize("name", ["linear_models", "experiment"])
+def test_models_read_the_folds_once(spark, name):
+    assert "events.parquet" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
