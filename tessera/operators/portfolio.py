@@ -194,39 +194,55 @@ def notional_allocation(fills: DataFrame, total: str = "total", places: int = 2)
     return placed.select("portfolio", "instrument_id", F.col("notional").cast("double").alias("notional"), amount.alias("allocated"))
 
 
-def pretrade_flags(orders: DataFrame, positions: DataFrame, accounts: DataFrame, max_weight: float = 0.2, max_notional: float = 1e6, max_gross: float = 1.0, policy: CostPolicy = CostPolicy(), blocks: int = 64) -> DataFrame:
+def pretrade_flags(orders: DataFrame, positions: DataFrame, accounts: DataFrame, max_weight: float = 0.2, max_notional: float = 1e6, max_gross: float = 1.0, policy: CostPolicy = CostPolicy(), blocks: int = 64, crowd: int = 100_000) -> DataFrame:
     """(portfolio, order_id, flags): orders as they would be reserved in turn, sells first, then by order_id.
 
-    orders: portfolio, order_id, instrument_id, side, quantity, price; positions: portfolio, instrument_id, held, value;
-    accounts: portfolio, nav, cash. Gross exposure is the value of other positions, the orders before on other
+    orders: portfolio, order_id, instrument_id, side, quantity, price; positions: portfolio, instrument_id, held, value, a row
+    a position; accounts: portfolio, nav, cash, a row a portfolio. Gross exposure is the value of other positions, the orders before on other
     instruments, and this instrument after the order at its price; buys need cash for their fees as well. The sums before
-    each order are a scan on two levels over `blocks` ranges of order ids, so a portfolio with all orders is spread over them.
+    each order are a scan on two levels over `blocks` ranges of order ids, so a portfolio with all orders is spread over them;
+    so is a position of more than `crowd` orders. Positions and accounts open the sums as rows of their own, so orders are
+    shuffled once for each of the two sums, and joined with nothing.
     Orders of one id and side go by instrument, quantity and price, so the flags depend on the rows alone, not on how they are stored."""
-    worth = positions.groupBy("portfolio").agg(F.sum(F.col("value").cast("decimal(24,4)")).alias("_worth"))
-    full = orders.join(positions, ["portfolio", "instrument_id"], "left").join(accounts, "portfolio", "left").join(worth, "portfolio", "left")
+    # 0: sell, 1: buy, 2: neither, which takes its turn with the buys; -1: what opens the sums.
+    side = F.when(F.col("side") == "sell", 0).when(F.col("side") == "buy", 1).otherwise(2)
+    opens = F.lit(-1).alias("_side")
+    lines = orders.select("portfolio", "order_id", "instrument_id", side.alias("_side"), "quantity", "price")
+    owned, value = positions.where("portfolio is not null"), F.col("value").cast("decimal(24,4)")
+    of_one = lambda c: F.when(F.col("instrument_id").isNotNull(), c)
+    opening = owned.select("portfolio", "instrument_id", opens, of_one(F.col("held")).alias("held"), of_one(value).alias("value"))
+    worth = owned.groupBy("portfolio").agg(F.sum(value).alias("worth")).select("portfolio", opens, "worth")
+    funds = accounts.where("portfolio is not null").select("portfolio", opens, "nav", "cash").unionByName(worth, allowMissingColumns=True)
+
+    sells, buys, ordered = F.col("_side") == 0, F.col("_side") == 1, F.col("_side") >= 0
     notional = (F.col("quantity") * F.col("price")).cast("decimal(20,4)")
-    costs = H.commission(notional.cast("decimal(20,8)"), policy) + H.transaction_tax(notional.cast("decimal(20,8)"), F.col("side"), policy)
-    buys = F.col("side") == "buy"
-    ready = full.select(
-        "*", F.when(F.col("side") == "sell", 0).otherwise(1).alias("_turn"), F.when(F.col("side") == "sell", F.col("quantity")).otherwise(0).alias("_sells"), F.when(buys, notional + costs).otherwise(0).alias("_pays"),
-        F.when(buys, notional).otherwise(-notional).alias("_signed"), F.when(buys, F.col("quantity")).otherwise(-F.col("quantity")).alias("_moves"),
-    )
-    block = F.col("_turn") * (2 * blocks) + F.coalesce(scan.range_blocks(orders, "order_id", blocks), F.lit(-1))
-    order = ["_turn", "order_id", "instrument_id", "quantity", "price"]
-    once = scan.running_sums(ready, ["portfolio"], order, block, {"_bought": "_pays", "_all": "_signed"})
-    full = scan.running_sums(once, ["portfolio", "instrument_id"], order, block, {"_sold": "_sells", "_moved": "_moves", "_same": "_signed"})
-    held = F.coalesce("held", F.lit(0))
-    sold, bought, after = F.col("_sold"), F.col("_bought"), held + F.col("_moved")
-    own_value = F.greatest(after, F.lit(0)) * F.col("price")
-    others = F.coalesce("_worth", F.lit(0)) - F.coalesce(F.col("value").cast("decimal(24,4)"), F.lit(0)) + F.col("_all") - F.col("_same")
-    unvalued = F.col("nav").isNull() | F.col("price").isNull() | (F.col("nav") <= 0) | (F.col("price") <= 0)
+    signed = F.when(buys, notional).when(ordered, -notional)
+    turn = F.least("_side", F.lit(1))
+    block = turn * (2 * blocks) + F.coalesce(scan.range_blocks(orders, "order_id", blocks), F.lit(-1))
+    order = [turn, "order_id", "instrument_id", "quantity", "price"]
+
+    bucket, many = scan.crowded(orders, ["portfolio", "instrument_id"], crowd)
+    own = lines.unionByName(opening, allowMissingColumns=True).withColumn("_bucket", bucket).join(F.broadcast(many), "_bucket", "left")
+    moved = {"_sold": F.when(sells, F.col("quantity")), "_held": "held", "_moved": F.when(buys, F.col("quantity")).when(ordered, -F.col("quantity")), "_value": "value", "_same": signed}
+    each = scan.running_sums(own, ["portfolio", "instrument_id"], order, block, moved, F.col("_crowded").isNotNull()).where(ordered)
+    held = F.coalesce("_held", F.lit(0))
+    each = each.select(*lines.columns, (sells & (F.col("_sold") > held)).alias("_short"), (held + F.col("_moved")).alias("_after"), (F.coalesce("_value", F.lit(0)) + F.col("_same")).alias("_rest"))
+
+    paid = {"_bought": F.when(buys, notional + H.commission(notional.cast("decimal(20,8)"), policy)).when(ordered, 0), "_all": signed, "_nav": "nav", "_cash": "cash", "_worth": "worth"}
+    # Orders alike in all columns keep the turn they had in their position.
+    again = [*order, F.when(buys, F.col("_after")).otherwise(-F.col("_after"))]
+    full = scan.running_sums(each.unionByName(funds, allowMissingColumns=True), ["portfolio"], again, block, paid, of=lines.unionByName(funds, allowMissingColumns=True)).where(ordered)
+    nav, price = F.col("_nav"), F.col("price")
+    own_value = F.greatest("_after", F.lit(0)) * price
+    others = F.coalesce("_worth", F.lit(0)) - F.col("_rest") + F.col("_all")
+    unvalued = nav.isNull() | price.isNull() | (nav <= 0) | (price <= 0)
     found = {
         "valuation_missing": unvalued,
-        "short_sale": (F.col("side") == "sell") & (sold > held),
+        "short_sale": F.col("_short"),
         "notional_limit": notional > max_notional,
-        "weight_limit": ~unvalued & (own_value > max_weight * F.col("nav")),
-        "gross_limit": ~unvalued & (others.cast("double") + own_value > max_gross * F.col("nav")),
-        "insufficient_buying_power": (F.col("side") == "buy") & (bought > F.col("cash")),
+        "weight_limit": ~unvalued & (own_value > max_weight * nav),
+        "gross_limit": ~unvalued & (others.cast("double") + own_value > max_gross * nav),
+        "insufficient_buying_power": buys & (F.col("_bought") > F.col("_cash")),
     }
     flags = F.filter(F.array(*(F.when(hit, name) for name, hit in found.items())), lambda x: x.isNotNull())
     return full.select("portfolio", "order_id", flags.alias("flags"))

@@ -7,23 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def running_sums(df: DataFrame, by: list[str], order: list[str], block: Column, sums: dict[str, str]) -> DataFrame:
+def running_sums(df: DataFrame, by: list[str], order: list[str | Column], block: Column, sums: dict[str, str | Column], divided: Column | None = None, of: DataFrame | None = None) -> DataFrame:
     """The rows with running sums {new name: column} of their key, each row included, in the order of `order`.
 
     block: an expression that never falls along the order (a month of a day, a range of a sequence). Each block of a key is
     summed on its own, so a key with all rows is spread over as many tasks as it has blocks; the totals, a row a
-    block, are summed before each block and carried into its rows. `order` has to tell rows of one key apart. Nulls add
-    nothing; before the first value the sum is null."""
-    marked = df.withColumn("_block", block)
-    inside = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    block, are summed before each block and lead its rows, so no join follows and the rows are shuffled once. `order` has to
+    tell rows of one key apart. Nulls add nothing; before the first value the sum is null.
+    divided: true for all rows of the keys that are worth blocks; the others stay whole and need no totals. of: rows of the same keys,
+    blocks and sums, to take the totals from where `df` takes long to make."""
+    split = lambda rows: rows.withColumn("_block", block if divided is None else F.when(divided, block))
+    counted = split(df if of is None else of)
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = marked.groupBy(*by, "_block").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
-    carried = totals.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_block").alias("_at"), *(F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums))
-    own = marked.select("*", *(F.sum(c).over(inside).alias(n) for n, c in sums.items()))
-    met = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_block").eqNullSafe(F.col("_at"))]
-    joined = own.join(carried, met)
-    whole = {n: F.when(F.col(n).isNull() & F.col(f"_{n}").isNull(), None).otherwise(F.coalesce(n, F.lit(0)) + F.coalesce(f"_{n}", F.lit(0))) for n in sums}
-    return joined.select(*df.columns, *(c.alias(n) for n, c in whole.items()))
+    totals = (counted if divided is None else counted.where(divided)).groupBy(*by, "_block").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    carried = totals.select(*by, "_block", F.lit(True).alias("_carried"), *(F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums))
+    # Dealt before the sums' columns are made, so those are not shuffled.
+    rows = split(df).unionByName(carried, allowMissingColumns=True).repartition(*by, "_block")
+    inside = Window.partitionBy(*by, "_block").orderBy(F.asc_nulls_last("_carried"), *order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = {n: F.sum(F.when(F.col("_carried"), F.col(f"_{n}")).otherwise(F.col(c) if isinstance(c, str) else c)).over(inside) for n, c in sums.items()}
+    return rows.select("_carried", *df.columns, *(c.alias(n) for n, c in whole.items())).where("_carried is null").drop("_carried")
+
+
+def crowded(df: DataFrame, by: list[str], limit: int, buckets: int = 4096) -> tuple[Column, DataFrame]:
+    """(a bucket of the key, the `_bucket`s with more than `limit` rows and four times the mean): all keys with so many rows are in these.
+
+    Rows are counted by bucket, so a task gives a row a bucket at most, however many keys there are, and the buckets can be broadcast."""
+    bucket = F.coalesce(F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"), F.lit(0))  # never null, so a join adds no filter of its own
+    counts = df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_rows"))
+    mean = counts.agg((F.sum("_rows") / buckets).alias("_mean"))
+    return bucket, counts.join(F.broadcast(mean)).where(F.col("_rows") > F.greatest(F.lit(float(limit)), 4 * F.col("_mean"))).select("_bucket", F.lit(True).alias("_crowded"))
 
 
 def range_blocks(df: DataFrame, column: str, blocks: int = 64) -> Column:

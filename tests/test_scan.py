@@ -111,3 +111,60 @@ def test_pretrade_flags_of_repeated_ids_do_not_depend_on_storage(spark):
         orders = spark.createDataFrame(own, "portfolio string, order_id string, instrument_id string, side string, quantity int, price double").coalesce(1)
         found.append(sorted(tuple(r.flags) for r in portfolio.pretrade_flags(orders, held, accounts).collect()))
     assert found[0] == found[1] == [(), ("insufficient_buying_power",)]
+
+
+def test_orders_are_shuffled_once_for_each_sum(spark):
+    """No join deals the orders anew, even where nothing is small enough to broadcast unasked."""
+    from tessera import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {n: catalog.queries()[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for n in ("pretrade_flags", "running_notional")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for name, sums in (("pretrade_flags", 2), ("running_notional", 1)):
+        assert "SortMergeJoin" not in plans[name] and "ShuffledHashJoin" not in plans[name]
+        assert plans[name].count("REPARTITION_BY_COL") == sums
+
+
+def test_undivided_keys_give_the_sums_of_divided_ones(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", "c", None]), i, None if rng.random() < 0.2 else rng.randrange(-50, 50)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(4)
+    want = sorted(map(str, running_sums(df, ["k"], ["i"], F.lit(0), {"total": "v"}).collect()))
+    for divided in (F.col("k") == "a", F.col("k").isNull(), F.lit(True), F.lit(False)):
+        assert sorted(map(str, running_sums(df, ["k"], ["i"], F.floor(F.col("i") / 50), {"total": "v"}, divided, of=df.select("k", "i", "v")).collect())) == want
+
+
+def test_crowded_buckets_hold_all_keys_of_many_rows(spark):
+    from tessera.operators.scan import crowded
+
+    df = spark.range(40_000).selectExpr("if(id % 4 = 0, 'hot', concat('k', id)) k", "if(id % 4 = 0, null, 1) j")
+    bucket, many = crowded(df, ["k", "j"], 5_000, 512)
+    met = df.withColumn("_bucket", bucket).join(many, "_bucket").groupBy("_crowded").agg(F.count_if(F.col("k") == "hot").alias("hot"), F.count("*").alias("n")).collect()
+    assert [r.hot for r in met] == [10_000] and met[0].n < 11_000
+    assert crowded(df, ["k", "j"], 20_000, 512)[1].count() == 0
+
+
+def test_crowded_positions_are_judged_like_others(spark):
+    from tessera.operators import portfolio
+
+    rng = random.Random(6)
+    rows = [("p" if rng.random() < 0.9 else rng.choice(["q", None]), f"{rng.randrange(250):04d}", rng.choice(["a", "a", "a", "b", "c", None]), rng.choice(["buy", "sell", "swap", None]), rng.choice([None, *range(1, 30)]), rng.choice([None, 0.0, *(x / 2 for x in range(10, 60))])) for _ in range(500)]
+    orders = spark.createDataFrame(rows, "portfolio string, order_id string, instrument_id string, side string, quantity int, price double").repartition(3)
+    held = spark.createDataFrame([("p", "a", 400, 9000.0), ("p", None, 70, 100.0), ("q", "c", None, None), (None, "b", 5, 10.0)], "portfolio string, instrument_id string, held int, value double")
+    accounts = spark.createDataFrame([("p", 20_000.0, 30_000.0), (None, 1.0, 1.0)], "portfolio string, nav double, cash double")
+    runs = [sorted((str(r.portfolio), r.order_id, tuple(r.flags)) for r in portfolio.pretrade_flags(orders, held, accounts, 0.2, 400.0, 0.3, blocks=n, crowd=c).collect()) for n, c in ((1, 100_000), (7, 100_000), (7, 0), (50, 100))]
+    assert len(runs[0]) == 500 and all(r == runs[0] for r in runs)
+    assert {f for *_, flags in runs[0] for f in flags} == {"valuation_missing", "short_sale", "notional_limit", "weight_limit", "gross_limit", "insufficient_buying_power"}
+
+
+def test_equal_orders_keep_one_turn_in_both_sums(spark):
+    """Of equal orders the first has cash and room, the second neither; no order has one without the other."""
+    from tessera.operators import portfolio
+
+    orders = spark.createDataFrame([("p", f"{i:03d}", f"x{i}", "buy", 1, 100.0) for i in range(50) for _ in range(2)], "portfolio string, order_id string, instrument_id string, side string, quantity int, price double")
+    held = spark.createDataFrame([], "portfolio string, instrument_id string, held int, value double")
+    accounts = spark.createDataFrame([("p", 1_000.0, 180.0)], "portfolio string, nav double, cash double")
+    found = sorted((r.order_id, tuple(r.flags)) for r in portfolio.pretrade_flags(orders, held, accounts, 0.1, 900.0, 100.0).collect())
+    assert found == sorted((f"{i:03d}", ("weight_limit",) * k + ("insufficient_buying_power",) * (i > 0 or k == 1)) for i in range(50) for k in (0, 1))
